@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from factloom.llm.common import ascii_words, materialize, runs_by_bytes
 
@@ -179,7 +179,7 @@ def _verdict(n_words: int, n_hit: int) -> bool:
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Between passes over several blocks of items a row carries what the earlier ones found.
-_FOUND = (("__found_ranges", "array<long>"), ("__found_items", "array<string>"))
+_FOUND = (("__found_ranges", ArrayType(LongType())), ("__found_items", ArrayType(StringType())))
 #: Passes in a row before the rows are written, so that few workers hold blocks at once.
 PASSES = 4
 

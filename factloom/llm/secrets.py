@@ -104,7 +104,7 @@ def _node(code, arg) -> tuple[set[str] | None, object]:
                 chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
             else:
                 return None, True
-        return (chars, True) if len(chars) <= 4 else (None, True)
+        return (chars, True) if len(chars) <= 8 else (None, True)
     if code is op.SUBPATTERN:
         return _sequence(arg[-1])
     if code is op.BRANCH:
