@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from factloom.plans import lookups  # noqa: F401
+from factloom.plans.base import ORACLES, QUERIES  # noqa: F401
