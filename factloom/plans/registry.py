@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from factloom.plans import lookups, relations  # noqa: F401
+from factloom.plans import evaluations, lookups, relations  # noqa: F401
 from factloom.plans.base import ORACLES, QUERIES  # noqa: F401

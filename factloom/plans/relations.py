@@ -230,9 +230,9 @@ def ordered_dedup(spark, sf):
     )
 
 
-@query("SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < '1995-01-01'")
+@query("SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def set_difference(spark, sf):
-    return table(spark, sf, "part").select("p_partkey").subtract(table(spark, sf, "lineitem").where("l_shipdate < '1995-01-01'").select("l_partkey"))
+    return table(spark, sf, "part").select("p_partkey").subtract(table(spark, sf, "lineitem").where("l_quantity > 45").select("l_partkey"))
 
 
 @query("SELECT doc_id FROM labels WHERE quality = 0 INTERSECT SELECT doc_id FROM documents WHERE n_chars > 500")
