@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 # What a path must contain to be of a category, in order of precedence.
 CATEGORIES = (
     ("recipe", "/recipe/"),
-    ("loot_table", "/loot_table/"),
-    ("advancement", "/advancement/"),
+    ("recipe", "/recipes/"),
+    ("loot_table", "/loot_table"),
+    ("advancement", "/advancement"),
     ("tag", "/tags/"),
     ("worldgen_structure", "/worldgen/structure/"),
     ("enchantment", "/enchantment/"),
@@ -73,7 +74,8 @@ def recipes(docs: DataFrame) -> DataFrame:
     result or a slot, give no row.
     """
     get = lambda p: F.get_json_object("body", p)
-    kind = F.regexp_replace(get("$.type"), "^.*:", "")
+    # types of any other namespace fit none of the families
+    kind = F.regexp_extract(get("$.type"), "^minecraft:(.*)$", 1)
     keyed = F.map_values(F.from_json(get("$.key"), "map<string,string>"))
     listed = F.from_json(get("$.ingredients"), "array<string>")
     named = lambda *names: F.array_compact(F.array(*(get(f"$.{n}") for n in names)))
@@ -86,8 +88,9 @@ def recipes(docs: DataFrame) -> DataFrame:
     )
     groups = F.filter(F.transform(slots, lambda s: F.array_sort(F.array_distinct(ingredient_items(s)))), lambda g: F.size(g) > 0)
     raw = get("$.result")
-    named_result = F.when(F.ltrim(raw).startswith("{"), F.coalesce(get("$.result.id"), get("$.result.item"))).otherwise(raw)
-    result = F.when(kind == "smithing_trim", F.get(ingredient_items(get("$.base")), F.lit(0))).otherwise(named_result)
+    given = F.when(F.ltrim(raw).startswith("{"), get("$.result.id"))
+    base = F.when(kind.isin("smithing_transform", "smithing_trim"), F.get(ingredient_items(get("$.base")), F.lit(0)))
+    result = F.coalesce(F.nullif(given, F.lit("")), base)
     out = docs.select(
         "id",
         kind.alias("recipe_type"),
@@ -114,8 +117,8 @@ def loot_drops(docs: DataFrame, depth: int = 8) -> DataFrame:
     level = pools.select("id", F.explode(F.from_json(F.get_json_object("pool", "$.entries"), "array<string>")).alias("e"))
     found = None
     for _ in range(depth):
-        kind = F.regexp_replace(F.get_json_object("e", "$.type"), "^.*:", "")
-        name = F.coalesce(F.get_json_object("e", "$.name"), F.get_json_object("e", "$.id"))
+        kind = F.regexp_extract(F.get_json_object("e", "$.type"), "^minecraft:(.*)$", 1)
+        name = F.nullif(F.get_json_object("e", "$.name"), F.lit(""))
         leaf = level.where(kind.isin("item", "tag")).select("id", F.when(kind == "tag", F.concat(F.lit("#"), name)).otherwise(name).alias("drop"))
         found = leaf if found is None else found.unionByName(leaf)
         level = level.where(kind.isin("alternatives", "group", "sequence")).select(
@@ -167,6 +170,8 @@ def trades(docs: DataFrame) -> DataFrame:
         count("$.wants.count").alias("wants_count"),
         get("$.gives.id").alias("gives_item"),
         count("$.gives.count").alias("gives_count"),
+        get("$.max_uses").try_cast("double").cast("int").alias("max_uses"),
+        get("$.xp").try_cast("double").cast("int").alias("xp"),
     ).where("wants_item is not null and gives_item is not null")
 
 
@@ -219,16 +224,18 @@ def weighted_mean(pairs: Column) -> Column:
 def resolve_count(text: Column) -> Column:
     """A count given as a number, a constant, a range (its middle) or a weighted list; 1 if unknown. Half-even."""
     get = lambda p: F.get_json_object(text, p)
-    kind = F.regexp_replace(get("$.type"), "^.*:", "")
-    inner = F.when(kind == "clamped", get("$.source")).otherwise(text)
+    inner = F.when((get("$.type") == "minecraft:clamped") & get("$.min_inclusive").isNull(), get("$.source")).otherwise(text)
     sub = lambda p: F.get_json_object(inner, p)
-    inner_kind = F.regexp_replace(sub("$.type"), "^.*:", "")
     entries = F.from_json(sub("$.distribution"), "array<struct<data:double,weight:double>>")
-    pairs = F.transform(entries, lambda e: F.struct(e["data"].alias("value"), F.coalesce(e["weight"], F.lit(1.0)).alias("weight")))
+    pairs = F.transform(
+        entries,
+        lambda e: F.struct(F.coalesce(e["data"], F.lit(0.0)).alias("value"), F.coalesce(e["weight"], F.lit(1.0)).alias("weight")),
+    )
+    low, high = sub("$.min_inclusive").try_cast("double"), sub("$.max_inclusive").try_cast("double")
     value = (
         F.when(inner.rlike(r"^-?[0-9]+$"), inner.try_cast("double"))
-        .when(inner_kind == "constant", sub("$.value").try_cast("double"))
-        .when(inner_kind == "uniform", (sub("$.min_inclusive").try_cast("double") + sub("$.max_inclusive").try_cast("double")) / 2)
-        .when(inner_kind == "weighted_list", weighted_mean(pairs))
+        .when(sub("$.type") == "minecraft:constant", sub("$.value").try_cast("double"))
+        .when(low.isNotNull() & high.isNotNull(), (low + high) / 2)
+        .when(sub("$.type") == "minecraft:weighted_list", weighted_mean(pairs))
     )
     return F.coalesce(F.bround(value).cast("int"), F.lit(1))

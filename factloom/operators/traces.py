@@ -87,8 +87,8 @@ def score(category: Column, kind: Column, answer: Column, expected: Column, key:
     every = F.forall(expected, lambda e: calls.contains_phrase(answer, e))
     return (
         F.when(answer.isNull(), F.lit(False))
-        .when(kind == "unknown", calls.declined(answer))
-        .when(calls.declined(answer), F.lit(False))
+        .when(kind == "unknown", calls.declined(answer, calls.NO_DATA))
+        .when(calls.declined(answer, calls.NO_DATA), F.lit(False))
         .when(category == "scalar", calls.contains_phrase(answer, F.get(expected, F.lit(0))))
         .when(category.isin("recipe", "loot"), every & calls.subject_bound(answer, F.lower(key)))
         .when(category == "large_tag", F.contains(low, F.size(expected).cast("string")) & (F.size(F.filter(expected, lambda e: calls.contains_phrase(answer, e))) >= 3))

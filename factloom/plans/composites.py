@@ -30,7 +30,7 @@ def _truth(spark, sf):
 def _made(spark, sf):
     keys = table(spark, sf, "part").select((F.col("p_partkey") + 50).alias("p"), F.lit("recipe").alias("tbl"), (F.col("p_partkey") + 50).cast("string").alias("key"))
     facts = keys.join(_truth(spark, sf), ["tbl", "key"], "left").withColumn("result", F.coalesce("result", F.lit(lookup.NO_ROWS)))
-    answer = F.when(F.col("result") == lookup.NO_ROWS, "There is no record of it.").otherwise(F.concat(F.lit("You need "), F.col("result")))
+    answer = F.when(F.col("result") == lookup.NO_ROWS, "There is no data on it.").otherwise(F.concat(F.lit("You need "), F.col("result")))
     out = traces.single_hop(facts.select("p", "key", "result"), F.concat(F.lit("What makes "), F.col("key"), F.lit("?")), "recipe", F.col("key"), F.col("result"), answer)
     return out.withColumn("trace_id", F.col("key").cast("long"))
 
@@ -57,16 +57,16 @@ def trace_integrity(spark, sf):
 
 
 _ANSWER = """
-SELECT l_orderkey * 10 + l_linenumber AS k, l_suppkey, l_partkey, l_quantity, CASE l_partkey % 5 WHEN 0 THEN 'I cannot say anything here' WHEN 1 THEN ''
- WHEN 2 THEN 'You can make s' || l_suppkey WHEN 3 THEN 'It works because s' || l_suppkey || ' takes 10 ticks (3 seconds)' ELSE 'There is no record of s' || l_suppkey END AS answer FROM lineitem
+SELECT l_orderkey * 10 + l_linenumber AS k, l_suppkey, l_partkey, l_quantity, CASE l_partkey % 5 WHEN 0 THEN 'I cannot say which it is' WHEN 1 THEN ''
+ WHEN 2 THEN 'It is used to make s' || l_suppkey WHEN 3 THEN 'It works because s' || l_suppkey || ' takes 10 ticks (3 seconds)' ELSE 'There is no data on s' || l_suppkey END AS answer FROM lineitem
 """
 
 
 def _answers(spark, sf):
     s, m = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.col("l_partkey") % 5
     answer = (
-        F.when(m == 0, "I cannot say anything here").when(m == 1, "").when(m == 2, F.concat(F.lit("You can make "), s))
-        .when(m == 3, F.concat(F.lit("It works because "), s, F.lit(" takes 10 ticks (3 seconds)"))).otherwise(F.concat(F.lit("There is no record of "), s))
+        F.when(m == 0, "I cannot say which it is").when(m == 1, "").when(m == 2, F.concat(F.lit("It is used to make "), s))
+        .when(m == 3, F.concat(F.lit("It works because "), s, F.lit(" takes 10 ticks (3 seconds)"))).otherwise(F.concat(F.lit("There is no data on "), s))
     )
     return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_suppkey", "l_partkey", "l_quantity", answer.alias("answer"))
 

@@ -85,24 +85,24 @@ def capitalized_with_article(spark, sf):
 
 _TURNS = """
 SELECT l_orderkey * 10 + l_linenumber AS k, CASE l_partkey % 6
-  WHEN 0 THEN '<tool_call>lookup(recipe, item=''x' || l_suppkey || ''')</tool_call>'
+  WHEN 0 THEN '<tool_call>lookup(recipe, result_item=''x' || l_suppkey || ''')</tool_call>'
   WHEN 1 THEN '<think>hm</think> <tool_call>lookup(tag, tag=''t' || l_suppkey || ''')</tool_call>'
-  WHEN 2 THEN 'say lookup(recipe, item=''y' || l_suppkey || ''') now'
+  WHEN 2 THEN 'say lookup(recipe, result_item=''y' || l_suppkey || ''') now'
   WHEN 3 THEN '<tool_call>lookup(tag, item=''z'')</tool_call>'
-  WHEN 4 THEN '<think>a</think>You can craft item' || l_suppkey || ' faster than 40 ticks (2 seconds).<|im_end|>tail'
-  ELSE 'I cannot say. There is no record of minecraft:thing' || l_suppkey || ' or minecraft:a/b, 10 ticks (3 seconds), yes' END AS text, l_suppkey FROM lineitem
+  WHEN 4 THEN '<think>a</think>It opens and is used to craft item' || l_suppkey || ' faster than 40 ticks (2 seconds).<|im_end|>tail'
+  ELSE 'I cannot say whether. There is no data, not a real minecraft:thing' || l_suppkey || ' or minecraft:a/b, 10 ticks (3 seconds), yes' END AS text, l_suppkey FROM lineitem
 """
 
 
 def _turns(spark, sf):
     c, s, m = F.concat, F.col("l_suppkey").cast("string"), F.col("l_partkey") % 6
     text = (
-        F.when(m == 0, c(F.lit("<tool_call>lookup(recipe, item='x"), s, F.lit("')</tool_call>")))
+        F.when(m == 0, c(F.lit("<tool_call>lookup(recipe, result_item='x"), s, F.lit("')</tool_call>")))
         .when(m == 1, c(F.lit("<think>hm</think> <tool_call>lookup(tag, tag='t"), s, F.lit("')</tool_call>")))
-        .when(m == 2, c(F.lit("say lookup(recipe, item='y"), s, F.lit("') now")))
+        .when(m == 2, c(F.lit("say lookup(recipe, result_item='y"), s, F.lit("') now")))
         .when(m == 3, F.lit("<tool_call>lookup(tag, item='z')</tool_call>"))
-        .when(m == 4, c(F.lit("<think>a</think>You can craft item"), s, F.lit(" faster than 40 ticks (2 seconds).<|im_end|>tail")))
-        .otherwise(c(F.lit("I cannot say. There is no record of minecraft:thing"), s, F.lit(" or minecraft:a/b, 10 ticks (3 seconds), yes")))
+        .when(m == 4, c(F.lit("<think>a</think>It opens and is used to craft item"), s, F.lit(" faster than 40 ticks (2 seconds).<|im_end|>tail")))
+        .otherwise(c(F.lit("I cannot say whether. There is no data, not a real minecraft:thing"), s, F.lit(" or minecraft:a/b, 10 ticks (3 seconds), yes")))
     )
     return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), text.alias("text"), "l_suppkey")
 
@@ -165,7 +165,7 @@ _named("degenerate_flag", "len(regexp_extract_all(text, '\\p{L}')) < 3", calls.d
 _named("claim_shape_flags", " OR ".join(f"regexp_matches(text, '{_quoted(p)}')" for p in calls.CLAIMS.values()),
        lambda t: calls.claim_shape(t, "mechanism") | calls.claim_shape(t, "capability") | calls.claim_shape(t, "comparative"))
 _named("yes_no_score", "CASE WHEN regexp_matches(lower(text), '\\byes\\b') AND NOT regexp_matches(lower(text), '\\bno\\b') THEN 'yes' WHEN regexp_matches(lower(text), '\\bno\\b') AND NOT regexp_matches(lower(text), '\\byes\\b') THEN 'no' END", calls.yes_no)
-_named("action_calls", "array_to_string(list_transform(regexp_extract_all(text, '\\(([a-z_]+)=''', 1), lambda x: x), ',')",
+_named("action_calls", "array_to_string(list_transform(regexp_extract_all(text, 'lookup\\(([a-z_]+)=''', 1), lambda x: x), ',')",
        lambda t: F.array_join(F.transform(calls.calls_in(t, "lookup"), lambda x: F.substring_index(x, "=", 1)), ","))
 
 
