@@ -51,8 +51,8 @@ def source_label(spark, sf):
 
 @query("""
 SELECT p_partkey, CASE WHEN p_size % 2 = 0
-  THEN 'Y ' || -p_size || ' to ' || (p_partkey % 64) || ', most at Y ' || CAST(round_even((p_partkey % 64 - p_size) / 2.0, 0) AS INTEGER)
-  ELSE 'Y ' || -p_size || ' to ' || (p_partkey % 64) || ', evenly' END AS phrase FROM part
+  THEN 'from Y ' || -p_size || ' to Y ' || (p_partkey % 64) || ' (most common around Y ' || CAST(round_even((p_partkey % 64 - p_size) / 2.0, 0) AS INTEGER) || ')'
+  ELSE 'from Y ' || -p_size || ' to Y ' || (p_partkey % 64) || ' (evenly spread)' END AS phrase FROM part
 """)
 def depth_phrase(spark, sf):
     low, high = -F.col("p_size"), (F.col("p_partkey") % 64).cast("int")
@@ -223,3 +223,78 @@ def question_templates(spark, sf):
     phrases = F.array(F.lit("What is"), F.lit("Tell me about"), F.lit("Describe"))
     pick = F.element_at(phrases, (question_seed(F.lit("t"), F.col("event_id").cast("string")) % 3).cast("int") + 1)
     return table(spark, sf, "events").select("event_id", F.concat_ws(" ", pick, "event_type").alias("question"))
+
+
+@query("""
+SELECT o_custkey, concat_ws('; or ', CASE WHEN len(b) > 0 THEN 'mining ' || CASE len(b) WHEN 1 THEN b[1] ELSE array_to_string(b[1:len(b) - 1], ', ') || ', or ' || b[-1] END END,
+  CASE WHEN len(e) > 0 THEN 'killing ' || CASE len(e) WHEN 1 THEN e[1] ELSE array_to_string(e[1:len(e) - 1], ', ') || ', or ' || e[-1] END END) AS phrase FROM (
+  SELECT o_custkey, list_sort(coalesce(list(DISTINCT 'ore ' || o_orderstatus) FILTER (WHERE o_orderkey % 2 = 0), [])) AS b,
+    list_sort(coalesce(list(DISTINCT o_orderstatus || ' sheep') FILTER (WHERE o_orderkey % 2 = 1), [])) AS e FROM orders GROUP BY o_custkey)
+""")
+def sources_phrase(spark, sf):
+    """J5."""
+    s = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("minecraft:blocks/ore_"), "o_orderstatus")).otherwise(F.concat(F.lit("minecraft:entities/sheep/"), "o_orderstatus"))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(s).alias("s"))
+    return rows.select("o_custkey", names.sources_phrase(F.col("s")).alias("phrase"))
+
+
+@query("""
+SELECT doc_id, toxic = 1 AS malformed, CASE WHEN toxic = 0 THEN 'why ' || doc_id END AS thought, CASE WHEN toxic = 0 THEN 'answer' END AS answer FROM labels
+""")
+def thought_reshape(spark, sf):
+    """A thought and its answer; rows without the marker are counted as malformed."""
+    from factloom.functions import reshaping
+
+    good = F.concat(F.lit("<thought> why "), F.col("doc_id").cast("string"), F.lit("</thought>\n answer "))
+    rows = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 0, good).otherwise("no marker").alias("r"))
+    t = reshaping.thought_and_answer(F.col("r"))
+    return rows.select("doc_id", t.isNull().alias("malformed"), t["thought"].alias("thought"), t["answer"].alias("answer"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN true WHEN p_partkey % 3 = 1 THEN true ELSE false END AS protected FROM part
+""")
+def protected_gear(spark, sf):
+    """J33."""
+    from factloom.functions import reshaping
+
+    name = F.element_at(F.array(*map(F.lit, ("netherite_hoe", "diamond_axe", "diamond"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", reshaping.protected_gear(name, F.array().cast("array<string>")).alias("protected"))
+
+
+@query("""
+SELECT l_orderkey, string_agg('  → lookup ' || l_linenumber || ': recipe(' || l_partkey || ')', chr(10) ORDER BY l_linenumber, l_partkey) || chr(10) || '(no answer)' AS shown
+FROM (SELECT DISTINCT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS l_linenumber, l_partkey FROM lineitem) GROUP BY 1
+""")
+def calls_rendered(spark, sf):
+    """Numbered lookups and placeholders."""
+    from factloom.functions import reshaping
+
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("c"))
+    made = F.transform("c", lambda x: F.struct(F.lit("recipe").alias("tbl"), x["l_partkey"].cast("string").alias("key")))
+    return rows.select("l_orderkey", reshaping.rendered_calls(made, F.lit(None).cast("string")).alias("shown"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'extra:1' ELSE 'missing:1' END AS problems FROM part
+""")
+def manifest_check(spark, sf):
+    """The signatures of a manifest are exactly the expected ones."""
+    from factloom.functions import reshaping
+
+    lines = [f"lookup({t}, {a}='KEY')" for t, a in calls.ARGUMENTS.items()]
+    whole, more, less = "\n".join(lines), "\n".join([*lines, "lookup(other, x='KEY')"]), "\n".join(lines[1:])
+    text = F.element_at(F.array(*map(F.lit, (whole, more, less))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", reshaping.manifest_problems(text).alias("problems"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'mithril' END AS noun FROM part WHERE p_partkey % 2 = 0
+""")
+def fabricated_nouns(spark, sf):
+    """Nouns said to be real objects that no registry name matches."""
+    from factloom.functions import reshaping
+
+    text = F.when(F.col("p_partkey") % 2 == 0, "Smelt mithril ore, or feed them with raw beef.").otherwise("Use an iron ingot.")
+    known = spark.sql("SELECT explode(array('iron', 'beef')) AS noun")
+    return reshaping.fabricated_nouns(table(spark, sf, "part").select("p_partkey", text.alias("text")), "p_partkey", "text", known)
