@@ -17,9 +17,10 @@ posting list. (1) Every list names a hub and each member meets only the hubs of
 its lists; matches are counted over the signatures, pairs at or above the
 threshold are confirmed on the full sets, and links are closed to components.
 (2) What the hubs have joined is skipped: in each list only members outside the
-hub's component are merged with the list, under the conditions that components
-differ, sizes allow the similarity and signatures match in ``T`` coordinates.
-What is confirmed joins components. Every link thus lies within a component.
+hub's component are merged with the list: components must differ, sizes allow the
+similarity, signatures match in ``T`` coordinates and the sets be similar, all
+within the join, which puts out links alone. What is confirmed joins components.
+Every link thus lies within a component.
 
 Defined results: null texts and texts without words have empty sets and are
 linked with nothing; a text of fewer than ``words`` words is one shingle; rows
@@ -44,6 +45,8 @@ from factloom.llm.common import arrow_map, discard, materialize, runs_by_bytes
 K, T, CELLS, FAMILIES = 35, 14, 1 << 16, 8
 #: Two sets are linked if 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
+#: Bits of the bitmaps that are compared before sets are.
+BITS = 2048
 #: Words of a shingle unless a caller says otherwise.
 WORDS = 5
 #: Seven coordinates of seven bits make up a packed number.
@@ -146,8 +149,8 @@ def _sizes_allow(a: str, b: str) -> Column:
     return (100 * F.col(f"{a}.n") >= SIMILARITY * F.col(f"{b}.n")) & (100 * F.col(f"{b}.n") >= SIMILARITY * F.col(f"{a}.n"))
 
 
-def postings(reps: DataFrame) -> DataFrame:
-    """``key, rep``: each class under the prefix of its (coordinate, value) pairs, rarest first."""
+def prefixes(reps: DataFrame) -> DataFrame:
+    """``rep, prefix``: the (coordinate, value) pairs under which each class is posted, the rarest of its signature."""
     counted = (
         reps.select(F.explode("keys").alias("key"))
         .groupBy(F.shiftrightunsigned("key", 48).cast("int").alias("cell"))
@@ -163,22 +166,45 @@ def postings(reps: DataFrame) -> DataFrame:
         keys = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, K)
         by_key = np.sort(keys, axis=1)
         order = np.argsort(held.value[(by_key >> np.uint64(48)).astype(np.int64)], axis=1, kind="stable")[:, :prefix]
-        chosen = np.take_along_axis(by_key, order, 1)
-        ids = np.repeat(b.column(0).to_numpy(), prefix)
-        return pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), pa.array(ids)], names=["key", "rep"])
+        chosen = np.ascontiguousarray(np.take_along_axis(by_key, order, 1)).view(np.int64).ravel()
+        offsets = np.arange(0, len(chosen) + 1, prefix, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(chosen))], names=["rep", "prefix"])
 
-    return arrow_map(reps.select("rep", "keys"), post, "key long, rep long")
+    return arrow_map(reps.select("rep", "keys"), post, "rep long, prefix array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough; sets are made anew from the texts of these alone."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, s``: the sets' hashes."""
 
-    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    made = materialize(arrow_map(docs.join(ids, "doc_id", "left_semi"), sets, "doc_id long, s array<long>"), "sets")
+    return arrow_map(docs, batch, "doc_id long, s array<long>")
+
+
+def _sketched_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``rep, s, bits``: the sets' 32-bit hashes, and a bitmap of ``BITS`` bits with one for each hash."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        found, maps = [], []
+        for text in b.column(1).to_pylist():
+            s = shingles(text, words)
+            found.append(np.unique(s.astype(np.uint32)).view(np.int32))
+            flags = np.zeros(BITS, np.uint8)
+            flags[((s >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64)] = 1
+            maps.append(np.packbits(flags).view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(maps, pa.list_(pa.int64()))], names=["rep", "s", "bits"]
+        )
+
+    return arrow_map(docs, batch, "rep long, s array<int>, bits array<long>")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough; sets are made anew from the texts of these alone."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    made = materialize(_sets(docs.join(ids, "doc_id", "left_semi"), words), "sets")
     both = (
         pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
         .join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
@@ -233,7 +259,8 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     reps = materialize(
         named.join(classes, ["h1", "h2"]).where("doc_id = rep").select("rep", "n", "keys", *PACKED), "representatives"
     )
-    posted = materialize(postings(reps), "postings")
+    prefix = materialize(prefixes(reps), "prefixes")
+    posted = prefix.select(F.explode("prefix").alias("key"), "rep")
 
     # (1) each list's hub: the least id after flipping bits in a way of the list's family
     flip = F.xxhash64(F.pmod("key", F.lit(FAMILIES)))
@@ -245,7 +272,6 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         .select("key", F.col("r").bitwiseXOR(flip).alias("hub"))
     )
     lists = materialize(posted.join(hubs, "key"), "lists")
-    discard(posted)
     small = reps.select("rep", "n", *PACKED)
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -269,26 +295,44 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         placed.select(F.col("rep").alias("hub"), F.col("component").alias("of_hub")), "hub"
     )
     full = materialize(full, "members")
-    left, right = full.where("component <> of_hub").alias("x"), full.alias("y")
-    rest = (
-        left.join(
-            right,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (F.col("y.rep") != F.col("x.hub"))
-            & _sizes_allow("x", "y")
-            & (_matches("x", "y") >= T),
-        )
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .distinct()
+    columns = ("key", "rep", "n", *PACKED, "component", "hub")
+    outside = full.where("component <> of_hub").select(*columns)
+    meets = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.col("y.rep") != F.col("x.hub"))
+        & _sizes_allow("x", "y")
+        & (_matches("x", "y") >= T)
     )
-    rest = materialize(rest, "candidates")
-    discard(full)
-    discard(lists)
-    if not rest.isEmpty():
-        more = confirm(rest, texts, words)
+    # who meets anyone at all: a row stays a row, however many it meets
+    left = materialize(outside.alias("x").join(full.select(*columns).alias("y"), meets, "left_semi"), "outside")
+    right = materialize(full.select(*columns).alias("y").join(left.alias("x"), meets, "left_semi"), "inside")
+    if not left.isEmpty():
+        ids = left.select("rep").union(right.select("rep")).distinct().withColumnRenamed("rep", "doc_id")
+        sets = _sketched_sets(texts.join(ids, "doc_id", "left_semi"), words).join(prefix, "rep")
+        sets = materialize(sets, "sets")
+        # Sets are compared inside the join, so that it puts out only what is similar. Bits that differ are at most
+        # as many as shingles that do, which settles most; then 32-bit hashes are compared, allowing for two that
+        # hashes that fall together could hide; full sets confirm.
+        # (a fold, since the unrolled sum of all words is more code than the JVM compiles)
+        differ = F.aggregate(
+            F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n
+        )
+        near = (100 + SIMILARITY) * differ <= (100 - SIMILARITY) * (F.col("x.n") + F.col("y.n"))
+        # of the lists that two members share, one compares them
+        once = F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.key")
+        common = F.size(F.array_intersect("x.s", "y.s")) + 2
+        close = near & once & ((100 + SIMILARITY) * common >= SIMILARITY * (F.col("x.n") + F.col("y.n")))
+        rest = (
+            left.join(sets, "rep").alias("x").join(right.join(sets, "rep").alias("y"), meets & close)
+            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+            .distinct()
+        )
+        more = confirm(materialize(rest, "candidates"), texts, words)
         if not more.isEmpty():
             joined = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    discard(full)
+    discard(lists)
 
     whole = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component")
