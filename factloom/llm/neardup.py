@@ -18,8 +18,8 @@ its lists; matches are counted over the signatures, pairs at or above the
 threshold are confirmed on the full sets, and links are closed to components.
 (2) What the hubs have joined is skipped: in each list only members outside the
 hub's component are merged with the list: components must differ, sizes allow the
-similarity, signatures match in ``T`` coordinates and the sets be similar, all
-within the join, which puts out links alone. What is confirmed joins components.
+similarity, signatures match in ``T`` coordinates and bitmaps of the sets allow the
+similarity, all within the join. What is confirmed joins components.
 Every link thus lies within a component.
 
 Defined results: null texts and texts without words have empty sets and are
@@ -183,22 +183,19 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs, batch, "doc_id long, s array<long>")
 
 
-def _sketched_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``rep, s, bits``: the sets' 32-bit hashes, and a bitmap of ``BITS`` bits with one for each hash."""
+def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
+    """``rep, bits``: the sets as bitmaps of ``BITS`` bits."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        found, maps = [], []
+        maps = []
         for text in b.column(1).to_pylist():
             s = shingles(text, words)
-            found.append(np.unique(s.astype(np.uint32)).view(np.int32))
             flags = np.zeros(BITS, np.uint8)
             flags[((s >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64)] = 1
             maps.append(np.packbits(flags).view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(maps, pa.list_(pa.int64()))], names=["rep", "s", "bits"]
-        )
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.list_(pa.int64()))], names=["rep", "bits"])
 
-    return arrow_map(docs, batch, "rep long, s array<int>, bits array<long>")
+    return arrow_map(docs, batch, "rep long, bits array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -309,11 +306,10 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     right = materialize(full.select(*columns).alias("y").join(left.alias("x"), meets, "left_semi"), "inside")
     if not left.isEmpty():
         ids = left.select("rep").union(right.select("rep")).distinct().withColumnRenamed("rep", "doc_id")
-        sets = _sketched_sets(texts.join(ids, "doc_id", "left_semi"), words).join(prefix, "rep")
+        sets = _bitmaps(texts.join(ids, "doc_id", "left_semi"), words).join(prefix, "rep")
         sets = materialize(sets, "sets")
-        # Sets are compared inside the join, so that it puts out only what is similar. Bits that differ are at most
-        # as many as shingles that do, which settles most; then 32-bit hashes are compared, allowing for two that
-        # hashes that fall together could hide; full sets confirm.
+        # Bitmaps are compared inside the join, so that it puts out few pairs that aren't similar: bits that differ
+        # are at most as many as shingles that do. Full sets confirm.
         # (a fold, since the unrolled sum of all words is more code than the JVM compiles)
         differ = F.aggregate(
             F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n
@@ -321,10 +317,8 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         near = (100 + SIMILARITY) * differ <= (100 - SIMILARITY) * (F.col("x.n") + F.col("y.n"))
         # of the lists that two members share, one compares them
         once = F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.key")
-        common = F.size(F.array_intersect("x.s", "y.s")) + 2
-        close = near & once & ((100 + SIMILARITY) * common >= SIMILARITY * (F.col("x.n") + F.col("y.n")))
         rest = (
-            left.join(sets, "rep").alias("x").join(right.join(sets, "rep").alias("y"), meets & close)
+            left.join(sets, "rep").alias("x").join(right.join(sets, "rep").alias("y"), meets & near & once)
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
             .distinct()
         )
