@@ -1,8 +1,9 @@
 """Every registered query of the fact operators against its SQL oracle."""
 
-import os
+import numbers
 
 import duckdb
+import pandas as pd
 import pytest
 
 from factloom.plans.registry import ORACLES, QUERIES
@@ -22,9 +23,11 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "NULL"
-        return repr(round(float(v), 9)) if isinstance(v, float) else str(v)
+        if isinstance(v, numbers.Number) and not isinstance(v, bool):
+            return repr(round(float(v), 9))
+        return str(v)
 
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False))
 
