@@ -3,7 +3,8 @@
 Pivots are chosen from a bounded sample. Every vector of the table is indexed by
 its nearest pivot and its distance to it; the index is range-partitioned and
 sorted by (pivot, distance), so a run of neighbouring rows is an annulus around
-a pivot and any number of equal rows is cut into runs of bounded size.
+a pivot and any number of equal rows is cut into runs of bounded size. A run
+ends where the pivot changes or the distance falls, as at the seams of files.
 
 A search takes the queries in blocks of ``QUERY_BLOCK``. For a query q and an
 annulus with distances in [lo, hi] around p and norms at most m, the triangle
@@ -137,7 +138,8 @@ def _search(batches: Iterator[pa.RecordBatch], block: QueryBlock, pivots: np.nda
         ids = b.column(0).to_numpy()
         x, pivot, distance = _matrix(b.column(1), d), b.column(2).to_numpy(), b.column(3).to_numpy()
         norm2 = (x * x).sum(1)
-        cuts = np.flatnonzero(np.diff(pivot, prepend=pivot[0] - 1))
+        # a read partition may hold several files of the index in any order, so a run also ends where the distance falls
+        cuts = np.flatnonzero((np.diff(pivot, prepend=pivot[0] - 1) != 0) | (np.diff(distance, prepend=distance[0]) < 0))
         annuli = []
         for a, z in zip(cuts, np.append(cuts[1:], len(ids)), strict=True):
             for s in range(a, z, ANNULUS):

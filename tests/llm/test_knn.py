@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,28 @@ def test_few_and_no_vectors(spark):
     assert [tuple(r) for r in knn.search(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 7, 256 * 128)]
     assert knn.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert knn.search(df.where("vec_id = 7"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_files_of_a_hot_pivot_read_out_of_order():
+    # two files of the index in one batch: the far rows of the only pivot's cell lie before the near ones
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(0, 1, (40, 8)))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None] * np.linspace(0.1, 3, 40)[:, None])
+    pivots = np.zeros((1, 8))
+    distance = knn._distances(x, pivots)[:, 0]
+    order = np.argsort(distance)
+    order = np.concatenate([order[20:], order[:20]])
+    flat = pa.array(x[order].astype(np.int64).ravel())
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 41 * 8, 8, dtype=np.int32)), flat)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(order.astype(np.int64)), vectors, pa.array(np.zeros(40, np.int32)), pa.array(distance[order])],
+        names=["vec_id", "v", "pivot", "distance"],
+    )
+    block = knn.QueryBlock(np.arange(40), x, np.arange(40), x, 5)
+    got = {}
+    for b in knn._search(iter([batch]), block, pivots):
+        for q, v, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(q, []).append((-s, v))
+    scores = (x @ x.T).astype(int)
+    want = {q: sorted((-int(scores[q, j]), j) for j in range(40) if j != q)[:5] for q in range(40)}
+    assert {q: sorted(v) for q, v in got.items()} == want
