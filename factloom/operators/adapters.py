@@ -3,7 +3,7 @@
 Each takes a frame with a document's ``id`` and JSON text ``body`` and stays in
 JSON functions. Shapes that may be a string, an object or a list are told apart
 by their first character; nested lists are followed to the depth that the
-documents have (two). Keys of JSON objects keep the document's order through
+documents have (two), nested entries to any depth. Keys of JSON objects keep the document's order through
 ``from_json`` to a map.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.scratch import written
+
 # What a path must contain to be of a category, in order of precedence.
 CATEGORIES = (
     ("recipe", "/recipe/"),
@@ -107,23 +109,23 @@ def recipe_slots(found: DataFrame) -> DataFrame:
     return slots.select("result_item", "method", "slot", F.explode("group").alias("ingredient"))
 
 
-def loot_drops(docs: DataFrame, depth: int = 8) -> DataFrame:
+def loot_drops(docs: DataFrame) -> DataFrame:
     """``id, drops``: items, ``#`` tags and the children of composite entries, sorted and distinct.
 
-    Entries are followed level by level; a level beyond ``depth`` raises, since
-    the documents' nesting is bounded.
+    Entries are followed level by level, each written, until a level is empty.
     """
     pools = docs.select("id", F.explode(F.from_json(F.get_json_object("body", "$.pools"), "array<string>")).alias("pool"))
     level = pools.select("id", F.explode(F.from_json(F.get_json_object("pool", "$.entries"), "array<string>")).alias("e"))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         kind = F.regexp_extract(F.get_json_object("e", "$.type"), "^minecraft:(.*)$", 1)
         name = F.nullif(F.get_json_object("e", "$.name"), F.lit(""))
         leaf = level.where(kind.isin("item", "tag")).select("id", F.when(kind == "tag", F.concat(F.lit("#"), name)).otherwise(name).alias("drop"))
         found = leaf if found is None else found.unionByName(leaf)
-        level = level.where(kind.isin("alternatives", "group", "sequence")).select(
+        children = level.where(kind.isin("alternatives", "group", "sequence")).select(
             "id", F.explode(F.from_json(F.get_json_object("e", "$.children"), "array<string>")).alias("e")
         )
+        level = written(children, "entries")
     return found.where("drop is not null").groupBy("id").agg(F.array_sort(F.collect_set("drop")).alias("drops"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import closure
+from factloom.sources.scratch import written
 
 # The keys that hold a recipe's body, and the directories of the categories.
 BODY_KEYS = ("shaped", "shapeless", "furnace", "brewing_mix", "brewing_container", "smithing_transform", "smithing_trim")
@@ -77,12 +78,15 @@ def loot_drops(docs: DataFrame) -> DataFrame:
     return closure(edges, members).groupBy(F.col("tag").alias("id")).agg(F.array_sort(F.collect_set("member")).alias("drops"))
 
 
-def spawn_rules(docs: DataFrame, depth: int = 8) -> DataFrame:
-    """``id, biome_tags``: tags that some condition asks for; what is under ``none_of`` or negated doesn't count."""
+def spawn_rules(docs: DataFrame) -> DataFrame:
+    """``id, biome_tags``: tags that some condition asks for; what is under ``none_of`` or negated doesn't count.
+
+    Filters are followed level by level, each written, until a level is empty.
+    """
     conditions = F.from_json(F.get_json_object("body", "$['minecraft:spawn_rules'].conditions"), "array<string>")
     level = docs.select("id", F.explode(conditions).alias("c")).select("id", F.get_json_object("c", "$['minecraft:biome_filter']").alias("f")).where("f is not null")
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         get = lambda p: F.get_json_object("f", p)
         inner = F.coalesce(get("$.all_of"), get("$.any_of"))
         single = F.ltrim(F.col("f")).startswith("{")
@@ -91,7 +95,7 @@ def spawn_rules(docs: DataFrame, depth: int = 8) -> DataFrame:
         found = leaf if found is None else found.unionByName(leaf)
         # a list's parts and a composite's inside are the next level
         nested = F.when(F.ltrim(F.col("f")).startswith("["), F.from_json("f", "array<string>")).when(inner.isNotNull(), F.array(inner))
-        level = level.select("id", F.explode(nested).alias("f"))
+        level = written(level.select("id", F.explode(nested).alias("f")), "filters")
     return found.where("tag is not null").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("biome_tags"))
 
 

@@ -6,12 +6,14 @@ plans stay one round long; nothing is collected. Counts decide when to stop.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.sources.scratch import written
 
-#: Rounds after which a loop that still finds rows is an error.
+#: Rounds after which a closure that still finds rows is an error.
 MOST_ROUNDS = 1000
 
 
@@ -64,7 +66,8 @@ def depths(recipes: DataFrame, tags: DataFrame) -> DataFrame:
     known = written(known.unionByName(ignored), "depths")
     n = known.count()
     members = tags.groupBy("tag").agg(F.count("*").alias("size"))
-    for _ in range(MOST_ROUNDS):
+    # every round but the last adds an item, so the loop ends
+    while True:
         # a tag's depth is final only once all members are known
         of_tags = (
             tags.join(known.withColumnRenamed("item", "member"), "member")
@@ -102,7 +105,8 @@ def reachable(recipes: DataFrame, raw: DataFrame) -> DataFrame:
     parts = recipes.select("recipe", "ingredient").distinct()
     known = written(raw.select("item").distinct().withColumn("level", F.lit(0)), "reachable")
     n = known.count()
-    for level in range(1, MOST_ROUNDS):
+    # every round but the last adds an item, so the loop ends
+    for level in itertools.count(1):
         ready = (
             parts.join(known.select(F.col("item").alias("ingredient")), "ingredient")
             .groupBy("recipe")

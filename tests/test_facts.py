@@ -231,3 +231,24 @@ def test_whole_build(spark, tmp_path):
     tampered = hops.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.replace(m["content"], F.lit("minecraft:iron"), F.lit("x")).alias("content"))))
     with pytest.raises(ValueError, match="verify"):
         oracle.training_set([tampered], truth)
+
+
+def test_deep_entries_and_filters_are_followed_to_the_end(spark):
+    entry, rule = {"type": "minecraft:item", "name": "i:deep"}, {"test": "has_biome_tag", "value": "deep"}
+    for i in range(11):
+        entry = {"type": "minecraft:group", "children": [{"type": "minecraft:item", "name": f"i:{i:02}"}, entry]}
+        rule = {"any_of" if i % 2 else "all_of": [{"test": "has_biome_tag", "value": f"{i:02}"}, rule]}
+    bodies = {"pools": [{"entries": [entry]}]}, {"minecraft:spawn_rules": {"conditions": [{"minecraft:biome_filter": rule}]}}
+    docs = [spark.createDataFrame([("x", json.dumps(b))], "id string, body string") for b in bodies]
+    numbers = [f"{i:02}" for i in range(11)]
+    assert adapters.loot_drops(docs[0]).first().drops == [*(f"i:{n}" for n in numbers), "i:deep"]
+    assert adapters_alt.spawn_rules(docs[1]).first().biome_tags == [*numbers, "deep"]
+
+
+def test_long_chains_have_depths_and_levels(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 3)
+    chain = spark.createDataFrame([(f"{i:02}", f"{i - 1:02}") for i in range(1, 7)], "item string, ingredient string")
+    want = {f"{i:02}": i for i in range(7)}
+    assert {r["item"]: r.depth for r in graph.depths(chain, spark.createDataFrame([], "tag string, member string")).collect()} == want
+    got = graph.reachable(chain.withColumn("recipe", F.col("item")), spark.createDataFrame([("00",)], "item string"))
+    assert {r["item"]: r.level for r in got.collect()} == want
