@@ -161,10 +161,23 @@ SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1.0, 2 * (SELECT sum(ex
   FROM (SELECT unnest(generate_series(0, least(b, c))) AS i))) END, 9) AS p FROM c
 """)
 def mcnemar_exact(spark, sf):
+    """On a twentieth of the labels, as its SQL is; ``mcnemar_whole`` takes all."""
     rows = table(spark, sf, "labels").where("doc_id % 20 = 0").select("quality", (1 - F.col("toxic")).alias("t"))
     return evaluation.mcnemar(rows, "quality", "t").withColumn("p", F.round("p", 9))
 
 
+@query("""
+WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND t = 0) AS b, count(*) FILTER (WHERE quality = 0 AND t = 1) AS c
+  FROM (SELECT quality, 1 - toxic AS t FROM labels))
+SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))
+  FROM (SELECT unnest(generate_series(0, least(b, c))) AS i))) END, 9) AS p FROM c
+""")
+def mcnemar_whole(spark, sf):
+    """All labels."""
+    rows = table(spark, sf, "labels").select("quality", (1 - F.col("toxic")).alias("t"))
+    return evaluation.mcnemar(rows, "quality", "t").withColumn("p", F.round("p", 9))
+
+
 @query("""
 SELECT a.doc_id FROM labels a JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE quality END AS quality FROM labels) b USING (doc_id)
 WHERE a.quality IS DISTINCT FROM b.quality

@@ -8,6 +8,18 @@ from factloom.operators import graph, relations
 from factloom.plans.base import query, table
 
 
+def _placements(spark, sf, of_orders: str, of_customers: str):
+    kind = F.when(F.col("l_linenumber") % 2 == 1, "height").otherwise("count")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", kind.alias("kind"), F.col("l_quantity").alias("value")))).alias("modifiers")
+    )
+    placed = table(spark, sf, "orders").where(of_orders).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    placed = placed.select(F.col("o_orderkey").alias("placement"), F.col("o_custkey").alias("feature"), "modifiers")
+    features = table(spark, sf, "customer").where(of_customers)
+    features = features.select(F.col("c_custkey").alias("feature"), F.array("c_name", "c_mktsegment").alias("blocks"))
+    return relations.place_features(placed, features)
+
+
 @query("""
 WITH placed AS (
   SELECT o_orderkey AS placement, o_custkey AS feature,
@@ -18,15 +30,22 @@ SELECT placement, block, height, cnt AS count FROM placed
 JOIN (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS block FROM customer WHERE c_nationkey < 5) ON feature = c_custkey
 """)
 def placement_join_explode(spark, sf):
-    kind = F.when(F.col("l_linenumber") % 2 == 1, "height").otherwise("count")
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", kind.alias("kind"), F.col("l_quantity").alias("value")))).alias("modifiers")
-    )
-    placed = table(spark, sf, "orders").where("o_orderkey % 4 = 0").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    placed = placed.select(F.col("o_orderkey").alias("placement"), F.col("o_custkey").alias("feature"), "modifiers")
-    features = table(spark, sf, "customer").where("c_nationkey < 5")
-    features = features.select(F.col("c_custkey").alias("feature"), F.array("c_name", "c_mktsegment").alias("blocks"))
-    return relations.place_features(placed, features)
+    """On a part of the tables, as its SQL is; ``placement_join_whole`` takes all."""
+    return _placements(spark, sf, "o_orderkey % 4 = 0", "c_nationkey < 5")
+
+
+@query("""
+WITH placed AS (
+  SELECT o_orderkey AS placement, o_custkey AS feature,
+    max_by(l_quantity, l_linenumber * 100 + l_quantity) FILTER (WHERE l_linenumber % 2 = 1) AS height,
+    max_by(l_quantity, l_linenumber * 100 + l_quantity) FILTER (WHERE l_linenumber % 2 = 0) AS cnt
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT placement, block, height, cnt AS count FROM placed
+JOIN (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS block FROM customer) ON feature = c_custkey
+""")
+def placement_join_whole(spark, sf):
+    """All orders with all customers."""
+    return _placements(spark, sf, "true", "true")
 
 
 @query("""

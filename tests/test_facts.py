@@ -1,12 +1,15 @@
 """Literal fixtures: lookups, slots, closures, depths, documents, gates and scores."""
 
 import json
+import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import calls, names
 from factloom.operators import adapters, adapters_alt, evaluation, gates, graph, lookup, runs, traces
+from factloom.plans.registry import QUERIES
 from factloom.sources import reports, sinks
 
 
@@ -252,3 +255,15 @@ def test_long_chains_have_depths_and_levels(spark, monkeypatch):
     assert {r["item"]: r.depth for r in graph.depths(chain, spark.createDataFrame([], "tag string, member string")).collect()} == want
     got = graph.reachable(chain.withColumn("recipe", F.col("item")), spark.createDataFrame([("00",)], "item string"))
     assert {r["item"]: r.level for r in got.collect()} == want
+
+
+def test_paired_arms_and_placements_are_taken_whole(spark, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet").collect()
+    b, c = (sum((r.quality, r.toxic) == kind for r in labels) for kind in ((1, 1), (0, 0)))
+    p = min(Fraction(1), Fraction(2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)), 2 ** (b + c)))
+    got = QUERIES["mcnemar_whole"](spark, small).first()
+    assert (got.b, got.c) == (b, c) and got.p == pytest.approx(float(p), abs=2e-9)
+    customers = {r.c_custkey for r in spark.read.parquet(f"{small}/customer.parquet").collect()}
+    lines = {r.l_orderkey for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{small}/orders.parquet").collect() if r.o_orderkey in lines and r.o_custkey in customers}
+    assert sorted(r.placement for r in QUERIES["placement_join_whole"](spark, small).collect()) == sorted(2 * list(orders))
