@@ -165,6 +165,12 @@ def nearest_within_radius(spark, sf):
     return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def _tag_closure(spark, part):
+    edges = part.where("p_partkey > 1").selectExpr("p_partkey AS tag", "p_partkey div 2 AS ref")
+    edges = edges.union(spark.sql("SELECT 7L, 30L UNION ALL SELECT 1L, 5L"))  # two cycles
+    return graph.closure(edges, part.select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("member")))
+
+
 @query("""
 WITH RECURSIVE e AS (
   SELECT p_partkey AS tag, p_partkey // 2 AS ref FROM part WHERE p_partkey > 1 AND p_partkey <= 400 UNION ALL SELECT 7, 30 UNION ALL SELECT 1, 5),
@@ -173,10 +179,20 @@ m AS (SELECT p_partkey AS tag, p_brand AS member FROM part WHERE p_partkey <= 40
 SELECT tag, member FROM m UNION SELECT r.tag, m.member FROM r JOIN m ON r.ref = m.tag
 """)
 def tag_closure(spark, sf):
-    part = table(spark, sf, "part").where("p_partkey <= 400")
-    edges = part.where("p_partkey > 1").selectExpr("p_partkey AS tag", "p_partkey div 2 AS ref")
-    edges = edges.union(spark.sql("SELECT 7L, 30L UNION ALL SELECT 1L, 5L"))  # two cycles
-    return graph.closure(edges, part.select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("member")))
+    """Of the first parts, as its SQL is; ``tag_closure_whole`` takes all."""
+    return _tag_closure(spark, table(spark, sf, "part").where("p_partkey <= 400"))
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT p_partkey AS tag, p_partkey // 2 AS ref FROM part WHERE p_partkey > 1 UNION ALL SELECT 7, 30 UNION ALL SELECT 1, 5),
+r AS (SELECT tag, ref FROM e UNION SELECT r.tag, e.ref FROM r JOIN e ON r.ref = e.tag),
+m AS (SELECT p_partkey AS tag, p_brand AS member FROM part)
+SELECT tag, member FROM m UNION SELECT r.tag, m.member FROM r JOIN m ON r.ref = m.tag
+""")
+def tag_closure_whole(spark, sf):
+    """All parts."""
+    return _tag_closure(spark, table(spark, sf, "part"))
 
 
 @query("""

@@ -267,3 +267,26 @@ def test_paired_arms_and_placements_are_taken_whole(spark, small):
     lines = {r.l_orderkey for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey").distinct().collect()}
     orders = {r.o_orderkey for r in spark.read.parquet(f"{small}/orders.parquet").collect() if r.o_orderkey in lines and r.o_custkey in customers}
     assert sorted(r.placement for r in QUERIES["placement_join_whole"](spark, small).collect()) == sorted(2 * list(orders))
+
+
+def test_closures_are_of_all_parts(spark, tmp_path):
+    rows = [(i, f"b{i}", i % 50) for i in range(1, 451)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+
+    def below(refs):
+        for i in refs:
+            seen, todo = {i}, [i]
+            while todo:
+                new = refs.get(todo.pop(), set()) - seen
+                seen |= new
+                todo += new
+            yield i, seen
+
+    tags = {i: {i // 2} - {0} for i, _, _ in rows}
+    tags[7], tags[1] = {3, 30}, {5}
+    want = {(i, f"b{j}") for i, seen in below(tags) for j in seen}
+    assert {tuple(r) for r in QUERIES["tag_closure_whole"](spark, str(tmp_path)).collect()} == want
+    loot = {i: {i // 3} - {0} for i, _, _ in rows}
+    loot[1], loot[2] = {7}, set()
+    want = {(f"minecraft:p{i}", ",".join(sorted({f"i{j % 50}" for j in seen}))) for i, seen in below(loot)}
+    assert {tuple(r) for r in QUERIES["loot_reference_whole"](spark, str(tmp_path)).collect()} == want
