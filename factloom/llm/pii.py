@@ -35,6 +35,15 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "account")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:", "tel:")
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
+#: Characters of an IBAN by country; where words follow one, its length tells them apart.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -42,6 +51,8 @@ _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DIALLED = re.compile(r"\+[0-9][ ().0-9-]*")
 _ADDRESS = re.compile(r"[^\s\"'<>`\\^{|}]+")
 _NUMBER = re.compile(r"[ \t]*(?:(?:no|nr|num|number)\b)?[ \t.:#=]{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)")
+_IBAN_HEAD = re.compile(r"(?:[A-Za-z][ -]?){2}[0-9][ -]?[0-9]")
+_GROUP = re.compile(r"[A-Za-z0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -80,14 +91,29 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return None
 
 
+def _iban_end(run: str) -> int | None:
+    """Where the IBAN that a run begins with ends: of the ends of its groups one of the country's length, or else the last that passes."""
+    if not _IBAN_HEAD.match(run):
+        return None
+    last = None
+    for group in _GROUP.finditer(run):
+        code = run[: group.end()].upper().replace(" ", "").replace("-", "")
+        if len(code) > 34:
+            break
+        if iban(code):
+            last = group.end()
+            if len(code) == IBAN_LENGTHS.get(code[:2]):
+                break
+    return last
+
+
 def _account(text: str, at: int) -> tuple[int, int] | None:
     """The number behind an announcing word: an IBAN, or else 6 to 20 digits."""
     if not (m := _NUMBER.match(text, at, at + 64)):
         return None
     start, end = m.span(1)
-    code = m[1].upper().replace(" ", "").replace("-", "")
-    if iban(code):
-        return start, end
+    if iban_end := _iban_end(m[1]):
+        return start, start + iban_end
     digits = _GROUPED.match(text, start, end)
     if digits and 6 <= sum(c not in " -" for c in digits[0]) <= 20:
         return digits.span()

@@ -121,3 +121,11 @@ def test_long_adversarial_text_is_quick():
     random.seed(3)
     for text in ("a" * 200_000 + "@", "1" * 200_000, "+1" * 100_000, "1." * 100_000, "@a" * 100_000):
         assert isinstance(pii.find_spans(text), list)
+
+
+def test_ibans_before_words():
+    for code in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "gb82-west-1234-5698-7654-32"):
+        for behind in ("", " for the rent", " please pay", " 12 of May", "-x", ", thanks"):
+            text = f"IBAN {code}{behind}"
+            assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "account"] == [code]
+    assert not [s for s in pii.find_spans("IBAN DE88 3704 0044 0532 0130 00 for the rent") if s[0] == "account"]
