@@ -1,4 +1,4 @@
-"""Traces: generation from facts, verification by repeating the lookups, integrity, replay."""
+"""Traces: generation from facts, verification by repeating the lookups, integrity, replay."""
 
 from __future__ import annotations
 
