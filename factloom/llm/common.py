@@ -1,13 +1,23 @@
-"""Helpers shared by the corpus operators: tables, scratch storage and Arrow maps."""
+"""Helpers shared by the corpus operators: tables, scratch storage, Arrow maps and marked ids."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of the Arrow batches that go to Python, and of the pieces in which a batch is worked on.
+BATCH_BYTES, PIECE_BYTES = 16 << 20, 4 << 20
+#: Bits of a table of marked ids (8 MB), whatever the number of ids.
+MARK_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, is a folder of this
-    machine chosen, which is right because driver and executors are one process.
+    Only where the setting is absent and driver and executors are one process, as
+    in local tests, is a folder of this machine chosen; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -57,16 +69,102 @@ def discard(df: DataFrame) -> None:
 def arrow_map(
     df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
-    """``df.mapInArrow`` for a function of one batch; it must keep no state of a partition."""
+    """``df.mapInArrow`` for a function of one batch; it must keep no state of a partition.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := per_batch(batch)) is not None and out.num_rows:
-                yield out
+    The function gets pieces of about ``PIECE_BYTES``, and the memory that a task
+    used goes back to the system at its end, so that a worker that is used again
+    and again doesn't grow.
+    """
+    bound_batches(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for piece in pieces(batch):
+                    if (out := per_batch(piece)) is not None and out.num_rows:
+                        yield out
+        finally:
+            release()
+
+    if any("." in c or "`" in c for c in df.columns):  # mapInArrow can't name these; batches go by place
+        df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches hold at most ``BATCH_BYTES``; a lower bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = re.match(r"(\d+)b?$", spark.conf.get(name))
+    if not said or not 0 < int(said[1]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``PIECE_BYTES`` of text."""
+    if not batch.num_rows:
+        return
+    if batch.nbytes <= PIECE_BYTES:
+        yield batch
+        return
+    sizes = np.full(batch.num_rows, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for a, z in runs_by_bytes(sizes.tolist(), PIECE_BYTES):
+        yield batch.slice(a, z - a)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column_of(name: str) -> Column:
+    """The column of exactly this name, which may have dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _mark(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids.cast("long")), F.lit(MARK_BITS))
+
+
+def marked(ids: DataFrame, id_col: str, of: Column) -> Column:
+    """A condition on ``of`` that holds for every id in ``ids`` (null too) and for few others.
+
+    The ids set bits of a table of fixed size, which is broadcast: a join on ids
+    behind this filter shuffles little more than the rows that it is after. Where
+    ids are so many that most bits are set, more rows pass and the join, which
+    decides, does the work.
+    """
+    bit = ids.select(_mark(column_of(id_col)).alias("b"))
+    word, flag = F.shiftright("b", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(b, 64) as int))").alias("flag")
+    # at most MARK_BITS / 64 rows, whatever the input
+    found = bit.select(word, flag).groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()
+    table = np.zeros(MARK_BITS // 64, np.int64)
+    table[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    held = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def test(bits: pa.Array) -> pa.Array:
+        b = bits.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return test(_mark(of))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

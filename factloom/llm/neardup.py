@@ -4,13 +4,18 @@ A document's set is its distinct shingles of ``words`` words; two documents are
 linked if the sets' Jaccard similarity is at least 0.8, confirmed on the full
 sets. Equal sets are one class first, so copies cost nothing further.
 
-Each class is posted under (coordinate, value) pairs of its MinHash signature of
-``K`` coordinates. Linked sets agree in 28 of 35 coordinates on average and in
-fewer than ``T`` = 14 with probability below 1e-7, so ``T`` is the match
-threshold. Two signatures that agree in ``T`` coordinates share one of the first
-``K - T + 1`` of them in any common order; so only this prefix is posted, rarest
-pairs first. Rarity comes from counts over all documents in ``CELLS`` cells, a
-table of fixed size that is exact enough to keep common values out of the prefix.
+Each class is posted under the (coordinate, value) pairs of its signature, which
+has ``COORDINATES`` coordinates; a coordinate's value is that of ``ROWS`` minima
+of the set under different hashes together. Two sets of similarity s agree in a
+coordinate with probability s^2, so unlike sets rarely share a list and lists
+stay short as the corpus grows, while linked sets agree in 12.8 of 20 coordinates
+on average and in fewer than ``T`` = 2 with probability below 5e-8. Two signatures
+that agree in ``T`` coordinates share one of the first ``COORDINATES - T + 1`` of
+them in any common order; so only this prefix is posted, rarest pairs first.
+Rarity comes from counts over all documents in ``CELLS`` cells, a table of fixed
+size that is exact enough to keep the commonest values out of the prefix. A pair
+is retained if ``AGREE`` of the ``K`` single minima agree; linked sets agree in
+fewer with probability below 1e-8.
 
 Collisions are counted in two steps, neither of which makes all pairs of a
 posting list. (1) Every list names a hub and each member meets only the hubs of
@@ -18,9 +23,14 @@ its lists; matches are counted over the signatures, pairs at or above the
 threshold are confirmed on the full sets, and links are closed to components.
 (2) What the hubs have joined is skipped: in each list only members outside the
 hub's component are merged with the list: components must differ, sizes allow the
-similarity, signatures match in ``T`` coordinates and bitmaps of the sets allow the
-similarity, all within the join. What is confirmed joins components.
-Every link thus lies within a component.
+similarity, signatures match and bitmaps of the sets allow the similarity, all
+within the join. What is confirmed joins components. Every link thus lies within
+a component.
+
+Texts are read once for the signatures and then only of documents that are in a
+candidate pair: ids are marked in a table of fixed size, and the texts of marked
+ids alone are joined to the pairs. Texts are shuffled instead of sets, which are
+larger and don't compress; the sets are made again where a pair is confirmed.
 
 Defined results: null texts and texts without words have empty sets and are
 linked with nothing; a text of fewer than ``words`` words is one shingle; rows
@@ -31,28 +41,30 @@ ignored; empty tables give empty results. Texts are never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, discard, materialize, runs_by_bytes
+from factloom.llm.common import arrow_map, column_of, discard, marked, materialize, runs_by_bytes, unused
 
-#: Coordinates, match threshold, cells of the counts, families of hubs.
-K, T, CELLS, FAMILIES = 35, 14, 1 << 16, 8
+#: Coordinates of a signature, minima of a coordinate, coordinates that must agree, minima that must.
+COORDINATES, ROWS, T, AGREE = 20, 2, 2, 16
+K = COORDINATES * ROWS
+#: Cells of the counts, families of hubs.
+CELLS, FAMILIES = 1 << 16, 8
 #: Two sets are linked if 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 #: Bits of the bitmaps that are compared before sets are.
 BITS = 2048
 #: Words of a shingle unless a caller says otherwise.
 WORDS = 5
-#: Seven coordinates of seven bits make up a packed number.
-PACKED = tuple(f"p{i}" for i in range(5))
+#: Seven minima of seven bits make up a packed number; lanes that are left over always agree.
+PACKED = tuple(f"p{i}" for i in range(-(-K // 7)))
+SPARE = 7 * len(PACKED) - K
 #: Bytes of text that are worked on together; words whose hashes a worker remembers.
-BLOCK_BYTES, REMEMBERED = 2 << 20, 400_000
+BLOCK_BYTES, REMEMBERED = 1 << 20, 1 << 16
 
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLIERS = _RANDOM.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,8 +97,8 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Keys of the (coordinate, minimum) pairs, one row for each non-empty set."""
+def _minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The minima of non-empty sets under ``K`` hashes, one row for each set."""
     joined = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     out = np.empty((len(sets), K), np.uint64)
@@ -96,29 +108,40 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return (out + np.arange(1, K + 1, dtype=np.uint64)[None, :] * _STEP) * _MIX
 
 
-def _packed(keys: np.ndarray) -> np.ndarray:
-    lanes = ((keys >> np.uint64(33)) & np.uint64(0x7F)).astype(np.int64).reshape(len(keys), 5, 7)
-    return (lanes << (8 * np.arange(7))[None, None, :]).sum(2)
+def _keys(minima: np.ndarray) -> np.ndarray:
+    """Keys of the (coordinate, value) pairs; a coordinate's number is in each of its minima already."""
+    parts = minima.reshape(len(minima), COORDINATES, ROWS)
+    key = parts[:, :, 0].copy()
+    for r in range(1, ROWS):
+        key = ((key ^ (key >> np.uint64(29))) * _STEP) ^ parts[:, :, r]
+    return (key ^ (key >> np.uint64(32))) * _MIX
+
+
+def _packed(minima: np.ndarray) -> np.ndarray:
+    lanes = np.zeros((len(minima), 7 * len(PACKED)), np.int64)
+    lanes[:, :K] = ((minima >> np.uint64(33)) & np.uint64(0x7F)).astype(np.int64)
+    return (lanes.reshape(len(minima), len(PACKED), 7) << (8 * np.arange(7))[None, None, :]).sum(2)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, h1, h2, keys, p0..p4``: size, digest and signature of every document's set."""
+    """``doc_id, n, h1, h2, keys, p0..``: size, digest and signature of every document's set."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column(1).to_pylist()
         n = np.zeros(len(texts), np.int64)
         digests = np.zeros((len(texts), 2), np.int64)
-        keys = np.zeros((len(texts), K), np.uint64)
+        keys = np.zeros((len(texts), COORDINATES), np.uint64)
+        packed = np.zeros((len(texts), len(PACKED)), np.int64)
         for a, z in runs_by_bytes([len(t or b"") for t in texts], BLOCK_BYTES):
             sets = [shingles(t, words) for t in texts[a:z]]
             n[a:z] = [len(s) for s in sets]
             digests[a:z] = [np.frombuffer(xxhash.xxh128_digest(s.tobytes()), ">i8") for s in sets]
             full = np.flatnonzero(n[a:z])
             if full.size:
-                keys[a + full] = _signatures([sets[i] for i in full])
+                minima = _minima([sets[i] for i in full])
+                keys[a + full], packed[a + full] = _keys(minima), _packed(minima)
         empty = n == 0
-        offsets = np.arange(0, K * len(texts) + 1, K, dtype=np.int32)
-        packed = _packed(keys)
+        offsets = np.arange(0, COORDINATES * len(texts) + 1, COORDINATES, dtype=np.int32)
         return pa.RecordBatch.from_arrays(
             [
                 b.column(0),
@@ -126,7 +149,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 pa.array(digests[:, 0], mask=empty),
                 pa.array(digests[:, 1], mask=empty),
                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))),
-                *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(5)),
+                *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(PACKED))),
             ],
             names=["doc_id", "n", "h1", "h2", "keys", *PACKED],
         )
@@ -137,9 +160,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _matches(a: str, b: str) -> Column:
-    """Coordinates whose seven bits agree: zero lanes of the packed numbers' difference."""
+    """Minima whose seven bits agree: zero lanes of the packed numbers' difference."""
     high = F.lit(0x80808080808080)
-    total = F.lit(0)
+    total = F.lit(-SPARE)
     for p in PACKED:
         total = total + F.bit_count((high - F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))).bitwiseAND(high))
     return total
@@ -160,10 +183,10 @@ def prefixes(reps: DataFrame) -> DataFrame:
     rarity = np.zeros(CELLS, np.int64)
     rarity[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     held = reps.sparkSession.sparkContext.broadcast(rarity)
-    prefix = K - T + 1
+    prefix = COORDINATES - T + 1
 
     def post(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, K)
+        keys = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, COORDINATES)
         by_key = np.sort(keys, axis=1)
         order = np.argsort(held.value[(by_key >> np.uint64(48)).astype(np.int64)], axis=1, kind="stable")[:, :prefix]
         chosen = np.ascontiguousarray(np.take_along_axis(by_key, order, 1)).view(np.int64).ravel()
@@ -173,16 +196,6 @@ def prefixes(reps: DataFrame) -> DataFrame:
     return arrow_map(reps.select("rep", "keys"), post, "rep long, prefix array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, s``: the sets' hashes."""
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "s"])
-
-    return arrow_map(docs, batch, "doc_id long, s array<long>")
-
-
 def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
     """``rep, bits``: the sets as bitmaps of ``BITS`` bits."""
 
@@ -198,23 +211,41 @@ def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs, batch, "rep long, bits array<long>")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``doc_id, text`` whose ids are marked by ``ids`` (``doc_id``): these and few more."""
+    return docs.where(marked(ids, "doc_id", F.col("doc_id")))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough; sets are made anew from the texts of these alone."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    made = materialize(_sets(docs.join(ids, "doc_id", "left_semi"), words), "sets")
-    both = (
-        pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-        .join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    found = materialize(_texts_of(docs, ids), "texts")
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(b.num_rows, bool)
+        last, of_last = None, None
+        for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            if y != last:  # rows come by b, so its set serves several
+                last, of_last = y, shingles(y, words)
+            one = shingles(x, words)
+            if not len(one) or not len(of_last):
+                continue
+            spot = np.minimum(np.searchsorted(of_last, one), len(of_last) - 1)
+            common = int(np.count_nonzero(of_last[spot] == one))
+            keep[i] = 100 * common >= SIMILARITY * (len(one) + len(of_last) - common)
+        kept = b.filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+
+    both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
+        found.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
     )
-    links = both.where(100 * F.col("common") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("common")))
-    links = materialize(links.select("a", "b").distinct(), "links")
-    discard(made)
+    links = materialize(arrow_map(both.select("a", "b", "ta", "tb"), batch, "a long, b long"), "links")
+    discard(found)
     return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node reachable) of the nodes of ``a, b`` edges.
+    """``node, component`` (the smallest node reachable) of the nodes of ``a, b`` edges, written.
 
     Alternating large-star and small-star steps; each writes its edges, so an
     iteration's lineage is one step long. Edges stay as many as they are.
@@ -241,9 +272,12 @@ def components(edges: DataFrame) -> DataFrame:
         discard(edges)
         edges = after
         if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+            nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
+            nodes = materialize(nodes, "components")
+            discard(edges)
+            return nodes
         state = now
 
 
@@ -275,23 +309,29 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         return (
             pairs.join(small.alias("x"), F.col("a") == F.col("x.rep"))
             .join(small.alias("y"), F.col("b") == F.col("y.rep"))
-            .where(_sizes_allow("x", "y") & (_matches("x", "y") >= T))
+            .where(_sizes_allow("x", "y") & (_matches("x", "y") >= AGREE))
             .select("a", "b")
         )
 
     met = lists.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = confirm(materialize(filtered(met), "candidates"), texts, words)
-    joined = materialize(components(links), "components")
+    candidates = materialize(filtered(met), "candidates")
+    links = confirm(candidates, texts, words)
+    joined = components(links)
+    discard(candidates)
+    discard(links)
 
     # (2) members outside the hub's component, merged with their lists
     placed = small.join(joined, F.col("rep") == F.col("node"), "left").select(
         "rep", "n", *PACKED, F.coalesce("component", "rep").alias("component")
     )
     placed = materialize(placed, "placed")
+    discard(reps)
     full = lists.join(placed, "rep").join(
         placed.select(F.col("rep").alias("hub"), F.col("component").alias("of_hub")), "hub"
     )
     full = materialize(full, "members")
+    discard(lists)
+    discard(placed)
     columns = ("key", "rep", "n", *PACKED, "component", "hub")
     outside = full.where("component <> of_hub").select(*columns)
     meets = (
@@ -299,14 +339,15 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         & (F.col("x.component") != F.col("y.component"))
         & (F.col("y.rep") != F.col("x.hub"))
         & _sizes_allow("x", "y")
-        & (_matches("x", "y") >= T)
+        & (_matches("x", "y") >= AGREE)
     )
     # who meets anyone at all: a row stays a row, however many it meets
     left = materialize(outside.alias("x").join(full.select(*columns).alias("y"), meets, "left_semi"), "outside")
     right = materialize(full.select(*columns).alias("y").join(left.alias("x"), meets, "left_semi"), "inside")
+    discard(full)
     if not left.isEmpty():
         ids = left.select("rep").union(right.select("rep")).distinct().withColumnRenamed("rep", "doc_id")
-        sets = _bitmaps(texts.join(ids, "doc_id", "left_semi"), words).join(prefix, "rep")
+        sets = _bitmaps(_texts_of(texts, ids).join(ids, "doc_id", "left_semi"), words).join(prefix, "rep")
         sets = materialize(sets, "sets")
         # Bitmaps are compared inside the join, so that it puts out few pairs that aren't similar: bits that differ
         # are at most as many as shingles that do. Full sets confirm.
@@ -322,11 +363,17 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
             .distinct()
         )
-        more = confirm(materialize(rest, "candidates"), texts, words)
+        rest = materialize(rest, "candidates")
+        discard(sets)
+        more = confirm(rest, texts, words)
+        discard(rest)
         if not more.isEmpty():
-            joined = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
-    discard(full)
-    discard(lists)
+            first = joined
+            joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+            discard(first)
+        discard(more)
+    for done in (left, right, prefix):
+        discard(done)
 
     whole = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component")
@@ -340,17 +387,24 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
 
 
 def remove(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group; all columns stay as they are.
+    """``docs`` with one document of each group; all columns stay as they are, whatever their names.
 
     Of rows that share a kept doc_id one stays (rows without doc_id all stay).
+    Only rows whose ids are marked as gone or repeated are joined with these; the
+    others pass without a shuffle.
     """
     found = materialize(cluster(docs, words, id_col, text_col), "groups")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name, own = unused("gone", docs), column_of(id_col).cast("long")
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    maybe = marked(gone, name, own)
+    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, own == F.col(name), "left_anti"))
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = materialize(repeated.select(F.col("doc_id").alias(name)), "repeated")
+    discard(found)
     if repeated.isEmpty():
         return kept
-    repeated = materialize(repeated.select(F.col("doc_id").alias("__again")), "repeated")
-    again = kept[id_col].cast("long") == F.col("__again")
-    once = kept.join(repeated, again, "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, again, "left_anti").unionByName(once)
+    maybe = marked(repeated, name, own)
+    again = kept.where(maybe)
+    once = again.join(repeated, own == F.col(name), "left_semi").dropDuplicates([id_col])
+    rest = again.join(repeated, own == F.col(name), "left_anti")
+    return kept.where(~maybe).unionByName(rest).unionByName(once)

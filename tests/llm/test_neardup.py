@@ -86,3 +86,31 @@ def test_remove_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "10", "5", "9", "None"]
     assert neardup.remove(docs.limit(0)).count() == 0
     assert neardup.cluster(docs.limit(0)).count() == 0
+
+
+def test_remove_takes_any_names(spark):
+    names = ["gone", "again", "__gone", "a.b", "rep", "component", "keys", "`q`", "kept"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names)
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y"), (3, "x y"), (4, None)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema)
+    out = neardup.remove(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted((i, t, *range(len(names))) for i, t in rows[:1] + rows[2:3] + rows[4:])
+
+
+def test_long_texts_and_marked_ids(spark):
+    """A text of a megabyte with a near copy; ids far apart; marks hold for every id."""
+    from pyspark.sql import functions as F
+
+    from factloom.llm.common import marked
+
+    long = [f"w{i * 7919 % 50_021}" for i in range(150_000)]
+    rows = [(10**15, " ".join(long)), (-5, " ".join([*long[:-3000], "x"])), (0, "a b c d"), (1 << 40, "a b c e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.cluster(docs, 2).collect())) == plain_clusters(rows, 2)
+    ids = spark.range(0, 5000, 7)
+    table = spark.range(6000)
+    passed = {r.id for r in table.where(marked(ids, "id", F.col("id"))).collect()}
+    assert set(range(0, 5000, 7)) <= passed and len(passed) < 900
+    none = table.where(marked(ids.limit(0), "id", F.col("id")))
+    assert none.count() == 0
