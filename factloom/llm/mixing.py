@@ -9,16 +9,18 @@ met by whole epochs and a prefix of one more, whose order is seeded by leaf
 epoch and document id: the prefix has the documents whose running token sum
 stays within what is left.
 
-Only leaf sums and one bucket of a leaf are ever ordered: the prefix's end is
-found from token sums of ``BUCKETS`` equal parts of the order, then among the
-documents of the single part in which it lies. Texts are not shuffled.
+Only leaf sums and one small part of a leaf are ever ordered: the prefix's end is
+found from token sums of ``BUCKETS`` equal parts of the order, the part in which
+it lies is parted again, and so on until it has at most ``PART_ROWS`` documents;
+these alone are ordered one by one. Texts are not shuffled.
 
 Defined results: null texts have no tokens; null domains, languages and sources
 count as empty strings; null ids order as empty strings; equal order keys (rows
 that repeat an id in a leaf) are taken together or not at all; documents without
 tokens cost nothing and come with their epochs; leaves of weight 0 are left out;
 a leaf's budget is rounded down; an empty table gives an empty result; extra
-columns pass through and may have any names.
+columns pass through and may have any names, but for ``mix_domain``,
+``mix_tokens`` and ``copies`` (in any case), whose place the result's own take.
 """
 
 from __future__ import annotations
@@ -26,13 +28,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import column_of, discard, materialize
 
 #: Share of all tokens that a mix has unless a caller says otherwise; the most epochs; the seed.
 SHARE, MAX_EPOCHS, SEED = 0.5, 4, "mix"
-#: Hex digits of the order key that name a bucket.
-DIGITS = 3
+#: Hex digits of the order key by which a part is parted, and the most documents that are ordered one by one.
+DIGITS = 2
 BUCKETS = 16**DIGITS
+PART_ROWS = 10_000
+#: Hex digits of the order key; documents that share all of them have equal keys.
+KEY_DIGITS = 32
+#: The columns that the result adds.
+ADDED = ("mix_domain", "mix_tokens", "copies")
 #: Leaves up to which their table is broadcast; more are joined by shuffle.
 BROADCAST_LEAVES = 50_000
 #: Weights by level; values not named weigh 1.
@@ -134,44 +141,65 @@ def mix(
     planned = materialize(plan(leaves, share, max_epochs, weights), "leaves")
     names = list(LEVELS)
 
-    # the part of the order in which each prefix ends
-    keyed = rows.join(_bounded(planned.where("rest > 0").select(*names, "epochs", "rest")), names).withColumn(
-        "key", order_key(F.col("epochs"), F.col("id"))
-    )
-    keyed = keyed.withColumn("bucket", F.left("key", F.lit(DIGITS)))
-    upto = Window.partitionBy(*names).orderBy("bucket")
-    sums = keyed.groupBy(*names, "rest", "bucket").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
-    ends = (
-        sums.where("upto > rest")
-        .groupBy(*names)
-        .agg(F.min(F.struct("bucket", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("left"))).alias("e"))
-        .select(*names, F.col("e.bucket").alias("bucket"), F.col("e.left").alias("left"))
-    )
-    ends = materialize(ends, "ends")
-    # the documents of that part alone are ordered one by one
-    running = Window.partitionBy(*names).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = (
-        keyed.join(_bounded(ends), [*names, "bucket"])
+    # the part of the order in which each prefix ends, made smaller until it can be ordered
+    ends = planned.where("rest > 0").select(*names, "epochs", F.lit("").alias("part"), F.col("rest").alias("left"))
+    written, digits = None, 0
+
+    def inside() -> DataFrame:
+        return rows.join(_bounded(ends), names).withColumn("key", order_key(F.col("epochs"), F.col("id"))).where(
+            F.col("key").startswith(F.col("part"))
+        )
+
+    while digits < KEY_DIGITS:
+        digits += DIGITS
+        upto = Window.partitionBy(*names).orderBy("part")
+        sums = (
+            inside()
+            .groupBy(*names, "epochs", "left", F.left("key", F.lit(digits)).alias("part"))
+            .agg(F.sum("n").alias("n"), F.count("*").alias("size"))
+            .withColumn("upto", F.sum("n").over(upto))
+        )
+        last = F.min(F.struct("part", (F.col("left") - (F.col("upto") - F.col("n"))).alias("left"), "size")).alias("e")
+        ends = materialize(sums.where("upto > left").groupBy(*names, "epochs").agg(last).select(*names, "epochs", "e.*"), "ends")
+        if written is not None:
+            discard(written)
+        written = ends
+        if (ends.agg(F.max("size").alias("m")).first()["m"] or 0) <= PART_ROWS:
+            break
+    # the documents of that part alone are ordered one by one, equal keys as one
+    running = Window.partitionBy(*names).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = (
+        inside()
+        .groupBy(*names, "left", "key")
+        .agg(F.sum("n").alias("n"))
         .withColumn("running", F.sum("n").over(running))
         .where(F.col("running") <= F.col("left"))
         .groupBy(*names)
         .agg(F.max("key").alias("last"))
     )
-    cuts = planned.join(ends, names, "left").join(inside, names, "left").select(
-        *(F.col(n).alias(f"mix_{n}") for n in names),
-        F.col("epochs").alias("mix_epochs"),
+    cuts = planned.join(ends.select(*names, "part"), names, "left").join(last, names, "left").select(
+        *names,
+        "epochs",
         # without a prefix nothing is below the cut; a part of which nothing fits ends before its first key
-        F.when(F.col("rest") <= 0, F.lit("")).otherwise(F.coalesce("last", "bucket", F.lit("g"))).alias("mix_cut"),
+        F.when(F.col("rest") <= 0, F.lit("")).otherwise(F.coalesce("last", "part", F.lit("g"))).alias("cut"),
     )
     cuts = materialize(cuts, "cuts")
-    columns = list(keep or docs.columns)
-    out = docs.select(*columns, *(c.alias(f"mix_{k}") for k, c in leaf.items()), tokens_of(F.col("text")).alias("mix_tokens"), F.col(id_col).alias("mix_id"))
+    if written is not None:
+        discard(written)
+    discard(planned)
+    discard(rows)
+    columns = [c for c in (keep or docs.columns) if c.lower() not in ADDED]
+    # the row's own columns are held in a struct, so that no name of theirs meets one of the mix
+    out = docs.select(
+        F.struct(*(column_of(c) for c in columns)).alias("row"),
+        *(c.alias(k) for k, c in leaf.items()),
+        tokens_of(F.col("text")).alias("n"),
+        column_of(id_col).alias("id"),
+    )
+    copies = (F.col("epochs") + (order_key(F.col("epochs"), F.col("id")) <= F.col("cut")).cast("long")).cast("long")
     return (
-        out.join(_bounded(cuts), [f"mix_{n}" for n in names])
-        .withColumn(
-            "copies",
-            (F.col("mix_epochs") + (order_key(F.col("mix_epochs"), F.col("mix_id")) <= F.col("mix_cut")).cast("long")).cast("long"),
-        )
+        out.join(_bounded(cuts), names)
+        .withColumn("copies", copies)
         .where("copies > 0")
-        .select(*columns, "mix_domain", "mix_tokens", "copies")
+        .select(*(F.col("row").getField(c).alias(c) for c in columns), F.col("domain").alias("mix_domain"), F.col("n").alias("mix_tokens"), "copies")
     )

@@ -76,3 +76,25 @@ def test_empty_and_native(spark):
     full = spark.createDataFrame([(1, "a b c", "en", "s"), (1, "a b c", "en", "s")], df.schema)
     plan = mixing.mix(full, share=3.0)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("part_rows", [1, 20])
+def test_parts_are_parted_until_they_are_small(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(mixing, "PART_ROWS", part_rows)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    random.seed(9)
+    rows = [(i, "w " * random.randint(0, 9), "en", "hot") for i in range(300)] + [(7, "a b", "en", "hot")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, share=0.4, max_epochs=2, weights={})
+    assert sorted(((r.doc_id, r.mix_domain, r.mix_tokens, r.copies) for r in got.collect()), key=str) == plain(rows, {}, 0.4, 2)
+
+
+def test_names_of_every_kind_pass_through(spark):
+    names = ["a.b", "mix_cut", "mix_id", "mix_epochs", "row", "id", "n", "key", "part", "left", "cut", "domain", "epochs", "`x`", "Copies"]
+    rows = [(i, "a b c", "en", "s", *range(len(names))) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    got = mixing.mix(df, share=2.5)
+    assert got.columns == [*(c for c in df.columns if c != "Copies"), "mix_domain", "mix_tokens", "copies"]
+    out = got.collect()
+    assert len(out) == 6 and all(tuple(r)[4:-3] == tuple(range(len(names) - 1)) for r in out)
