@@ -4,14 +4,16 @@ One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs,
 digits, address schemes and words that announce an identifier. From each anchor
 a deterministic parser of its own grows a span to its boundaries and validates
 it. Spans of a kind never overlap, since every parser has a cursor that it
-doesn't go back behind; so a text is read once and each character is looked at
-by a parser a bounded number of times.
+doesn't go back behind, and what is known of a run of address characters (its
+end, its last at-sign) is kept for all anchors in the run; so the time is linear
+in the text.
 
 Base kinds: ``email``, ``ip``, ``card`` (12 to 19 digits, Luhn), ``phone`` (9 to
 15 digits). The anchors add ``address`` (an address with a scheme that names a
 person: user information before the host, or ``mailto:`` and ``tel:``) and
-``account`` (a bank or identity number behind a word that announces it; an IBAN
-must pass its check digits).
+``account`` (a bank or identity number behind a word that announces it, however
+many blanks and marks are between: an IBAN that passes its check digits, 6 to 20
+digits, or behind ``passport`` 6 to 9 capital letters and digits, two of them digits).
 
 Defined results: a null or empty text has no spans; a repeated row or id gives a
 row each; a null id is kept; other columns are ignored; an empty table gives an
@@ -49,8 +51,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DIALLED = re.compile(r"\+[0-9][ ().0-9-]*")
-_ADDRESS = re.compile(r"[^\s\"'<>`\\^{|}]+")
-_NUMBER = re.compile(r"[ \t]*(?:(?:no|nr|num|number)\b)?[ \t.:#=]{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)")
+_ADDRESS = re.compile(r"[^\s\"'<>`\\^{|}]*")
+_LEAD = re.compile(r"[ \t.:#=]*(?:(?:no|nr|num|number)\b[ \t.:#=]*)?", re.IGNORECASE)
+#: An IBAN has at most 34 characters; what is longer than that shows in the 35th.
+_IBAN_RUN = re.compile(r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9]){0,34}")
+_PASSPORT = re.compile(r"(?=(?:[A-Z]*[0-9]){2})[A-Z0-9]{6,9}(?![A-Za-z0-9])")
 _IBAN_HEAD = re.compile(r"(?:[A-Za-z][ -]?){2}[0-9][ -]?[0-9]")
 _GROUP = re.compile(r"[A-Za-z0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,38 +112,57 @@ def _iban_end(run: str) -> int | None:
     return last
 
 
-def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The number behind an announcing word: an IBAN, or else 6 to 20 digits."""
-    if not (m := _NUMBER.match(text, at, at + 64)):
+def _account(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The number behind an announcing word: an IBAN, or else 6 to 20 digits, or a passport's letters and digits."""
+    start = _LEAD.match(text, at).end()
+    run = _IBAN_RUN.match(text, start)
+    if not run:
         return None
-    start, end = m.span(1)
-    if iban_end := _iban_end(m[1]):
+    if iban_end := _iban_end(run[0]):
         return start, start + iban_end
-    digits = _GROUPED.match(text, start, end)
+    if cue == "passport" and (m := _PASSPORT.match(text, start)):
+        return m.span()
+    digits = _GROUPED.match(text, start)
     if digits and 6 <= sum(c not in " -" for c in digits[0]) <= 20:
         return digits.span()
     return None
 
 
-def _address(text: str, start: int, body: int, scheme: str) -> tuple[int, int] | None:
+class _Run:
+    """A run of address characters: where it ends, and where its last at-sign and its sixth digit from the end are."""
+
+    def __init__(self, text: str, start: int) -> None:
+        self.end = _ADDRESS.match(text, start).end()
+        self.stop = start + len(text[start : self.end].rstrip(".,;:!?)]*&%$#"))
+        self.at = text.rfind("@", start, self.stop)
+        self.digits, left = -1, 6
+        for i in range(self.stop - 1, start - 1, -1):
+            if "0" <= text[i] <= "9":
+                left -= 1
+                if not left:
+                    self.digits = i
+                    break
+
+
+def _address(text: str, start: int, body: int, scheme: str, run: _Run) -> tuple[int, int] | None:
     """An address with a user part, or a mail or telephone address; ends before closing punctuation."""
-    if not (m := _ADDRESS.match(text, body)):
-        return None
-    rest = m[0].rstrip(".,;:!?)]*&%$#")
     if scheme == "mailto:":
-        good = "@" in rest
+        good = run.at >= body
     elif scheme == "tel:":
-        good = sum("0" <= c <= "9" for c in rest) >= 6
+        good = run.digits >= body
     else:
-        user, at, host = rest.split("/", 1)[0].rpartition("@")
-        good = bool(at and user and host)
-    return (start, body + len(rest)) if good else None
+        slash = text.find("/", body, run.stop)
+        host = run.stop if slash < 0 else slash
+        at = text.rfind("@", body, host)
+        good = body < at < host - 1
+    return (start, run.stop) if good else None
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end) in code points, end exclusive."""
     spans: list[tuple[str, int, int]] = []
     email = dotted = grouped = dialled = address = account = 0
+    run: _Run | None = None
     for last, (kind, size) in _anchors().iter(text):
         at = last - size + 1
         if kind == "0":
@@ -172,22 +196,25 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                     if 9 <= sum("0" <= c <= "9" for c in number) <= 15:
                         spans.append(("phone", at, dialled))
         elif kind == "s":
-            if at >= address and (found := _address(text, at, last + 1, text[at : last + 1].lower())):
-                spans.append(("address", *found))
-                address = found[1]
+            if at >= address:
+                if run is None or last + 1 > run.end:
+                    run = _Run(text, last + 1)
+                if found := _address(text, at, last + 1, text[at : last + 1].lower(), run):
+                    spans.append(("address", *found))
+                    address = found[1]
         elif at >= account and not (at and text[at - 1].isalnum()):
-            if found := _account(text, last + 1):
+            if found := _account(text, last + 1, text[at : last + 1].lower()):
                 spans.append(("account", *found))
                 account = found[1]
     return spans
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, the digest of the base spans and all spans of every whole text."""
+    """Counts by kind, the digest of the base spans, all spans and their number, of every whole text."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
-        digests, lists = [], []
+        digests, lists, totals = [], [], []
         for text in texts_of(b.column(1)):
             spans = find_spans(text)
             for k in KINDS:
@@ -195,15 +222,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             base = span_text([s for s in spans if s[0] in BASE], KINDS)
             digests.append(hashlib.sha256(base.encode()).hexdigest())
             lists.append(span_text(spans, KINDS))
+            totals.append(len(spans))
         return pa.RecordBatch.from_arrays(
-            [b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests), pa.array(lists)],
-            names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+            [b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests), pa.array(lists), pa.array(totals, pa.int64())],
+            names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"],
         )
 
     return arrow_map(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
         batch,
-        "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string",
+        "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long",
     )
 
 
