@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from factloom.llm.common import ascii_words, materialize, runs_by_bytes
+from factloom.llm.common import arrow_map, ascii_words, materialize, runs_by_bytes, unused
 
 #: Words of a window.
 WINDOW = 13
@@ -142,19 +142,23 @@ def covered(ranges: list[tuple[int, int]]) -> int:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[TestSuffixes]:
-    """The benchmark in blocks of bounded size, one at a time; an item is never split."""
+    """The benchmark in blocks of bounded size, one at a time.
+
+    An item longer than a block comes in pieces that overlap by all but one word of
+    a window, so that each of its windows is in one of them.
+    """
     block: list[tuple[object, list[bytes]]] = []
     size = 0
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     for row in rows.orderBy("i", "t").toLocalIterator():
         words = ascii_words(row["t"].encode("utf-8", "surrogatepass"))
-        if not words:
-            continue
-        if block and size + len(words) > BLOCK_WORDS:
-            yield TestSuffixes(block)
-            block, size = [], 0
-        block.append((row["i"], words))
-        size += len(words)
+        for at in range(0, max(1, len(words) - WINDOW + 1) if words else 0, BLOCK_WORDS):
+            piece = words[at : at + BLOCK_WORDS + WINDOW - 1]
+            if block and size + len(piece) > BLOCK_WORDS:
+                yield TestSuffixes(block)
+                block, size = [], 0
+            block.append((row["i"], piece))
+            size += len(piece)
     if block:
         yield TestSuffixes(block)
 
@@ -179,44 +183,41 @@ def _verdict(n_words: int, n_hit: int) -> bool:
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Between passes over several blocks of items a row carries what the earlier ones found.
-_FOUND = (("__found_ranges", ArrayType(LongType())), ("__found_items", ArrayType(StringType())))
+_FOUND = (("found_ranges", ArrayType(LongType())), ("found_items", ArrayType(StringType())))
 #: Passes in a row before the rows are written, so that few workers hold blocks at once.
 PASSES = 4
 
 
-def _pass(df: DataFrame, place: int, tests: TestSuffixes, carried: bool, finish, schema: str | None) -> DataFrame:
+def _pass(df: DataFrame, place: int, tests: TestSuffixes, carried: bool, finish, schema: str | None, names: list[str]) -> DataFrame:
     """One pass over the documents for one block of items; ``finish`` makes a batch of the matches."""
     held = df.sparkSession.sparkContext.broadcast(tests)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            found = _matches(b.column(place).cast(pa.binary()).to_pylist(), held.value)
-            if carried:
-                before = zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)
-                found = [
-                    (n, r + list(zip(old[::2], old[1::2], strict=True)), i | set(names))
-                    for (n, r, i), (old, names) in zip(found, before, strict=True)
-                ]
-            yield finish(b, found)
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = _matches(b.column(place).cast(pa.binary()).to_pylist(), held.value)
+        if carried:
+            before = zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)
+            found = [
+                (n, r + list(zip(old[::2], old[1::2], strict=True)), i | set(names))
+                for (n, r, i), (old, names) in zip(found, before, strict=True)
+            ]
+        return finish(b, found)
 
     fields = df.schema.fields[:-2] if carried else df.schema.fields
     if schema is None:  # a pass between
         out = StructType(list(fields))
-        for name, kind in _FOUND:
+        for name, (_, kind) in zip(names, _FOUND, strict=True):
             out = out.add(name, kind)
-        return df.mapInArrow(run, out)
-    return df.mapInArrow(run, schema)
+        return arrow_map(df, batch, out)
+    return arrow_map(df, batch, schema)
 
 
-def _between(width: int):
+def _between(width: int, added: list[str]):
     def finish(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
         flat = [[x for pair in r for x in pair] for _, r, _ in found]
         names = [sorted(i) for _, _, i in found]
         return pa.RecordBatch.from_arrays(
             [*b.columns[:width], pa.array(flat, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-            names=[*b.schema.names[:width], *(n for n, _ in _FOUND)],
+            names=[*b.schema.names[:width], *added],
         )
 
     return finish
@@ -225,14 +226,15 @@ def _between(width: int):
 def _over_blocks(df: DataFrame, place: int, benchmark: DataFrame, finish, schema) -> DataFrame:
     """All passes; the last makes the result. Blocks of items are never held together."""
     width, done, ahead = len(df.columns), 0, None
+    names = [unused(n, df) for n, _ in _FOUND]
     for tests in item_blocks(benchmark):
         if ahead is not None:
-            df = _pass(df, place, ahead, done > 0, _between(width), None)
+            df = _pass(df, place, ahead, done > 0, _between(width, names), None, names)
             done += 1
             if done % PASSES == 0:
                 df = materialize(df, "decontaminate")
         ahead = tests
-    return _pass(df, place, ahead or TestSuffixes([]), done > 0, finish, schema)
+    return _pass(df, place, ahead or TestSuffixes([]), done > 0, finish, schema, names)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,3 +76,15 @@ def test_matches_are_the_longest(spark):
     d = spark.createDataFrame([(1, f"x y {passage} z")], "doc_id long, text string")
     b = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert [tuple(r) for r in decontaminate.matches(d, b).collect()] == [(1, 2, 32)]
+
+
+def test_long_texts_and_items_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
+    random.seed(13)
+    passage = [f"k{i % 997}" for i in range(400)]
+    items = [(1, " ".join(passage)), (2, " ".join(passage[100:120]))]
+    docs = [(1, " ".join([f"f{i}" for i in range(100_000)] + passage[37:80])), (2, " ".join(passage)), (3, " ".join(passage[49:62])), (4, "x " * 300_000)]
+    d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, found_ranges int, `a.b` int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.report(d, b).collect()), key=str) == plain(docs, items)
+    assert sorted(r.doc_id for r in decontaminate.remove(d, b).collect()) == [1, 4]
