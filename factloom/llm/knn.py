@@ -6,13 +6,19 @@ sorted by (pivot, distance), so a run of neighbouring rows is an annulus around
 a pivot and any number of equal rows is cut into runs of bounded size. A run
 ends where the pivot changes or the distance falls, as at the seams of files.
 
-A search takes the queries in blocks of ``QUERY_BLOCK``. For a query q and an
+A search takes the queries in blocks of at most ``QUERY_BLOCK`` that lie around
+the same pivots, one block after the other: the driver holds one, and what each
+finds is written. Cells of pivots in which no query of a block can have a result
+are left out by a condition on the sorted pivot column, so their row groups
+aren't read. For a query q and an
 annulus with distances in [lo, hi] around p and norms at most m, the triangle
 inequality gives |q - x| >= max(d(q,p) - hi, lo - d(q,p), 0), hence
 <q, x> <= (|q|^2 + m^2 - |q - x|^2) / 2; and <q, x> <= <q, p> + |q| hi.
 Annuli are expanded from the best bound downwards and a query stops when its
 k-th score so far is above every bound that is left. The k-th best score in the
-sample is a first such floor for all tasks. Scores are integers, so results are exact.
+sample is a first such floor for all tasks. Scores are integers, so results are
+exact: sums that a double can't hold are made in extended precision, and vectors
+whose scores could exceed 64 bits are an error.
 
 Defined results: vectors that are null or empty, hold null or non-finite
 components, or whose dimension isn't the most frequent one (of equally frequent
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import bound_batches, discard, materialize, release
 
 #: Vectors from which pivots and first floors are taken, pivots, queries of a block, vectors of an annulus.
 SAMPLE, PIVOTS, QUERY_BLOCK, ANNULUS = 4096, 64, 4096, 256
@@ -55,13 +61,21 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows
 
 
-def _dimension(rows: DataFrame) -> int | None:
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return top[0]["d"] if top else None
+def _dimension(rows: DataFrame) -> tuple[int, np.dtype] | None:
+    """The dimension of those that take part and the kind of number that holds their products exactly."""
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    by_size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("most"))
+    top = by_size.orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
+    if not top:
+        return None
+    if top[0]["most"] >= 2.0**63:
+        raise ValueError("the vectors are so long that their products exceed 64 bits")
+    # a distance has four times the square of a length
+    return top[0]["d"], np.dtype(np.float64 if top[0]["most"] < 2.0**51 else np.longdouble)
 
 
-def _matrix(column: pa.ListArray, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
+def _matrix(column: pa.ListArray, d: int, kind: np.dtype = np.dtype(np.float64)) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(kind)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -85,14 +99,15 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 def build_index(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``vec_id, v, pivot, distance``, range-partitioned and sorted into annuli."""
     held = rows.sparkSession.sparkContext.broadcast(pivots)
+    bound_batches(rows.sparkSession)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                d = _distances(_matrix(b.column(1), held.value.shape[1]), held.value)
+                d = _distances(_matrix(b.column(1), held.value.shape[1], held.value.dtype), held.value)
                 near = d.argmin(1)
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])],
+                    [*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near].astype(np.float64))],
                     names=["vec_id", "v", "pivot", "distance"],
                 )
 
@@ -110,7 +125,7 @@ class QueryBlock:
     def __init__(self, ids: np.ndarray, q: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> None:
         self.ids, self.q, self.k = ids, q, k
         self.norm2 = (q * q).sum(1)
-        self.floor = np.full(len(q), -np.inf)
+        self.floor = np.full(len(q), -np.inf, q.dtype)
         if len(sample) > k:
             scores = np.where(sample_ids[None, :] == ids[:, None], -np.inf, q @ sample.T)
             self.floor = np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k]
@@ -129,14 +144,14 @@ def _upper(block: QueryBlock, to_pivots: np.ndarray, products: np.ndarray, annul
 
 def _search(batches: Iterator[pa.RecordBatch], block: QueryBlock, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
     n, k, d = len(block.ids), block.k, block.q.shape[1]
-    best = np.full((n, k), -np.inf)
+    best = np.full((n, k), -np.inf, block.q.dtype)
     who = np.full((n, k), np.iinfo(np.int64).max)
     to_pivots, products = _distances(block.q, pivots), block.q @ pivots.T
     for b in batches:
         if not b.num_rows:
             continue
         ids = b.column(0).to_numpy()
-        x, pivot, distance = _matrix(b.column(1), d), b.column(2).to_numpy(), b.column(3).to_numpy()
+        x, pivot, distance = _matrix(b.column(1), d, block.q.dtype), b.column(2).to_numpy(), b.column(3).to_numpy()
         norm2 = (x * x).sum(1)
         # a read partition may hold several files of the index in any order, so a run also ends where the distance falls
         cuts = np.flatnonzero((np.diff(pivot, prepend=pivot[0] - 1) != 0) | (np.diff(distance, prepend=distance[0]) < 0))
@@ -168,6 +183,40 @@ def _search(batches: Iterator[pa.RecordBatch], block: QueryBlock, pivots: np.nda
         )
 
 
+def plan_blocks(counts: dict[int, int], pivots: np.ndarray) -> list[tuple[list[int], int, int]]:
+    """Blocks as (pivots, part, parts) of at most ``QUERY_BLOCK`` queries, or so by hash where one pivot has more.
+
+    Pivots are taken in an order in which each is the nearest to the one before it.
+    """
+    left, order = sorted(counts), []
+    while left:
+        if order:
+            near = _distances(pivots[order[-1:]], pivots[left])[0]
+            order.append(left.pop(int(near.argmin())))
+        else:
+            order.append(left.pop(0))
+    blocks: list[tuple[list[int], int, int]] = []
+    names, size = [], 0
+    for p in order:
+        if names and size + counts[p] > QUERY_BLOCK:
+            blocks.append((names, 0, 1))
+            names, size = [], 0
+        if counts[p] > QUERY_BLOCK:
+            parts = -(-counts[p] // QUERY_BLOCK)
+            blocks += [([p], i, parts) for i in range(parts)]
+        else:
+            names.append(p)
+            size += counts[p]
+    return [*blocks, (names, 0, 1)] if names else blocks
+
+
+def _cells(index: DataFrame) -> list[tuple]:
+    """``(pivot, least and greatest distance, greatest square of a length)`` of each pivot's cell."""
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = index.groupBy("pivot").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max(square).alias("most"))
+    return [(r["pivot"], r["lo"], r["hi"], r["most"]) for r in rows.collect()]
+
+
 def search(
     vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -178,38 +227,55 @@ def search(
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
-    d = _dimension(rows)
-    if d is None:
+    known = _dimension(rows)
+    if known is None:
         return spark.createDataFrame([], schema)
+    d, kind = known
     rows = rows.where(F.size("v") == d)
     # a bounded sample: at most SAMPLE vectors reach the driver
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     sample_ids = sample.column(0).to_numpy()
-    points = _matrix(sample.column(1).combine_chunks(), d)
+    points = _matrix(sample.column(1).combine_chunks(), d, kind)
     pivots = choose_pivots(points)
     index = materialize(build_index(rows, pivots), "annuli")
-    asked = rows.where(queries)
-    total = asked.count()
-    if not total:
+    asked = index.where(queries)
+    counts = {r["pivot"]: r["count"] for r in asked.groupBy("pivot").count().collect()}  # a row for each pivot
+    if not counts:
         return spark.createDataFrame([], schema)
-    blocks = -(-total // QUERY_BLOCK)
-    found = None
-    for i in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)) == i)
-        got = part.orderBy("vec_id").toArrow()
+    blocks = plan_blocks(counts, pivots)
+    cells = _cells(index) if len(blocks) > 1 else []
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    written: list[DataFrame] = []
+    for names, part, parts in blocks:
+        mine = asked.where(F.col("pivot").isin(names))
+        if parts > 1:
+            mine = mine.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)) == part)
+        got = mine.select("vec_id", "v").orderBy("vec_id").toArrow()
         if not got.num_rows:
             continue
         block = QueryBlock(
-            got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), d), sample_ids, points, k
+            got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), d, kind), sample_ids, points, k
         )
         held = spark.sparkContext.broadcast((block, pivots))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            return _search(batches, *held.value)
-
-        one = index.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = one if found is None else found.unionAll(one)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+            try:
+                yield from _search(batches, *held.value)
+            finally:
+                release()
+
+        reached = index
+        if len(blocks) > 1:
+            upper = _upper(block, _distances(block.q, pivots), block.q @ pivots.T, cells)
+            live = [int(c[0]) for c, u in zip(cells, upper, strict=True) if (u >= block.floor).any()]
+            reached = index.where(F.col("pivot").isin(live))
+        found = reached.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = found.select("query_id", "rank", "vec_id", "score")
+        if len(blocks) == 1:
+            return found
+        written.append(materialize(found, "found"))
+        held.destroy()
+    discard(rows)
+    discard(index)
+    return spark.read.schema(written[0].schema).parquet(*(f.rpartition("/")[0] for df in written for f in df.inputFiles()[:1]))

@@ -69,3 +69,47 @@ def test_files_of_a_hot_pivot_read_out_of_order():
     scores = (x @ x.T).astype(int)
     want = {q: sorted((-int(scores[q, j]), j) for j in range(40) if j != q)[:5] for q in range(40)}
     assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_products_beyond_doubles_are_exact(spark):
+    # products of some 2^60 that differ by one
+    rows = [(0, [2.0**22, 3.0]), (1, [2.0**22, 1.0 / 256]), (2, [2.0**22, 2.0 / 256]), (3, [2.0**22, 0.0]), (4, [-(2.0**22), 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, knn.search(df, F.col("vec_id") % 50 == 0).collect())) == plain(rows)
+
+
+def test_products_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1e30, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        knn.search(df, F.col("vec_id") % 50 == 0)
+
+
+def test_blocks_hold_all_queries_once():
+    pivots = np.arange(12, dtype=float).reshape(6, 2)
+    counts = {0: 10, 1: 5000, 2: 4000, 4: 90, 5: 9000}
+    blocks = knn.plan_blocks(counts, pivots)
+    seen = {}
+    for names, part, parts in blocks:
+        assert parts > 1 and len(names) == 1 or sum(counts[p] for p in names) <= knn.QUERY_BLOCK
+        for p in names:
+            seen.setdefault(p, []).append((part, parts))
+    assert {p: sorted(x) for p, x in seen.items()} == {0: [(0, 1)], 1: [(0, 2), (1, 2)], 2: [(0, 1)], 4: [(0, 1)], 5: [(i, 3) for i in range(3)]}
+
+
+def test_cells_without_results_are_not_read(spark, monkeypatch):
+    """Two far clusters: a block of the one's queries never needs the other."""
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(knn, "PIVOTS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(5 if i % 2 else -5, 0.05, 4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, knn.search(df, F.col("vec_id") % 25 == 0).collect())) == sorted(
+        (q, r + 1, j, -s)
+        for q, a in quantized(rows).items()
+        if q % 25 == 0
+        for r, (s, j) in enumerate(sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in quantized(rows).items() if j != q)[:5])
+    )
+
+
+def quantized(rows):
+    return {i: [math.floor(256 * x) for x in v] for i, v in rows}
