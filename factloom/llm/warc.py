@@ -2,15 +2,21 @@
 
 ``format("warc")`` writes one gzip member for each record, with the member's own
 length in its header (the skip length extension), and rolls files at
-``roll_bytes``. Every write task makes files of its own name; the commit on the
-driver publishes the names of the successful attempts in a manifest, so retried
-or lost tasks leave nothing that a reader sees.
-
-Reading plans one partition for each published file. Conditions on the record
+``roll_bytes``. Every write task makes files of its own name and takes them away
+if it fails; the commit on the driver publishes the names of the successful
+attempts in a manifest of its own, so retried or lost tasks leave nothing that a
+reader sees. A write in mode ``append`` adds a manifest to those that are there;
+``overwrite`` takes away what was published before.
+
+Reading plans one partition for each published file; without any manifest, for
+each file of the folder (or the one file named) that ends in ``.warc`` or
+``.warc.gz``, so archives from elsewhere can be read. Conditions on the record
 type and other header columns are pushed into the reader: of each record only
 the head is inflated and parsed first; a record that the conditions reject, or
 whose payload isn't wanted (option ``payload=false``), is skipped by its length
-without inflating or decoding the rest.
+without inflating or decoding the rest. Gzip members that don't state their length
+are inflated to find the next record, but what isn't wanted isn't kept or decoded.
+``payload_bytes`` is null where an archive doesn't state it.
 
 Defined results of ``archive_pages``: null html is an empty payload; a null or
 odd url is left out or escaped; a null page_id is kept (as null, never referred
@@ -58,7 +64,9 @@ SCHEMA = (
     "record_id string, record_type string, target_uri string, refers_to string, "
     "payload_digest string, payload_bytes long, payload binary"
 )
-MANIFEST = "_records.json"
+#: Manifests are named ``_records-<write>.json``.
+MANIFEST = "_records"
+ENDINGS = (".warc", ".warc.gz")
 #: Bytes of a file after which a writer begins another; bytes of a head that are inflated at first.
 ROLL, HEAD = 64 << 20, 2048
 #: Decoded bytes of a batch that a reader hands over.
@@ -113,7 +121,7 @@ class _Files(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.roll = options["path"], int(options.get("roll_bytes", ROLL))
+        self.path, self.roll, self.overwrite = options["path"], int(options.get("roll_bytes", ROLL)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _open(self.path)
@@ -133,18 +141,29 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                         files.append((name, size))
                         out = None
-        finally:
             if out is not None:
                 out.close()
                 files.append((name, size))
+                out = None
+        except BaseException:  # also where the task is killed
+            if out is not None:
+                out.close()
+                files.append((name, size))
+            for name, _ in files:
+                fs.delete_file(f"{root}/{name}")
+            raise
         return _Files(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
+        before = _manifests(fs, root) if self.overwrite else []
+        gone = [name for m in before for name in _published(fs, m)]
         names = sorted(f for m in messages if m is not None for f in m.files)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(names).encode())
+        for name in (*before, *(f"{root}/{name}" for name in gone)):
+            fs.delete_file(name)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _open(self.path)
@@ -153,6 +172,16 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{name}")
 
 
+def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"))
+
+
+def _published(fs: pafs.FileSystem, manifest: str) -> list[str]:
+    with fs.open_input_stream(manifest) as f:
+        return [name for name, _ in json.loads(f.read())]
+
+
 def _page_record(row: dict) -> bytes:
     """A record of columns named as in SCHEMA, the digest in hex; a revisit holds the HTTP head alone."""
     payload = row["payload"] or b""
@@ -204,8 +233,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = _open(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [_File(name) for name, _ in json.loads(f.read())]
+        if fs.get_file_info(root).type == pafs.FileType.File:
+            return [_File(root)]
+        if manifests := _manifests(fs, root):
+            return [_File(f"{root}/{name}") for m in manifests for name in _published(fs, m)]
+        found = fs.get_file_info(pafs.FileSelector(root))
+        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(ENDINGS)]
 
     def _wanted(self, head: dict) -> bool:
         for f in self.filters:
@@ -220,11 +253,14 @@ class WarcReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, _File):  # an archive without files
             return
-        fs, root = _open(self.path)
+        fs, _ = _open(self.path)
         rows: list[dict] = []
         held = 0
-        with fs.open_input_file(f"{root}/{partition.value}") as f:
-            for head, body in records(f, self._wanted, self.payload):
+        with fs.open_input_file(partition.value) as f:
+            start = f.read(14)
+            f.seek(0)
+            take = records if start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl" else plain_records
+            for head, body in take(f, self._wanted, self.payload):
                 rows.append(head | {"payload": body})
                 held += len(body or b"")
                 if held >= BATCH_BYTES or len(rows) >= 5000:
@@ -245,7 +281,8 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 
 def _head_of(data: bytes) -> dict:
     raw = parse_head(data)
-    head = {column: raw.get(name) for name, column in _HEADERS.items()}
+    raw = {k.lower(): v for k, v in raw.items()}  # names of headers may be written in any case
+    head = {column: raw.get(name.lower()) for name, column in _HEADERS.items()}
     for c in ("record_id", "refers_to"):
         if head[c] is not None:
             head[c] = head[c].strip("<>")
@@ -289,6 +326,82 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
         at += whole
 
 
+class _Inflated:
+    """What a file holds behind any number of gzip members, or as it is, read forward."""
+
+    def __init__(self, f) -> None:
+        self.f, self.data = f, bytearray()
+        start = f.read(2)
+        f.seek(0)
+        self.inflate = zlib.decompressobj(31) if start == b"\x1f\x8b" else None
+
+    def more(self) -> bool:
+        """Whether there was anything left to take in."""
+        raw = self.f.read(1 << 16)
+        if not raw:
+            return False
+        if self.inflate is None:
+            self.data += raw
+            return True
+        self.data += self.inflate.decompress(raw)
+        while self.inflate.eof:
+            rest = self.inflate.unused_data.lstrip(b"\0")
+            self.inflate = zlib.decompressobj(31)
+            if not rest:
+                break
+            self.data += self.inflate.decompress(rest)
+        return True
+
+    def head(self) -> bytes | None:
+        """What stands up to the next empty line; None at the end."""
+        seen = 0
+        while True:
+            while self.data[:2] == b"\r\n":
+                del self.data[:2]
+            end = self.data.find(b"\r\n\r\n", max(0, seen - 3))
+            if end >= 0:
+                out = bytes(self.data[: end + 4])
+                del self.data[: end + 4]
+                return out
+            seen = len(self.data)
+            if not self.more():
+                if self.data.strip(b"\r\n\0"):
+                    raise ValueError("the record's head doesn't end")
+                return None
+
+    def take(self, n: int, keep: bool) -> bytes:
+        """The next ``n`` bytes, or nothing if they are passed over."""
+        out = bytearray()
+        while n:
+            if not self.data and not self.more():
+                raise ValueError("the record is cut off")
+            part = min(n, len(self.data))
+            if keep:
+                out += self.data[:part]
+            del self.data[:part]
+            n -= part
+        return bytes(out)
+
+
+def plain_records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
+    """As ``records``, of an archive whose members don't state their length or that isn't packed."""
+    data = _Inflated(f)
+    while (text := data.head()) is not None:
+        raw = {k.lower(): v for k, v in parse_head(text).items()}
+        size = int(raw.get("content-length", 0))
+        head = _head_of(text)
+        if not wanted(head):
+            data.take(size, False)
+            continue
+        block = data.take(size, payload)
+        if not payload:
+            yield head, None
+        elif raw.get("content-type", "").startswith("application/http"):
+            yield head, block.partition(b"\r\n\r\n")[2]
+        else:
+            yield head, block
+
+
 class WarcSource(DataSource):
     """``spark.read.format("warc")`` and ``df.write.format("warc")``."""
 
@@ -319,7 +432,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 _URN = "urn:page:"
 
 
-def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_pages(pages: DataFrame, path: str, least: int = 0, mode: str = "append") -> None:
     """A record for each page; of equal payloads of at least ``least`` bytes the page with the largest id is kept."""
     spark = pages.sparkSession
     register(spark)
@@ -351,7 +464,7 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
             F.when(~revisit, F.col("payload")).alias("payload"),
         )
         .write.format("warc")
-        .mode("append")
+        .mode(mode)
         .save(path)
     )
 

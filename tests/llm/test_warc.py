@@ -85,3 +85,73 @@ def test_whole_table(spark, small):
         kept = last[h]
         assert (r.payload_bytes, r.payload_digest) == (len(h.encode()), sha(h))
         assert (r.record_type, r.refers_to) == (("response", None) if kept == r.page_id else ("revisit", kept))
+
+
+def test_append_adds_and_overwrite_replaces(spark, tmp_path):
+    path = str(tmp_path / "w")
+    one = spark.createDataFrame([(1, "http://a", "x")], "page_id long, url string, html string")
+    two = spark.createDataFrame([(2, "http://b", "y")], "page_id long, url string, html string")
+    warc.write_pages(one, path)
+    warc.write_pages(two, path)
+    assert sorted(r.record_id for r in warc.read(spark, path).collect()) == ["urn:page:1", "urn:page:2"]
+    warc.write_pages(two, path, mode="overwrite")
+    assert [r.record_id for r in warc.read(spark, path).collect()] == ["urn:page:2"]
+    assert len([f for f in (tmp_path / "w").iterdir() if f.name.endswith(".warc.gz")]) == 1
+
+
+def test_failed_writes_leave_no_files(tmp_path):
+    import pyarrow as pa
+
+    row = {"record_type": "response", "record_id": "r", "target_uri": "u", "refers_to": None, "payload_digest": "00" * 20, "payload_bytes": 1, "payload": b"x"}
+
+    def batches():
+        yield pa.RecordBatch.from_pylist([row])
+        raise RuntimeError("lost")
+
+    writer = warc.WarcWriter({"path": str(tmp_path / "w")}, False)
+    try:
+        writer.write(batches())
+    except RuntimeError:
+        pass
+    assert list((tmp_path / "w").iterdir()) == []
+
+
+def foreign(kind, url, body, more=""):
+    block = body if kind != "response" else b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    mime = "application/http; msgtype=response" if kind == "response" else "application/warc-fields"
+    head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:uuid:{url}>\r\nWARC-Target-URI: {url}\r\n{more}Content-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """Without manifest and skip lengths: a member for each record, one member for all, and unpacked."""
+    import gzip
+    import random
+
+    random.seed(4)
+    bodies = [bytes(random.randrange(256) for _ in range(n)) for n in (0, 5, 70_000, 300_000)] + [b"a\r\n\r\nb"]
+    records = [foreign("warcinfo", "info", b"software: x\r\n")] + [foreign("response", f"http://h/{i}", b, "X-Payload-Length: 7\r\n" if i == 1 else "") for i, b in enumerate(bodies)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "w" / "c.warc").write_bytes(b"".join(records))
+    (tmp_path / "w" / "notes.txt").write_bytes(b"no archive")
+    read = warc.read(spark, str(tmp_path / "w"))
+    assert read.count() == 3 * len(records)
+    got = sorted((r.target_uri, bytes(r.payload)) for r in read.where("record_type = 'response'").collect())
+    assert got == sorted((f"http://h/{i}", b) for i, b in enumerate(bodies) for _ in range(3))
+    assert {r.payload_bytes for r in read.collect()} == {None, 7}
+    assert warc.read(spark, str(tmp_path / "w"), payload=False).where("payload is not null").count() == 0
+    assert warc.read(spark, str(tmp_path / "w" / "c.warc")).count() == len(records)
+    (tmp_path / "cut.warc").write_bytes(records[3][:-40])
+    import pytest
+
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(spark, str(tmp_path / "cut.warc")).collect()
+
+
+def test_a_very_long_payload(spark):
+    text = "é<p>" * 2_000_000
+    pages = spark.createDataFrame([(1, "u", text), (2, "u", text)], "page_id long, url string, html string")
+    n = len(text.encode())
+    assert sorted(map(tuple, warc.archive_pages(pages).collect())) == [(1, n, sha(text), "revisit", 2), (2, n, sha(text), "response", None)]
