@@ -9,14 +9,16 @@ A turn's place in its conversation is counted in two steps, so that a long
 conversation is never gathered: the turns are range-partitioned and sorted by
 (conversation, turn, role, text) and written with their places inside their
 partition; the numbers of turns in the conversation's earlier partitions, a row
-for each, are then added. Rendered dialogues are cut into examples of at most
-``TURNS`` turns, which bounds every row and every group.
+for each, are then added. A rendered dialogue is one example; one of more than
+``TURNS`` turns comes in numbered parts that join to the whole, which bounds every
+row and every group. ``segments`` has each dialogue whole, turn by turn.
 
 Defined results: a null role is the speaker ``unknown``, a null text is empty,
 null turns come first, and rows without conversation id take no part; turns with
 equal numbers are ordered by role and text; repeated rows are turns of their
 own; a conversation of system turns alone has no perspective; control marks that
-a text or role itself holds are escaped; extra columns are ignored; an empty
+a text or role itself holds are escaped with one backslash more than they have,
+so that no two texts are written alike; extra columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import materialize
 
 #: Turns of an example.
-TURNS = 64
+TURNS = 1024
 OPEN, SHUT, CLOSE = "<|turn ", "|>", "<|end|>\n"
 
 
@@ -39,14 +41,19 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     """``conv_id, speaker, body, place``: every turn with its place in its conversation."""
 
     def clean(name: str, default: str):
-        return F.replace(F.coalesce(F.col(name).cast("string"), F.lit(default)), F.lit("<|"), F.lit("<\\|"))
+        text = F.coalesce(F.col(name).cast("string"), F.lit(default))
+        return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+    def clean_name(name: str, default: str):
+        # a name stands inside a mark, so what shuts a mark is escaped too
+        return F.regexp_replace(clean(name, default), r"\|(\\*)>", r"|\\$1>")
 
     keys = ("conv_id", "turn", "speaker", "body")
     rows = (
         conversations.select(
             F.col("conv_id").cast("long").alias("conv_id"),
             F.col("turn").cast("long").alias("turn"),
-            clean("role", "unknown").alias("speaker"),
+            clean_name("role", "unknown").alias("speaker"),
             clean("text", "").alias("body"),
         )
         .where("conv_id is not null")

@@ -45,3 +45,21 @@ def test_only_own_words_are_learned(spark):
 def test_table(spark, small):
     df = spark.read.parquet(f"{small}/conversations.parquet")
     assert sorted(map(tuple, chat.examples(df).collect())) == plain([(r.conv_id, r.turn, r.role, r.text) for r in df.collect()], chat.TURNS)
+
+
+def test_marks_in_names_and_texts_are_escaped(spark):
+    rows = [(1, 0, "bob|>x", "a <| b <\\| c |>"), (1, 1, "<|end|>", "d"), (1, 2, "bob|\\>x", "e")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.perspective: r.text for r in chat.examples(df).collect()}
+    assert set(got) == {"bob|\\>x", "<\\|end|\\>", "bob|\\\\>x"}  # unlike names stay unlike
+    for text in got.values():
+        heads = text.split(chat.OPEN)[1:]
+        assert len(heads) == 3 and text.count(chat.CLOSE.strip()) == 3
+        assert all(h.split(chat.SHUT, 1)[0].split(" ")[0] in ("user", "assistant") for h in heads)
+        assert "a <\\| b <\\\\| c |>" in text
+
+
+def test_long_dialogues_and_texts(spark):
+    rows = [(1, i, "ab"[i % 2], "x") for i in range(2500)] + [(2, 0, "a", "y" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, chat.examples(df).collect())) == plain(rows, chat.TURNS)
