@@ -14,11 +14,17 @@ the encoding of its bytes exactly if every two neighbours are the encoding of
 theirs. Two entries are compatible if encoding their bytes gives them back.
 
 A text is cut into chunks of ``CHUNK`` characters anywhere. What a chunk does to
-the count, whatever stands before it, is its state map: the characters up to its
-first certain boundary (a space after a non-space, which the split pattern never
-joins), the count between that and the last such boundary, and the characters
-after it. The maps compose associatively and are combined by a parallel prefix
-scan (a balanced tree), so no chunk waits for the one before it.
+the count, whatever state it is entered in, is its state map. Every certain
+boundary (a space after a non-space, which the split pattern never joins) sends
+all states to the first one, so a map is constant behind its first certain
+boundary and is held as three things: the characters before that boundary, which
+any entry state has still to read; the count from there to the last certain
+boundary; and the characters behind it, which stand for the state at the end,
+because the split pattern looks ahead. A chunk without a certain boundary is held
+as its characters, and such neighbours are joined. The maps compose associatively
+and are combined as a parallel prefix scan combines them, in a balanced tree,
+within one task. Words that a worker has met are remembered with their counts;
+the transducer reads those that it hasn't.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings
 inside a text count as the library's default has them (one token each); a

@@ -40,7 +40,7 @@ MAX_TRAIN = 8_000
 #: A text is toxic from this score on.
 THRESHOLD = 0.7
 #: Words remembered with their hashes by a worker before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1 << 16
 
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.5, 4
 

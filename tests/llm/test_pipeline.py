@@ -50,3 +50,21 @@ def test_odd_inputs(spark, small, tmp_path, rows):
         stage(spark, docs, small).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert "copies" in docs.columns
+
+
+def test_stages_take_any_names_and_very_long_texts(spark, small, tmp_path):
+    """Each stage gets columns named as its own, dotted ones and texts of a megabyte."""
+    names = ["gone", "again", "found_ranges", "row", "id", "n", "key", "part", "a.b", "score", "spans", "rep", "component_id", "mix_cut"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    long = " ".join(f"w{i * 31 % 9973}x{i % 89}" for i in range(120_000))
+    rows = [(1, long, "en", "s", 1), (2, long + " end", "en", "s", 2), (3, "a@b.org wrote", "de", "t", 3), (4, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert {1, 2} & {r.doc_id for r in docs.select("doc_id").collect()} or name == "mixing"
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in docs.collect()) == [1, 3, 4]
+        if name != "mixing":
+            assert docs.columns == [f.split("`")[1] if "`" in f else f.split()[0] for f in schema.split(", ")]
+    assert docs.columns[-3:] == ["mix_domain", "mix_tokens", "copies"] and set(names) <= set(docs.columns)

@@ -66,3 +66,11 @@ def test_table(spark, small, library):
         assert r.over_limit == (r.n_tokens > 512)
     odd = spark.createDataFrame([(1, None), (1, ""), (None, "a")], "doc_id long, text string")
     assert sorted((r.n_bytes, r.n_tokens) for r in tokens.count_tokens(odd).collect()) == [(0, 0), (0, 0), (1, 1)]
+
+
+def test_empty_table_and_a_very_long_text(spark, library):
+    text = "some words, 12 times é\n" * 60_000 + "x" * 200_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = tokens.count_tokens(docs).collect()
+    assert (row.n_bytes, row.n_tokens, row.over_limit) == (len(text.encode()), counts(library, [text])[0], True)
+    assert tokens.count_tokens(docs.limit(0)).count() == 0

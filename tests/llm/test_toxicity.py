@@ -43,3 +43,45 @@ def test_fit_learns_pairs_and_skips():
         rows.append((np.unique(h.features(words)), i % 2))
     w = toxicity.fit(rows)
     assert w.score(h.features([b"you", b"zz", b"fool"])) > 0.7 > w.score(h.features([b"fool", b"x", b"you"]))
+
+
+def plain_ftrl(rows):
+    """FTRL-proximal coordinate by coordinate, as published."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i == "bias":
+            return -z.get(i, 0.0) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA)
+        zi = z.get(i, 0.0)
+        if abs(zi) <= toxicity.L1:
+            return 0.0
+        return -(zi - (1 if zi > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for features, label in rows:
+            used = [*features.tolist(), "bias"]
+            w = {i: weight(i) for i in used}
+            p = 1 / (1 + np.exp(-max(-35, min(35, sum(w.values())))))
+            g = p - label
+            for i in used:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if i != "bias" and weight(i) != 0}, weight("bias")
+
+
+def test_weights_and_scores_equal_plain_ftrl(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    h = toxicity.Hasher()
+    found = {i: np.unique(h.features(toxicity.ascii_words(t.encode()))) for i, t in texts.items()}
+    order = sorted((i for i in known if i in texts), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    weights, bias = plain_ftrl([(found[i], known[i]) for i in order])
+    w = toxicity.train(docs, labels)
+    assert len(weights) > 20 and w.index.tolist() == sorted(weights)
+    assert np.allclose(w.value, [weights[i] for i in sorted(weights)], atol=1e-9) and abs(w.bias - bias) < 1e-9
+    for r in toxicity.score(docs, w).collect():
+        s = bias + sum(weights.get(i, 0.0) for i in found[r.doc_id].tolist())
+        assert abs(r.score - 1 / (1 + np.exp(-s))) < 1e-9 and r.predicted == (r.score >= 0.7)
