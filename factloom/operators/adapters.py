@@ -223,10 +223,25 @@ def weighted_mean(pairs: Column) -> Column:
     return F.try_divide(top, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["weight"]))
 
 
+#: Clamps inside clamps that are followed; deeper ones are an error.
+MOST_CLAMPS = 16
+
+
 def resolve_count(text: Column) -> Column:
-    """A count given as a number, a constant, a range (its middle) or a weighted list; 1 if unknown. Half-even."""
-    get = lambda p: F.get_json_object(text, p)
-    inner = F.when((get("$.type") == "minecraft:clamped") & get("$.min_inclusive").isNull(), get("$.source")).otherwise(text)
+    """A count given as a number, a constant, a range (its middle) or a weighted list; 1 if unknown. Half-even.
+
+    A clamp without a range counts as its source, which may be a clamp again.
+    """
+    levels = [text, *(F.get_json_object(text, "$" + ".source" * i) for i in range(1, MOST_CLAMPS + 1))]
+
+    def passes(t: Column) -> Column:
+        get = lambda p: F.get_json_object(t, p)
+        ranged = get("$.min_inclusive").isNotNull() & get("$.max_inclusive").isNotNull()
+        return F.coalesce((get("$.type") == "minecraft:clamped") & ~ranged & get("$.source").isNotNull(), F.lit(False))
+
+    inner = F.when(passes(levels[-1]), F.raise_error(F.lit("a count has too many clamps")).cast("string")).otherwise(levels[-1])
+    for t in reversed(levels[:-1]):
+        inner = F.when(~passes(t), t).otherwise(inner)
     sub = lambda p: F.get_json_object(inner, p)
     entries = F.from_json(sub("$.distribution"), "array<struct<data:double,weight:double>>")
     pairs = F.transform(
@@ -236,7 +251,7 @@ def resolve_count(text: Column) -> Column:
     low, high = sub("$.min_inclusive").try_cast("double"), sub("$.max_inclusive").try_cast("double")
     value = (
         F.when(inner.rlike(r"^-?[0-9]+$"), inner.try_cast("double"))
-        .when(sub("$.type") == "minecraft:constant", sub("$.value").try_cast("double"))
+        .when(sub("$.type") == "minecraft:constant", F.coalesce(sub("$.value").try_cast("double"), F.lit(1.0)))
         .when(low.isNotNull() & high.isNotNull(), (low + high) / 2)
         .when(sub("$.type") == "minecraft:weighted_list", weighted_mean(pairs))
     )

@@ -49,6 +49,25 @@ def majority(votes: DataFrame, item: str, passed: Column) -> DataFrame:
     )
 
 
+def rejecting_issues(votes: DataFrame, item: str, order: str, passed: Column, issues: str) -> DataFrame:
+    """As ``majority``, with the issues of the rejecting votes in the votes' order, each once; none of admitted items."""
+    found = F.transform(F.array_sort(F.collect_list(F.when(~passed, F.struct(order, issues)))), lambda v: v[issues])
+    out = votes.groupBy(item).agg(F.count_if(~passed).alias("rejects"), F.count("*").alias("votes"), F.array_distinct(F.flatten(found)).alias("issues"))
+    admitted = ~(F.col("rejects") * 2 > F.col("votes"))
+    return out.withColumn("admitted", admitted).withColumn("issues", F.when(admitted, F.array().cast("array<string>")).otherwise(F.col("issues")))
+
+
+def finish_reasons(results: DataFrame, side: str, reason: str) -> DataFrame:
+    """How often each reason ended an answer, by side; a missing one counts as unobserved."""
+    return results.groupBy(side, F.coalesce(reason, F.lit("unobserved")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r over the rows that have both numbers; null where one of them doesn't vary."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Discordant counts of two paired arms and the exact two-sided p of their binomial.
 
@@ -79,6 +98,14 @@ def signature_groups(items: DataFrame, key: str, values: str) -> DataFrame:
     return signed.groupBy("signature").agg(F.countDistinct(key).alias("keys")).where("keys > 1")
 
 
+def exposed_share(items: DataFrame, key: str, values: str) -> DataFrame:
+    """``items, exposed, share``: keys that share their expected values with another key."""
+    signed = items.withColumn("signature", F.sha2(F.array_join(F.array_sort(values), "\u0000"), 256))
+    keys = signed.groupBy("signature").agg(F.countDistinct(key).alias("keys"))
+    out = keys.agg(F.sum("keys").alias("items"), F.sum(F.when(F.col("keys") > 1, F.col("keys")).otherwise(0)).alias("exposed"))
+    return out.select("items", "exposed", F.try_divide("exposed", "items").alias("share"))
+
+
 def share_with_interval(hits: DataFrame, total: DataFrame) -> DataFrame:
     """Share of distinct hits with its normal interval."""
     p = F.col("hits") / F.col("n")

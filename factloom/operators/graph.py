@@ -1,7 +1,8 @@
-"""Closure, depth and reachability by semi-naive iteration.
+"""Closure, depth, reachability and prerequisites by iteration.
 
-Every round works on the frontier alone and writes what it found, so lineage and
-plans stay one round long; nothing is collected. Counts decide when to stop.
+A closure doubles the length of its paths each round; depths and levels add what a
+round has found to a table and write that alone. Lineage and plans stay one round
+long and nothing is collected. Counts decide when to stop.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.scratch import written
+from factloom.sources.scratch import appended, scratch_path, written
 
-#: Rounds after which a closure that still finds rows is an error.
-MOST_ROUNDS = 1000
+#: Rounds after which a closure that still finds rows is an error (paths double each round).
+MOST_ROUNDS = 64
 
 
 def closure(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -23,27 +24,24 @@ def closure(edges: DataFrame, members: DataFrame) -> DataFrame:
     ``edges`` is ``tag, ref`` and ``members`` is ``tag, member``. Every tag of a
     cycle gets the full closure.
     """
-    edges = edges.select("tag", "ref").distinct()
-    reach = written(edges, "reach")
-    frontier = reach
-    for _ in range(MOST_ROUNDS):
-        step = (
-            frontier.alias("f")
-            .join(edges.alias("e"), F.col("f.ref") == F.col("e.tag"))
-            .select(F.col("f.tag").alias("tag"), F.col("e.ref").alias("ref"))
-            .distinct()
-            .join(reach, ["tag", "ref"], "left_anti")
-        )
-        frontier = written(step, "frontier")
-        if frontier.isEmpty():
-            break
-        reach = reach.unionByName(frontier)
-    else:
-        raise RuntimeError("closure has not ended")
-    below = reach.join(members.withColumnRenamed("tag", "ref"), "ref").select("tag", "member")
+    below = paths(edges).join(members.withColumnRenamed("tag", "ref"), "ref").select("tag", "member")
     return members.select("tag", "member").unionByName(below).distinct()
 
 
+def paths(edges: DataFrame) -> DataFrame:
+    """``tag, ref``: every tag with all tags that it references, directly or through others."""
+    reach = written(edges.select("tag", "ref").distinct(), "reach")
+    n = reach.count()
+    for _ in range(MOST_ROUNDS):
+        twice = reach.alias("f").join(reach.alias("e"), F.col("f.ref") == F.col("e.tag")).select(F.col("f.tag").alias("tag"), F.col("e.ref").alias("ref"))
+        reach = written(reach.unionByName(twice).distinct(), "reach")
+        now = reach.count()
+        if now == n:
+            return reach
+        n = now
+    raise RuntimeError("closure has not ended")
+
+
 def depths(recipes: DataFrame, tags: DataFrame) -> DataFrame:
     """``item, depth``: raw items 0, others 1 + the greatest over their ingredients.
 
@@ -56,14 +54,15 @@ def depths(recipes: DataFrame, tags: DataFrame) -> DataFrame:
     made = recipes.select("item").distinct()
     used = recipes.select(F.col("ingredient").alias("item")).union(tags.select(F.col("member").alias("item")))
     raw = used.where("item not like '#%'").distinct().join(made, "item", "left_anti")
-    known = written(raw.select("item", F.lit(0).alias("depth")), "depths")
+    path = scratch_path(recipes.sparkSession, "depths")
+    known = appended(raw.select("item", F.lit(0).alias("depth")), path)
     live = recipes.join(tags.select(F.col("tag").alias("ingredient")).distinct(), "ingredient", "left_semi").unionByName(
         recipes.where("ingredient not like '#%'").join(tags.select(F.col("tag").alias("ingredient")).distinct(), "ingredient", "left_anti")
     )
     need = live.groupBy("item").agg(F.count("*").alias("needed"))
     # items whose ingredients are all unresolved tags
     ignored = made.join(need, "item", "left_anti").select("item", F.lit(1).alias("depth"))
-    known = written(known.unionByName(ignored), "depths")
+    known = appended(ignored, path)
     n = known.count()
     members = tags.groupBy("tag").agg(F.count("*").alias("size"))
     # every round but the last adds an item, so the loop ends
@@ -87,7 +86,7 @@ def depths(recipes: DataFrame, tags: DataFrame) -> DataFrame:
             .select("item", "depth")
             .join(known, "item", "left_anti")
         )
-        known = written(known.unionByName(found), "depths")
+        known = appended(found, path)
         now = known.count()
         if now == n:
             break
@@ -95,20 +94,25 @@ def depths(recipes: DataFrame, tags: DataFrame) -> DataFrame:
     return known.unionByName(made.join(known, "item", "left_anti").select("item", F.lit(None).cast("int").alias("depth")))
 
 
-def reachable(recipes: DataFrame, raw: DataFrame) -> DataFrame:
+def reachable(recipes: DataFrame, raw: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """``item, level``: what can be made from ``raw`` items, all ingredients of some recipe being at hand.
 
     ``recipes`` is ``recipe, item, ingredient``. The level is the round in which
     an item is first made, so ordering by (level, item) lists prerequisites first.
+    An ingredient that is a key of ``tags`` (``tag, member``) is at hand with any member.
     """
     need = recipes.groupBy("recipe", "item").agg(F.countDistinct("ingredient").alias("needed"))
     parts = recipes.select("recipe", "ingredient").distinct()
-    known = written(raw.select("item").distinct().withColumn("level", F.lit(0)), "reachable")
+    path = scratch_path(recipes.sparkSession, "reachable")
+    known = appended(raw.select("item").distinct().withColumn("level", F.lit(0)), path)
     n = known.count()
     # every round but the last adds an item, so the loop ends
     for level in itertools.count(1):
+        held = known.select(F.col("item").alias("ingredient"))
+        if tags is not None:
+            held = held.unionByName(tags.join(known, tags["member"] == known["item"], "left_semi").select(F.col("tag").alias("ingredient"))).distinct()
         ready = (
-            parts.join(known.select(F.col("item").alias("ingredient")), "ingredient")
+            parts.join(held, "ingredient")
             .groupBy("recipe")
             .agg(F.count("*").alias("have"))
             .join(need, "recipe")
@@ -118,9 +122,43 @@ def reachable(recipes: DataFrame, raw: DataFrame) -> DataFrame:
             .join(known, "item", "left_anti")
             .withColumn("level", F.lit(level))
         )
-        known = written(known.unionByName(ready), "reachable")
+        known = appended(ready, path)
         now = known.count()
         if now == n:
             break
         n = now
     return known
+
+
+def resolved_tags(recipes: DataFrame, members: DataFrame) -> DataFrame:
+    """``tag, member`` of the ``#`` ingredients of ``recipes`` (``item, ingredient``), looked up without their ``#``.
+
+    Tags keep the ``#`` in the result, as the ingredients have it; tags without
+    members give no row.
+    """
+    used = recipes.where("ingredient like '#%'").select(F.col("ingredient").alias("tag")).distinct()
+    return used.join(members.select(F.concat(F.lit("#"), "tag").alias("tag"), "member").distinct(), "tag")
+
+
+def concrete_recipes(rows: DataFrame) -> DataFrame:
+    """``item, ingredient`` of recipes for real items (results with ``#`` are patterns), once each."""
+    return rows.where("item not like '#%'").select("item", "ingredient").distinct()
+
+
+def prerequisites(recipes: DataFrame, raw: DataFrame, tags: DataFrame) -> DataFrame:
+    """``item, level, steps``: what must be crafted before each reachable item, in an order that can be followed.
+
+    ``recipes`` is ``item, ingredient`` with all ingredients required; ``tags`` is
+    ``tag, member``. A tag counts as its member of the least level, then the least
+    name. Steps are distinct, without raw items and without the item itself.
+    """
+    levels = written(reachable(recipes.withColumn("recipe", F.col("item")), raw, tags), "levels")
+    made = levels.join(raw.select("item").distinct(), "item", "left_anti")
+    member = tags.join(levels.withColumnRenamed("item", "member"), "member").groupBy("tag").agg(F.min(F.struct("level", "member")).alias("m"))
+    needs = recipes.join(made.select("item"), "item", "left_semi").join(member, F.col("ingredient") == F.col("tag"), "left")
+    edges = needs.select(F.col("item").alias("tag"), F.coalesce("m.member", "ingredient").alias("ref"))
+    edges = edges.join(made.select(F.col("item").alias("ref")), "ref", "left_semi")
+    steps = paths(edges).where("tag <> ref").join(made.select(F.col("item").alias("ref"), F.col("level").alias("at")), "ref")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "ref")))
+    listed = steps.groupBy(F.col("tag").alias("item")).agg(F.transform(ordered, lambda s: s["ref"]).alias("steps"))
+    return made.join(listed, "item", "left").select("item", "level", F.coalesce("steps", F.array().cast("array<string>")).alias("steps"))

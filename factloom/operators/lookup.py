@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.names import ascii_fold
+from factloom.functions.names import ascii_fold, names_of, namespaced
 
 NO_ROWS = "(no rows)"
 
@@ -68,6 +68,46 @@ def token_string(rows: DataFrame, keys: list[str], token: str, order: list[str]
 
 
 def resolve_nouns(nouns: DataFrame, registry: DataFrame) -> DataFrame:
-    """Plain names to ids by the name without namespace; of several the least id."""
-    named = registry.select(F.regexp_replace("id", "^[^:]*:", "").alias("noun"), "id").groupBy("noun").agg(F.min("id").alias("id"))
-    return nouns.select("noun").distinct().join(named, "noun", "left")
+    """Plain names to ids, blanks around them and case aside: by an id's last part, underscores or spaces; of several the least."""
+    asked = nouns.select("noun").distinct().withColumn("__name", F.lower(F.trim("noun")))
+    return asked.join(names_of(registry).withColumnRenamed("noun", "__name"), "__name", "left").select("noun", "id")
+
+
+def existing(ids: DataFrame, registry: DataFrame, scoped: bool = False) -> DataFrame:
+    """Rows of ``ids`` (``id``, and ``registry`` if scoped) that the registry (``registry, id``) has."""
+    keys = ["registry", "id"] if scoped else ["id"]
+    return ids.join(registry.select(*keys).distinct(), keys, "left_semi")
+
+
+# Tables whose keys are ids, and what may be left off or put behind an enchantment's name.
+NAMESPACED = ("recipe", "loot_source", "ore_depth", "tag", "enchantment", "villager_trade", "jukebox_song", "painting", "item_use")
+SUFFIXES = ("_enchant", "_enchantment")
+
+
+def lookup_key(tbl: Column, key: Column) -> Column:
+    """What a key is compared by: with its namespace if its table has ids, without regard to the case of A-Z."""
+    return ascii_fold(F.when(tbl.isin(*NAMESPACED), namespaced(key)).otherwise(key))
+
+
+def execute(called: DataFrame, truth: DataFrame) -> DataFrame:
+    """``tbl, key, result`` of each distinct call (``tbl, key``) against ``truth`` (``tbl, key, result``).
+
+    An enchantment is also looked up with its suffixes and without; the first hit
+    counts. Calls without rows have the result ``NO_ROWS``.
+    """
+    short, long = SUFFIXES
+    asked = called.select("tbl", "key").where("tbl is not null and key is not null").distinct()
+    k = lookup_key(F.col("tbl"), F.col("key"))
+    forms = F.when(
+        F.col("tbl") == "enchantment",
+        F.array(k, F.concat(k, F.lit(short)), F.concat(k, F.lit(long)), F.replace(F.replace(k, F.lit(long), F.lit("")), F.lit(short), F.lit(""))),
+    ).otherwise(F.array(k))
+    tried = asked.select("tbl", "key", F.posexplode(forms).alias("rank", "__k"))
+    rows = truth.select("tbl", lookup_key(F.col("tbl"), F.col("key")).alias("__k"), "result")
+    hits = tried.join(rows, ["tbl", "__k"]).groupBy("tbl", "key").agg(F.min(F.struct("rank", "result")).alias("hit"))
+    return asked.join(hits, ["tbl", "key"], "left").select("tbl", "key", F.coalesce("hit.result", F.lit(NO_ROWS)).alias("result"))
+
+
+def tokens_of(result: Column) -> Column:
+    """The tokens of a rendered result; none of ``NO_ROWS``."""
+    return F.when(result == NO_ROWS, F.array().cast("array<string>")).otherwise(F.split(result, ", "))

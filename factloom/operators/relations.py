@@ -42,18 +42,17 @@ def field_diff(expected: DataFrame, claimed: DataFrame, key: str) -> DataFrame:
 def containment_pairs(sets: DataFrame, group: str, key: str) -> DataFrame:
     """Pairs of a group's items of which one's values are a proper part of the other's.
 
-    Found through the values they share, so no pair without a common value is
-    made; items with equal sets must be given once.
+    A set that holds another holds that one's rarest value as well, so each item
+    meets those alone that have its rarest value of the group; the whole sets then
+    decide. Items with equal sets must be given once.
     """
-    values = sets.select(group, key, F.explode("vals").alias("v"), F.size("vals").alias("n"))
-    a, b = values.alias("a"), values.alias("b")
-    shared = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.n") < F.col("b.n")))
-    return (
-        shared.groupBy(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("part"), F.col(f"b.{key}").alias("whole"), F.col("a.n").alias("n"))
-        .agg(F.count("*").alias("common"))
-        .where("common = n")
-        .select(group, "part", "whole")
-    )
+    values = sets.select(group, key, "vals", F.explode("vals").alias("v"))
+    counts = values.groupBy(group, "v").agg(F.count("*").alias("n"))
+    rarest = values.join(counts, [group, "v"]).groupBy(group, key).agg(F.min(F.struct("n", "v")).alias("r"), F.first("vals").alias("vals"))
+    a = rarest.select(group, F.col(key).alias("part"), F.col("vals").alias("few"), F.col("r.v").alias("v"))
+    b = values.select(group, F.col(key).alias("whole"), F.col("vals").alias("many"), "v")
+    held = (F.size("few") < F.size("many")) & (F.size(F.array_except("few", "many")) == 0)
+    return a.join(b, [group, "v"]).where(held).select(group, "part", "whole")
 
 
 def within_radius(points: DataFrame, centre: list[float], radius: float, column: str) -> DataFrame:
@@ -65,13 +64,88 @@ def within_radius(points: DataFrame, centre: list[float], radius: float, column:
     return points.withColumn("distance", F.sqrt(squares)).where(F.col("distance") <= radius)
 
 
+def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """``a_id, b_id, distance`` of points (``id, x, y, z``) of two frames that are no farther apart than ``radius``.
+
+    Points meet through the cells of a grid as wide as the radius: each of ``b`` is
+    put into its own and the 26 cells around it.
+    """
+    cell = lambda c, d: (F.floor(F.col(c) / radius) + d).cast("long")
+    here = a.select(F.col("id").alias("a_id"), *(F.col(c).cast("double").alias(f"a{c}") for c in "xyz"), *(cell(c, F.lit(0)).alias(f"c{c}") for c in "xyz"))
+    steps = F.array(*(F.struct(*(F.lit(d).alias(n) for n, d in zip("ijk", (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    there = b.select(F.col("id").alias("b_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), F.explode(steps).alias("d"))
+    there = there.select("b_id", "x", "y", "z", *(cell(c, F.col(f"d.{n}")).alias(f"c{c}") for c, n in zip("xyz", "ijk", strict=True)))
+    squares = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "xyz"), F.lit(0.0))
+    pairs = here.join(there, ["cx", "cy", "cz"]).withColumn("distance", F.sqrt(squares))
+    return pairs.where(F.col("distance") <= radius).select("a_id", "b_id", "distance")
+
+
+def _seconds(ts: Column) -> Column:
+    return ts.cast("timestamp").cast("double")
+
+
 def confirmed_requests(requests: DataFrame, confirms: DataFrame, seconds: int) -> DataFrame:
-    """Each request with its first confirmation by the same user, strictly later and within the time to live."""
-    r, c = requests.alias("r"), confirms.alias("c")
-    span = F.col("c.ts").cast("timestamp").cast("double") - F.col("r.ts").cast("timestamp").cast("double")
-    pairs = r.join(c, (F.col("r.user_id") == F.col("c.user_id")) & (F.col("r.nonce") == F.col("c.nonce")) & (span > 0) & (span <= seconds))
-    w = Window.partitionBy("r.request_id").orderBy("c.ts", "c.confirm_id")
-    return pairs.withColumn("k", F.row_number().over(w)).where("k = 1").select("r.request_id", "c.confirm_id", "r.user_id")
+    """Each request with its first confirmation by the same user, strictly later and within the time to live.
+
+    Both are walked backwards in time, so each request sees the next confirmation
+    without meeting the others.
+    """
+    asked = requests.select("user_id", "nonce", "ts", F.lit(0).alias("kind"), F.col("request_id").alias("id"))
+    said = confirms.select("user_id", "nonce", "ts", F.lit(1).alias("kind"), F.col("confirm_id").alias("id"))
+    both = asked.unionByName(said).withColumn("at", _seconds(F.col("ts")))
+    w = Window.partitionBy("user_id", "nonce").orderBy(F.desc("ts"), "kind", F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.last(F.when(F.col("kind") == 1, F.struct("at", "id")), ignorenulls=True).over(w)
+    found = both.withColumn("next", following).where((F.col("kind") == 0) & (F.col("next.at") - F.col("at") <= seconds))
+    return found.select(F.col("id").alias("request_id"), F.col("next.id").alias("confirm_id"), "user_id")
+
+
+# The tier of each action that needs a confirmation, and the seconds for which one may come.
+TIERS = {"mine": 2, "place": 2, "chest_deposit": 2, "chest_withdraw": 2, "attack": 3}
+TIME_TO_LIVE = 30
+
+
+def dispatch(requests: DataFrame, confirms: DataFrame, enabled: tuple[int, ...], seconds: int = TIME_TO_LIVE) -> DataFrame:
+    """``id, kind, outcome, partner`` of requests and confirmations.
+
+    ``requests`` is ``request_id, user_id, tool, nonce, ts``, ``confirms`` is
+    ``confirm_id, user_id, nonce, ts``. Actions without a tier are ``unknown``, of a
+    tier that isn't enabled ``disabled``; others wait under their nonce, in the place
+    of an earlier one with the same. A confirmation must come strictly later
+    (``none``), within the time to live (``expired``) and from the same user
+    (``other_user``); the first such one executes, and the nonce is used up
+    (``used``). Requests are ``executed`` or ``unconfirmed``.
+    """
+    tier = F.try_element_at(F.create_map(*(F.lit(x) for pair in TIERS.items() for x in pair)), F.col("tool"))
+    asked = requests.withColumn("state", F.when(tier.isNull(), "unknown").when(~tier.isin(*enabled), "disabled").otherwise("waits"))
+    rows = asked.where("state = 'waits'").select("nonce", "user_id", "ts", F.lit(1).alias("kind"), F.col("request_id").alias("id")).unionByName(
+        # at the same moment a confirmation stands before a request, so it isn't later
+        confirms.select("nonce", "user_id", "ts", F.lit(0).alias("kind"), F.col("confirm_id").alias("id"))
+    )
+    rows = rows.withColumn("at", _seconds(F.col("ts")))
+    w = Window.partitionBy("nonce").orderBy("ts", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    waiting = F.last(F.when(F.col("kind") == 1, F.struct("id", "user_id", "at")), ignorenulls=True).over(w)
+    said = rows.withColumn("r", waiting).where("kind = 0")
+    good = F.col("r").isNotNull() & (F.col("at") - F.col("r.at") <= seconds) & (F.col("user_id") == F.col("r.user_id"))
+    said = said.withColumn("good", F.coalesce(good, F.lit(False)))
+    turn = Window.partitionBy("r.id", "good").orderBy("ts", "id")
+    said = said.withColumn("k", F.row_number().over(turn))
+    outcome = (
+        F.when(F.col("r").isNull(), "none")
+        .when(F.col("at") - F.col("r.at") > seconds, "expired")
+        .when(~F.col("good"), "other_user")
+        .when(F.col("k") == 1, "executed")
+        .otherwise("used")
+    )
+    said = said.select("id", F.lit("confirm").alias("kind"), outcome.alias("outcome"), F.col("r.id").alias("partner"))
+    done = said.where("outcome = 'executed'").select(F.col("partner").alias("request_id"), F.col("id").alias("by"))
+    return said.unionByName(
+        asked.join(done, "request_id", "left").select(
+            F.col("request_id").alias("id"),
+            F.lit("request").alias("kind"),
+            F.when(F.col("state") != "waits", F.col("state")).when(F.col("by").isNotNull(), "executed").otherwise("unconfirmed").alias("outcome"),
+            F.col("by").alias("partner"),
+        )
+    )
 
 
 def multiset_equal(a: Column, b: Column) -> Column:

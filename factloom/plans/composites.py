@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import gates, lookup, traces
 from factloom.plans.base import query, table
+from factloom.sources.scratch import written
 
 
 @query("""
@@ -27,31 +28,40 @@ def _truth(spark, sf):
     return lookup.token_string(rows.distinct(), ["tbl", "key"], "t")
 
 
-def _made(spark, sf):
+def _made(spark, sf, truth):
     keys = table(spark, sf, "part").select((F.col("p_partkey") + 50).alias("p"), F.lit("recipe").alias("tbl"), (F.col("p_partkey") + 50).cast("string").alias("key"))
-    facts = keys.join(_truth(spark, sf), ["tbl", "key"], "left").withColumn("result", F.coalesce("result", F.lit(lookup.NO_ROWS)))
+    facts = keys.join(truth, ["tbl", "key"], "left").withColumn("result", F.coalesce("result", F.lit(lookup.NO_ROWS)))
     answer = F.when(F.col("result") == lookup.NO_ROWS, "There is no data on it.").otherwise(F.concat(F.lit("You need "), F.col("result")))
     out = traces.single_hop(facts.select("p", "key", "result"), F.concat(F.lit("What makes "), F.col("key"), F.lit("?")), "recipe", F.col("key"), F.col("result"), answer)
     return out.withColumn("trace_id", F.col("key").cast("long"))
 
 
-@query("SELECT p_partkey + 50 AS trace_id, CAST(4 AS BIGINT) AS n_messages FROM part")
+@query(f"""
+WITH f AS (SELECT p_partkey + 50 AS trace_id, coalesce(t.result, '(no rows)') AS r FROM part LEFT JOIN ({_TRUTH}) t ON t.key = CAST(p_partkey + 50 AS VARCHAR))
+SELECT trace_id, CAST(4 AS BIGINT) AS n_messages, 'user|What makes ' || trace_id || '?'
+  || chr(10) || 'assistant|<think>The recipe table has this.</think>' || chr(10) || '<tool_call>lookup(recipe, result_item=' || chr(39) || trace_id || chr(39) || ')</tool_call>'
+  || chr(10) || 'user|<result>' || r || '</result>' || chr(10) || 'assistant|' || CASE WHEN r = '(no rows)' THEN 'There is no data on it.' ELSE 'You need ' || r END AS dialogue FROM f
+""")
 def trace_generate(spark, sf):
-    """K1: one trace for each key, with the truth's result."""
-    return _made(spark, sf).select("trace_id", F.size("messages").cast("long").alias("n_messages"))
+    """K1: one trace for each key, with the truth's result, message by message."""
+    text = F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["content"])), "\n")
+    made = _made(spark, sf, written(_truth(spark, sf), "truth"))
+    return made.select("trace_id", F.size("messages").cast("long").alias("n_messages"), text.alias("dialogue"))
 
 
 @query("SELECT p_partkey + 50 AS trace_id, (p_partkey + 50) % 5 <> 0 AS ok FROM part")
 def trace_verify(spark, sf):
     """K2: generated traces verify; every fifth has been tampered with and doesn't."""
-    bad = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] == "tool", "s0, s999999").otherwise(m["content"]).alias("content")))
-    rows = _made(spark, sf).withColumn("messages", F.when(F.col("trace_id") % 5 == 0, bad).otherwise(F.col("messages")))
-    return traces.verify(rows, _truth(spark, sf))
+    truth = written(_truth(spark, sf), "truth")
+    bad = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), F.when(i == 2, "<result>s0, s999999</result>").otherwise(m["content"]).alias("content")))
+    rows = _made(spark, sf, truth).withColumn("messages", F.when(F.col("trace_id") % 5 == 0, bad).otherwise(F.col("messages")))
+    return traces.verify(rows, truth)
 
 
 @query("SELECT p_partkey + 50 AS trace_id, (p_partkey + 50) % 3 <> 0 AS intact FROM part")
 def trace_integrity(spark, sf):
-    rows = _made(spark, sf).join(_truth(spark, sf).select("key", "result"), "key", "left")
+    truth = written(_truth(spark, sf), "truth")
+    rows = _made(spark, sf, truth).join(truth.select("key", "result"), "key", "left")
     recorded = F.array(F.when(F.col("trace_id") % 3 == 0, F.lit("other")).otherwise(F.coalesce("result", F.lit(lookup.NO_ROWS))))
     return traces.integrity(rows, recorded).select("trace_id", "intact")
 
@@ -113,12 +123,18 @@ def call_contract(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, min(CASE WHEN l_returnflag <> 'R' THEN l_linenumber END) AS answered_at, count(*) FILTER (WHERE l_returnflag = 'R') AS n_calls
-FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey
+WITH t AS (SELECT l_orderkey, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS place, l_returnflag FROM lineitem),
+h AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS hop FROM t),
+e AS (SELECT *, min(CASE WHEN l_returnflag <> 'R' THEN place END) OVER (PARTITION BY l_orderkey) AS answered_at FROM h WHERE hop <= 4)
+SELECT l_orderkey, max(answered_at) AS answered_at, count(*) FILTER (WHERE answered_at IS NULL OR place < answered_at) AS n_calls,
+  CASE WHEN max(answered_at) IS NULL THEN 'hop_limit' ELSE 'answered' END AS finish FROM e GROUP BY l_orderkey
 """)
 def hop_replay(spark, sf):
+    """Calls up to the first turn that makes none; what comes behind it doesn't count."""
     text = F.when(F.col("l_returnflag") == "R", "<tool_call>lookup(tag, tag='x')</tool_call>").otherwise("answer")
-    return traces.replay(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", text, 4)
+    place = F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    found = traces.replay(table(spark, sf, "lineitem").withColumn("place", place), "l_orderkey", "place", text, 4)
+    return found.select("l_orderkey", "answered_at", "n_calls", "finish")
 
 
 @query("""

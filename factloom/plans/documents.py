@@ -180,33 +180,27 @@ def alt_entity_biome(spark, sf):
     return adapters_alt.entities(d).join(adapters_alt.biomes(d).select("id", "temperature", F.array_join("tags", ",").alias("tags")), "id")
 
 
-def _loot_references(spark, sf, of_parts: str):
-    ref = """CASE WHEN p_partkey >= 3 THEN concat(', {"type": "loot_table", "name": "minecraft:p', p_partkey div 3, '"}') WHEN p_partkey = 1 THEN ', {"type": "loot_table", "name": "minecraft:p7"}' ELSE '' END"""
-    body = f"""concat('{{"pools": [{{"entries": [{{"type": "item", "name": "i', p_size, '"}}', {ref}, ']}}]}}')"""
-    rows = adapters_alt.loot_drops(_docs(spark, sf, body).where(of_parts))
-    return rows.select("id", F.array_join("drops", ",").alias("drops"))
-
-
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey BETWEEN 3 AND 300 UNION ALL SELECT 1, 7),
+_REFERENCES = """
+WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey >= 3 UNION ALL SELECT 1, 7),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-m AS (SELECT p_partkey AS k, 'i' || p_size AS d FROM part WHERE p_partkey <= 300)
+m AS (SELECT p_partkey AS k, 'i' || p_size AS d FROM part)
 SELECT 'minecraft:p' || k AS id, string_agg(d, ',' ORDER BY d) AS drops FROM (SELECT k, d FROM m UNION SELECT r.a, m.d FROM r JOIN m ON r.b = m.k) GROUP BY k
-""")
+"""
+
+
+@query(_REFERENCES)
 def loot_reference_closure(spark, sf):
-    """Tables that refer to tables, with a cycle; of the first parts, as its SQL is."""
-    return _loot_references(spark, sf, "p_partkey <= 300")
+    """Tables of all parts that refer to tables, with a cycle."""
+    ref = """CASE WHEN p_partkey >= 3 THEN concat(', {"type": "loot_table", "name": "minecraft:p', p_partkey div 3, '"}') WHEN p_partkey = 1 THEN ', {"type": "loot_table", "name": "minecraft:p7"}' ELSE '' END"""
+    body = f"""concat('{{"pools": [{{"entries": [{{"type": "item", "name": "i', p_size, '"}}', {ref}, ']}}]}}')"""
+    rows = adapters_alt.loot_drops(_docs(spark, sf, body))
+    return rows.select("id", F.array_join("drops", ",").alias("drops"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey >= 3 UNION ALL SELECT 1, 7),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-m AS (SELECT p_partkey AS k, 'i' || p_size AS d FROM part)
-SELECT 'minecraft:p' || k AS id, string_agg(d, ',' ORDER BY d) AS drops FROM (SELECT k, d FROM m UNION SELECT r.a, m.d FROM r JOIN m ON r.b = m.k) GROUP BY k
-""")
+@query(_REFERENCES)
 def loot_reference_whole(spark, sf):
-    """Of all parts."""
-    return _loot_references(spark, sf, "true")
+    """The same under its earlier name."""
+    return loot_reference_closure(spark, sf)
 
 
 @query("""

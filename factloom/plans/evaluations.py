@@ -118,7 +118,7 @@ def inventory_gate(spark, sf):
 
 @query("""
 SELECT lang, round(avg(n_chars), 4) AS mean_all, round(avg(n_chars) FILTER (WHERE quality = 1), 4) AS mean_pass,
-  round(avg(n_chars) FILTER (WHERE quality = 0), 4) AS mean_fail, round(corr(n_chars, quality), 6) AS r
+  round(avg(n_chars) FILTER (WHERE quality = 0), 4) AS mean_fail, round(CASE WHEN stddev_pop(n_chars) * stddev_pop(quality) > 0 THEN corr(n_chars, quality) END, 6) AS r
 FROM labels JOIN documents USING (doc_id) GROUP BY lang
 """)
 def length_pass_corr(spark, sf):
@@ -128,7 +128,7 @@ def length_pass_corr(spark, sf):
         F.round(F.avg(length), 4).alias("mean_all"),
         F.round(F.avg(F.when(F.col("quality") == 1, length)), 4).alias("mean_pass"),
         F.round(F.avg(F.when(F.col("quality") == 0, length)), 4).alias("mean_fail"),
-        F.round(F.corr(length, F.col("quality").cast("double")), 6).alias("r"),
+        F.round(evaluation.correlation(length, F.col("quality").cast("double")), 6).alias("r"),
     )
 
 
@@ -154,30 +154,27 @@ def scan_union_ci(spark, sf):
     return out.select("hits", "n", *(F.round(c, 9).alias(c) for c in ("share", "low", "high")))
 
 
-@query("""
+_MCNEMAR = """
 WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND t = 0) AS b, count(*) FILTER (WHERE quality = 0 AND t = 1) AS c
-  FROM (SELECT quality, 1 - toxic AS t FROM labels WHERE doc_id % 20 = 0))
+  FROM (SELECT quality, 1 - toxic AS t FROM labels))
 SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))
   FROM (SELECT unnest(generate_series(0, least(b, c))) AS i))) END, 9) AS p FROM c
-""")
-def mcnemar_exact(spark, sf):
-    """On a twentieth of the labels, as its SQL is; ``mcnemar_whole`` takes all."""
-    rows = table(spark, sf, "labels").where("doc_id % 20 = 0").select("quality", (1 - F.col("toxic")).alias("t"))
-    return evaluation.mcnemar(rows, "quality", "t").withColumn("p", F.round("p", 9))
+"""
 
 
-@query("""
-WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND t = 0) AS b, count(*) FILTER (WHERE quality = 0 AND t = 1) AS c
-  FROM (SELECT quality, 1 - toxic AS t FROM labels))
-SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))
-  FROM (SELECT unnest(generate_series(0, least(b, c))) AS i))) END, 9) AS p FROM c
-""")
-def mcnemar_whole(spark, sf):
+@query(_MCNEMAR)
+def mcnemar_exact(spark, sf):
     """All labels."""
     rows = table(spark, sf, "labels").select("quality", (1 - F.col("toxic")).alias("t"))
     return evaluation.mcnemar(rows, "quality", "t").withColumn("p", F.round("p", 9))
 
 
+@query(_MCNEMAR)
+def mcnemar_whole(spark, sf):
+    """The same under its earlier name."""
+    return mcnemar_exact(spark, sf)
+
+
 @query("""
 SELECT a.doc_id FROM labels a JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE quality END AS quality FROM labels) b USING (doc_id)
 WHERE a.quality IS DISTINCT FROM b.quality

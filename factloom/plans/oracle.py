@@ -1,13 +1,12 @@
-"""The whole build: a report tree to the flat fact tables (P2, C11, E1, B1), and multi-hop traces over them (K3, K6)."""
+"""The whole build: a report tree to the flat fact tables and what lookups of them answer (P2, A5, C11, E1, B1, D10), and training sets (K3, K6)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.calls import ARGUMENTS
-from factloom.functions.names import bare_name
-from factloom.operators import adapters, graph, lookup, relations, traces
+from factloom.functions.names import depth_token, use_tokens
+from factloom.operators import adapters, evaluation, generation, graph, lookup, relations, traces
 from factloom.sources import reports
 from factloom.sources.scratch import written
 
@@ -54,9 +53,21 @@ def ore_depths(docs: DataFrame) -> DataFrame:
     ).where("min_y is not null and max_y is not null")
 
 
+#: Files of these places that aren't JSON are passed over in a build; elsewhere they are an error.
+LENIENT = (
+    "data/minecraft/tags/%", "data/minecraft/worldgen/configured_feature/%", "data/minecraft/worldgen/placed_feature/%",
+    "data/minecraft/dimension_type/%", "%components/item/%",
+)
+
+
 def build_oracle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The eleven fact tables of a report tree."""
-    docs = written(reports.strict(reports.documents(spark, root)), "report")
+    docs = reports.documents(spark, root)
+    lenient = F.lit(False)
+    for place in LENIENT:
+        lenient = lenient | F.col("path").like(place)
+    docs = reports.strict(docs.where(~lenient)).unionByName(reports.leniently(docs.where(lenient)))
+    docs = written(docs, "report")
     of = lambda category: docs.where(F.col("category") == category)
     values = adapters.tags(of("tag"))
     item = values.where("tag like 'minecraft:item/%'").select(F.regexp_replace("tag", "^minecraft:item/", "minecraft:").alias("tag"), "value")
@@ -65,7 +76,7 @@ def build_oracle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     tag = written(tag, "tag")
     food = tag.where("tag like '%\\_food'")
     recipes = adapters.recipes(of("recipe"))
-    item_docs = docs.where("path like '%components/item/%'")
+    item_docs = docs.where("path like '%components/item/%'").withColumn("id", F.concat(F.lit("minecraft:"), F.regexp_extract("path", r"/([^/]*)\.json$", 1)))
     return {
         "tag": tag,
         "breeding_food": food.select(F.regexp_extract("tag", "^minecraft:(.*)_food$", 1).alias("animal"), F.col("member").alias("food_item")),
@@ -81,50 +92,69 @@ def build_oracle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
+def _listed(df: DataFrame, tbl: str, key: str, value: str) -> DataFrame:
+    tokens = F.array_join(F.array_sort(F.collect_list(value)), ", ")
+    return df.groupBy(F.col(key).alias("key")).agg(tokens.alias("result")).select(F.lit(tbl).alias("tbl"), "key", "result")
+
+
+def _joined(df: DataFrame, tbl: str, key: str, *tokens) -> DataFrame:
+    return df.select(F.lit(tbl).alias("tbl"), F.col(key).alias("key"), F.array_join(F.array_compact(F.array(*tokens)), ", ").alias("result"))
+
+
 def truth_view(tables: dict[str, DataFrame]) -> DataFrame:
-    """``tbl, key, result``: what a lookup of a key answers, for verification.
+    """``tbl, key, result``: what a lookup of a key answers, in all eleven tables that a call may name.
 
-    Of six tables; ``recipe_slot``, ``villager_trade``, ``painting``, ``item_use``,
-    ``ore_depth`` and ``loot_source`` aren't in it, so traces over them can't be verified.
+    A recipe answers the slots of one of its methods, alternatives joined by ``/``;
+    a result without slots its ingredients. Keys without rows aren't in it. Tables
+    that aren't given answer nothing.
     """
-    spec = {
-        "breeding_food": ("animal", "food_item"),
-        "recipe": ("result_item", "ingredient"),
-        "tag": ("tag", "member"),
-        "loot": ("source", "drop_item"),
-        "enchantment": ("name", "max_level"),
-        "jukebox_song": ("song", "length_seconds"),
-    }
-    rows = None
-    for name, (key, value) in spec.items():
-        if name in tables:
-            one = tables[name].select(F.lit(name).alias("tbl"), F.col(key).alias("key"), F.col(value).cast("string").alias("t")).distinct()
-            rows = one if rows is None else rows.unionByName(one)
-    return lookup.token_string(rows, ["tbl", "key"], "t")
+    token = lambda name, c: F.concat(F.lit(name + "="), F.col(c).cast("string"))
+    parts = []
+    for tbl, key, value in (("breeding_food", "animal", "food_item"), ("loot", "source", "drop_item"), ("tag", "tag", "member")):
+        if tbl in tables:
+            parts.append(_listed(tables[tbl], tbl, key, value))
+    if "recipe" in tables:
+        flat = tables["recipe"]
+        if "recipe_slot" in tables:
+            slots = evaluation.slot_groups(tables["recipe_slot"], "result_item", "method", "slot", "ingredient")
+            parts.append(slots.select(F.lit("recipe").alias("tbl"), F.col("result_item").alias("key"), F.col("slots").alias("result")))
+            flat = flat.join(slots, "result_item", "left_anti")
+        parts.append(_listed(flat, "recipe", "result_item", "ingredient"))
+    if "loot" in tables:
+        drops = tables["loot"].where("source like 'minecraft:%'")
+        parts.append(_listed(lookup.reverse_sources(drops, "source", "drop_item", ("blocks", "entities")), "loot_source", "drop_item", "source"))
+    if "ore_depth" in tables:
+        depth = tables["ore_depth"].withColumn("t", depth_token(F.col("dist_type"), F.col("min_y"), F.col("max_y"), F.col("count")))
+        by_count = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "placement", "t")))
+        bands = depth.groupBy(F.col("block").alias("key")).agg(F.array_join(F.transform(by_count, lambda b: b["t"]), ", ").alias("result"))
+        parts.append(bands.select(F.lit("ore_depth").alias("tbl"), "key", "result"))
+    if "enchantment" in tables:
+        parts.append(_joined(tables["enchantment"].where("max_level is not null"), "enchantment", "name", token("max_level", "max_level")))
+    if "villager_trade" in tables:
+        sides = (F.concat_ws(" ", F.concat(F.lit(f"{s}="), F.coalesce(F.col(f"{s}_count"), F.lit(1)).cast("string")), f"{s}_item") for s in ("wants", "gives"))
+        parts.append(_joined(tables["villager_trade"], "villager_trade", "trade", *sides))
+    if "jukebox_song" in tables:
+        seconds = F.col("length_seconds").cast("double")
+        # whole seconds are told without a fraction
+        text = F.when(seconds == F.floor(seconds), F.floor(seconds).cast("string")).otherwise(seconds.cast("string"))
+        parts.append(_joined(tables["jukebox_song"].where("length_seconds is not null"), "jukebox_song", "song", F.concat(F.lit("length="), text)))
+    if "painting" in tables:
+        parts.append(_joined(tables["painting"], "painting", "painting", token("width", "width"), token("height", "height")))
+    if "item_use" in tables:
+        facts = use_tokens(*(F.col(c) for c in ("nutrition", "saturation", "max_damage", "attack_damage", "equip_slot")))
+        uses = tables["item_use"].select(F.lit("item_use").alias("tbl"), F.col("item").alias("key"), F.array_join(facts, ", ").alias("result"))
+        parts.append(uses.where("result <> ''"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def multihop_traces(recipe: DataFrame, truth: DataFrame, most: int = 6) -> DataFrame:
-    """Six messages: an item's ingredients, then those of one craftable ingredient (K3); uses are capped by H3."""
-    from factloom.operators.runs import usage_cap
-
-    made = recipe.select(F.col("result_item").alias("ingredient")).distinct()
-    pairs = recipe.join(made, "ingredient", "left_semi").where("ingredient <> result_item and ingredient not like '#%'").select("result_item", "ingredient").distinct()
-    chosen = usage_cap(pairs, "result_item", "ingredient", most)
-    first = truth.where("tbl = 'recipe'").select(F.col("key").alias("result_item"), F.col("result").alias("r1"))
-    second = truth.where("tbl = 'recipe'").select(F.col("key").alias("ingredient"), F.col("result").alias("r2"))
-    rows = chosen.join(first, "result_item").join(second, "ingredient")
-    call = lambda c: traces.call_text(F.lit("recipe"), F.lit(ARGUMENTS["recipe"]), F.col(c))
-    return rows.select(
-        F.xxhash64("result_item").alias("trace_id"),
-        F.array(
-            traces.message("user", F.concat(F.lit("How is "), bare_name(F.col("result_item")), F.lit(" made from scratch?"))),
-            traces.message("assistant", call("result_item")),
-            traces.message("tool", F.col("r1")),
-            traces.message("assistant", call("ingredient")),
-            traces.message("tool", F.col("r2")),
-            traces.message("assistant", F.concat(F.lit("It takes "), "r1", F.lit("; one of these takes "), "r2", F.lit("."))),
-        ).alias("messages"),
-    )
+    """Six messages: an item's ingredients, then those of one craftable ingredient (K3); results of ``recipe`` alone are crafted."""
+    made = recipe.select(F.col("result_item").alias("key")).distinct()
+    known = truth.where("tbl <> 'recipe'").unionByName(truth.join(made, "key", "left_semi").where("tbl = 'recipe'").select("tbl", "key", "result"))
+    return generation.multihop_traces(known, most).select(F.xxhash64("key").alias("trace_id"), "messages")
 
 
 def training_set(families: list[DataFrame], truth: DataFrame) -> DataFrame:

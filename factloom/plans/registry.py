@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from factloom.plans import composites, documents, evaluations, lookups, relations, texts  # noqa: F401
+from factloom.plans import cases, composites, documents, evaluations, lookups, relations, texts  # noqa: F401
 from factloom.plans.base import ORACLES, QUERIES  # noqa: F401

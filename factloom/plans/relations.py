@@ -8,44 +8,34 @@ from factloom.operators import graph, relations
 from factloom.plans.base import query, table
 
 
-def _placements(spark, sf, of_orders: str, of_customers: str):
-    kind = F.when(F.col("l_linenumber") % 2 == 1, "height").otherwise("count")
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", kind.alias("kind"), F.col("l_quantity").alias("value")))).alias("modifiers")
-    )
-    placed = table(spark, sf, "orders").where(of_orders).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    placed = placed.select(F.col("o_orderkey").alias("placement"), F.col("o_custkey").alias("feature"), "modifiers")
-    features = table(spark, sf, "customer").where(of_customers)
-    features = features.select(F.col("c_custkey").alias("feature"), F.array("c_name", "c_mktsegment").alias("blocks"))
-    return relations.place_features(placed, features)
-
-
-@query("""
+_PLACEMENTS = """
 WITH placed AS (
   SELECT o_orderkey AS placement, o_custkey AS feature,
     max_by(l_quantity, l_linenumber * 100 + l_quantity) FILTER (WHERE l_linenumber % 2 = 1) AS height,
     max_by(l_quantity, l_linenumber * 100 + l_quantity) FILTER (WHERE l_linenumber % 2 = 0) AS cnt
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0 GROUP BY ALL)
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT placement, block, height, cnt AS count FROM placed
-JOIN (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS block FROM customer WHERE c_nationkey < 5) ON feature = c_custkey
-""")
+JOIN (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS block FROM customer) ON feature = c_custkey
+"""
+
+
+@query(_PLACEMENTS)
 def placement_join_explode(spark, sf):
-    """On a part of the tables, as its SQL is; ``placement_join_whole`` takes all."""
-    return _placements(spark, sf, "o_orderkey % 4 = 0", "c_nationkey < 5")
+    """All orders with all customers."""
+    kind = F.when(F.col("l_linenumber") % 2 == 1, "height").otherwise("count")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", kind.alias("kind"), F.col("l_quantity").alias("value")))).alias("modifiers")
+    )
+    placed = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    placed = placed.select(F.col("o_orderkey").alias("placement"), F.col("o_custkey").alias("feature"), "modifiers")
+    features = table(spark, sf, "customer").select(F.col("c_custkey").alias("feature"), F.array("c_name", "c_mktsegment").alias("blocks"))
+    return relations.place_features(placed, features)
 
 
-@query("""
-WITH placed AS (
-  SELECT o_orderkey AS placement, o_custkey AS feature,
-    max_by(l_quantity, l_linenumber * 100 + l_quantity) FILTER (WHERE l_linenumber % 2 = 1) AS height,
-    max_by(l_quantity, l_linenumber * 100 + l_quantity) FILTER (WHERE l_linenumber % 2 = 0) AS cnt
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT placement, block, height, cnt AS count FROM placed
-JOIN (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS block FROM customer) ON feature = c_custkey
-""")
+@query(_PLACEMENTS)
 def placement_join_whole(spark, sf):
-    """All orders with all customers."""
-    return _placements(spark, sf, "true", "true")
+    """The same under its earlier name."""
+    return placement_join_explode(spark, sf)
 
 
 @query("""
@@ -65,7 +55,8 @@ SELECT a.item, min(a.ing * 1000000 + b.ing) AS hop FROM r a JOIN r b ON a.ing =
 """)
 def two_hop_self(spark, sf):
     r = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("item"), (F.col("l_suppkey") * 7).alias("ing")).distinct()
-    a, b = r.where("ing <> item").alias("a"), r.alias("b")
+    # the best second hop of each item first, so that no pair is made in vain
+    a, b = r.where("ing <> item").alias("a"), r.groupBy("item").agg(F.min("ing").alias("ing")).alias("b")
     return relations.two_hop(a, b, F.col("a.ing") == F.col("b.item"), "a.item", F.col("a.ing") * 1000000 + F.col("b.ing"))
 
 
@@ -76,7 +67,8 @@ JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey
 def two_hop_cross(spark, sf):
     first = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
     first = first.select(F.col("n_nationkey").alias("nation"), "c_custkey")
-    return relations.two_hop(first, table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "nation", F.col("o_orderkey"))
+    second = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return relations.two_hop(first, second, F.col("c_custkey") == F.col("o_custkey"), "nation", F.col("o_orderkey"))
 
 
 @query("""
@@ -86,7 +78,8 @@ GROUP BY s_suppkey
 def two_hop_rewritten_key(spark, sf):
     sources = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("src/"), F.col("s_suppkey").cast("string")).alias("source"))
     key = F.regexp_replace("source", "^src/", "Brand#")
-    return relations.two_hop(sources, table(spark, sf, "part"), key == F.col("p_brand"), "s_suppkey", F.col("p_partkey"))
+    second = table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    return relations.two_hop(sources, second, key == F.col("p_brand"), "s_suppkey", F.col("p_partkey"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -165,34 +158,28 @@ def nearest_within_radius(spark, sf):
     return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-def _tag_closure(spark, part):
-    edges = part.where("p_partkey > 1").selectExpr("p_partkey AS tag", "p_partkey div 2 AS ref")
-    edges = edges.union(spark.sql("SELECT 7L, 30L UNION ALL SELECT 1L, 5L"))  # two cycles
-    return graph.closure(edges, part.select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("member")))
-
-
-@query("""
+_CLOSURE = """
 WITH RECURSIVE e AS (
-  SELECT p_partkey AS tag, p_partkey // 2 AS ref FROM part WHERE p_partkey > 1 AND p_partkey <= 400 UNION ALL SELECT 7, 30 UNION ALL SELECT 1, 5),
+  SELECT p_partkey AS tag, p_partkey // 2 AS ref FROM part WHERE p_partkey > 1 UNION ALL SELECT 7, 30 UNION ALL SELECT 1, 5),
 r AS (SELECT tag, ref FROM e UNION SELECT r.tag, e.ref FROM r JOIN e ON r.ref = e.tag),
-m AS (SELECT p_partkey AS tag, p_brand AS member FROM part WHERE p_partkey <= 400)
+m AS (SELECT p_partkey AS tag, p_brand AS member FROM part)
 SELECT tag, member FROM m UNION SELECT r.tag, m.member FROM r JOIN m ON r.ref = m.tag
-""")
+"""
+
+
+@query(_CLOSURE)
 def tag_closure(spark, sf):
-    """Of the first parts, as its SQL is; ``tag_closure_whole`` takes all."""
-    return _tag_closure(spark, table(spark, sf, "part").where("p_partkey <= 400"))
+    """All parts, with two cycles."""
+    part = table(spark, sf, "part")
+    edges = part.where("p_partkey > 1").selectExpr("p_partkey AS tag", "p_partkey div 2 AS ref")
+    edges = edges.union(spark.sql("SELECT 7L, 30L UNION ALL SELECT 1L, 5L"))
+    return graph.closure(edges, part.select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("member")))
 
 
-@query("""
-WITH RECURSIVE e AS (
-  SELECT p_partkey AS tag, p_partkey // 2 AS ref FROM part WHERE p_partkey > 1 UNION ALL SELECT 7, 30 UNION ALL SELECT 1, 5),
-r AS (SELECT tag, ref FROM e UNION SELECT r.tag, e.ref FROM r JOIN e ON r.ref = e.tag),
-m AS (SELECT p_partkey AS tag, p_brand AS member FROM part)
-SELECT tag, member FROM m UNION SELECT r.tag, m.member FROM r JOIN m ON r.ref = m.tag
-""")
+@query(_CLOSURE)
 def tag_closure_whole(spark, sf):
-    """All parts."""
-    return _tag_closure(spark, table(spark, sf, "part"))
+    """The same under its earlier name."""
+    return tag_closure(spark, sf)
 
 
 @query("""

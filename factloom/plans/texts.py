@@ -90,7 +90,7 @@ SELECT l_orderkey * 10 + l_linenumber AS k, CASE l_partkey % 6
   WHEN 2 THEN 'say lookup(recipe, result_item=''y' || l_suppkey || ''') now'
   WHEN 3 THEN '<tool_call>lookup(tag, item=''z'')</tool_call>'
   WHEN 4 THEN '<think>a</think>It opens and is used to craft item' || l_suppkey || ' faster than 40 ticks (2 seconds).<|im_end|>tail'
-  ELSE 'I cannot say whether. There is no data, not a real minecraft:thing' || l_suppkey || ' or minecraft:a/b, 10 ticks (3 seconds), yes' END AS text, l_suppkey FROM lineitem
+  ELSE 'I cannot say whether. There is no data, not a real minecraft:thing' || l_suppkey || ' or minecraft:a/b, 10 ticks (3 seconds), yes' END AS text, l_suppkey, l_partkey % 6 AS m FROM lineitem
 """
 
 
@@ -107,45 +107,42 @@ def _turns(spark, sf):
     return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), text.alias("text"), "l_suppkey")
 
 
-def _call_sql(pattern: str, groups: tuple[int, int], extra: str = "") -> str:
-    p = pattern.replace("'", "''")
-    return f"SELECT k, regexp_extract(text, '{p}', {groups[0]}) AS tbl, regexp_extract(text, '{p}', {groups[1]}) AS key FROM ({_TURNS}) WHERE regexp_matches(text, '{p}'){extra}"
-
-
-@query(_call_sql(calls.LOOSE, (1, 2)))
+# The oracles of the parsers say by form of text what each must find.
+@query(f"""
+SELECT k, CASE WHEN m IN (0, 2) THEN 'recipe' ELSE 'tag' END AS tbl, CASE m WHEN 0 THEN 'x' || l_suppkey WHEN 1 THEN 't' || l_suppkey WHEN 2 THEN 'y' || l_suppkey ELSE 'z' END AS key
+FROM ({_TURNS}) WHERE m <= 3
+""")
 def parse_loose_call(spark, sf):
     return _turns(spark, sf).select("k", calls.parse_loose(F.col("text")).alias("c")).where("c is not null").select("k", "c.tbl", "c.key")
 
 
-@query(_call_sql(calls.STRICT, (1, 3), " AND NOT contains(text, 'lookup(tag, item')"))
+@query(f"SELECT k, CASE m WHEN 0 THEN 'recipe' ELSE 'tag' END AS tbl, CASE m WHEN 0 THEN 'x' ELSE 't' END || l_suppkey AS key FROM ({_TURNS}) WHERE m <= 1")
 def parse_strict_call(spark, sf):
     return _turns(spark, sf).select("k", calls.parse_strict(F.col("text")).alias("c")).where("c is not null").select("k", "c.tbl", "c.key")
 
 
-@query(f"SELECT k, contains(text, '<tool_call>') OR contains(text, 'lookup(') AS attempted FROM ({_TURNS})")
+@query(f"SELECT k, m <= 3 AS attempted FROM ({_TURNS})")
 def call_attempted(spark, sf):
     return _turns(spark, sf).select("k", calls.call_attempted(F.col("text")).alias("attempted"))
 
 
 @query(f"""
-SELECT k, CASE WHEN NOT contains(text, 'tool_call>') THEN trim(regexp_replace(split_part(text, '<|im_end|>', 1), '^<think>.*</think>', '')) END AS answer FROM ({_TURNS})
+SELECT k, CASE m WHEN 2 THEN text WHEN 4 THEN 'It opens and is used to craft item' || l_suppkey || ' faster than 40 ticks (2 seconds).' WHEN 5 THEN text END AS answer FROM ({_TURNS})
 """)
 def final_answer_span(spark, sf):
     return _turns(spark, sf).select("k", calls.final_answer(F.col("text")).alias("answer"))
 
 
-_FOLDED = "' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' '"
-
-
-@query(f"SELECT k, contains({_FOLDED}, ' item' || l_suppkey || ' ') AS found FROM ({_TURNS})")
+@query(f"SELECT k, m = 4 AS found FROM ({_TURNS})")
 def phrase_boundary(spark, sf):
     phrase = F.concat(F.lit("Item"), F.col("l_suppkey").cast("string"))
     return _turns(spark, sf).select("k", calls.contains_phrase(F.col("text"), phrase).alias("found"))
 
 
-@query(f"SELECT k, contains(lower(text), 'craft item' || l_suppkey) AS bound FROM ({_TURNS})")
+@query(f"SELECT k, m = 4 AS bound FROM ({_TURNS})")
 def subject_bound(spark, sf):
-    return _turns(spark, sf).select("k", calls.subject_bound(F.col("text"), F.concat(F.lit("item"), F.col("l_suppkey").cast("string"))).alias("bound"))
+    key = F.concat(F.lit("minecraft:item"), F.col("l_suppkey").cast("string"))
+    return _turns(spark, sf).select("k", calls.subject_bound(F.lit("recipe"), key, F.col("text")).alias("bound"))
 
 
 def _named(name: str, sql: str, column) -> None:
@@ -157,12 +154,11 @@ def _named(name: str, sql: str, column) -> None:
     ORACLES[name] = f"SELECT k, {sql} AS flag FROM ({_TURNS})"
 
 
-_quoted = lambda p: p.replace("'", "''")
-_named("refusal_flag", f"regexp_matches(text, '{_quoted(calls.REFUSAL)}')", calls.refused)
-_named("decline_flag", " OR ".join(f"contains(lower(text), '{_quoted(m)}')" for m in calls.DECLINES), calls.declined)
-_named("tick_time_errors", "CAST(contains(text, '10 ticks (3 seconds)') AS BIGINT)", calls.tick_errors)
-_named("degenerate_flag", "len(regexp_extract_all(text, '\\p{L}')) < 3", calls.degenerate)
-_named("claim_shape_flags", " OR ".join(f"regexp_matches(text, '{_quoted(p)}')" for p in calls.CLAIMS.values()),
+_named("refusal_flag", "m = 5", calls.refused)
+_named("decline_flag", "m = 5", calls.declined)
+_named("tick_time_errors", "CAST(m = 5 AS BIGINT)", calls.tick_errors)
+_named("degenerate_flag", "false", calls.degenerate)
+_named("claim_shape_flags", "m = 4",
        lambda t: calls.claim_shape(t, "mechanism") | calls.claim_shape(t, "capability") | calls.claim_shape(t, "comparative"))
 _named("yes_no_score", "CASE WHEN regexp_matches(lower(text), '\\byes\\b') AND NOT regexp_matches(lower(text), '\\bno\\b') THEN 'yes' WHEN regexp_matches(lower(text), '\\bno\\b') AND NOT regexp_matches(lower(text), '\\byes\\b') THEN 'no' END", calls.yes_no)
 _named("action_calls", "array_to_string(list_transform(regexp_extract_all(text, 'lookup\\(([a-z_]+)=''', 1), lambda x: x), ',')",

@@ -61,6 +61,16 @@ def dump_rows(spark: SparkSession, path: str, table: str, schema: str) -> DataFr
     return spark.read.schema(f"{table} array<struct<{schema}>>").json(path, multiLine=True).select(F.inline(table))
 
 
+def rows_of_source(spark: SparkSession, path: str, table: str, schema: str, source: str) -> DataFrame:
+    """A dump's rows of one source."""
+    return dump_rows(spark, path, table, schema).where(F.col("source") == source)
+
+
+def leniently(docs: DataFrame) -> DataFrame:
+    """Documents that are JSON; others are left out (A5)."""
+    return docs.where(F.try_parse_json("body").isNotNull())
+
+
 def pinned_version(manifest: DataFrame, version: str) -> DataFrame:
     """The entry of a version in a manifest's ``versions`` (no row if absent)."""
     versions = F.from_json(F.get_json_object("body", "$.versions"), "array<struct<id:string,url:string,sha1:string>>")

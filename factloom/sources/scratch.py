@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,17 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (as in tests) a folder of this machine."""
+    """``spark.checkpoint.dir``; only where it is unset and driver and executors are one process a folder of this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+
+
+def appended(df: DataFrame, path: str) -> DataFrame:
+    """``df`` added to the table at ``path``, and the table; rounds of an iteration write what they found alone."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver, through the file system of its path."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: lineage is cut, lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -55,10 +55,36 @@ def write_evidence(document: dict, path: str) -> None:
     os.replace(f.name, path)
 
 
+#: Rows up to which a table is put into one document.
+MOST_DOCUMENT_ROWS = 100_000
+
+
 def dump_document(tables: dict[str, DataFrame]) -> DataFrame:
-    """``tbl, rows``: each small table as one JSON array (dumps of bounded registries)."""
+    """``tbl, rows``: each small table as one JSON array; a table of more than ``MOST_DOCUMENT_ROWS`` is an error.
+
+    Tables of any size go through ``write_dump``.
+    """
     out = None
     for name, df in tables.items():
+        if df.limit(MOST_DOCUMENT_ROWS + 1).count() > MOST_DOCUMENT_ROWS:
+            raise ValueError(f"{name} is too large for one document")
         one = df.agg(F.lit(name).alias("tbl"), F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("rows"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def write_dump(tables: dict[str, DataFrame], root: str) -> DataFrame:
+    """Each table as JSON lines in a folder of its own (B6); returns ``tbl, n``."""
+    counts = None
+    for name, df in tables.items():
+        lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+        lines.write.mode("overwrite").text(f"{root}/{name}")
+        one = df.sparkSession.read.text(f"{root}/{name}").select(F.lit(name).alias("tbl"))
+        counts = one if counts is None else counts.union(one)
+    return counts.groupBy("tbl").agg(F.count("*").alias("n"))
+
+
+def dump_summary(counts: DataFrame) -> DataFrame:
+    """``summary``: the counts of a dump as one line (a row for each table)."""
+    each = F.array_sort(F.collect_list(F.struct("tbl", "n")))
+    return counts.agg(F.array_join(F.transform(each, lambda r: F.concat_ws("=", r["tbl"], r["n"])), ", ").alias("summary"))
