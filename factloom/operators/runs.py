@@ -117,3 +117,13 @@ def repeated_failures(calls: DataFrame, group: str, order: list[str], signature:
     epochs = calls.withColumn("__epoch", F.coalesce(F.sum(clears.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     same = Window.partitionBy(group, signature, "__epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return epochs.withColumn("repeat", F.coalesce(F.sum(failed.cast("int")).over(same), F.lit(0)) > 0).drop("__epoch")
+
+
+def distractor(choices: Column, subject: Column) -> Column:
+    """One of the choices by the CRC-32 of the subject, so that it is the same in every process."""
+    return F.element_at(choices, (F.crc32(subject.cast("binary")) % F.size(choices) + 1).cast("int"))
+
+
+def distinct_first(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """The first ``n`` distinct values in their order (H12); ``n`` is the feature's own limit."""
+    return rows.select(column).distinct().orderBy(column).limit(n)

@@ -123,7 +123,7 @@ def call_contract(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT l_orderkey, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS place, l_returnflag FROM lineitem),
+WITH t AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS place, l_returnflag FROM lineitem),
 h AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS hop FROM t),
 e AS (SELECT *, min(CASE WHEN l_returnflag <> 'R' THEN place END) OVER (PARTITION BY l_orderkey) AS answered_at FROM h WHERE hop <= 4)
 SELECT l_orderkey, max(answered_at) AS answered_at, count(*) FILTER (WHERE answered_at IS NULL OR place < answered_at) AS n_calls,
@@ -132,7 +132,7 @@ SELECT l_orderkey, max(answered_at) AS answered_at, count(*) FILTER (WHERE answe
 def hop_replay(spark, sf):
     """Calls up to the first turn that makes none; what comes behind it doesn't count."""
     text = F.when(F.col("l_returnflag") == "R", "<tool_call>lookup(tag, tag='x')</tool_call>").otherwise("answer")
-    place = F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    place = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
     found = traces.replay(table(spark, sf, "lineitem").withColumn("place", place), "l_orderkey", "place", text, 4)
     return found.select("l_orderkey", "answered_at", "n_calls", "finish")
 

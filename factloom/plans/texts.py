@@ -31,7 +31,7 @@ def english_or_list(spark, sf):
 
 @query("""
 WITH g AS (SELECT l_orderkey, l_linenumber, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS a FROM lineitem GROUP BY ALL),
-s AS (SELECT l_orderkey, list(CASE WHEN len(a) = 1 THEN a[1] ELSE '(' || array_to_string(a, ' or ') || ')' END ORDER BY l_linenumber) AS v FROM g GROUP BY 1)
+s AS (SELECT l_orderkey, list(CASE len(a) WHEN 1 THEN a[1] WHEN 2 THEN '(' || a[1] || ' or ' || a[2] || ')' ELSE '(' || array_to_string(a[1:len(a) - 1], ', ') || ', or ' || a[-1] || ')' END ORDER BY l_linenumber) AS v FROM g GROUP BY 1)
 SELECT l_orderkey, CASE len(v) WHEN 1 THEN v[1] WHEN 2 THEN v[1] || ' and ' || v[2] ELSE array_to_string(v[1:len(v) - 1], ', ') || ', and ' || v[-1] END AS phrase FROM s
 """)
 def english_and_or(spark, sf):
