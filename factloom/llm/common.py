@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of the Arrow batches that go to Python, and of the pieces in which a batch is worked on.
-BATCH_BYTES, PIECE_BYTES = 16 << 20, 4 << 20
+BATCH_BYTES, PIECE_BYTES = 8 << 20, 2 << 20
 #: Bits of a table of marked ids (8 MB), whatever the number of ids.
 MARK_BITS = 1 << 26
 

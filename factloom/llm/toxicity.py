@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, ascii_words
+from factloom.llm.common import arrow_map, ascii_words, release
 
 #: Hash buckets; also the bound of the weights that are broadcast.
 DIM = 1 << 20
@@ -157,15 +157,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [
-            (zlib.crc32(str(i).encode()), i, np.asarray(f, np.int64), y)
+            (zlib.crc32(str(i).encode()), i, xxhash.xxh64_intdigest(f.tobytes()), f.copy(), y)
             for b in batches
             for i, y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _lists(b.column(2)), strict=True)
         ]
-        rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
-        w = fit([(f, y) for _, _, f, y in rows]) if rows else Weights(np.empty(0, np.int64), np.empty(0), 0.0)
+        rows.sort(key=lambda r: r[:3])
+        w = fit([(f, y) for *_, f, y in rows]) if rows else Weights(np.empty(0, np.int64), np.empty(0), 0.0)
+        rows.clear()
         yield pa.RecordBatch.from_arrays(
             [pa.array([w.index]), pa.array([w.value]), pa.array([w.bias])], names=["index", "value", "bias"]
         )
+        release()
 
     features = arrow_map(rows.select("i", "t", "y"), featurize, f"i {dict(rows.dtypes)['i']}, y int, f array<int>")
     (row,) = (
