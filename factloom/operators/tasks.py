@@ -162,7 +162,7 @@ def craft_traces(tasks: DataFrame) -> DataFrame:
         F.when(F.col("shape") == "partial", F.concat(F.lit("Crafted "), F.array_join(F.transform("prereqs", _bare), ", "), F.lit(" for "), name, F.lit(", which is not made yet"), counts, F.lit(".")))
         .when(done & (F.col("shape") == "recovery") & (F.size("missing") > 0), F.concat(F.lit("The first try failed for want of "), F.array_join("missing", ", "), F.lit("; now "), name, F.lit(" is made"), counts, F.lit(".")))
         .when(done, F.concat(F.lit("Made "), name, counts, F.lit(".")))
-        .otherwise(F.concat(F.lit("Could not make "), name, counts, F.lit(": "), F.coalesce(F.element_at("results", -1), F.lit("")), F.lit(".")))
+        .otherwise(F.concat(F.lit("Could not make "), name, counts, F.lit(": "), F.coalesce(F.try_element_at("results", F.lit(-1)), F.lit("")), F.lit(".")))
     )
     first = traces.message("user", F.concat(F.lit("Craft "), F.replace(name, F.lit("_"), F.lit(" ")), F.lit(".")))
     rows = tasks.withColumn("steps", steps)

@@ -104,7 +104,7 @@ def verify(traces: DataFrame, truth: DataFrame) -> DataFrame:
         "trace_id",
         n.alias("n"),
         text(1).alias("turn"),
-        F.lower(F.element_at("messages", -1)["content"]).alias("answer"),
+        F.lower(F.try_element_at("messages", F.lit(-1))["content"]).alias("answer"),
         F.when(n >= 4, calls.parse_loose(text(1))).alias("c1"),
         F.when(n == 6, calls.parse_loose(text(3))).alias("c2"),
         result(2).alias("s1"),
