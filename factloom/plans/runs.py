@@ -362,7 +362,7 @@ def rejecting_issues(spark, sf):
     issues = F.array(F.concat(F.lit("b"), F.col("l_linenumber").cast("string")), "l_linestatus")
     votes = table(spark, sf, "lineitem").select("l_orderkey", place.alias("place"), "l_returnflag", issues.alias("issues"))
     out = evaluation.rejecting_issues(votes, "l_orderkey", "place", F.col("l_returnflag") != "R", "issues")
-    return out.select("l_orderkey", "rejects", "votes", "admitted", F.size("issues").alias("n_issues"), F.coalesce(F.get("issues", F.lit(0)), F.lit("")).alias("first"))
+    return out.select("l_orderkey", "rejects", "votes", "admitted", F.size("issues").cast("long").alias("n_issues"), F.coalesce(F.get("issues", F.lit(0)), F.lit("")).alias("first"))
 
 
 @query("SELECT o_orderstatus AS side, CASE WHEN o_custkey % 4 = 0 THEN 'unobserved' ELSE o_orderpriority END AS reason, count(*) AS n FROM orders GROUP BY ALL")
@@ -459,7 +459,7 @@ def isolation_breaches(spark, sf):
     """Files outside an allow-list that hold a pattern."""
     files = _tree(spark).select("path", F.col("content").cast("string").alias("body"))
     found = reshaping.isolation_breaches(files, "ungated", spark.sql("SELECT 'b/d.js' AS path"))
-    return found.withColumn("regions", F.lit(table(spark, sf, "region").count()))
+    return found.withColumn("regions", F.lit(table(spark, sf, "region").count()).cast("long"))
 
 
 @query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
