@@ -47,9 +47,10 @@ def containment_pairs(sets: DataFrame, group: str, key: str) -> DataFrame:
     decide. Items with equal sets must be given once.
     """
     values = sets.select(group, key, "vals", F.explode("vals").alias("v"))
-    counts = values.groupBy(group, "v").agg(F.count("*").alias("n"))
-    rarest = values.join(counts, [group, "v"]).groupBy(group, key).agg(F.min(F.struct("n", "v")).alias("r"), F.first("vals").alias("vals"))
-    a = rarest.select(group, F.col(key).alias("part"), F.col("vals").alias("few"), F.col("r.v").alias("v"))
+    counted = values.groupBy(group, "v").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(group, key).orderBy("n", "v"))
+    rarest = values.join(counted, [group, "v"]).withColumn("k", rank).where("k = 1")
+    a = rarest.select(group, F.col(key).alias("part"), F.col("vals").alias("few"), "v")
     b = values.select(group, F.col(key).alias("whole"), F.col("vals").alias("many"), "v")
     held = (F.size("few") < F.size("many")) & (F.size(F.array_except("few", "many")) == 0)
     return a.join(b, [group, "v"]).where(held).select(group, "part", "whole")
