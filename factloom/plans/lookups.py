@@ -88,9 +88,9 @@ def membership_semi(spark, sf):
     return table(spark, sf, "customer").join(facts, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def membership_anti(spark, sf):
-    facts = table(spark, sf, "orders")
+    facts = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
     return table(spark, sf, "customer").join(facts, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 

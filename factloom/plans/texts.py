@@ -198,14 +198,14 @@ def level_claim_errors(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", calls.level_errors(text, {"sharpness": 5, "mending": 1}).alias("wrong"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, false AS failed, props AS object FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, event_id % 3 <> 2 AS failed, props AS object FROM events")
 def json_scalars(spark, sf):
     """Scalars of small JSON texts and the first object of a text with a tail."""
     p = F.col("props")
     return table(spark, sf, "events").select(
         "event_id",
         F.get_json_object(p, "$.k").isNotNull().alias("has_k"),
-        calls.failed_result(p).alias("failed"),
+        calls.failed_result(F.when(F.col("event_id") % 3 == 0, '{"error": {"at": 1}}').when(F.col("event_id") % 3 == 1, '{"reason": "", "x": 2}').otherwise(p)).alias("failed"),
         calls.json_prefix(F.concat(p, F.lit(' and {"more": 1}'))).alias("object"),
     )
 
@@ -247,15 +247,16 @@ def thought_reshape(spark, sf):
     return rows.select("doc_id", t.isNull().alias("malformed"), t["thought"].alias("thought"), t["answer"].alias("answer"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN true WHEN p_partkey % 3 = 1 THEN true ELSE false END AS protected FROM part
-""")
+@query("SELECT p_partkey, p_partkey % 6 IN (0, 1, 3, 4) AS protected FROM part")
 def protected_gear(spark, sf):
     """J33."""
     from factloom.functions import reshaping
 
-    name = F.element_at(F.array(*map(F.lit, ("netherite_hoe", "diamond_axe", "diamond"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", reshaping.protected_gear(name, F.array().cast("array<string>")).alias("protected"))
+    k = F.col("p_partkey") % 6
+    name = F.element_at(F.array(*map(F.lit, ("netherite_hoe", "diamond_axe", "diamond", "stick", "book", "stone_axe"))), (k + 1).cast("int"))
+    worked = F.when(k == 3, F.array(F.lit("minecraft:lore"), F.lit("minecraft:enchantments"))).when(k == 4, F.array(F.lit("minecraft:stored_enchantments")))
+    components = F.coalesce(worked, F.when(k == 5, F.array(F.lit("minecraft:lore"))), F.array().cast("array<string>"))
+    return table(spark, sf, "part").select("p_partkey", reshaping.protected_gear(name, components).alias("protected"))
 
 
 @query("""
