@@ -141,28 +141,42 @@ def _mark(ids: Column) -> Column:
     return F.pmod(F.xxhash64(ids.cast("long")), F.lit(MARK_BITS))
 
 
-def marked(ids: DataFrame, id_col: str, of: Column) -> Column:
-    """A condition on ``of`` that holds for every id in ``ids`` (null too) and for few others.
+class Marks:
+    """Ids that set bits of a table of fixed size, which is broadcast.
 
-    The ids set bits of a table of fixed size, which is broadcast: a join on ids
-    behind this filter shuffles little more than the rows that it is after. Where
-    ids are so many that most bits are set, more rows pass and the join, which
-    decides, does the work.
+    A join on ids behind the filter ``of`` shuffles little more than the rows that it
+    is after. Where ids are so many that most bits are set, more rows pass and the
+    join, which decides, does the work.
     """
-    bit = ids.select(_mark(column_of(id_col)).alias("b"))
-    word, flag = F.shiftright("b", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(b, 64) as int))").alias("flag")
-    # at most MARK_BITS / 64 rows, whatever the input
-    found = bit.select(word, flag).groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()
-    table = np.zeros(MARK_BITS // 64, np.int64)
-    table[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    held = ids.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def test(bits: pa.Array) -> pa.Array:
-        b = bits.to_numpy(zero_copy_only=False)
-        return pa.array((held.value[b >> 6] >> (b & 63)) & 1 == 1)
-
-    return test(_mark(of))
+
+    def __init__(self, ids: DataFrame, id_col: str) -> None:
+        bit = ids.select(_mark(column_of(id_col)).alias("b"))
+        word, flag = F.shiftright("b", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(b, 64) as int))").alias("flag")
+        # at most MARK_BITS / 64 rows, whatever the input
+        found = bit.select(word, flag).groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()
+        table = np.zeros(MARK_BITS // 64, np.int64)
+        table[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        self.held = ids.sparkSession.sparkContext.broadcast(table)
+
+    def of(self, ids: Column) -> Column:
+        """A condition that holds for every marked id (null too) and for few others."""
+        held = self.held
+
+        @F.arrow_udf("boolean")
+        def test(bits: pa.Array) -> pa.Array:
+            b = bits.to_numpy(zero_copy_only=False)
+            return pa.array((held.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+        return test(_mark(ids))
+
+    def drop(self) -> None:
+        """Free the table; for when all that was filtered is written."""
+        self.held.destroy()
+
+
+def marked(ids: DataFrame, id_col: str, of: Column) -> Column:
+    """The condition of ``Marks`` alone, for results that aren't written yet."""
+    return Marks(ids, id_col).of(of)
 
 
 def texts_of(column: pa.Array) -> list[str]:

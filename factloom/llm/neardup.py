@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, column_of, discard, marked, materialize, runs_by_bytes, unused
+from factloom.llm.common import Marks, arrow_map, column_of, discard, marked, materialize, runs_by_bytes, unused
 
 #: Coordinates of a signature, minima of a coordinate, coordinates that must agree, minima that must.
 COORDINATES, ROWS, T, AGREE = 20, 2, 2, 16
@@ -211,15 +211,11 @@ def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs, batch, "rep long, bits array<long>")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``doc_id, text`` whose ids are marked by ``ids`` (``doc_id``): these and few more."""
-    return docs.where(marked(ids, "doc_id", F.col("doc_id")))
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough; sets are made anew from the texts of these alone."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    found = materialize(_texts_of(docs, ids), "texts")
+    marks = Marks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
+    found = materialize(docs.where(marks.of(F.col("doc_id"))), "texts")
+    marks.drop()
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(b.num_rows, bool)
@@ -347,8 +343,10 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     discard(full)
     if not left.isEmpty():
         ids = left.select("rep").union(right.select("rep")).distinct().withColumnRenamed("rep", "doc_id")
-        sets = _bitmaps(_texts_of(texts, ids).join(ids, "doc_id", "left_semi"), words).join(prefix, "rep")
-        sets = materialize(sets, "sets")
+        marks = Marks(ids, "doc_id")
+        near_texts = texts.where(marks.of(F.col("doc_id"))).join(ids, "doc_id", "left_semi")
+        sets = materialize(_bitmaps(near_texts, words).join(prefix, "rep"), "sets")
+        marks.drop()
         # Bitmaps are compared inside the join, so that it puts out few pairs that aren't similar: bits that differ
         # are at most as many as shingles that do. Full sets confirm.
         # (a fold, since the unrolled sum of all words is more code than the JVM compiles)
