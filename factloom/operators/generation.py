@@ -69,10 +69,11 @@ ALIASES = (
     ("Where does one find copper?", "minecraft:raw_copper"),
     ("Where are diamonds?", "minecraft:diamond"),
 )
-#: Real items that are asked for their use.
+# Real items that are asked for their use.
 USED_ITEMS = (
     "minecraft:carrot_on_a_stick", "minecraft:compass", "minecraft:clock", "minecraft:spyglass", "minecraft:lead", "minecraft:name_tag",
-    "minecraft:shears", "minecraft:shield", "minecraft:elytra", "minecraft:trident", "minecraft:fishing_rod", "minecraft:map",
+    "minecraft:shears", "minecraft:shield", "minecraft:elytra", "minecraft:totem_of_undying", "minecraft:trident", "minecraft:fishing_rod",
+    "minecraft:flint_and_steel", "minecraft:map",
 )
 #: Limits of the families: traces of recipes, loot, sources and tags, members of a small and of a large tag.
 LIMITS = {"recipe": 1200, "loot": 500, "loot_source": 400, "tag": 150, "small": 12, "large": 40}

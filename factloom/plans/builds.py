@@ -137,7 +137,7 @@ SELECT family, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS c, count(*) FILTE
   count(*) FILTER (WHERE n_nationkey % 5 = 0) AS ores, count(*) FILTER (WHERE n_nationkey % 4 = 0) AS chained, count(DISTINCT n_regionkey) AS regions FROM nation),
 LATERAL (VALUES ('breeding_food', regions), ('recipe', c), ('enchantment', even), ('ore_depth', ores), ('loot', c + 3 * regions), ('loot_source', 4), ('villager_trade', c),
   ('jukebox_song', c), ('painting', c), ('tag', 2 * regions), ('large_tag', 1), ('item_use', used), ('decline', 15), ('wording', 2), ('goal', 1), ('multihop', chained),
-  ('cross', regions), ('source_depth', 1), ('alias', 1), ('usage_decline', 12)) AS t(family, n)
+  ('cross', regions), ('source_depth', 1), ('alias', 1), ('usage_decline', 14)) AS t(family, n)
 """
 
 
