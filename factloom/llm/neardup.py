@@ -244,7 +244,10 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of the nodes of ``a, b`` edges, written.
 
     Alternating large-star and small-star steps; each writes its edges, so an
-    iteration's lineage is one step long. Edges stay as many as they are.
+    iteration's lineage is one step long. Edges stay as many as they are. The least
+    neighbours are written before they are joined: a few are broadcast (Spark checks
+    their size), many are shuffled like the edges, and adaptive execution can then
+    split the edges of a centre, however many they are, over tasks.
     """
     edges = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -252,9 +255,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        discard(low)
+        discard(edges)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -263,9 +269,10 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         after = materialize(small, "edges")
+        discard(low)
+        discard(large)
         row = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         now = (row["n"], row["s"])
-        discard(edges)
         edges = after
         if now == state or not now[0]:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

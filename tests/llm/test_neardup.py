@@ -78,6 +78,21 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
 
 
+def test_components_whose_centres_are_split(spark):
+    """Centres with most of the edges, joined by shuffles whose skewed partitions are split."""
+    edges = [(0, i) for i in range(1, 6000)] + [(9000 - i, 9000) for i in range(1, 2000)] + [(7000, 20_000), (20_000, 20_001)]
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.advisoryPartitionSizeInBytes": "2k"}
+    was = {k: spark.conf.get(f"spark.sql.{k}", None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = dict(map(tuple, neardup.components(spark.createDataFrame(edges, "a long, b long")).distinct().collect()))
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert got == {**dict.fromkeys(range(6000), 0), **dict.fromkeys([*range(7001, 9001)], 7001), **dict.fromkeys((7000, 20_000, 20_001), 7000)}
+
+
 def test_remove_keeps_one_of_each_group(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (5, "q r"), (5, "other text"), (None, "a b c d e f g"), (9, None), (10, None)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, kept int")
