@@ -96,12 +96,13 @@ def indist_semi(spark, sf):
 SELECT CAST(count(*) FILTER (WHERE a.doc_id IS NULL OR b.doc_id IS NULL) AS BIGINT) AS unpaired,
   CAST(count(*) FILTER (WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.verdict IS DISTINCT FROM b.verdict) AS BIGINT) AS differ_verdict
 FROM (SELECT doc_id, quality AS verdict FROM labels) a
-FULL JOIN (SELECT doc_id, 1 - toxic AS verdict FROM labels WHERE doc_id % 10 <> 3) b ON a.doc_id = b.doc_id
+FULL JOIN (SELECT CASE WHEN doc_id % 10 = 3 THEN -1 - doc_id ELSE doc_id END AS doc_id, 1 - toxic AS verdict FROM labels) b ON a.doc_id = b.doc_id
 """)
 def paired_zip_validate(spark, sf):
     labels = table(spark, sf, "labels")
     left = labels.select("doc_id", F.col("quality").alias("verdict"))
-    right = labels.where("doc_id % 10 <> 3").select("doc_id", (1 - F.col("toxic")).alias("verdict"))
+    key = F.col("doc_id")  # a tenth of the rows has ids without a partner
+    right = labels.select(F.when(key % 10 == 3, -1 - key).otherwise(key).alias("doc_id"), (1 - F.col("toxic")).alias("verdict"))
     return relations.zip_validate(left, right, "doc_id", ["verdict"])
 
 

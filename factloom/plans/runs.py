@@ -47,8 +47,8 @@ def circuit_states(spark, sf):
 
 @query("""
 WITH a AS (SELECT doc_id AS k, quality AS q, doc_id % 97 AS seed, 'p' || doc_id AS prompt FROM labels),
-b AS (SELECT doc_id AS k, CASE WHEN doc_id % 11 = 0 THEN 7 ELSE quality END AS q, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE doc_id % 97 END AS seed,
-  CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'p' || doc_id END AS prompt FROM labels WHERE doc_id % 19 <> 0)
+b AS (SELECT CASE WHEN doc_id % 19 = 0 THEN -1 - doc_id ELSE doc_id END AS k, CASE WHEN doc_id % 11 = 0 THEN 7 ELSE quality END AS q, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE doc_id % 97 END AS seed,
+  CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'p' || doc_id END AS prompt FROM labels)
 SELECT count(*) AS rows, count(*) FILTER (WHERE a.k IS NULL OR b.k IS NULL) AS unpaired, count(*) FILTER (WHERE a.q <> b.q) AS identity,
   count(*) FILTER (WHERE a.seed <> b.seed) AS seed, count(*) FILTER (WHERE a.prompt <> b.prompt) AS prompt FROM a FULL JOIN b USING (k)
 """)
@@ -56,8 +56,8 @@ def paired_evidence(spark, sf):
     """Two arms by position: partners, identity, seeds and first prompts."""
     k = F.col("doc_id")
     rows = table(spark, sf, "labels").select(k.alias("k"), F.col("quality").alias("q"), (k % 97).alias("seed"), F.concat(F.lit("p"), k.cast("string")).alias("prompt"))
-    other = rows.where("k % 19 <> 0").withColumns(
-        {"q": F.when(F.col("k") % 11 == 0, 7).otherwise(F.col("q")), "seed": F.when(F.col("k") % 13 == 0, -1).otherwise(F.col("seed")), "prompt": F.when(F.col("k") % 17 == 0, "").otherwise(F.col("prompt"))}
+    other = rows.withColumns(
+        {"k": F.when(F.col("k") % 19 == 0, -1 - F.col("k")).otherwise(F.col("k")), "q": F.when(F.col("k") % 11 == 0, 7).otherwise(F.col("q")), "seed": F.when(F.col("k") % 13 == 0, -1).otherwise(F.col("seed")), "prompt": F.when(F.col("k") % 17 == 0, "").otherwise(F.col("prompt"))}
     )
     return evidence.pairing(rows, other, "k", ["q"], "seed", "prompt")
 
@@ -76,7 +76,7 @@ def input_drift(spark, sf):
 
 _FACT_ROWS = """
 SELECT CASE p_partkey % 3 WHEN 0 THEN 'recipe' WHEN 1 THEN 'enchantment' ELSE 'song' END AS category, 'minecraft:p' || p_partkey AS subject, 'What of ' || p_partkey || '?' AS question,
-  CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS VARCHAR) END AS expected, 'int_equals' AS score_kind, p_partkey % 2 = 0 AS trained FROM part
+  CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS VARCHAR) END AS expected, 'int_equals' AS score_kind, p_size <= 25 AS trained FROM part
 """
 
 
@@ -89,7 +89,7 @@ def _fact_rows(spark, sf, held_out: bool):
         F.when(k % 7 != 0, F.array(F.col("p_size").cast("string"))).alias("expected"),
         F.lit("int_equals").alias("score_kind"),
     )
-    trained = table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("minecraft:p"), F.col("p_partkey").cast("string")).alias("subject"))
+    trained = table(spark, sf, "part").where("p_size <= 25").select(F.concat(F.lit("minecraft:p"), F.col("p_partkey").cast("string")).alias("subject"))
     found = generation.fact_items(facts, trained, 40, held_out)
     return found.withColumn("expected", F.array_join("expected", ","))
 
