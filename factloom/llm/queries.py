@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, knn, mixing, neardup, pii, secrets, tokens, toxicity, warc
+from factloom.llm import chat, decontaminate, knn, licenses, mixing, neardup, pii, secrets, tokens, toxicity, warc
 from factloom.llm.common import table
 
 #: Equal payloads of at least so many bytes are revisits.
@@ -55,6 +55,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_neardup,
         op10_decontaminate,
+        op11_licenses,
     )
 }
 
