@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, knn, licenses, mixing, neardup, pii, secrets, tokens, toxicity, warc
+from factloom.llm import chat, decontaminate, knn, licenses, mixing, neardup, pii, secrets, tokens, toxicity, vq, warc
 from factloom.llm.common import table
 
 #: Equal payloads of at least so many bytes are revisits.
@@ -59,6 +59,10 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(table(spark, sf_dir, "documents"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vq.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_neardup,
         op10_decontaminate,
         op11_licenses,
+        op12_codes,
     )
 }
 
