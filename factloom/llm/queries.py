@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, knn, licenses, mixing, neardup, pii, secrets, tokens, toxicity, vq, warc
+from factloom.llm import audit, chat, decontaminate, knn, licenses, mixing, neardup, pii, secrets, tokens, toxicity, vq, warc
 from factloom.llm.common import table
 
 #: Equal payloads of at least so many bytes are revisits.
@@ -63,6 +63,10 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vq.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontaminate,
         op11_licenses,
         op12_codes,
+        op13_filter_audit,
     )
 }
 
@@ -176,4 +181,89 @@ SELECT doc_id, lang, source, domain AS mix_domain, n AS mix_tokens, copies FROM
 ) WHERE copies > 0
 """
 
-ORACLES: dict[str, str] = {"op4_topk": _OP4, "op8_mixing": _OP8, "op10_decontaminate": _OP10}
+
+def _lloyd_sql(rounds: int = 6) -> str:
+    """Rounds of Lloyd's method, a pair of tables each."""
+    far = "list_sum(list_transform(generate_series(1, len(p.part)), lambda i: (p.part[i] - b.part[i]) * (p.part[i] - b.part[i])))"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+, a{r} AS MATERIALIZED (
+  SELECT rid, j, part, k, far FROM (
+    SELECT p.rid, p.j, p.part, b.k, {far} AS far, row_number() OVER (PARTITION BY p.rid, p.j ORDER BY {far}, b.k) AS r
+    FROM p JOIN b{r} b ON p.j = b.j) WHERE r = 1
+)"""
+        if r < rounds:
+            steps += f"""
+, b{r + 1} AS MATERIALIZED (
+  SELECT b.j, b.k, coalesce(n.part, b.part) AS part FROM b{r} b LEFT JOIN (
+    SELECT j, k, list((s - ((s % c) + c) % c) // c ORDER BY i) AS part FROM (
+      SELECT j, k, i, CAST(sum(part[i]) AS BIGINT) AS s, count(*) AS c
+      FROM (SELECT j, k, part, unnest(generate_series(1, len(part))) AS i FROM a{r}) GROUP BY j, k, i) GROUP BY j, k
+  ) n ON b.j = n.j AND b.k = n.k
+)"""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY vec_id, e) AS rid FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), p AS MATERIALIZED (
+  SELECT rid, j, e[j * (len(e) // 8) + 1 : (j + 1) * (len(e) // 8)] AS part FROM v, (SELECT unnest(generate_series(0, 7)) AS j)
+), b0 AS MATERIALIZED (SELECT j, rid - 1 AS k, part FROM p WHERE rid <= 16)
+{steps}
+, coded AS (
+  SELECT rid, string_agg(format('{{:02x}}', CAST(k AS INTEGER)), '' ORDER BY j) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY rid
+), digest AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY j, k)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM v JOIN coded USING (rid) CROSS JOIN digest
+"""
+
+
+_OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), judged AS (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM t
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), states AS (
+  SELECT part, a, b, c, d, e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM judged LEFT JOIN known USING (doc_id) GROUP BY ALL
+), letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT p FROM (SELECT v.f || w.f || x.f || y.f || z.f AS p FROM letters v, letters w, letters x, letters y, letters z)
+  WHERE len(list_distinct(string_split(p, ''))) = 5
+), gone AS (
+  SELECT part, p, step, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * good) AS BIGINT) AS good, CAST(sum(n * toxic) AS BIGINT) AS toxic FROM (
+    SELECT part, p, n, good, toxic, least(CASE WHEN a THEN instr(p, 'A') ELSE 6 END, CASE WHEN b THEN instr(p, 'B') ELSE 6 END,
+      CASE WHEN c THEN instr(p, 'C') ELSE 6 END, CASE WHEN d THEN instr(p, 'D') ELSE 6 END, CASE WHEN e THEN instr(p, 'E') ELSE 6 END) AS step
+    FROM states CROSS JOIN orders) GROUP BY part, p, step
+), failing AS (
+  SELECT part, f, CAST(sum(CASE WHEN fails THEN n ELSE 0 END) AS BIGINT) AS n, CAST(sum(CASE WHEN fails AND many = 1 THEN n ELSE 0 END) AS BIGINT) AS alone
+  FROM (
+    SELECT part, f, n, CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+      a::INT + b::INT + c::INT + d::INT + e::INT AS many FROM states CROSS JOIN letters) GROUP BY part, f
+), whole AS (SELECT part, CAST(sum(n) AS BIGINT) AS n FROM states GROUP BY part),
+every AS (
+  SELECT part, p, step, substr(p, step, 1) AS f, whole.n AS whole, coalesce(gone.n, 0) AS removed, coalesce(gone.good, 0) AS good_lost,
+    coalesce(gone.toxic, 0) AS toxic_lost
+  FROM whole CROSS JOIN orders CROSS JOIN (SELECT unnest(generate_series(1, 5)) AS step) LEFT JOIN gone USING (part, p, step)
+)
+SELECT part, p AS filter_order, CAST(step AS INTEGER) AS step,
+  CAST(whole - sum(removed) OVER (PARTITION BY part, p ORDER BY step) AS BIGINT) AS kept, removed, failing.n - removed AS redundant,
+  failing.alone AS unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM every JOIN failing USING (part, f)
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_topk": _OP4,
+    "op8_mixing": _OP8,
+    "op10_decontaminate": _OP10,
+    "op12_codes": _lloyd_sql(),
+    "op13_filter_audit": _OP13,
+}
