@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from factloom.sources.scratch import written
 
@@ -111,12 +115,45 @@ def streaks(events: DataFrame, group: str, order: list[str], bad: Column, least:
     return runs.groupBy(group).agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
 
 
-def repeated_failures(calls: DataFrame, group: str, order: list[str], signature: str, failed: Column, clears: Column) -> DataFrame:
-    """Calls that an earlier failure with the same signature makes pointless, unless a clearing success lies between."""
-    w = Window.partitionBy(group).orderBy(*order)
-    epochs = calls.withColumn("__epoch", F.coalesce(F.sum(clears.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    same = Window.partitionBy(group, signature, "__epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return epochs.withColumn("repeat", F.coalesce(F.sum(failed.cast("int")).over(same), F.lit(0)) > 0).drop("__epoch")
+def guarded_calls(
+    calls: DataFrame, group: str, order: list[str], tool: Column, signature: Column, failed: Column, clearing: str = "craft"
+) -> DataFrame:
+    """``calls`` with ``guarded``: the same call failed before in its trajectory, so it isn't made again.
+
+    A guarded call neither fails nor clears, whatever its recorded result. A call of
+    the ``clearing`` tool that is made and succeeds clears the failures of that tool,
+    not those of others. Rows without signature are no calls.
+
+    What a call does depends on all before it, so a trajectory is folded in its order:
+    rows come sorted by trajectory and stream through the task, which holds no more
+    than the failed signatures of one trajectory.
+    """
+    names = ("__group", "__tool", "__call", "__failed")
+    rows = calls.withColumns(
+        dict(zip(names, (F.col(group).cast("string"), tool, signature, F.coalesce(failed, F.lit(False))), strict=True))
+    )
+    rows = rows.repartition(group).sortWithinPartitions(group, *order)
+    width = len(calls.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = None, True
+        bad: dict[str, set[str]] = {}  # failed signatures by tool
+        for b in batches:
+            out = []
+            for g, t, call, failure in zip(*(b.column(width + i).to_pylist() for i in range(4)), strict=True):
+                if first or g != now:
+                    now, first, bad = g, False, {}
+                skipped = call is not None and call in bad.get(t, ())
+                out.append(skipped)
+                if call is None or skipped:
+                    continue
+                if failure:
+                    bad.setdefault(t, set()).add(call)
+                elif t == clearing:
+                    bad.pop(t, None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.bool_())], names=[*b.schema.names[:width], "guarded"])
+
+    return rows.mapInArrow(fold, StructType([*calls.schema.fields, StructField("guarded", BooleanType())]))
 
 
 def distractor(choices: Column, subject: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import calls
 from factloom.operators import traces
-from factloom.operators.runs import repeated_failures
+from factloom.operators.runs import guarded_calls
 
 #: Timeouts in a row after which the rest of a batch isn't tried.
 BREAKER = 3
@@ -50,8 +50,8 @@ def task_outcomes(turns: DataFrame, tasks: DataFrame, hops: int) -> DataFrame:
 
     ``turns`` is ``task, hop, text, result`` and ``tasks`` is ``task, bucket, before,
     after, error``. A task has the hops up to its first turn without any call, at
-    most ``hops``; failed calls, calls that repeat a failed one although nothing was
-    crafted since (H15), and calls of no known function are counted. It is verified
+    most ``hops``; calls that were made and failed, calls that the guard keeps from
+    repeating a failed one (H15), and calls of no known function are counted. It is verified
     if there is more than before; a task that crashed stays, with its error.
     """
     text = F.col("text")
@@ -61,16 +61,15 @@ def task_outcomes(turns: DataFrame, tasks: DataFrame, hops: int) -> DataFrame:
     signature = F.when(kind == "action", F.concat_ws("|", action["tool"], F.to_json(action["args"])))
     failed = (kind == "action") & F.coalesce(calls.failed_result(F.col("result")), F.lit(False))
     rows = turns.where(F.col("hop") < hops).select(
-        "task", "hop", kind.alias("kind"), signature.alias("signature"), failed.alias("failed"),
-        F.coalesce((action["tool"] == "craft") & ~failed, F.lit(False)).alias("clears"),
-    )
+        "task", "hop", kind.alias("kind"), action["tool"].alias("tool"), signature.alias("signature"), failed.alias("failed")
+    )
     ends = Window.partitionBy("task").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("over", F.coalesce(F.max(F.col("kind") == "end").over(ends), F.lit(False))).where("not over")
-    guarded = repeated_failures(rows, "task", ["hop"], "signature", F.col("failed"), F.col("clears"))
+    guarded = guarded_calls(rows, "task", ["hop"], F.col("tool"), F.col("signature"), F.col("failed"))
     counted = guarded.groupBy("task").agg(
         F.count_if(F.col("kind") != "end").alias("hops"),
-        F.count_if("failed").alias("failed"),
-        F.count_if((F.col("kind") == "action") & F.col("repeat")).alias("repeats"),
+        F.count_if(F.col("failed") & ~F.col("guarded")).alias("failed"),
+        F.count_if("guarded").alias("repeats"),
         F.count_if(F.col("kind") == "unknown").alias("unknown"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -296,13 +296,23 @@ def consecutive_failures(spark, sf):
 
 
 @query("""
-WITH e AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ep FROM events)
-SELECT event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type, ep ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS repeat FROM e
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type IN ('purchase', 'signup', 'view') AS craft, CAST(floor(value) AS BIGINT) % 3 = 0 AS failed, event_type || ':' || (event_id % 2) AS call,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, false AS guarded, CAST([] AS VARCHAR[]) AS crafts, CAST([] AS VARCHAR[]) AS others FROM e
+UNION ALL
+SELECT e.user_id, e.k, e.event_id, list_contains(crafts, call) OR list_contains(others, call),
+  CASE WHEN NOT craft OR list_contains(crafts, call) THEN crafts WHEN failed THEN list_append(crafts, call) ELSE [] END,
+  CASE WHEN craft OR NOT failed OR list_contains(others, call) THEN others ELSE list_append(others, call) END
+FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, guarded FROM f WHERE k > 0
 """)
 def repeat_call_guard(spark, sf):
+    """What was skipped neither fails nor clears, and a craft clears crafts only."""
     e = table(spark, sf, "events")
-    out = runs.repeated_failures(e, "user_id", ["ts", "event_id"], "event_type", F.col("event_type") == "error", F.col("event_type") == "purchase")
-    return out.select("event_id", "repeat")
+    tool = F.when(F.col("event_type").isin("purchase", "signup", "view"), "craft").otherwise("goto_block")
+    call = F.concat_ws(":", "event_type", (F.col("event_id") % 2).cast("string"))
+    out = runs.guarded_calls(e, "user_id", ["ts", "event_id"], tool, call, F.floor("value") % 3 == 0)
+    return out.select("event_id", "guarded")
 
 
 @query("SELECT item_id, CAST('0x' || substr(sha256('42' || chr(0) || text), 1, 8) AS BIGINT) AS seed FROM benchmark")

@@ -199,14 +199,17 @@ def state_snapshots(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS hop FROM events),
+WITH RECURSIVE t AS (SELECT user_id, event_type, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS hop FROM events),
 k AS (SELECT *, CASE event_type WHEN 'click' THEN 'action' WHEN 'error' THEN 'action' WHEN 'view' THEN 'lookup' WHEN 'signup' THEN 'unknown' ELSE 'end' END AS kind,
-  event_type = 'error' OR (event_type = 'click' AND value < 30) AS failed FROM t WHERE hop < 8),
+  event_type || CASE WHEN event_type = 'click' THEN event_id % 2 ELSE 0 END AS call, event_type = 'error' OR (event_type = 'click' AND value < 30) AS failed FROM t WHERE hop < 8),
 o AS (SELECT * FROM (SELECT *, coalesce(bool_or(kind = 'end') OVER (PARTITION BY user_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM k) WHERE NOT over),
-e AS (SELECT *, coalesce(sum((event_type = 'click' AND NOT failed)::INT) OVER (PARTITION BY user_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ep FROM o),
-r AS (SELECT *, coalesce(sum(failed::INT) OVER (PARTITION BY user_id, event_type, ep ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS again FROM e),
-c AS (SELECT user_id, count(*) FILTER (WHERE kind <> 'end') AS hops, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE kind = 'action' AND again) AS repeats,
-  count(*) FILTER (WHERE kind = 'unknown') AS unknown FROM r GROUP BY user_id)
+f AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS hop, '' AS kind, false AS guarded, false AS counts, CAST([] AS VARCHAR[]) AS bad FROM o
+UNION ALL
+SELECT o.user_id, o.hop, o.kind, o.kind = 'action' AND list_contains(bad, call), o.kind = 'action' AND failed AND NOT list_contains(bad, call),
+  CASE WHEN o.kind <> 'action' OR list_contains(bad, call) THEN bad WHEN failed THEN list_append(bad, call) WHEN event_type = 'click' THEN list_filter(bad, lambda x: x NOT LIKE 'click%') ELSE bad END
+FROM f JOIN o ON o.user_id = f.user_id AND o.hop = f.hop + 1),
+c AS (SELECT user_id, count(*) FILTER (WHERE kind NOT IN ('end', '')) AS hops, count(*) FILTER (WHERE counts) AS failed, count(*) FILTER (WHERE guarded) AS repeats,
+  count(*) FILTER (WHERE kind = 'unknown') AS unknown FROM f GROUP BY user_id)
 SELECT c_custkey AS task, c_nationkey AS bucket, coalesce(hops, 0) AS hops, coalesce(failed, 0) AS failed, coalesce(repeats, 0) AS repeats, coalesce(unknown, 0) AS unknown,
   c_custkey % 13 <> 0 AND c_acctbal > 5000 AS verified, c_custkey % 13 = 0 AS crashed FROM customer LEFT JOIN c ON user_id = c_custkey
 """)
@@ -214,7 +217,7 @@ def live_tasks(spark, sf):
     """Hops, failures, pointless repeats and calls of nothing, by task; crashed ones stay."""
     kind, value = F.col("event_type"), F.col("value")
     text = (
-        F.when(kind == "click", "<tool_call>action(craft, item='stick', count=8)</tool_call>")
+        F.when(kind == "click", F.concat(F.lit("<tool_call>action(craft, item='stick', count="), (F.col("event_id") % 2).cast("string"), F.lit(")</tool_call>")))
         .when(kind == "error", "<tool_call>action(goto_block, block='x', radius=16)</tool_call>")
         .when(kind == "view", "<tool_call>lookup(recipe, result_item='x')</tool_call>")
         .when(kind == "signup", "<tool_call>prompt(help)</tool_call>")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import calls, names
 from factloom.operators.runs import question_seed
 from factloom.plans.base import ORACLES, QUERIES, query, table
+from factloom.sources import reports
 
 _PART = "SELECT p_partkey, 'minecraft:' || replace(lower(p_name), ' ', '_') AS id FROM part"
 
@@ -166,7 +167,7 @@ _named("action_calls", "array_to_string(list_transform(regexp_extract_all(text,
 
 
 @query(f"""
-WITH t AS (SELECT k, unnest(list_distinct(regexp_extract_all(text, '{calls.ID_TOKEN}'))) AS id FROM ({_TURNS}))
+WITH t AS (SELECT k, unnest(['minecraft:thing' || l_suppkey, 'minecraft:a/b']) AS id FROM ({_TURNS}) WHERE m = 5)
 SELECT t.k, t.id FROM t WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE 'minecraft:thing' || (s_suppkey - s_suppkey % 2) = t.id)
 """)
 def unknown_ids(spark, sf):
@@ -191,11 +192,46 @@ def completion_class(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, CAST((o_custkey % 8 > 5)::INT + (o_custkey % 4 > 1)::INT AS BIGINT) AS wrong FROM orders
+WITH f AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name, length(split_part(p_name, ' ', 1)) AS top FROM part),
+c AS (SELECT p_partkey, p_partkey % 6 AS form, split_part(p_name, ' ', 1) AS name, p_size % 9 AS said FROM part)
+SELECT p_partkey, name, CAST(said AS BIGINT) AS stated, CAST(top AS BIGINT) AS max_level FROM c JOIN f USING (name) WHERE form IN (0, 2, 4) AND said <> top
 """)
 def level_claim_errors(spark, sf):
-    text = F.concat(F.lit("Sharpness "), (F.col("o_custkey") % 8).cast("string"), F.lit(" with mending "), (F.col("o_custkey") % 4).cast("string"), F.lit(", luck 9"))
-    return table(spark, sf, "orders").select("o_orderkey", calls.level_errors(text, {"sharpness": 5, "mending": 1}).alias("wrong"))
+    """What is claimed to be a greatest level, above or below the fact; bare levels and other names are left alone."""
+    said, name = (F.col("p_size") % 9).cast("string"), F.initcap(F.substring_index("p_name", " ", 1))
+    forms = (
+        F.concat(name, F.lit(" has a maximum level of "), said),
+        F.concat(F.lit("The maximum level of "), name, F.lit(" is "), said),  # the name must stand in front
+        F.concat(name, F.lit("  goes up to level "), said, F.lit(", I think")),
+        F.concat(name, F.lit(" "), said),
+        F.concat(F.lit("Luck caps at level 7. "), F.upper(name), F.lit(" caps at level "), said, F.lit(".")),
+        F.concat(F.lit("Bogus goes up to level "), said, F.lit(". And "), name, F.lit(" "), said),
+    )
+    part = table(spark, sf, "part")
+    texts = part.select("p_partkey", F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int")).alias("text"))
+    word = F.substring_index("p_name", " ", 1)
+    facts = part.select(word.alias("name"), F.char_length(word).cast("long").alias("max_level")).distinct()
+    found = calls.level_errors(texts, "p_partkey", "text", facts)
+    return found.withColumn("stated", F.col("stated").cast("long"))
+
+
+@query("""
+SELECT doc_id, doc_id % 3 <> 2 AS clean, CASE WHEN doc_id % 3 <> 2 THEN sha256(text) END AS said,
+  CASE WHEN doc_id % 3 = 0 THEN sha256(text) END AS first_said FROM documents
+""")
+def long_json_texts(spark, sf):
+    """Whole texts as JSON strings with comments around them, and the object in front of a tail."""
+    string = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("t"))), r'^\{"t":|\}$', "")
+    body = F.concat(F.lit('{ // a "note"\n "//": "\\\\", "t": '), string, F.when(F.col("doc_id") % 3 == 2, "").otherwise("} // end\n"))
+    tail = F.when(F.col("doc_id") % 3 == 0, F.lit('}} and {"more": "}')).otherwise(F.lit(", nothing: }"))
+    first = calls.json_prefix(F.concat(F.lit(' {"o": {"{": 1, "t": '), string, F.lit("}"), tail))
+    docs = table(spark, sf, "documents").select("doc_id", reports.without_comments(body).alias("c"), first.alias("first"))
+    return docs.select(
+        "doc_id",
+        F.json_object_keys("c").isNotNull().alias("clean"),
+        F.when(F.json_object_keys("c").isNotNull(), F.sha2(F.get_json_object("c", "$.t"), 256)).alias("said"),
+        F.sha2(F.get_json_object("first", "$.o.t"), 256).alias("first_said"),
+    )
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, event_id % 3 <> 2 AS failed, props AS object FROM events")

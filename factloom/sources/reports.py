@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.calls import STRING
 from factloom.operators.adapters import category_of, subject_of
 
 
@@ -29,8 +30,8 @@ def strict(docs: DataFrame) -> DataFrame:
 
 
 def without_comments(body: Column) -> Column:
-    """``//`` comments outside strings removed."""
-    return F.regexp_replace(body, r'("(?:[^"\\]|\\.)*")|//[^\r\n]*', "$1")
+    """``//`` comments outside strings removed; one pass without recursion, however long the strings."""
+    return F.regexp_replace(body, rf"({STRING})|//[^\r\n]*+", "$1")
 
 
 def tolerant(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

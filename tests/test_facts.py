@@ -95,7 +95,9 @@ def test_refusals(spark):
 
 def test_json_prefix(spark):
     assert column(spark, '{"a": {"b": "}"}} tail }', calls.json_prefix) == '{"a": {"b": "}"}}'
-    assert column(spark, "none", calls.json_prefix) is None
+    for bad in ("none", '["a"] {}', '{"a": 1', '{"a": }', "{a: 1}", '{"a": 1 "b": 2}', "} {}", '{"a": "}', ""):
+        assert column(spark, bad, calls.json_prefix) is None, bad
+    assert column(spark, ' \n{"a": 1, "a": [{}]}]', calls.json_prefix) == '{"a": 1, "a": [{}]}'
 
 
 def test_json_comments(spark):
@@ -103,6 +105,52 @@ def test_json_comments(spark):
     assert json.loads(column(spark, text, reports.without_comments)) == {"a": "x // y", "///": 1}
 
 
+def test_long_json_strings(spark):
+    long = "\\\\" * 1_000_000 + '\\"' * 1_000_000 + "// { é" * 1_000_000
+    whole = f'{{"a": "{long}"}}'
+    assert column(spark, whole + "} tail", calls.json_prefix) == whole
+    assert column(spark, whole + " // gone", reports.without_comments) == whole + " "
+    open_ = '{"a": "' + '\\" ' * 500_000
+    assert column(spark, open_, calls.json_prefix) is None
+    assert column(spark, open_, reports.without_comments) == open_
+
+
+def test_level_claims(spark):
+    facts = spark.createDataFrame([("sharpness", 5), ("Protection", 4), ("bane of Arthropods", 5), ("none", None)], "name string, max_level int")
+    cases = {
+        "Sharpness goes up to level 5": 0,
+        "Protection has a maximum level of 4": 0,
+        "Sharpness caps at level 6": 1,
+        "Bogus goes up to level 9": 0,
+        "Sharpness has a maximum level of 6": 1,
+        "Sharpness goes up to level 4": 1,
+        "Sharpness 6": 0,
+        "Sharpness caps at level 6. PROTECTION has a max level of 9, sharpness a cap": 2,
+        "Bane of Arthropods caps at level 99999999999999999999999999": 1,
+        "Sharpness is good. It goes up to level 9": 0,
+        "None caps at level 3": 0,
+    }
+    texts = spark.createDataFrame(list(enumerate(cases)), "k int, text string")
+    got = [r.k for r in calls.level_errors(texts, "k", "text", facts).collect()]
+    assert [got.count(k) for k in range(len(cases))] == list(cases.values())
+
+
+def test_guarded_calls(spark):
+    def guarded(*calls_):
+        rows = [("g", i, tool, f"{tool}({arg})", failed) for i, (tool, arg, failed) in enumerate(calls_)]
+        rows.append(("h", 0, *("craft", "craft(a)"), False))  # another trajectory
+        df = spark.createDataFrame(rows, "g string, i int, tool string, call string, failed boolean")
+        out = runs.guarded_calls(df, "g", ["i"], F.col("tool"), F.col("call"), F.col("failed"))
+        return [r.guarded for r in out.where("g = 'g'").orderBy("i").collect()]
+
+    fail, fine = True, False
+    assert guarded(("craft", "a", fail), ("craft", "b", fine), ("craft", "a", fine)) == [False, False, False]  # recovery
+    assert guarded(("goto", "x", fail), ("craft", "b", fine), ("goto", "x", fail)) == [False, False, True]  # an unrelated craft
+    # a repeat of a repeat, whose recorded success clears nothing
+    assert guarded(("craft", "a", fail), ("craft", "a", fine), ("craft", "a", fail), ("craft", "b", fine), ("craft", "a", fail)) == [False, True, True, False, False]
+    assert guarded(("craft", "a", None), ("craft", "a", fail), ("goto", "a", fine), ("craft", "a", fine)) == [False, False, False, True]
+
+
 def test_report_tree(spark, tmp_path):
     bodies = {
         "data/minecraft/recipe/piston.json": '{"type": "minecraft:crafting_shaped", "pattern": [], "key": {"z": {"item": "b"}, "a": ["c", {"tag": "t"}]}, "result": {"id": "piston", "count": 2}}',
