@@ -4,9 +4,12 @@ Documents are taken in shards of bounded bytes. A shard's words become numbers
 (those of no benchmark word become 0) and its suffixes are sorted by their first
 ``WINDOW`` words into a suffix array, which holds only suffixes that can begin a
 match: those that start with two words adjacent in some benchmark item, or with
-the word of a one-word item. Every test suffix is binary-searched in the shard's
-array; the range it finds has the places of its occurrences. Occurrences that
-follow each other along both texts make up the longest verbatim matches.
+the word of a one-word item. Every distinct test suffix is binary-searched once in
+the shard's array, however many items have it; the range it finds has the places
+of its occurrences. A place has at most one occurrence of each length, so a
+shard's hits are bounded by ``WINDOW`` times its words. Words are marked as hit,
+which joins occurrences that follow each other to the longest verbatim matches;
+items are kept apart, as the windows that a document has and the items of these.
 
 Documents never cross shards, so a document's hits are complete where they are
 found and nothing is shuffled. The benchmark is read in blocks of at most
@@ -14,9 +17,12 @@ found and nothing is shuffled. The benchmark is read in blocks of at most
 and a pass of its own, and the documents' hit ranges meet by document.
 
 Defined results: null and empty texts, and texts without words, have no words
-and no hits and are clean; a repeated document row is judged as itself; items
-that repeat count once per item_id; rows of the benchmark with null id or text
-are ignored; extra columns are ignored; empty tables give empty or clean results.
+and no hits and are clean; very long texts are a shard of their own and never cut;
+a repeated document row is judged as itself; items that repeat count once per
+item_id; the words of an item without id are hit like any other's, but it has no
+name to be counted or listed; benchmark rows with null text are ignored; extra
+columns are ignored, whatever their names; empty tables give empty or clean
+results.
 """
 
 from __future__ import annotations
@@ -39,56 +45,77 @@ SHARD_BYTES = 4 << 20
 #: Words of the benchmark that are held and broadcast at a time (some 10 MB of arrays and strings).
 BLOCK_WORDS = 1 << 20
 
+
 class TestSuffixes:
-    """The test suffixes of a block of items: keys to search, and which may begin a match."""
+    """The distinct test suffixes of a block of items: keys to search, and which may begin a match.
+
+    Items of the same words are one class; ``classes`` has the classes of each window
+    and ``ids`` the names of each class.
+    """
 
     def __init__(self, items: list[tuple[object, list[bytes]]]) -> None:
         self.words: dict[bytes, int] = {}
-        numbers = [[self.words.setdefault(w, len(self.words) + 1) for w in words] for _, words in items]
-        self.ids = [x for x, _ in items]
-        rows, owner, place, length = [], [], [], []
+        named: dict[tuple[bytes, ...], set[str]] = {}
+        for item, words in items:
+            named.setdefault(tuple(words), set()).update([] if item is None else [str(item)])
+        self.ids = list(named.values())
+        found: dict[tuple[int, ...], list[int]] = {}
         pairs, singles = set(), set()
-        for k, ns in enumerate(numbers):
+        for k, words in enumerate(named):
+            ns = [self.words.setdefault(w, len(self.words) + 1) for w in words]
             n = min(WINDOW, len(ns))
-            once = {tuple(ns[p : p + n]): p for p in range(len(ns) - n, -1, -1)}
-            for p in sorted(once.values()):
-                rows.append(ns[p : p + n] + [0] * (WINDOW - n))
-                owner.append(k)
-                place.append(p)
-                length.append(n)
+            for window in {tuple(ns[p : p + n]) for p in range(len(ns) - n + 1)}:
+                found.setdefault(window, []).append(k)
             pairs.update(zip(ns, ns[1:], strict=False))
             if len(ns) == 1:
                 singles.add(ns[0])
-        keys = np.array(rows, dtype=">u4").reshape(-1, WINDOW)
-        self.owner, self.place = np.array(owner, np.int64), np.array(place, np.int64)
-        self.length = np.array(length, np.int64)
+        self.classes = list(found.values())
+        self.length = np.array([len(w) for w in found], np.int64)
+        keys = np.array([w + (0,) * (WINDOW - len(w)) for w in found], dtype=">u4").reshape(-1, WINDOW)
         self.low = _as_keys(keys)
-        top = np.where(np.arange(WINDOW)[None, :] < self.length[:, None], keys, 0xFFFFFFFF).astype(">u4")
-        self.high = _as_keys(top)
+        self.high = _as_keys(np.where(np.arange(WINDOW)[None, :] < self.length[:, None], keys, 0xFFFFFFFF).astype(">u4"))
         self.single = np.zeros(len(self.words) + 1, bool)
         self.single[np.array(sorted(singles), np.int64)] = True
         base = len(self.words) + 1
         self.pairs = np.unique(np.array([a * base + b for a, b in pairs], dtype=np.int64))
 
+    def names(self, windows: frozenset[int]) -> set[str]:
+        """The items of windows."""
+        return set().union(*(self.ids[c] for c in {c for w in windows for c in self.classes[w]}))
+
 
 def _as_keys(rows: np.ndarray) -> np.ndarray:
     """Rows of big-endian numbers as byte strings, which compare as the rows do."""
     return np.ascontiguousarray(rows).view(f"S{4 * WINDOW}").ravel()
 
 
-def search_shard(texts: list[list[bytes]], tests: TestSuffixes) -> np.ndarray:
-    """Occurrences (document number, first word, words, item number, place in the item), one row each."""
-    none = np.empty((0, 5), np.int64)
+def search_shard(texts: list[list[bytes]], tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard: where each text starts, which words are hit, and its distinct (text, window) pairs.
+
+    Texts lie ``WINDOW`` words apart, so that no suffix runs into the next one.
+    """
     get = tests.words.get
     flat: list[int] = []
     starts = np.zeros(len(texts) + 1, np.int64)
     for i, words in enumerate(texts):
         flat += [get(w, 0) for w in words]
-        flat += [0] * WINDOW  # no suffix runs into the next document
+        flat += [0] * WINDOW
         starts[i + 1] = len(flat)
     ids = np.array(flat, np.int64)
-    if not ids.size or not tests.owner.size:
-        return none
+    change, pairs = np.zeros(len(ids) + 1, np.int32), [np.empty((0, 2), np.int64)]
+    for where, window in _occurrences(ids, tests):
+        np.add.at(change, where, 1)
+        np.add.at(change, where + tests.length[window], -1)
+        text = np.searchsorted(starts, where, side="right") - 1
+        once = np.unique(text * len(tests.length) + window)
+        pairs.append(np.stack([once // len(tests.length), once % len(tests.length)], 1))
+    return starts, np.cumsum(change[:-1]) > 0, np.concatenate(pairs)
+
+
+def _occurrences(ids: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and windows of all occurrences, a length of windows at a time: at most one for each place."""
+    if not ids.size or not tests.length.size:
+        return
     base = len(tests.words) + 1
     live = np.flatnonzero((ids[:-1] > 0) & ((ids[1:] > 0) | tests.single[ids[:-1]]))
     may = tests.single[ids[live]]
@@ -98,37 +125,17 @@ def search_shard(texts: list[list[bytes]], tests: TestSuffixes) -> np.ndarray:
         may |= tests.pairs[spot] == pair
     live = live[may]
     if not live.size:
-        return none
+        return
     suffixes = _as_keys(np.concatenate([ids, np.zeros(WINDOW, np.int64)])[live[:, None] + np.arange(WINDOW)].astype(">u4"))
     order = np.argsort(suffixes, kind="stable")
     array = suffixes[order]
     first = np.searchsorted(array, tests.low, side="left")
-    last = np.searchsorted(array, tests.high, side="right")
-    hit = np.flatnonzero(last > first)
-    if not hit.size:
-        return none
-    counts = (last - first)[hit]
-    at = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    test, where = np.repeat(hit, counts), live[order[at]]
-    doc = np.searchsorted(starts, where, side="right") - 1
-    return np.stack([doc, where - starts[doc], tests.length[test], tests.owner[test], tests.place[test]], axis=1)
-
-
-def longest(found: np.ndarray) -> np.ndarray:
-    """Occurrences joined along both texts: (document, first word, words, item, place in the item)."""
-    if not len(found):
-        return found
-    found = np.unique(found, axis=0)
-    diagonal = found[:, 1] - found[:, 4]
-    order = np.lexsort((found[:, 1], diagonal, found[:, 3], found[:, 0]))
-    f, d = found[order], diagonal[order]
-    new = np.ones(len(f), bool)
-    new[1:] = (f[1:, 0] != f[:-1, 0]) | (f[1:, 3] != f[:-1, 3]) | (d[1:] != d[:-1]) | (f[1:, 1] > f[:-1, 1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(f)) - 1
-    out = f[head].copy()
-    out[:, 2] = f[tail, 1] + f[tail, 2] - f[head, 1]
-    return out
+    counts = np.searchsorted(array, tests.high, side="right") - first
+    for n in np.unique(tests.length[counts > 0]):
+        hit = np.flatnonzero((counts > 0) & (tests.length == n))
+        many = counts[hit]
+        at = np.repeat(first[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        yield live[order[at]], np.repeat(hit, many)
 
 
 def covered(ranges: list[tuple[int, int]]) -> int:
@@ -149,7 +156,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     """
     block: list[tuple[object, list[bytes]]] = []
     size = 0
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     for row in rows.orderBy("i", "t").toLocalIterator():
         words = ascii_words(row["t"].encode("utf-8", "surrogatepass"))
         for at in range(0, max(1, len(words) - WINDOW + 1) if words else 0, BLOCK_WORDS):
@@ -168,12 +175,21 @@ def _matches(texts: list[bytes | None], tests: TestSuffixes) -> list[tuple[int,
     out = []
     for a, b in runs_by_bytes([len(t or b"") for t in texts], SHARD_BYTES):
         shard = [ascii_words(t) for t in texts[a:b]]
+        starts, hit, pairs = search_shard(shard, tests)
+        edges = np.flatnonzero(np.diff(hit, prepend=False, append=False)).reshape(-1, 2)
+        of = np.searchsorted(starts, edges[:, 0], side="right") - 1
         ranges: list[list[tuple[int, int]]] = [[] for _ in shard]
-        items: list[set[str]] = [set() for _ in shard]
-        for doc, first, n, owner, _ in longest(search_shard(shard, tests)).tolist():
-            ranges[doc].append((first, first + n))
-            items[doc].add(str(tests.ids[owner]))
-        out += [(len(w), r, i) for w, r, i in zip(shard, ranges, items, strict=True)]
+        for k, (first, end) in zip(of.tolist(), (edges - starts[of][:, None]).tolist(), strict=True):
+            ranges[k].append((first, end))
+        windows: list[list[int]] = [[] for _ in shard]
+        for k, w in pairs.tolist():
+            windows[k].append(w)
+        known: dict[frozenset[int], set[str]] = {}  # texts with the same passages have the same items
+        for words, own, seen in zip(shard, ranges, windows, strict=True):
+            key = frozenset(seen)
+            if key not in known:
+                known[key] = tests.names(key)
+            out.append((len(words), own, known[key]))
     return out
 
 

@@ -18,17 +18,16 @@ def plain(docs, items):
     windows = {}
     for i, t in items:
         w = words(t)
-        if w and i is not None:
-            n = min(13, len(w))
-            for p in range(len(w) - n + 1):
-                windows.setdefault(tuple(w[p : p + n]), set()).add(str(i))
+        n = min(13, len(w))
+        for p in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[p : p + n]), set()).update([] if i is None else [str(i)])
     sizes = {len(k) for k in windows}
     out = []
     for i, t in docs:
         w, hit, names = words(t), set(), set()
         for n in sizes:
             for p in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[p : p + n])):
+                if (found := windows.get(tuple(w[p : p + n]))) is not None:
                     hit.update(range(p, p + n))
                     names |= found
         digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
@@ -88,3 +87,22 @@ def test_long_texts_and_items_over_several_blocks(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(map(tuple, decontaminate.report(d, b).collect()), key=str) == plain(docs, items)
     assert sorted(r.doc_id for r in decontaminate.remove(d, b).collect()) == [1, 4]
+
+
+def test_items_without_id_are_hit_but_not_named(spark):
+    d = spark.createDataFrame([(1, "x a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "a b c"), (None, "-"), (None, None)], "item_id long, text string")
+    (row,) = decontaminate.report(d, b).collect()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (4, 3, 0, True)
+    assert row.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_many_items_share_a_window():
+    """10,000 items of the same word and 200 that share a passage, against a text of 500,000 such words."""
+    passage = [f"p{i}".encode() for i in range(13)]
+    items = [(k, [b"same"]) for k in range(10_000)] + [(20_000 + k, [b"u%d" % k, *passage]) for k in range(200)] + [(7, [b"same", b"same"])]
+    tests = decontaminate.TestSuffixes(items)
+    texts = [b" ".join([b"same"] * 500_000), b" ".join([b"x", *passage, b"same"]), b"x"]
+    found = decontaminate._matches(texts, tests)
+    assert [(n, r) for n, r, _ in found] == [(500_000, [(0, 500_000)]), (15, [(1, 15)]), (1, [])]
+    assert [len(i) for *_, i in found] == [10_000, 10_200, 0]
