@@ -1,11 +1,14 @@
-"""The corpus pipeline: documents go through the stages in order, each written and read again."""
+"""The corpus pipeline: documents go through the stages in order, each written and read again.
+
+Stages work on whole texts, however long, and on columns of any names beside their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontaminate, mixing, neardup, pii, toxicity
-from factloom.llm.common import materialize, table
+from factloom.llm.common import discard, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +25,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates (shingles of five words, similarity of 0.8 or more) stays: that of the smallest id.
 
     Texts that are null or without words are linked with nothing and stay, as do rows
-    without id; of rows that share the id that stays one stays. Columns stay as they
+    without id; of rows that share the id that stays and the set of shingles one stays,
+    unlike ones stay. Columns stay as they
     are, and an empty table stays empty.
     """
     return neardup.remove(docs)
@@ -68,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -9,9 +9,10 @@ A turn's place in its conversation is counted in two steps, so that a long
 conversation is never gathered: the turns are range-partitioned and sorted by
 (conversation, turn, role, text) and written with their places inside their
 partition; the numbers of turns in the conversation's earlier partitions, a row
-for each, are then added. A rendered dialogue is one example; one of more than
-``TURNS`` turns comes in numbered parts that join to the whole, which bounds every
-row and every group. ``segments`` has each dialogue whole, turn by turn.
+for each, are then added. ``segments`` has each dialogue whole, turn by turn, in the
+same shape at any length; nothing gathers a dialogue, so it may have any number of
+turns and participants, and texts of any length. ``windows`` renders
+training windows of at most ``TURNS`` turns from it, one row each.
 
 Defined results: a null role is the speaker ``unknown``, a null text is empty,
 null turns come first, and rows without conversation id take no part; turns with
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import materialize
 
-#: Turns of an example.
+#: Turns of a window.
 TURNS = 1024
 OPEN, SHUT, CLOSE = "<|turn ", "|>", "<|end|>\n"
 
@@ -121,8 +122,8 @@ def segments(conversations: DataFrame) -> DataFrame:
     )
 
 
-def examples(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
-    """Rendered dialogues in examples of at most ``turns`` turns.
+def windows(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
+    """Rendered dialogues in windows of at most ``turns`` turns, which join to the whole.
 
     ``conv_id, perspective, part, n_turns, text, learn`` where ``learn`` lists the
     ranges to learn from as ``start:end`` in code points of ``text``, comma-joined.

@@ -20,17 +20,19 @@ sample is a first such floor for all tasks. Scores are integers, so results are
 exact: sums that a double can't hold are made in extended precision, and vectors
 whose scores could exceed 64 bits are an error.
 
-Defined results: vectors that are null or empty, hold null or non-finite
-components, or whose dimension isn't the most frequent one (of equally frequent
-ones the largest), and rows without id take no part; vec_id is a key, of rows
-that repeat one the one with the greatest vector counts; ties go to the smaller
-vec_id; with fewer than k candidates all are returned; extra columns are
-ignored; empty tables give empty results.
+Defined results: vectors that are null or hold null or non-finite components,
+and rows without id take no part; products are those of equal dimensions, so each
+dimension is searched for itself, and empty vectors have products of 0 with each
+other; every row is a candidate of its own, also rows that repeat a vec_id, but
+for queries of that id; query rows that repeat a vec_id share its ranks; ties go
+to the smaller vec_id; with fewer than k candidates all are returned; extra
+columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,27 +53,23 @@ def quantize(vector: Column) -> Column:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, v`` of the rows that take part."""
+    """``vec_id, v, d`` of the rows that take part; an empty vector is one of a single zero, of dimension 0."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")).where(
         F.col("vec_id").isNotNull()
-        & (F.size("e") > 0)
         & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
-    rows = rows.select("vec_id", quantize(F.col("e")).alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
-    return rows
+    whole = F.when(F.size("e") == 0, F.array(F.lit(0).cast("long"))).otherwise(quantize(F.col("e")))
+    return rows.select("vec_id", whole.alias("v"), F.size("e").alias("d"))
 
 
-def _dimension(rows: DataFrame) -> tuple[int, np.dtype] | None:
-    """The dimension of those that take part and the kind of number that holds their products exactly."""
+def _dimensions(rows: DataFrame) -> list[tuple[int, np.dtype]]:
+    """The dimensions that occur, with the kind of number that holds their products exactly."""
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    by_size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("most"))
-    top = by_size.orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    if not top:
-        return None
-    if top[0]["most"] >= 2.0**63:
+    found = rows.groupBy("d").agg(F.max(square).alias("most")).orderBy("d").collect()
+    if any(r["most"] >= 2.0**63 for r in found):
         raise ValueError("the vectors are so long that their products exceed 64 bits")
     # a distance has four times the square of a length
-    return top[0]["d"], np.dtype(np.float64 if top[0]["most"] < 2.0**51 else np.longdouble)
+    return [(r["d"], np.dtype(np.float64 if r["most"] < 2.0**51 else np.longdouble)) for r in found]
 
 
 def _matrix(column: pa.ListArray, d: int, kind: np.dtype = np.dtype(np.float64)) -> np.ndarray:
@@ -225,13 +223,22 @@ def search(
     ``queries`` is a condition on ``vec_id``. ``query_id, rank, vec_id, score``.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
-    known = _dimension(rows)
-    if known is None:
-        return spark.createDataFrame([], schema)
-    d, kind = known
-    rows = rows.where(F.size("v") == d)
+    found = [_search_dimension(rows.where(F.col("d") == d).drop("d"), queries, k, max(d, 1), kind) for d, kind in _dimensions(rows)]
+    found = [df for df in found if df is not None]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if len(found) == 1:
+        return found[0]
+    # a query id whose rows have several dimensions ranks over all of them
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    every = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w))
+    return every.where(F.col("rank") <= k)
+
+
+def _search_dimension(rows: DataFrame, queries: Column, k: int, d: int, kind: np.dtype) -> DataFrame | None:
+    """The results among vectors of one dimension; None without queries."""
+    spark = rows.sparkSession
     # a bounded sample: at most SAMPLE vectors reach the driver
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     sample_ids = sample.column(0).to_numpy()
@@ -241,7 +248,7 @@ def search(
     asked = index.where(queries)
     counts = {r["pivot"]: r["count"] for r in asked.groupBy("pivot").count().collect()}  # a row for each pivot
     if not counts:
-        return spark.createDataFrame([], schema)
+        return None
     blocks = plan_blocks(counts, pivots)
     cells = _cells(index) if len(blocks) > 1 else []
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -276,6 +283,5 @@ def search(
             return found
         written.append(materialize(found, "found"))
         held.destroy()
-    discard(rows)
     discard(index)
     return spark.read.schema(written[0].schema).parquet(*(f.rpartition("/")[0] for df in written for f in df.inputFiles()[:1]))

@@ -46,6 +46,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from factloom.llm.common import Marks, arrow_map, column_of, discard, marked, materialize, runs_by_bytes, unused
 
@@ -394,8 +395,8 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
 def remove(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group; all columns stay as they are, whatever their names.
 
-    Of rows that share a kept doc_id one stays (rows without doc_id all stay).
-    Only rows whose ids are marked as gone or repeated are joined with these; the
+    Of rows that share a kept doc_id and have the same set of shingles one stays; rows
+    of unlike sets stay, as do those without doc_id or without words. Only rows whose ids are marked as gone or repeated are joined with these; the
     others pass without a shuffle.
     """
     found = materialize(cluster(docs, words, id_col, text_col), "groups")
@@ -410,6 +411,20 @@ def remove(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col
         return kept
     maybe = marked(repeated, name, own)
     again = kept.where(maybe)
-    once = again.join(repeated, own == F.col(name), "left_semi").dropDuplicates([id_col])
+    mark = unused("set_digest", docs)
+    judged = _with_digest(again.join(repeated, own == F.col(name), "left_semi"), words, text_col, mark)
+    once = judged.where(F.col(mark).isNotNull()).dropDuplicates([id_col, mark]).unionByName(judged.where(F.col(mark).isNull()))
     rest = again.join(repeated, own == F.col(name), "left_anti")
-    return kept.where(~maybe).unionByName(rest).unionByName(once)
+    return kept.where(~maybe).unionByName(rest).unionByName(once.drop(mark))
+
+
+def _with_digest(rows: DataFrame, words: int, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the digest of each text's set in column ``name``; null without words."""
+    place = rows.columns.index(text_col)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = (shingles(t, words) for t in b.column(place).cast(pa.binary()).to_pylist())
+        digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, name])
+
+    return arrow_map(rows, batch, StructType([*rows.schema.fields, StructField(name, BinaryType())]))

@@ -40,7 +40,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.examples(table(spark, sf_dir, "conversations"))
+    return chat.segments(table(spark, sf_dir, "conversations"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

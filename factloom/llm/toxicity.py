@@ -8,14 +8,15 @@ at most ``DIM`` numbers, a fixed bound, that is broadcast and applied in one
 pass over the documents.
 
 The weights are fitted on at most ``MAX_TRAIN`` labelled documents (a bound of
-the fit alone: those with the smallest hashes of their ids), in one task. Rows
+the fit alone: those with the smallest hashes of their ids, then of their texts), in
+one task; a text that an id repeats counts once, so the bound is one of rows. Rows
 with ``crc32(doc_id as text) mod 3 = 1`` are never among them. Scoring covers
 every whole text; labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts have no features and get the score of the
 bias; a labelled id without a document, a null id and a null label are not
 learned from; of several labels for an id the greatest counts; a repeated
-document row is scored as itself; without any labelled row every score is 0.5;
+document row is scored as itself; very long texts are scored whole; without any labelled row every score is 0.5;
 a null id is not held out; extra columns are ignored; empty tables give empty
 results.
 """
@@ -143,8 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("i"), "i")
         .limit(MAX_TRAIN)
     )
-    # at most MAX_TRAIN pairs of numbers: the broadcast is bounded whatever the tables' size
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), "i")
+    # at most MAX_TRAIN rows of numbers: both broadcasts are bounded whatever the tables' size
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    rows = texts.join(F.broadcast(chosen), "i").withColumn("h", F.xxhash64("t"))
+    first = rows.select("i", "h").distinct().orderBy(F.xxhash64("i"), "i", "h").limit(MAX_TRAIN)
+    rows = rows.join(F.broadcast(first), ["i", "h"]).dropDuplicates(["i", "h"])
     hasher: list[Hasher] = []
 
     def featurize(b: pa.RecordBatch) -> pa.RecordBatch:

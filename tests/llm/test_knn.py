@@ -12,18 +12,17 @@ from factloom.llm import knn
 
 
 def plain(rows, k=5):
-    best = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(256 * float(x)) for x in v]
-        best[i] = max(best.get(i, q), q)
-    out = []
-    for q, a in best.items():
+    """Every row but those of the query's id, of the same dimension; rows of a query id rank together."""
+    kept = [
+        (i, [math.floor(256 * float(x)) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    scores = {}
+    for q, a in kept:
         if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in best.items() if j != q)
-            out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
-    return sorted(out)
+            scores.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in kept if j != q and len(a) == len(b))
+    return sorted((q, r + 1, j, -s) for q, found in scores.items() for r, (s, j) in enumerate(sorted(found)[:k]))
 
 
 @pytest.mark.parametrize("block", [4096, 3])
@@ -113,3 +112,24 @@ def test_cells_without_results_are_not_read(spark, monkeypatch):
 
 def quantized(rows):
     return {i: [math.floor(256 * x) for x in v] for i, v in rows}
+
+
+def test_repeated_ids_other_dimensions_and_empty_vectors(spark):
+    rows = [(0, [1.0, 0.5]), (1, [2.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (50, [1.0, 1.0]), (50, [-1.0, 0.0]), (0, [3.0]), (2, [1.0]), (3, [-1.0]), (100, []), (4, []), (5, []), (150, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, knn.search(df, F.col("vec_id") % 50 == 0).collect()))
+    assert got == plain(rows)
+    assert [r[2:] for r in got if r[0] == 0][:3] == [(2, 3 * 65536), (1, 131072), (50, 98304)]
+
+
+def test_repeated_ids_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from factloom.llm.queries import ORACLES
+
+    rows = [(0, [1.0, 0.5]), (1, [2.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (50, [1.0, 1.0]), (50, [-1.0, 0.0])]
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841
+    want = duckdb.sql(ORACLES["op4_topk"]).fetchall()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, knn.search(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)

@@ -85,3 +85,15 @@ def test_weights_and_scores_equal_plain_ftrl(spark):
     for r in toxicity.score(docs, w).collect():
         s = bias + sum(weights.get(i, 0.0) for i in found[r.doc_id].tolist())
         assert abs(r.score - 1 / (1 + np.exp(-s))) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+def test_rows_of_a_repeated_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 20)
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"good words {i}") for i in known] + [(known[0], f"other words {k}") for k in range(500)] + [(known[1], "same again")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in known], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: toxicity.Weights(np.array([len(rows)]), np.array([1.0]), 0.0))
+    seen = toxicity.train(docs, labels).index.tolist()
+    assert seen == [20]
