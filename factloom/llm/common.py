@@ -137,46 +137,49 @@ def column_of(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _mark(ids: Column) -> Column:
-    return F.pmod(F.xxhash64(ids.cast("long")), F.lit(MARK_BITS))
-
-
 class Marks:
-    """Ids that set bits of a table of fixed size, which is broadcast.
+    """Ids that set bits of a table of at most ``MARK_BITS / 64`` rows, which is broadcast.
 
-    A join on ids behind the filter ``of`` shuffles little more than the rows that it
-    is after. Where ids are so many that most bits are set, more rows pass and the
-    join, which decides, does the work.
+    A join on ids behind ``keep`` shuffles little more than the rows that it is after.
+    Where ids are so many that most bits are set, more rows pass and the join, which
+    decides, does the work. Everything stays in the JVM.
     """
 
     def __init__(self, ids: DataFrame, id_col: str) -> None:
-        bit = ids.select(_mark(column_of(id_col)).alias("b"))
-        word, flag = F.shiftright("b", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(b, 64) as int))").alias("flag")
-        # at most MARK_BITS / 64 rows, whatever the input
-        found = bit.select(word, flag).groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()
-        table = np.zeros(MARK_BITS // 64, np.int64)
-        table[found.column(0).to_numpy()] = found.column(1).to_numpy()
-        self.held = ids.sparkSession.sparkContext.broadcast(table)
+        bits = ids.select(self._bit(column_of(id_col)).alias("b"))
+        word, flag = self._word(F.col("b")).alias("word"), self._flag(F.col("b")).alias("flag")
+        self.table = materialize(bits.select(word, flag).groupBy("word").agg(F.bit_or("flag").alias("flags")), "marks")
 
-    def of(self, ids: Column) -> Column:
-        """A condition that holds for every marked id (null too) and for few others."""
-        held = self.held
+    @staticmethod
+    def _bit(ids: Column) -> Column:
+        return F.pmod(F.xxhash64(ids.cast("long")), F.lit(MARK_BITS))
 
-        @F.arrow_udf("boolean")
-        def test(bits: pa.Array) -> pa.Array:
-            b = bits.to_numpy(zero_copy_only=False)
-            return pa.array((held.value[b >> 6] >> (b & 63)) & 1 == 1)
+    @staticmethod
+    def _word(bit: Column) -> Column:
+        return F.shiftright(bit, 6).cast("int")
 
-        return test(_mark(ids))
+    @staticmethod
+    def _flag(bit: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
 
-    def drop(self) -> None:
-        """Free the table; for when all that was filtered is written."""
-        self.held.destroy()
+    def _join(self, df: DataFrame, ids: Column, how: str) -> DataFrame:
+        word, flags = unused("mark_word", df), unused("mark_flags", df)
+        bit = self._bit(ids)
+        # at most MARK_BITS / 64 rows, whatever the input
+        table = F.broadcast(self.table.toDF(word, flags))
+        return df.join(table, (self._word(bit) == F.col(word)) & (F.col(flags).bitwiseAND(self._flag(bit)) != 0), how)
+
+    def keep(self, df: DataFrame, ids: Column) -> DataFrame:
+        """The rows whose ids are marked (null too), and few others."""
+        return self._join(df, ids, "left_semi")
 
+    def leave(self, df: DataFrame, ids: Column) -> DataFrame:
+        """The rows that ``keep`` doesn't give."""
+        return self._join(df, ids, "left_anti")
 
-def marked(ids: DataFrame, id_col: str, of: Column) -> Column:
-    """The condition of ``Marks`` alone, for results that aren't written yet."""
-    return Marks(ids, id_col).of(of)
+    def drop(self) -> None:
+        """Delete the table; for when all that was filtered is written."""
+        discard(self.table)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from factloom.llm.common import Marks, arrow_map, column_of, discard, marked, materialize, runs_by_bytes, unused
+from factloom.llm.common import Marks, arrow_map, column_of, discard, materialize, runs_by_bytes, unused
 
 #: Coordinates of a signature, minima of a coordinate, coordinates that must agree, minima that must.
 COORDINATES, ROWS, T, AGREE = 20, 2, 2, 16
@@ -215,7 +215,7 @@ def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough; sets are made anew from the texts of these alone."""
     marks = Marks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-    found = materialize(docs.where(marks.of(F.col("doc_id"))), "texts")
+    found = materialize(marks.keep(docs, F.col("doc_id")), "texts")
     marks.drop()
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -352,7 +352,7 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     if not left.isEmpty():
         ids = left.select("rep").union(right.select("rep")).distinct().withColumnRenamed("rep", "doc_id")
         marks = Marks(ids, "doc_id")
-        near_texts = texts.where(marks.of(F.col("doc_id"))).join(ids, "doc_id", "left_semi")
+        near_texts = marks.keep(texts, F.col("doc_id")).join(ids, "doc_id", "left_semi")
         sets = materialize(_bitmaps(near_texts, words).join(prefix, "rep"), "sets")
         marks.drop()
         # Bitmaps are compared inside the join, so that it puts out few pairs that aren't similar: bits that differ
@@ -396,26 +396,27 @@ def remove(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col
     """``docs`` with one document of each group; all columns stay as they are, whatever their names.
 
     Of rows that share a kept doc_id and have the same set of shingles one stays; rows
-    of unlike sets stay, as do those without doc_id or without words. Only rows whose ids are marked as gone or repeated are joined with these; the
-    others pass without a shuffle.
+    of unlike sets stay, as do those without doc_id or without words. Only rows whose
+    ids are marked as gone or repeated are joined with these; the others pass without
+    a shuffle.
     """
     found = materialize(cluster(docs, words, id_col, text_col), "groups")
     name, own = unused("gone", docs), column_of(id_col).cast("long")
     gone = materialize(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    maybe = marked(gone, name, own)
-    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, own == F.col(name), "left_anti"))
+    marks = Marks(gone, name)
+    kept = marks.leave(docs, own).unionByName(marks.keep(docs, own).join(gone, own == F.col(name), "left_anti"))
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     repeated = materialize(repeated.select(F.col("doc_id").alias(name)), "repeated")
     discard(found)
     if repeated.isEmpty():
         return kept
-    maybe = marked(repeated, name, own)
-    again = kept.where(maybe)
+    marks = Marks(repeated, name)
+    again = marks.keep(kept, own)
     mark = unused("set_digest", docs)
     judged = _with_digest(again.join(repeated, own == F.col(name), "left_semi"), words, text_col, mark)
     once = judged.where(F.col(mark).isNotNull()).dropDuplicates([id_col, mark]).unionByName(judged.where(F.col(mark).isNull()))
     rest = again.join(repeated, own == F.col(name), "left_anti")
-    return kept.where(~maybe).unionByName(rest).unionByName(once.drop(mark))
+    return marks.leave(kept, own).unionByName(rest).unionByName(once.drop(mark))
 
 
 def _with_digest(rows: DataFrame, words: int, text_col: str, name: str) -> DataFrame:

@@ -117,7 +117,7 @@ def test_long_texts_and_marked_ids(spark):
     """A text of a megabyte with a near copy; ids far apart; marks hold for every id."""
     from pyspark.sql import functions as F
 
-    from factloom.llm.common import marked
+    from factloom.llm.common import Marks
 
     long = [f"w{i * 7919 % 50_021}" for i in range(150_000)]
     rows = [(10**15, " ".join(long)), (-5, " ".join([*long[:-3000], "x"])), (0, "a b c d"), (1 << 40, "a b c e")]
@@ -125,7 +125,9 @@ def test_long_texts_and_marked_ids(spark):
     assert sorted(map(tuple, neardup.cluster(docs, 2).collect())) == plain_clusters(rows, 2)
     ids = spark.range(0, 5000, 7)
     table = spark.range(6000)
-    passed = {r.id for r in table.where(marked(ids, "id", F.col("id"))).collect()}
+    marks = Marks(ids, "id")
+    passed = {r.id for r in marks.keep(table, F.col("id")).collect()}
+    assert passed | {r.id for r in marks.leave(table, F.col("id")).collect()} == set(range(6000))
+    assert marks.leave(table, F.col("id")).count() == 6000 - len(passed)
     assert set(range(0, 5000, 7)) <= passed and len(passed) < 900
-    none = table.where(marked(ids.limit(0), "id", F.col("id")))
-    assert none.count() == 0
+    assert Marks(ids.limit(0), "id").keep(table, F.col("id")).count() == 0
