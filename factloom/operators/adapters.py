@@ -3,7 +3,7 @@
 Each takes a frame with a document's ``id`` and JSON text ``body`` and stays in
 JSON functions. Shapes that may be a string, an object or a list are told apart
 by their first character; nested lists are followed to the depth that the
-documents have (two), nested entries to any depth. Keys of JSON objects keep the document's order through
+documents have (two), nested entries to any depth in the same pass. Keys of JSON objects keep the document's order through
 ``from_json`` to a map.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.scratch import written
+from factloom.functions import nested
 
 # What a path must contain to be of a category, in order of precedence.
 CATEGORIES = (
@@ -67,15 +67,14 @@ def ingredient_items(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("["), F.flatten(F.transform(listed, _one_ingredient))).otherwise(_one_ingredient(text))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """``id, result_item, result_count, groups``: slots in document order, each sorted and distinct.
+def recipe_of(body: Column) -> Column:
+    """``struct(recipe_type, result_item, result_count, groups)``: slots in document order, each sorted and distinct.
 
     Shaped recipes take their key's values, shapeless ones their ingredients,
     cooking and cutting one ingredient, smithing and transmuting their named
-    slots; a trim has no result and gives its base. Others, and those without a
-    result or a slot, give no row.
+    slots; a trim has no result and gives its base. Others have no groups.
     """
-    get = lambda p: F.get_json_object("body", p)
+    get = lambda p: F.get_json_object(body, p)
     # types of any other namespace fit none of the families
     kind = F.regexp_extract(get("$.type"), "^minecraft:(.*)$", 1)
     keyed = F.map_values(F.from_json(get("$.key"), "map<string,string>"))
@@ -93,14 +92,17 @@ def recipes(docs: DataFrame) -> DataFrame:
     given = F.when(F.ltrim(raw).startswith("{"), get("$.result.id"))
     base = F.when(kind.isin("smithing_transform", "smithing_trim"), F.get(ingredient_items(get("$.base")), F.lit(0)))
     result = F.coalesce(F.nullif(given, F.lit("")), base)
-    out = docs.select(
-        "id",
+    return F.struct(
         kind.alias("recipe_type"),
         result.alias("result_item"),
         F.coalesce(get("$.result.count").try_cast("int"), F.lit(1)).alias("result_count"),
         groups.alias("groups"),
     )
-    return out.where("result_item is not null and size(groups) > 0")
+
+
+def recipes(docs: DataFrame) -> DataFrame:
+    """``id`` and the columns of ``recipe_of``; documents without a result or a slot give no row."""
+    return docs.select("id", recipe_of(F.col("body")).alias("r")).select("id", "r.*").where("result_item is not null and size(groups) > 0")
 
 
 def recipe_slots(found: DataFrame) -> DataFrame:
@@ -110,23 +112,8 @@ def recipe_slots(found: DataFrame) -> DataFrame:
 
 
 def loot_drops(docs: DataFrame) -> DataFrame:
-    """``id, drops``: items, ``#`` tags and the children of composite entries, sorted and distinct.
-
-    Entries are followed level by level, each written, until a level is empty.
-    """
-    pools = docs.select("id", F.explode(F.from_json(F.get_json_object("body", "$.pools"), "array<string>")).alias("pool"))
-    level = pools.select("id", F.explode(F.from_json(F.get_json_object("pool", "$.entries"), "array<string>")).alias("e"))
-    found = None
-    while found is None or not level.isEmpty():
-        kind = F.regexp_extract(F.get_json_object("e", "$.type"), "^minecraft:(.*)$", 1)
-        name = F.nullif(F.get_json_object("e", "$.name"), F.lit(""))
-        leaf = level.where(kind.isin("item", "tag")).select("id", F.when(kind == "tag", F.concat(F.lit("#"), name)).otherwise(name).alias("drop"))
-        found = leaf if found is None else found.unionByName(leaf)
-        children = level.where(kind.isin("alternatives", "group", "sequence")).select(
-            "id", F.explode(F.from_json(F.get_json_object("e", "$.children"), "array<string>")).alias("e")
-        )
-        level = written(children, "entries")
-    return found.where("drop is not null").groupBy("id").agg(F.array_sort(F.collect_set("drop")).alias("drops"))
+    """``id, drops``: items, ``#`` tags and the children of composite entries at any depth, sorted and distinct."""
+    return docs.select("id", nested.loot_items(F.col("body")).alias("drops")).where("size(drops) > 0")
 
 
 def tags(docs: DataFrame) -> DataFrame:

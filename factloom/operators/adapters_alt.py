@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import nested
 from factloom.operators.graph import closure
-from factloom.sources.scratch import written
 
 # The keys that hold a recipe's body, and the directories of the categories.
 BODY_KEYS = ("shaped", "shapeless", "furnace", "brewing_mix", "brewing_container", "smithing_transform", "smithing_trim")
@@ -39,12 +39,12 @@ def _items(text: Column) -> Column:
     return F.array_compact(F.coalesce(out, F.array().cast("array<string>")))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """``id, recipe_type, result_item, ingredients`` (sorted, distinct, without slots)."""
+def recipe_of(body: Column) -> Column:
+    """``struct(recipe_type, result_item, ingredients)``, ingredients sorted and distinct, without slots."""
     path = lambda k: f"$['minecraft:recipe_{k}']"
-    kind = F.coalesce(*(F.when(F.get_json_object("body", path(k)).isNotNull(), F.lit(k)) for k in BODY_KEYS))
-    docs = docs.select("id", kind.alias("recipe_type"), F.coalesce(*(F.get_json_object("body", path(k)) for k in BODY_KEYS)).alias("b"))
-    get = lambda p: F.get_json_object("b", p)
+    kind = F.coalesce(*(F.when(F.get_json_object(body, path(k)).isNotNull(), F.lit(k)) for k in BODY_KEYS))
+    inner = F.coalesce(*(F.get_json_object(body, path(k)) for k in BODY_KEYS))
+    get = lambda p: F.get_json_object(inner, p)
     result = get("$.result")
     first = F.get(F.from_json(result, "array<string>"), F.lit(0))
     result_item = (
@@ -63,8 +63,13 @@ def recipes(docs: DataFrame) -> DataFrame:
         .when(get("$.reagent").isNotNull(), each("input", "reagent"))
         .otherwise(_items(get("$.input")))
     )
-    out = docs.select("id", "recipe_type", result_item.alias("result_item"), F.array_sort(F.array_distinct(ingredients)).alias("ingredients"))
-    return out.where("recipe_type is not null and result_item is not null and size(ingredients) > 0")
+    return F.struct(kind.alias("recipe_type"), result_item.alias("result_item"), F.array_sort(F.array_distinct(ingredients)).alias("ingredients"))
+
+
+def recipes(docs: DataFrame) -> DataFrame:
+    """``id`` and the columns of ``recipe_of``; documents without a kind, a result or an ingredient give no row."""
+    found = docs.select("id", recipe_of(F.col("body")).alias("r")).select("id", "r.*")
+    return found.where("recipe_type is not null and result_item is not null and size(ingredients) > 0")
 
 
 def loot_drops(docs: DataFrame) -> DataFrame:
@@ -79,24 +84,8 @@ def loot_drops(docs: DataFrame) -> DataFrame:
 
 
 def spawn_rules(docs: DataFrame) -> DataFrame:
-    """``id, biome_tags``: tags that some condition asks for; what is under ``none_of`` or negated doesn't count.
-
-    Filters are followed level by level, each written, until a level is empty.
-    """
-    conditions = F.from_json(F.get_json_object("body", "$['minecraft:spawn_rules'].conditions"), "array<string>")
-    level = docs.select("id", F.explode(conditions).alias("c")).select("id", F.get_json_object("c", "$['minecraft:biome_filter']").alias("f")).where("f is not null")
-    found = None
-    while found is None or not level.isEmpty():
-        get = lambda p: F.get_json_object("f", p)
-        inner = F.coalesce(get("$.all_of"), get("$.any_of"))
-        single = F.ltrim(F.col("f")).startswith("{")
-        good = single & inner.isNull() & get("$.none_of").isNull() & (get("$.test") == "has_biome_tag") & (F.coalesce(get("$.operator"), F.lit("==")) == "==")
-        leaf = level.where(good).select("id", get("$.value").alias("tag"))
-        found = leaf if found is None else found.unionByName(leaf)
-        # a list's parts and a composite's inside are the next level
-        nested = F.when(F.ltrim(F.col("f")).startswith("["), F.from_json("f", "array<string>")).when(inner.isNotNull(), F.array(inner))
-        level = written(level.select("id", F.explode(nested).alias("f")), "filters")
-    return found.where("tag is not null").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("biome_tags"))
+    """``id, biome_tags``: tags that some condition asks for; what is under ``none_of`` or negated doesn't count."""
+    return docs.select("id", nested.biome_tags(F.col("body")).alias("biome_tags")).where("size(biome_tags) > 0")
 
 
 def tradings(docs: DataFrame) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from factloom.plans import builds, cases, composites, documents, evaluations, lookups, relations, runs, texts  # noqa: F401
+from factloom.plans import builds, cases, composites, documents, evaluations, lookups, records, relations, runs, texts  # noqa: F401
 from factloom.plans.base import ORACLES, QUERIES  # noqa: F401
