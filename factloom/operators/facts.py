@@ -56,9 +56,18 @@ def _advancement(body: Column) -> Column:
     return _record(F.size(keys) > 0, criteria_ids=keys)
 
 
+def _text(value: Column) -> Column:
+    """A VARIANT that is a string; null of any other kind."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _integer(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "long"))
+
+
 def _tag(body: Column) -> Column:
-    listed = F.from_json(_get(body, "$.values"), "array<string>")
-    own = lambda v: F.when(F.ltrim(v).startswith("{"), _get(v, "$.id")).otherwise(v)
+    listed = F.try_variant_get(F.try_parse_json(body), "$.values", "array<variant>")
+    own = lambda v: F.coalesce(_text(v), _text(F.try_variant_get(v, "$.id", "variant")))
     members = F.filter(F.transform(listed, own), lambda m: m.isNotNull() & (m != ""))
     return _record(F.size(members) > 0, members=members)
 
@@ -69,11 +78,11 @@ def _structure(body: Column) -> Column:
 
 
 def _enchantment(body: Column) -> Column:
-    level, slots = _get(body, "$.max_level"), _get(body, "$.slots")
+    level, slots = _integer(_raw(body, "$.max_level")), _get(body, "$.slots")
     listed = F.to_variant_object(F.array_sort(F.from_json(slots, "array<string>")))
     return _record(
-        level.rlike("^-?[0-9]+$") & F.schema_of_variant(_raw(body, "$.max_level")).eqNullSafe("BIGINT"),
-        max_level=level.try_cast("long"),
+        level.isNotNull(),
+        max_level=level,
         weight=_raw(body, "$.weight"),
         anvil_cost=_raw(body, "$.anvil_cost"),
         slots=F.when(F.ltrim(slots).startswith("["), listed).otherwise(_raw(body, "$.slots")),
@@ -106,8 +115,8 @@ def _song(body: Column) -> Column:
 
 
 def _painting(body: Column) -> Column:
-    width, height = (_get(body, f"$.{n}") for n in ("width", "height"))
-    return _record(width.rlike("^-?[0-9]+$") & height.rlike("^-?[0-9]+$"), width=width.try_cast("long"), height=height.try_cast("long"))
+    width, height = (_integer(_raw(body, f"$.{n}")) for n in ("width", "height"))
+    return _record(width.isNotNull() & height.isNotNull(), width=width, height=height)
 
 
 def _drops(found: Column) -> Column:

@@ -1,14 +1,21 @@
 """Closure, depth, reachability and prerequisites by iteration.
 
-A closure doubles the length of its paths each round; depths and levels add what a
-round has found to a table and write that alone. Lineage and plans stay one round
-long and nothing is collected. Counts decide when to stop.
+A closure doubles the length of its paths each round. Depths and levels peel: a
+round joins the frontier, what the round before has found, to the edges that are
+still open, takes these edges away and finds the items that have none left. Only
+open edges are kept, so a round never touches what is known, and what it writes
+shrinks. Once at most ``LOCAL_EDGES`` edges are open, one task peels them to the
+end, so that long chains don't cost a round for each link. Lineage and plans stay
+one round long and nothing is collected. Counts decide when to stop.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +23,8 @@ from factloom.sources.scratch import appended, scratch_path, written
 
 #: Rounds after which a closure that still finds rows is an error (paths double each round).
 MOST_ROUNDS = 64
+#: Open edges that one task peels to the end.
+LOCAL_EDGES = 100_000
 
 
 def closure(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -46,52 +55,92 @@ def depths(recipes: DataFrame, tags: DataFrame) -> DataFrame:
     """``item, depth``: raw items 0, others 1 + the greatest over their ingredients.
 
     ``recipes`` is ``item, ingredient``; an ingredient that is a key of ``tags``
-    (``tag, member``) counts as its shallowest member, an unresolved ``#`` tag is
-    ignored. Items on or behind a cycle get null.
+    (``tag, member``) counts as its shallowest member once all are known, an
+    unresolved ``#`` tag is ignored. Items on or behind a cycle get null.
     """
-    recipes = recipes.select("item", "ingredient").distinct()
-    tags = tags.select("tag", "member").distinct()
+    spark, kind = recipes.sparkSession, recipes.schema["item"].dataType
+    recipes = _as_text(recipes, "item", "ingredient").distinct()
+    tags = _as_text(tags, "tag", "member").distinct()
     made = recipes.select("item").distinct()
     used = recipes.select(F.col("ingredient").alias("item")).union(tags.select(F.col("member").alias("item")))
     raw = used.where("item not like '#%'").distinct().join(made, "item", "left_anti")
-    path = scratch_path(recipes.sparkSession, "depths")
-    known = appended(raw.select("item", F.lit(0).alias("depth")), path)
-    live = recipes.join(tags.select(F.col("tag").alias("ingredient")).distinct(), "ingredient", "left_semi").unionByName(
-        recipes.where("ingredient not like '#%'").join(tags.select(F.col("tag").alias("ingredient")).distinct(), "ingredient", "left_anti")
-    )
-    need = live.groupBy("item").agg(F.count("*").alias("needed"))
-    # items whose ingredients are all unresolved tags
-    ignored = made.join(need, "item", "left_anti").select("item", F.lit(1).alias("depth"))
-    known = appended(ignored, path)
-    n = known.count()
-    members = tags.groupBy("tag").agg(F.count("*").alias("size"))
-    # every round but the last adds an item, so the loop ends
+    keys = tags.select(F.col("tag").alias("ingredient")).distinct()
+    of_tags = recipes.join(keys, "ingredient", "left_semi").select("item", F.concat(F.lit("t:"), "ingredient").alias("input"))
+    plain = recipes.where("ingredient not like '#%'").join(keys, "ingredient", "left_anti")
+    plain = plain.select("item", F.concat(F.lit("i:"), "ingredient").alias("input"))
+    of_items = of_tags.unionByName(plain).select(F.concat(F.lit("i:"), "item").alias("node"), "input")
+    of_members = tags.select(F.concat(F.lit("t:"), "tag").alias("node"), F.concat(F.lit("i:"), "member").alias("input"))
+    edges = written(of_items.unionByName(of_members), "open")
+    path = scratch_path(spark, "depths")
+    # items whose ingredients are all unresolved tags are as shallow as if made of raw ones
+    ignored = made.join(edges.select(F.substr("node", F.lit(3)).alias("item")), "item", "left_anti").select("item", F.lit(1).alias("depth"))
+    known = appended(raw.select("item", F.lit(0).alias("depth")).unionByName(ignored), path)
+    frontier = known.select(F.concat(F.lit("i:"), "item").alias("input"), "depth")
+    state = None  # of nodes with open edges: the least and the greatest depth among those that were closed
     while True:
-        # a tag's depth is final only once all members are known
-        of_tags = (
-            tags.join(known.withColumnRenamed("item", "member"), "member")
-            .groupBy("tag")
-            .agg(F.min("depth").alias("depth"), F.count("*").alias("have"))
-            .join(members, "tag")
-            .where("have = size")
-            .select(F.col("tag").alias("ingredient"), "depth")
-        )
-        plain = known.select(F.col("item").alias("ingredient"), "depth")
-        found = (
-            live.join(plain.join(tags.select(F.col("tag").alias("ingredient")), "ingredient", "left_anti").unionByName(of_tags), "ingredient")
-            .groupBy("item")
-            .agg((F.max("depth") + 1).alias("depth"), F.count("*").alias("have"))
-            .join(need, "item")
-            .where("have = needed")
-            .select("item", "depth")
-            .join(known, "item", "left_anti")
-        )
-        known = appended(found, path)
-        now = known.count()
-        if now == n:
+        if edges.count() <= LOCAL_EDGES:
+            found = _peeled(edges, frontier, state)
             break
-        n = now
-    return known.unionByName(made.join(known, "item", "left_anti").select("item", F.lit(None).cast("int").alias("depth")))
+        met = edges.join(frontier, "input").select("node", F.col("depth").alias("low"), F.col("depth").alias("high"))
+        left = written(edges.join(frontier.select("input"), "input", "left_anti"), "open")
+        so_far = (met if state is None else met.unionByName(state)).groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        waiting = left.select("node").distinct().withColumn("waits", F.lit(True))
+        judged = written(so_far.join(waiting, "node", "left"), "judged")
+        state, edges = judged.where("waits").drop("waits"), left
+        depth = F.when(F.col("node").startswith("t:"), F.col("low")).otherwise(F.col("high") + 1).cast("int")
+        found = judged.where("waits is null").select("node", depth.alias("depth"))
+        if found.isEmpty():
+            break
+        _keep(found, path)
+        frontier = found.select(F.col("node").alias("input"), "depth")
+    known = _keep(found, path)
+    whole = known.unionByName(made.join(known, "item", "left_anti").select("item", F.lit(None).cast("int").alias("depth")))
+    return whole.select(F.col("item").cast(kind).alias("item"), "depth")
+
+
+def _as_text(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*(F.col(n).cast("string").alias(n) for n in names))
+
+
+def _keep(found: DataFrame, path: str) -> DataFrame:
+    items = found.where("node like 'i:%'").select(F.substr("node", F.lit(3)).alias("item"), "depth")
+    return appended(items, path)
+
+
+def _peeled(edges: DataFrame, frontier: DataFrame, state: DataFrame | None) -> DataFrame:
+    """``node, depth`` of all that a bounded number of open edges leads to, in one task."""
+    null = F.lit(None).cast("string")
+    number = F.lit(None).cast("int")
+    rows = edges.select("node", "input", number.alias("low"), number.alias("high"))
+    needed = edges.select("input").distinct()
+    rows = rows.unionByName(frontier.join(needed, "input", "left_semi").select(null.alias("node"), "input", F.col("depth").alias("low"), number.alias("high")))
+    if state is not None:
+        rows = rows.unionByName(state.select("node", null.alias("input"), F.col("low").cast("int"), F.col("high").cast("int")))
+
+    def peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, users, span, ready = Counter(), defaultdict(list), {}, []
+        for b in batches:
+            for node, given, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if node is None:
+                    ready.append((given, low))
+                elif given is None:
+                    span[node] = (low, high)
+                else:
+                    open_[node] += 1
+                    users[given].append(node)
+        out = []
+        while ready:
+            name, depth = ready.pop()
+            for node in users.pop(name, ()):
+                low, high = span.get(node, (depth, depth))
+                span[node] = (min(low, depth), max(high, depth))
+                open_[node] -= 1
+                if not open_[node]:
+                    out.append((node, span[node][0] if node.startswith("t:") else span[node][1] + 1))
+                    ready.append(out[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([d for _, d in out], pa.int32())], names=["node", "depth"])
+
+    return rows.coalesce(1).mapInArrow(peel, "node string, depth int")
 
 
 def reachable(recipes: DataFrame, raw: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -101,33 +150,77 @@ def reachable(recipes: DataFrame, raw: DataFrame, tags: DataFrame | None = None)
     an item is first made, so ordering by (level, item) lists prerequisites first.
     An ingredient that is a key of ``tags`` (``tag, member``) is at hand with any member.
     """
-    need = recipes.groupBy("recipe", "item").agg(F.countDistinct("ingredient").alias("needed"))
-    parts = recipes.select("recipe", "ingredient").distinct()
-    path = scratch_path(recipes.sparkSession, "reachable")
-    known = appended(raw.select("item").distinct().withColumn("level", F.lit(0)), path)
-    n = known.count()
-    # every round but the last adds an item, so the loop ends
+    spark, kind = recipes.sparkSession, recipes.schema["item"].dataType
+    recipes = _as_text(recipes, "recipe", "item", "ingredient")
+    path = scratch_path(spark, "reachable")
+    known = appended(_as_text(raw, "item").distinct().withColumn("level", F.lit(0)), path)
+    goals = recipes.select("recipe", "item").distinct().join(known.select("item"), "item", "left_anti")
+    goals = written(goals, "goals")  # recipes of items that aren't made yet
+    edges = written(recipes.select("recipe", "ingredient").distinct().join(goals.select("recipe").distinct(), "recipe", "left_semi"), "open")
+    if tags is None:
+        tags = spark.createDataFrame([], "tag string, member string")
+    tags = written(_as_text(tags, "tag", "member").distinct(), "tags")
+    whole = lambda df: df.select(F.col("item").cast(kind).alias("item"), "level")
+    frontier = known.select("item")
     for level in itertools.count(1):
-        held = known.select(F.col("item").alias("ingredient"))
-        if tags is not None:
-            held = held.unionByName(tags.join(known, tags["member"] == known["item"], "left_semi").select(F.col("tag").alias("ingredient"))).distinct()
-        ready = (
-            parts.join(held, "ingredient")
-            .groupBy("recipe")
-            .agg(F.count("*").alias("have"))
-            .join(need, "recipe")
-            .where("have = needed")
-            .select("item")
-            .distinct()
-            .join(known, "item", "left_anti")
-            .withColumn("level", F.lit(level))
-        )
-        known = appended(ready, path)
-        now = known.count()
-        if now == n:
-            break
-        n = now
-    return known
+        if edges.count() + tags.count() <= LOCAL_EDGES:
+            return whole(appended(_levels(edges, goals, tags, frontier, level), path))
+        # what is newly at hand: items of the round before and tags with one of them as their first
+        hand = frontier.unionByName(tags.join(frontier, tags["member"] == frontier["item"], "left_semi").select(F.col("tag").alias("item"))).distinct()
+        hand = written(hand.withColumnRenamed("item", "ingredient"), "hand")
+        touched = edges.join(hand, "ingredient", "left_semi").select("recipe").distinct()
+        left = written(edges.join(hand, "ingredient", "left_anti"), "open")
+        ready = touched.join(left.select("recipe").distinct(), "recipe", "left_anti")
+        found = written(goals.join(ready, "recipe", "left_semi").select("item").distinct(), "found")
+        if found.isEmpty():
+            return whole(known)
+        known = appended(found.withColumn("level", F.lit(level)), path)
+        goals = written(goals.join(found, "item", "left_anti"), "goals")
+        edges = left.join(goals.select("recipe").distinct(), "recipe", "left_semi")
+        tags = written(tags.join(hand.withColumnRenamed("ingredient", "tag"), "tag", "left_anti"), "tags")
+        frontier = found
+
+
+def _levels(edges: DataFrame, goals: DataFrame, tags: DataFrame, frontier: DataFrame, level: int) -> DataFrame:
+    """``item, level`` from ``level`` on, of a bounded number of open edges, in one task."""
+    parts = (
+        edges.select(F.lit("edge").alias("kind"), F.col("recipe").alias("a"), F.col("ingredient").alias("b")),
+        goals.join(edges.select("recipe").distinct(), "recipe", "left_semi").select(F.lit("goal").alias("kind"), F.col("recipe").alias("a"), F.col("item").alias("b")),
+        tags.select(F.lit("tag").alias("kind"), F.col("tag").alias("a"), F.col("member").alias("b")),
+        frontier.join(edges.select(F.col("ingredient").alias("item")).union(tags.select("member")).distinct(), "item", "left_semi").select(
+            F.lit("hand").alias("kind"), F.lit("").alias("a"), F.col("item").alias("b")
+        ),
+    )
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, users, holders, made, now = Counter(), defaultdict(list), defaultdict(list), defaultdict(list), []
+        for b in batches:
+            for kind, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == "edge":
+                    open_[x] += 1
+                    users[y].append(x)
+                elif kind == "goal":
+                    made[x].append(y)
+                elif kind == "tag":
+                    holders[y].append(x)
+                else:
+                    now.append(y)
+        out: dict[str, int] = {}
+        at = level
+        while now:
+            names, then = [n for item in now for n in (item, *holders.pop(item, ()))], []
+            for name in names:
+                for recipe in users.pop(name, ()):  # a name is at hand once
+                    open_[recipe] -= 1
+                    if not open_[recipe]:
+                        then += made[recipe]
+            now = [item for item in dict.fromkeys(then) if item not in out]
+            out.update(dict.fromkeys(now, at))
+            at += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int32())], names=["item", "level"])
+
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return rows.coalesce(1).mapInArrow(fold, "item string, level int")
 
 
 def resolved_tags(recipes: DataFrame, members: DataFrame) -> DataFrame:
