@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from factloom.functions import calls
-from factloom.operators import traces
+from factloom.operators import gates, traces
 from factloom.operators.runs import guarded_calls
+from factloom.sources.scratch import written
 
 #: Timeouts in a row after which the rest of a batch isn't tried.
 BREAKER = 3
@@ -45,6 +50,94 @@ def batch_loop(batches: DataFrame, run: str, order: str, size: str, admitted: st
     return made.select(run, order, size, admitted, lane.alias("first_lane"), "total", state.alias("state"))
 
 
+def closed_run(attempts: DataFrame, run: str, target: int, ratio: float, concurrency: int, empty: int) -> tuple[DataFrame, DataFrame]:
+    """The batches of each run and the attempts that they admit, from the attempts' own verdicts.
+
+    ``attempts`` is ``run, lane, pos, success`` and anything else; ``lane`` is
+    ``fact_seeded`` or ``free_recall``, each counted from 0 by ``pos``. A batch has as
+    many attempts as are still missing, ``concurrency`` at most, and of all that were
+    made so far the share ``ratio`` from the first lane, rounded half-even (H9). A run
+    ends once ``target`` are admitted (``complete``), after ``empty`` batches in a row
+    without any (``aborted``), or with its attempts (``exhausted``).
+
+    The share fixes which attempt comes when, whatever the batches: that place is a
+    function of lane and position. Runs are then folded in this order as a stream;
+    a task holds a few numbers of one run. Returns ``run, batch, size, first_lane,
+    admitted, total, state`` and the admitted rows with their ``batch``.
+    """
+    goal = lambda n: F.bround((n * F.lit(ratio)).cast("decimal(38,9)"), 0).cast("long")
+    taken = lambda n, first: F.when(first, goal(n)).otherwise(n - goal(n))
+    is_first, wanted = F.col("lane") == "fact_seeded", F.col("pos") + 1
+    share = F.when(is_first, F.lit(float(ratio))).otherwise(1.0 - ratio)
+    guess = F.greatest(F.floor(F.col("pos") / F.nullif(share, F.lit(0.0))).cast("long") - 1, F.lit(0))
+    # the least number of attempts that this one is among: rounding moves it by less than one item of its lane
+    reach = F.sequence(F.lit(0), F.lit(4 + int(1 / min(ratio, 1 - ratio)) if 0 < ratio < 1 else 4))
+    place = F.get(F.filter(F.transform(reach, lambda i: guess + i), lambda n: taken(n, is_first) >= wanted), F.lit(0))
+    rows = attempts.withColumn("__place", place).where("__place is not null")
+    rows = rows.withColumns({"__run": F.col(run).cast("string"), "__first": is_first, "__ok": F.coalesce(F.col("success"), F.lit(False))})
+    width = len(attempts.columns)
+    ordered = rows.repartition(run).sortWithinPartitions(run, "__place")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, new = None, True
+        for b in batches:
+            where, ends = [], []
+            for at, name, first, ok in zip(*(b.column(width + i).to_pylist() for i in range(4)), strict=True):
+                if new or name != now:
+                    now, new, made, total, misses, over, number = name, False, 0, 0, 0, False, 0
+                    size, left, lane, got = min(target, concurrency), min(target, concurrency), 0, 0
+                if over or at != made + 1:  # a gap: this lane has run out
+                    over = True
+                    where.append(None)
+                    ends.append(None)
+                    continue
+                made += 1
+                left, lane, got = left - 1, lane + first, got + ok
+                where.append(number)
+                state = "exhausted"
+                if not left:
+                    total += got
+                    misses = 0 if got else misses + 1
+                    state = "complete" if total >= target else "aborted" if misses >= empty else "running"
+                ends.append((size, lane, got, total if not left else total + got, state))
+                if not left:
+                    over, number = state != "running", number + 1
+                    size = left = min(max(target - total, 1), concurrency)
+                    lane = got = 0
+            told = pa.array([None if e is None else dict(zip(("made", "first_lane", "admitted", "total", "state"), e, strict=True)) for e in ends], _END)
+            yield pa.RecordBatch.from_arrays([*b.columns[: width + 1], pa.array(where, pa.int64()), told], names=[*b.schema.names[: width + 1], "batch", "__end"])
+
+    schema = StructType(
+        [*attempts.schema.fields, StructField("__place", LongType()), StructField("batch", LongType()), StructField("__end", _END_TYPE)]
+    )
+    folded = written(ordered.select(*attempts.columns, "__place", "__run", "__first", "__ok").mapInArrow(fold, schema), "run").where("batch is not null")
+    last = folded.groupBy(run, "batch").agg(F.count("*").alias("size"), F.max_by("__end", "__place").alias("e"))
+    final = F.col("batch") == F.max("batch").over(Window.partitionBy(run))
+    state = F.when(final & (F.col("e.state") == "running"), "exhausted").otherwise(F.col("e.state")).alias("state")
+    ended = last.select(run, "batch", "size", "e.first_lane", "e.admitted", "e.total", state)
+    return ended, folded.where("success").drop("__place", "__end")
+
+
+_END_TYPE = StructType([*(StructField(n, LongType()) for n in ("made", "first_lane", "admitted", "total")), StructField("state", StringType())])
+_END = pa.struct([*((n, pa.int64()) for n in ("made", "first_lane", "admitted", "total")), ("state", pa.string())])
+
+
+def verified_run(candidates: DataFrame, run: str, target: int, ratio: float, concurrency: int, empty: int) -> tuple[DataFrame, DataFrame]:
+    """``closed_run`` of candidates that are verified here (K10): fact candidates against their facts (K7), others by the judge (K8).
+
+    ``candidates`` is ``run, lane, pos, candidate, fields, unknown_ids`` and for the judge
+    ``consistent, rejects, votes, mechanism, capability, comparative``; the admitted
+    rows have their ``verification`` and a ``sample``, as ``admitted_lines`` takes them.
+    """
+    answer = F.try_variant_get("candidate", "$.answer", "string")
+    judged = gates.judge(answer, F.col("consistent"), F.col("rejects"), F.col("votes"), {k: F.col(k) for k in calls.CLAIMS})
+    fact = gates.fact_check(F.col("candidate"), F.col("fields"), F.col("unknown_ids"))
+    sample = F.struct(F.try_variant_get("candidate", "$.instruction", "string").alias("instruction"), answer.alias("answer"))
+    verdict = F.when(F.col("lane") == "fact_seeded", fact).otherwise(judged)
+    rows = candidates.select(run, "lane", "pos", verdict.alias("verification"), sample.alias("sample"))
+    return closed_run(rows.withColumn("success", F.col("verification.success")), run, target, ratio, concurrency, empty)
+
+
 def task_outcomes(turns: DataFrame, tasks: DataFrame, hops: int) -> DataFrame:
     """What became of each live task.
 
