@@ -1,94 +1,134 @@
 """Queries over a whole report tree: build, lookups, traces of every family, evaluation items, replays.
 
-The tree is made of the nations: each is an item with a recipe, a painting, a song
-and so on. It is written and built once for a session and a folder of tables.
+The tree is made of the suppliers: each is an item with a recipe, a painting, a song
+and so on, some ten files. Spark makes and writes them; it is built once for a session
+and a folder of tables.
 """
 
 from __future__ import annotations
 
-import json
-
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import generation, lookup, traces
 from factloom.plans import oracle
 from factloom.plans.base import query, table
-from factloom.sources import sinks
-from factloom.sources.scratch import put_text, scratch_path, written
+from factloom.sources import sinks, tree
+from factloom.sources.scratch import scratch_path, written
 
 _built: dict[tuple[str, str], tuple[dict, object]] = {}
 
-
-def _files(nations: list[tuple[int, str, int]]) -> dict[str, object]:
-    """Paths and documents of a report in which every nation is an item."""
-    data, out = "data/minecraft", {}
-    names = {i: n for i, n, _ in nations}
-    item = lambda n: f"minecraft:{n}"
-    for i, n, r in nations:
-        first = item(names[(i + 1) % len(names)]) if i % 4 == 0 else f"minecraft:base_{r}"
-        slots = [{"item": first}, [{"item": f"minecraft:part_{i % 5}"}, {"tag": f"minecraft:group_{r}"}]]
-        out[f"{data}/recipe/{n}.json"] = {"type": "minecraft:crafting_shapeless", "ingredients": slots, "result": {"id": item(n), "count": 2}}
-        if i % 2 == 0:
-            out[f"{data}/enchantment/{n}.json"] = {"max_level": i % 5 + 1, "slots": ["any"]}
-        drops = [{"type": "minecraft:item", "name": f"minecraft:gem_{i % 5}"}, {"type": "minecraft:group", "children": [{"type": "minecraft:item", "name": item(n)}]}]
-        out[f"{data}/loot_table/blocks/{n}.json"] = {"pools": [{"entries": drops}]}
-        out[f"{data}/villager_trade/t/{i}.json"] = {"wants": {"id": item(n), "count": i % 3 + 1}, "gives": {"id": f"minecraft:gem_{i % 5}"}}
-        out[f"{data}/jukebox_song/{n}.json"] = {"length_in_seconds": i + 0.5 * (i % 2), "sound_event": "s"}
-        out[f"{data}/painting_variant/{n}.json"] = {"width": i % 4 + 1, "height": i % 3 + 1}
-        uses = {}
-        if i % 3 == 0:
-            uses = {"minecraft:food": {"nutrition": i, "saturation": 0.25 * i}}
-        elif i % 3 == 1:
-            attack = [{"type": "minecraft:armor", "amount": 9}, {"type": "minecraft:attack_damage", "amount": 1.5 * i}]
-            uses = {"minecraft:max_damage": 10 * i, "minecraft:attribute_modifiers": attack, "minecraft:equippable": {"slot": "head"}}
-        out[f"reports/minecraft/components/item/{n}.json"] = {"components": uses}
-        if i % 5 == 0:
-            out[f"{data}/worldgen/configured_feature/ore_{n}.json"] = {"type": "minecraft:ore", "config": {"targets": [{"state": {"Name": item(n)}}]}}
-            level = {"type": "minecraft:uniform", "min_inclusive": {"absolute": 0}, "max_inclusive": {"absolute": i}}
-            steep = {"type": "minecraft:trapezoid", "min_inclusive": {"above_bottom": -10}, "max_inclusive": {"absolute": 40}}
-            for side, count, height in (("a", i + 2, level), ("b", {"type": "minecraft:clamped", "source": {"type": "minecraft:constant", "value": 1}}, steep)):
-                placement = [{"type": "minecraft:count", "count": count}, {"type": "minecraft:height_range", "height": height}]
-                out[f"{data}/worldgen/placed_feature/{n}_{side}.json"] = {"feature": f"minecraft:ore_{n}", "placement": placement}
-    for r in sorted({r for *_, r in nations}):
-        own = [item(n) for _, n, s in nations if s == r]
-        out[f"{data}/tags/item/group_{r}.json"] = {"values": own + (["#minecraft:group_1"] if r == 0 else [])}
-        out[f"{data}/tags/item/animal{r}_food.json"] = {"values": [{"id": own[0]}, f"#minecraft:group_{r}"]}
-        out[f"{data}/loot_table/entities/mob_{r}.json"] = {"pools": [{"entries": [{"type": "minecraft:item", "name": f"minecraft:gem_{r}"}]}]}
-    out[f"{data}/tags/item/big.json"] = {"values": [item(n) for _, n, _ in nations]}
-    out[f"{data}/tags/block/other.json"] = {"values": ["minecraft:stone"]}
-    out[f"{data}/dimension_type/overworld.json"] = {"min_y": -64, "height": 384}
-    return out
+#: Members of the large tag besides those of the first group.
+EXTRAS = 13
+
+
+def _items(spark, sf) -> DataFrame:
+    """``i, n, r, x``: the number, name and group of each item, and the name of the next one."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"))
+    count = s.count()
+    name = lambda k: F.concat(F.lit("supplier_"), k.cast("string"))
+    return s.select("i", name(F.col("i")).alias("n"), F.floor(F.col("i") / 5).alias("r"), name((F.col("i") + 1) % count).alias("x"))
+
+
+def _report(spark, sf) -> DataFrame:
+    """``path, body`` of a report in which every supplier is an item, five of them a group."""
+    data, i = "data/minecraft", F.col("i")
+    marks = {
+        "n": F.col("n"), "x": F.col("x"), "i": i, "r": F.col("r"), "k": i % 5, "level": i % 5 + 1, "wants": i % 3 + 1, "length": i + 0.5 * (i % 2), "width": i % 4 + 1,
+        "height": i % 3 + 1, "quarter": 0.25 * i, "tenfold": 10 * i, "half": 1.5 * i, "count": i + 2,
+    }
+
+    def doc(path: str, body: str, when=None):
+        def fill(text: str):
+            out = F.lit(text)
+            for mark, value in marks.items():
+                out = F.replace(out, F.lit("{" + mark + "}"), value.cast("string"))
+            return out
+
+        made = F.struct(fill(path).alias("path"), fill(body).alias("body"))
+        return made if when is None else F.when(when, made)
+
+    def recipe(first: str) -> str:
+        slots = '[{"item": "' + first + '"}, [{"item": "minecraft:part_{k}"}, {"tag": "minecraft:group_{r}"}]]'
+        return '{"type": "minecraft:crafting_shapeless", "ingredients": ' + slots + ', "result": {"id": "minecraft:{n}", "count": 2}}'
+
+    drops = '[{"type": "minecraft:item", "name": "minecraft:gem_{k}"}, {"type": "minecraft:group", "children": [{"type": "minecraft:item", "name": "minecraft:{n}"}]}]'
+    component = "reports/minecraft/components/item/{n}.json"
+    attack = '[{"type": "minecraft:armor", "amount": 9}, {"type": "minecraft:attack_damage", "amount": {half}}]'
+    placed = lambda count, height: '{"feature": "minecraft:ore_{n}", "placement": [{"type": "minecraft:count", "count": ' + count + '}, {"type": "minecraft:height_range", "height": ' + height + "}]}"
+    level = '{"type": "minecraft:uniform", "min_inclusive": {"absolute": 0}, "max_inclusive": {"absolute": {i}}}'
+    steep = '{"type": "minecraft:trapezoid", "min_inclusive": {"above_bottom": -10}, "max_inclusive": {"absolute": 40}}'
+    one = '{"type": "minecraft:clamped", "source": {"type": "minecraft:constant", "value": 1}}'
+    each = F.array(
+        doc(f"{data}/recipe/{{n}}.json", recipe("minecraft:{x}"), i % 4 == 0),
+        doc(f"{data}/recipe/{{n}}.json", recipe("minecraft:base_{r}"), i % 4 != 0),
+        doc(f"{data}/enchantment/{{n}}.json", '{"max_level": {level}, "slots": ["any"]}', i % 2 == 0),
+        doc(f"{data}/loot_table/blocks/{{n}}.json", '{"pools": [{"entries": ' + drops + "}]}"),
+        doc(f"{data}/villager_trade/t/{{i}}.json", '{"wants": {"id": "minecraft:{n}", "count": {wants}}, "gives": {"id": "minecraft:gem_{k}"}}'),
+        doc(f"{data}/jukebox_song/{{n}}.json", '{"length_in_seconds": {length}, "sound_event": "s"}'),
+        doc(f"{data}/painting_variant/{{n}}.json", '{"width": {width}, "height": {height}}'),
+        doc(component, '{"components": {"minecraft:food": {"nutrition": {i}, "saturation": {quarter}}}}', i % 3 == 0),
+        doc(component, '{"components": {"minecraft:max_damage": {tenfold}, "minecraft:attribute_modifiers": ' + attack + ', "minecraft:equippable": {"slot": "head"}}}', i % 3 == 1),
+        doc(component, '{"components": {}}', i % 3 == 2),
+        doc(f"{data}/worldgen/configured_feature/ore_{{n}}.json", '{"type": "minecraft:ore", "config": {"targets": [{"state": {"Name": "minecraft:{n}"}}]}}', i % 5 == 0),
+        doc(f"{data}/worldgen/placed_feature/{{n}}_a.json", placed("{count}", level), i % 5 == 0),
+        doc(f"{data}/worldgen/placed_feature/{{n}}_b.json", placed(one, steep), i % 5 == 0),
+    )
+    items = _items(spark, sf)
+    of_items = items.select(F.explode(F.array_compact(each)).alias("d")).select("d.*")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda m: F.concat(F.lit('"minecraft:'), m["n"], F.lit('"')))
+    groups = items.groupBy("r").agg(own.alias("m"))  # five members each
+    more = F.when(F.col("r") == 0, F.array(F.lit('"#minecraft:group_1"'))).otherwise(F.array().cast("array<string>"))
+    listed = lambda values: F.concat(F.lit('{"values": ['), F.array_join(values, ", "), F.lit("]}"))
+    r = F.col("r").cast("string")
+    at = lambda head, tail=".json": F.concat(F.lit(f"{data}/{head}"), r, F.lit(tail)).alias("path")
+    gem = F.concat(F.lit('{"pools": [{"entries": [{"type": "minecraft:item", "name": "minecraft:gem_'), (F.col("r") % 5).cast("string"), F.lit('"}]}]}'))
+    food = F.array(F.concat(F.lit('{"id": '), F.get("m", F.lit(0)), F.lit("}")), F.concat(F.lit('"#minecraft:group_'), r, F.lit('"')))
+    of_groups = groups.select(
+        F.inline(
+            F.array(
+                F.struct(at("tags/item/group_"), listed(F.concat("m", more)).alias("body")),
+                F.struct(at("tags/item/animal", "_food.json"), listed(food).alias("body")),
+                F.struct(at("loot_table/entities/mob_"), gem.alias("body")),
+            )
+        )
+    )
+    extras = ", ".join(f'"minecraft:extra_{k}"' for k in range(EXTRAS))
+    fixed = {
+        "tags/item/big": f'{{"values": ["#minecraft:group_0", {extras}]}}',
+        "tags/block/other": '{"values": ["minecraft:stone"]}',
+        "dimension_type/overworld": '{"min_y": -64, "height": 384}',
+        "tags/item/broken": "{bad",
+    }
+    rest = spark.createDataFrame([(f"{data}/{p}.json", b) for p, b in fixed.items()], "path string, body string")
+    return of_items.unionByName(of_groups).unionByName(rest)
 
 
 def _build(spark, sf):
     """The eleven tables and what lookups answer."""
     name = (spark.sparkContext.applicationId, sf)
     if name not in _built:
-        rows = table(spark, sf, "nation").select("n_nationkey", F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")), "n_regionkey").orderBy("n_nationkey")
         root = scratch_path(spark, "report")
-        for path, document in _files([tuple(r) for r in rows.collect()]).items():  # the nations of the world
-            put_text(spark, f"{root}/{path}", json.dumps(document))
-        put_text(spark, f"{root}/data/minecraft/tags/item/broken.json", "{bad")
+        tree.write_tree(_report(spark, sf), root)
         tables = oracle.build_oracle(spark, root)
         _built[name] = tables, written(oracle.truth_view(tables), "truth")
     return _built[name]
 
 
-_NATIONS = """
-n AS (SELECT a.n_nationkey AS i, replace(lower(a.n_name), ' ', '_') AS nm, a.n_regionkey AS r, replace(lower(b.n_name), ' ', '_') AS nx
-  FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % (SELECT count(*) FROM nation)),
+_ITEMS = """
+n AS (SELECT s_suppkey AS i, 'supplier_' || s_suppkey AS nm, s_suppkey // 5 AS r, 'supplier_' || ((s_suppkey + 1) % (SELECT count(*) FROM supplier)) AS nx FROM supplier),
 g AS (SELECT r, 'minecraft:' || nm AS m FROM n UNION SELECT 0, 'minecraft:' || nm FROM n WHERE r = 1),
 gl AS (SELECT r, string_agg(m, ', ' ORDER BY m) AS l FROM g GROUP BY r),
-drops AS (SELECT 'minecraft:blocks/' || nm AS source, 'minecraft:gem_' || (i % 5) AS item FROM n UNION SELECT 'minecraft:entities/mob_' || r, 'minecraft:gem_' || r FROM n),
+drops AS (SELECT 'minecraft:blocks/' || nm AS source, 'minecraft:gem_' || (i % 5) AS item FROM n UNION SELECT 'minecraft:entities/mob_' || r, 'minecraft:gem_' || (r % 5) FROM n),
 truth AS (
   SELECT 'recipe' AS tbl, 'minecraft:' || nm AS key, CASE WHEN i % 4 = 0 THEN 'minecraft:' || nx ELSE 'minecraft:base_' || r END || ', #minecraft:group_' || r || '/minecraft:part_' || (i % 5) AS result FROM n
   UNION ALL SELECT 'tag', 'minecraft:group_' || r, l FROM gl
   UNION ALL SELECT 'tag', 'minecraft:animal' || r || '_food', l FROM gl
-  UNION ALL SELECT 'tag', 'minecraft:big', string_agg('minecraft:' || nm, ', ' ORDER BY nm) FROM n
+  UNION ALL SELECT 'tag', 'minecraft:big', string_agg(m, ', ' ORDER BY m) FROM (SELECT m FROM g WHERE r = 0 UNION SELECT 'minecraft:extra_' || unnest(generate_series(0, 12)))
   UNION ALL SELECT 'breeding_food', 'animal' || r, l FROM gl
   UNION ALL SELECT 'enchantment', 'minecraft:' || nm, 'max_level=' || (i % 5 + 1) FROM n WHERE i % 2 = 0
   UNION ALL SELECT 'loot', 'minecraft:blocks/' || nm, array_to_string(list_sort(['minecraft:gem_' || (i % 5), 'minecraft:' || nm]), ', ') FROM n
-  UNION ALL SELECT DISTINCT 'loot', 'minecraft:entities/mob_' || r, 'minecraft:gem_' || r FROM n
+  UNION ALL SELECT DISTINCT 'loot', 'minecraft:entities/mob_' || r, 'minecraft:gem_' || (r % 5) FROM n
   UNION ALL SELECT 'loot_source', item, string_agg(source, ', ' ORDER BY source) FROM drops GROUP BY item
   UNION ALL SELECT 'villager_trade', 'minecraft:t/' || i, 'wants=' || (i % 3 + 1) || ' minecraft:' || nm || ', gives=1 minecraft:gem_' || (i % 5) FROM n
   UNION ALL SELECT 'jukebox_song', 'minecraft:' || nm, 'length=' || i || CASE WHEN i % 2 = 1 THEN '.5' ELSE '' END FROM n
@@ -99,16 +139,16 @@ truth AS (
 """
 
 
-@query(f"WITH {_NATIONS} SELECT tbl, key, result FROM truth")
+@query(f"WITH {_ITEMS} SELECT tbl, key, result FROM truth")
 def oracle_lookups(spark, sf):
     """What a lookup answers, in all eleven tables of a report."""
     return _build(spark, sf)[1]
 
 
 @query("""
-SELECT tbl, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS c, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS even, count(*) FILTER (WHERE n_nationkey % 3 <> 2) AS used,
-  count(*) FILTER (WHERE n_nationkey % 5 = 0) AS ores, count(*) FILTER (WHERE n_regionkey = 1) AS one, count(DISTINCT n_regionkey) AS regions FROM nation),
-LATERAL (VALUES ('recipe', 3 * c), ('recipe_slot', 3 * c), ('tag', 3 * c + 2 * one), ('breeding_food', c + one), ('enchantment', even), ('villager_trade', c),
+SELECT tbl, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS c, count(*) FILTER (WHERE s_suppkey % 2 = 0) AS even, count(*) FILTER (WHERE s_suppkey % 3 <> 2) AS used,
+  count(*) FILTER (WHERE s_suppkey % 5 = 0) AS ores, count(*) FILTER (WHERE s_suppkey // 5 = 1) AS one, count(DISTINCT s_suppkey // 5) AS regions FROM supplier),
+LATERAL (VALUES ('recipe', 3 * c), ('recipe_slot', 3 * c), ('tag', 2 * c + 3 * one + 5 + 13), ('breeding_food', c + one), ('enchantment', even), ('villager_trade', c),
   ('loot', 2 * c + regions), ('jukebox_song', c), ('painting', c), ('item_use', used), ('ore_depth', 2 * ores)) AS t(tbl, n)
 """)
 def oracle_table_counts(spark, sf):
@@ -116,7 +156,7 @@ def oracle_table_counts(spark, sf):
     return sinks.write_tables(_build(spark, sf)[0], scratch_path(spark, "oracle"))
 
 
-_WORDED = (("What will animal2 take?", "breeding_food", "animal2"), ("And nothing?", "recipe", "minecraft:nothing"))
+_WORDED = (("What will animal1 take?", "breeding_food", "animal1"), ("And nothing?", "recipe", "minecraft:nothing"))
 _ALIASES = (("Where are gems?", "minecraft:gem_0"), ("Where are other gems?", "minecraft:gem_1"))
 
 
@@ -133,11 +173,11 @@ def _families(spark, sf):
 
 
 _FAMILIES = """
-SELECT family, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS c, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS even, count(*) FILTER (WHERE n_nationkey % 3 <> 2) AS used,
-  count(*) FILTER (WHERE n_nationkey % 5 = 0) AS ores, count(*) FILTER (WHERE n_nationkey % 4 = 0) AS chained, count(DISTINCT n_regionkey) AS regions FROM nation),
-LATERAL (VALUES ('breeding_food', regions), ('recipe', c), ('enchantment', even), ('ore_depth', ores), ('loot', c + 3 * regions), ('loot_source', 4), ('villager_trade', c),
-  ('jukebox_song', c), ('painting', c), ('tag', 2 * regions), ('large_tag', 1), ('item_use', used), ('decline', 15), ('wording', 2), ('goal', 1), ('multihop', chained),
-  ('cross', regions), ('source_depth', 1), ('alias', 1), ('usage_decline', 14)) AS t(family, n)
+SELECT family, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS c, count(*) FILTER (WHERE s_suppkey % 2 = 0) AS even, count(*) FILTER (WHERE s_suppkey % 3 <> 2) AS used,
+  count(*) FILTER (WHERE s_suppkey % 5 = 0) AS ores, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS chained, count(DISTINCT s_suppkey // 5) AS regions FROM supplier),
+LATERAL (VALUES ('breeding_food', regions), ('recipe', least(c, 1200)), ('enchantment', even), ('ore_depth', ores), ('loot', c + 3 * regions), ('loot_source', 4), ('villager_trade', c),
+  ('jukebox_song', c), ('painting', c), ('tag', least(2 * regions, 150)), ('large_tag', 1), ('item_use', used), ('decline', 15), ('wording', 2), ('goal', 1), ('multihop', least(chained, 250)),
+  ('cross', least(regions, 60)), ('source_depth', 1), ('alias', 1), ('usage_decline', 14)) AS t(family, n)
 """
 
 
@@ -198,7 +238,7 @@ _DIALOGUES = " UNION ALL ".join(
 )
 
 
-@query(f"WITH {_NATIONS} {_DIALOGUES}")
+@query(f"WITH {_ITEMS} {_DIALOGUES}")
 def trace_dialogues(spark, sf):
     """Traces of five families message by message."""
     rows = generation.single_hop_traces(_build(spark, sf)[1]).where(F.col("family").isin("painting", "jukebox_song", "enchantment", "breeding_food", "recipe"))
@@ -206,7 +246,7 @@ def trace_dialogues(spark, sf):
 
 
 @query(f"""
-WITH {_NATIONS}, kept AS (
+WITH {_ITEMS}, kept AS (
   SELECT tbl, key, result, row_number() OVER (PARTITION BY tbl ORDER BY sha256('items' || chr(0) || key), key) AS k FROM truth
   WHERE tbl IN ({", ".join(f"'{t}'" for t in generation.EVALUATED)}) AND key NOT IN (SELECT 'minecraft:' || nm FROM n WHERE i % 2 = 0))
 SELECT tbl AS category, key, result AS expected, 'known' AS kind FROM kept WHERE k <= 3
@@ -214,15 +254,15 @@ SELECT tbl AS category, key, result AS expected, 'known' AS kind FROM kept WHERE
 def evaluation_items(spark, sf):
     """Held-out items of every table, without the keys of training calls."""
     truth = _build(spark, sf)[1]
-    turns = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(
-        F.concat(F.lit("say <tool_call>lookup(recipe, result_item='minecraft:"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")), F.lit("')</tool_call>")).alias("text")
+    turns = _items(spark, sf).where("i % 2 = 0").select(
+        F.concat(F.lit("say <tool_call>lookup(recipe, result_item='minecraft:"), "n", F.lit("')</tool_call>")).alias("text")
     )
     items = generation.evaluation_items(truth, generation.trained_keys(turns, "text"), 3)
     return items.select("category", "key", F.array_join("expected", ", ").alias("expected"), "kind").where("key is not null")
 
 
 @query(f"""
-WITH {_NATIONS} SELECT n.i, p.kind, CASE p.kind WHEN 'known' THEN 'painting' WHEN 'usage' THEN 'usage' ELSE 'recipe' END AS category,
+WITH {_ITEMS} SELECT n.i, p.kind, CASE p.kind WHEN 'known' THEN 'painting' WHEN 'usage' THEN 'usage' ELSE 'recipe' END AS category,
   CASE p.kind WHEN 'known' THEN a.result WHEN 'multihop' THEN b.result ELSE '' END AS expected
 FROM n, (VALUES ('known'), ('unknown'), ('multihop'), ('usage')) AS p(kind)
 LEFT JOIN truth a ON a.tbl = 'painting' AND a.key = 'minecraft:' || n.nm LEFT JOIN truth b ON b.tbl = 'recipe' AND b.key = 'minecraft:' || n.nx
@@ -230,10 +270,7 @@ LEFT JOIN truth a ON a.tbl = 'painting' AND a.key = 'minecraft:' || n.nm LEFT JO
 def probe_items(spark, sf):
     """Probes of the four kinds with what is expected of each."""
     truth = _build(spark, sf)[1]
-    n = table(spark, sf, "nation")
-    count = n.count()
-    named = n.select("n_nationkey", F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")).alias("nm"))
-    following = named.select(((F.col("n_nationkey") + (count - 1)) % count).alias("n_nationkey"), F.col("nm").alias("nx"))
+    named = _items(spark, sf).select("i", F.col("n").alias("nm"), F.col("x").alias("nx"))
     null = F.lit(None).cast("string")
     probe = lambda kind, tbl, key, second: F.struct(
         F.lit(kind).alias("kind"), F.lit(tbl).cast("string").alias("tbl"), key.alias("key"), null.alias("second_tbl"), second.alias("second_key")
@@ -243,36 +280,36 @@ def probe_items(spark, sf):
         probe("known", "painting", F.upper("nm"), null), probe("unknown", "recipe", F.lit("minecraft:none"), null),
         probe("multihop", "recipe", F.concat(F.lit("minecraft:"), "nm"), F.concat(F.lit("minecraft:"), "nx")), probe("usage", None, null, null),
     )
-    rows = named.join(following, "n_nationkey").select(F.col("n_nationkey").cast("string").alias("question"), F.inline(listed))
+    rows = named.select(F.col("i").cast("string").alias("question"), F.inline(listed))
     found = generation.probe_items(rows, truth)
     return found.select(F.col("question").cast("int").alias("i"), "kind", "category", F.array_join("expected", ", ").alias("expected"))
 
 
 @query(f"""
-WITH {_NATIONS} SELECT n.i, c.pos, c.tbl, coalesce(t.result, '(no rows)') AS result
+WITH {_ITEMS} SELECT n.i, c.pos, c.tbl, coalesce(t.result, '(no rows)') AS result
 FROM n, (VALUES (0, 'recipe'), (1, 'enchantment'), (2, 'tag')) AS c(pos, tbl) LEFT JOIN truth t ON t.tbl = c.tbl AND t.key = 'minecraft:' || n.nm
 """)
 def replayed_lookups(spark, sf):
     """The calls of a hop loop executed; what comes behind the answer isn't."""
     truth = _build(spark, sf)[1]
-    nm = F.replace(F.lower("n_name"), F.lit(" "), F.lit("_"))
+    nm = F.col("n")
     call = lambda tbl, arg, key: F.concat(F.lit(f"<tool_call>lookup({tbl}, {arg}='"), key, F.lit("')</tool_call>"))
     # an enchantment is found with a suffix too
     said = F.array(
         call("recipe", "result_item", F.upper(nm)), F.concat(F.lit("<think>on</think>"), call("enchantment", "name", F.concat(nm, F.lit("_enchantment")))),
         call("tag", "tag", nm), F.lit("That is all.<|im_end|>"), call("painting", "painting", nm),
     )
-    turns = table(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), F.posexplode(said).alias("hop", "text"))
+    turns = _items(spark, sf).select("i", F.posexplode(said).alias("hop", "text"))
     replayed = traces.replay(turns, "i", "hop", F.col("text"), 6)
     return traces.answered_calls(replayed, "i", truth).select("i", "pos", "tbl", "result")
 
 
 @query(f"""
-WITH {_NATIONS} SELECT 'minecraft:' || nm AS key, coalesce((SELECT result FROM truth WHERE tbl = 'enchantment' AND key = 'minecraft:' || nm), '(no rows)') AS result FROM n
+WITH {_ITEMS} SELECT 'minecraft:' || nm AS key, coalesce((SELECT result FROM truth WHERE tbl = 'enchantment' AND key = 'minecraft:' || nm), '(no rows)') AS result FROM n
 """)
 def enchantment_forms(spark, sf):
     """D3: an enchantment's suffixes are tried, and what is left without them."""
     truth = _build(spark, sf)[1].where("tbl = 'enchantment'")
     suffixed = truth.select("tbl", F.concat("key", F.lit("_enchant")).alias("key"), "result")  # known under a longer name
-    keys = table(spark, sf, "nation").select(F.concat(F.lit("minecraft:"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("_"))).alias("key"))
+    keys = _items(spark, sf).select(F.concat(F.lit("minecraft:"), "n").alias("key"))
     return lookup.execute(keys.select(F.lit("enchantment").alias("tbl"), "key"), suffixed).select("key", "result")

@@ -66,8 +66,10 @@ def build_oracle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     lenient = F.lit(False)
     for place in LENIENT:
         lenient = lenient | F.col("path").like(place)
-    docs = reports.strict(docs.where(~lenient)).unionByName(reports.leniently(docs.where(lenient)))
-    docs = written(docs, "report")
+    # the tree is read once: what isn't JSON is passed over in some places and an error in others
+    broken = F.try_parse_json("body").isNull()
+    refused = F.raise_error(F.concat(F.lit("not JSON: "), "path")).cast("string")
+    docs = written(docs.where(~(broken & lenient)).withColumn("body", F.when(broken, refused).otherwise(F.col("body"))), "report")
     of = lambda category: docs.where(F.col("category") == category)
     values = adapters.tags(of("tag"))
     item = values.where("tag like 'minecraft:item/%'").select(F.regexp_replace("tag", "^minecraft:item/", "minecraft:").alias("tag"), "value")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.operators import facts, gates, tasks, topics
 from factloom.plans.base import query, table
-from factloom.sources.scratch import written
+from factloom.sources import tree
+from factloom.sources.scratch import scratch_path, written
 from factloom.sources.sinks import admitted_lines
 
 _DATA = "data/minecraft"
@@ -61,6 +62,19 @@ def fact_records(spark, sf):
     return facts.fact_records(report_documents(spark, sf)).select("category", "subject_id", F.to_json("fields").alias("fields"))
 
 
+@query("""
+SELECT category, count(*) AS files, CAST(sum(length(p) + 5) AS BIGINT) AS path_chars FROM (
+  SELECT 'recipe' AS category, 'data/minecraft/recipe/r' || p_partkey AS p FROM part WHERE p_partkey % 10 = 0
+  UNION ALL SELECT 'worldgen_structure', 'data/minecraft/worldgen/structure/w' || p_partkey FROM part WHERE p_partkey % 10 = 4) GROUP BY category
+""")
+def report_tree(spark, sf):
+    """A1, A3, B1: a tree with a file for each part, written whole and read by category; folders of others aren't walked."""
+    root = scratch_path(spark, "tree")
+    tree.write_tree(report_documents(spark, sf), root)
+    read = tree.read_tree(spark, root).where("category in ('recipe', 'worldgen_structure')")
+    return read.groupBy("category").agg(F.count("*").alias("files"), F.sum(F.char_length("path")).alias("path_chars"))
+
+
 @query("""
 SELECT category, count(*) AS records, CAST(sum(n) AS BIGINT) AS fields FROM (
   SELECT CASE p_partkey % 10 WHEN 0 THEN 'recipe' WHEN 1 THEN 'loot_table' WHEN 2 THEN 'advancement' WHEN 3 THEN 'tag' WHEN 4 THEN 'worldgen_structure'
