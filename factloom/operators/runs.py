@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from factloom.sources.scratch import written
+from factloom.sources.scratch import appended, scratch_path, written
 
 
 def stratified_heldout(rows: DataFrame, bucket: str, order: str, n: int) -> DataFrame:
@@ -34,6 +34,34 @@ def usage_cap(pairs: DataFrame, item: str, part: str, most: int) -> DataFrame:
     return ranked.groupBy(item).agg(F.min(F.struct("__k", part)).alias("c")).select(item, F.col(f"c.{part}").alias(part))
 
 
+def balanced_use(pairs: DataFrame, item: str, part: str, most: int) -> DataFrame:
+    """``item, part``: one part for each item, the least used first, none for more than ``most`` items (H3).
+
+    In rounds, every item without a part proposes to the least used of its parts that
+    have room, the least name among equals, and a part takes half of its room, one at
+    least, in the items' order. It ends when nobody proposes: no part is over its
+    cap, and no item is left out that has a part with room. A round reads the open
+    pairs alone and writes them anew.
+    """
+    spark = pairs.sparkSession
+    path = scratch_path(spark, "placed")
+    open_ = written(pairs.select(item, part).where(F.col(item).isNotNull() & F.col(part).isNotNull()).distinct(), "open")
+    placed = appended(open_.limit(0), path)
+    while True:
+        used = placed.groupBy(part).agg(F.count("*").alias("__used"))
+        room = open_.join(used, part, "left").withColumn("__used", F.coalesce("__used", F.lit(0))).where(F.col("__used") < most)
+        room = written(room, "room")
+        asks = room.groupBy(item).agg(F.min(F.struct("__used", part)).alias("a")).select(item, f"a.{part}", "a.__used")
+        turn = F.row_number().over(Window.partitionBy(part).orderBy(item))
+        # the literal bound lets Spark keep each task's first rows of a part alone before it shuffles
+        first = asks.withColumn("__k", turn).where(F.col("__k") <= most)
+        taken = written(first.where(F.col("__k") <= F.greatest(F.lit(1), F.floor((most - F.col("__used")) / 2))).select(item, part), "taken")
+        if taken.isEmpty():
+            return placed
+        placed = appended(taken, path)
+        open_ = room.drop("__used").join(taken.select(item), item, "left_anti")
+
+
 def seeded_hash(seed: str, key: Column) -> Column:
     """An order that depends on the seed and the key alone."""
     return F.sha2(F.concat(F.lit(seed), F.lit("\u0000"), key), 256)

@@ -227,6 +227,25 @@ def usage_cap(spark, sf):
     return runs.usage_cap(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct(), "l_orderkey", "l_partkey", 6)
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS item, l_partkey % 150 AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+a AS (SELECT 0 AS r, CAST(NULL AS BIGINT) AS item, CAST(NULL AS BIGINT) AS part
+UNION ALL
+SELECT * FROM (
+  WITH cur AS (SELECT * FROM a), used AS (SELECT part, count(*) AS n FROM cur WHERE item IS NOT NULL GROUP BY part),
+  room AS (SELECT p.item, p.part, coalesce(n, 0) AS n FROM p LEFT JOIN used ON used.part = p.part LEFT JOIN cur ON cur.item = p.item WHERE coalesce(n, 0) < 5 AND cur.item IS NULL),
+  asks AS (SELECT item, part, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n, part) AS k FROM room) WHERE k = 1),
+  taken AS (SELECT item, part FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY item) AS k FROM asks) WHERE k <= greatest(1, (5 - n) // 2))
+  SELECT r + 1, item, part FROM cur WHERE EXISTS (SELECT 1 FROM taken) UNION ALL SELECT (SELECT max(r) FROM cur) + 1, item, part FROM taken))
+SELECT item, part FROM a WHERE r = (SELECT max(r) FROM a) AND item IS NOT NULL
+""")
+def balanced_use(spark, sf):
+    """H3: the least used first, by proposals; none over its cap, none left out that has room."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = rows.select(F.col("o_custkey").alias("item"), (F.col("l_partkey") % 150).alias("part"))
+    return runs.balanced_use(pairs, "item", "part", 5)
+
+
 @query("""
 WITH f AS (SELECT conv_id, turn, first(text ORDER BY turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS q FROM conversations),
 k AS (SELECT q, row_number() OVER (ORDER BY sha256('split' || chr(0) || coalesce(q, '')), coalesce(q, '')) - 1 AS r, count(*) OVER () AS n

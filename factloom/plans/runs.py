@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import reshaping
 from factloom.operators import adapters, evaluation, evidence, generation, graph, relations, runs, tasks, traces
-from factloom.plans.base import query, table
+from factloom.plans.base import ORACLES, query, table
 from factloom.sources import reports, sinks
 from factloom.sources.scratch import put_text, scratch_path
 
@@ -173,6 +173,38 @@ def dispatcher_outcomes(spark, sf):
     return relations.dispatch(asked, said, (2,), 7200)
 
 
+def _dispatched_events(spark, sf, events):
+    u = F.col("user_id")
+    tool = F.when(u % 4 == 0, "mine").when(u % 4 == 1, "attack").when(u % 4 == 2, "fly").otherwise("place")
+    return events.where("event_type in ('click', 'purchase')").select(
+        F.col("event_id").alias("id"), (F.col("event_type") == "click").alias("asks"), u.alias("user"), tool.alias("tool"), (u % 5).alias("nonce"), "ts"
+    )
+
+
+@query(ORACLES["dispatcher_outcomes"])
+def dispatcher_stream(spark, sf):
+    """The same as a stream, one-shot nonces with timers in event time; a last row moves the watermark past all others."""
+    from factloom.streaming import confirmations
+
+    events = table(spark, sf, "events")
+    folder = scratch_path(spark, "events")
+    rows = _dispatched_events(spark, sf, events)
+    rows.write.parquet(folder)
+    last = F.lit("2200-01-01 00:00:00").cast("timestamp").cast(dict(rows.dtypes)["ts"])
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(True).alias("asks"), F.lit(-1).cast("long").alias("user"), F.lit("mine").alias("tool"), F.lit(-1).cast("long").alias("nonce"), last.alias("ts"))
+    end.write.mode("append").parquet(folder)
+    was = spark.conf.get(confirmations.STATE_STORE[0], None)
+    spark.conf.set(*confirmations.STATE_STORE)
+    try:
+        stream = confirmations.dispatch_stream(spark.readStream.schema(rows.schema).parquet(folder), (2,), "1 minute", 7200)
+        out, state = scratch_path(spark, "outcomes"), scratch_path(spark, "state")
+        stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.unset(confirmations.STATE_STORE[0]) if was is None else spark.conf.set(confirmations.STATE_STORE[0], was)
+    found = spark.read.parquet(out).where("id <> '-1'")
+    return found.select(F.col("id").cast("long").alias("id"), "kind", "outcome", F.col("partner").cast("long").alias("partner"))
+
+
 @query("""
 SELECT c_custkey AS id, 'stick x' || (c_custkey % 9) || ', iron_helmet x1' AS inventory, CASE WHEN c_custkey % 2 = 0 THEN 'iron_helmet' END AS helmet, NULL AS boots,
   CASE WHEN c_custkey % 3 = 0 THEN 'stick' END AS mainhand, c_acctbal AS x, n_name AS biome
