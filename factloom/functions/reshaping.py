@@ -51,6 +51,7 @@ def protected_gear(name: Column, components: Column) -> Column:
 
 def rendered_calls(made: Column, answer: Column) -> Column:
     """Numbered calls and the answer, with placeholders where there are none."""
+    # fixed values: the form of a line and the placeholders
     lines = F.transform(
         made, lambda c, i: F.concat(F.lit("  → lookup "), (i + 1).cast("string"), F.lit(": "), c["tbl"], F.lit("("), c["key"], F.lit(")"))
     )

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +24,40 @@ def canonical_sha256(value: object) -> str:
     return hashlib.sha256(canonical_json(value)).hexdigest()
 
 
-def tree_sha256(files: DataFrame) -> str:
-    """One digest over ``path, content`` of a small tree: names and bytes in order of the names, each ended by a zero byte.
+def tree_digests(files: DataFrame, tree: str) -> DataFrame:
+    """``tree, files, digest``: one digest over ``path, content`` of each tree: names and bytes in order of the names, each ended by a zero byte.
 
-    The files come to the driver one after the other.
+    A digest depends on the order of all that it covers, so a tree's files stream
+    through one task, sorted; the task holds one file and the state of the digest.
     """
-    digest = hashlib.sha256()
-    for row in files.select("path", "content").orderBy("path").toLocalIterator():
-        digest.update(row["path"].encode() + b"\0" + bytes(row["content"]) + b"\0")
-    return digest.hexdigest()
+    kind = dict(files.dtypes)[tree]
+    rows = files.select(tree, F.col("path").cast("binary").alias("path"), F.col("content").cast("binary").alias("content"))
+    rows = rows.repartition(tree).sortWithinPartitions(tree, "path")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, digest = None, 0, None
+        out: list[tuple[object, int, str]] = []
+        for b in batches:
+            for name, path, content in zip(*b.columns, strict=True):
+                if digest is None or name != now:
+                    if digest is not None:
+                        out.append((now, n, digest.hexdigest()))
+                    now, n, digest = name, 0, hashlib.sha256()
+                digest.update(path.as_py() + b"\0" + (content.as_py() or b"") + b"\0")
+                n += 1
+        if digest is not None:
+            out.append((now, n, digest.hexdigest()))
+        if out:
+            names, counts, digests = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in names], names[0].type), pa.array(counts, pa.int64()), pa.array(digests)], names=[tree, "files", "digest"])
+
+    return rows.mapInArrow(fold, f"`{tree}` {kind}, files long, digest string")
+
+
+def tree_sha256(files: DataFrame) -> str:
+    """The digest of one tree, ``path, content``; the driver gets the digest alone."""
+    row = tree_digests(files.withColumn("tree", F.lit(0)), "tree").first()
+    return row["digest"] if row else hashlib.sha256().hexdigest()
 
 
 def pairing(base: DataFrame, adapter: DataFrame, index: str, identity: list[str], seed: str, prompt: str) -> DataFrame:

@@ -69,12 +69,8 @@ ALIASES = (
     ("Where does one find copper?", "minecraft:raw_copper"),
     ("Where are diamonds?", "minecraft:diamond"),
 )
-# Real items that are asked for their use.
-USED_ITEMS = (
-    "minecraft:carrot_on_a_stick", "minecraft:compass", "minecraft:clock", "minecraft:spyglass", "minecraft:lead", "minecraft:name_tag",
-    "minecraft:shears", "minecraft:shield", "minecraft:elytra", "minecraft:totem_of_undying", "minecraft:trident", "minecraft:fishing_rod",
-    "minecraft:flint_and_steel", "minecraft:map",
-)
+#: Crafted items without a recorded use that are asked about.
+UNUSED = 14
 #: Limits of the families: traces of recipes, loot, sources and tags, members of a small and of a large tag.
 LIMITS = {"recipe": 1200, "loot": 500, "loot_source": 400, "tag": 150, "small": 12, "large": 40}
 #: Ways to ask about a mob's drops, so that each is met several times.
@@ -309,7 +305,9 @@ def usage_declines(truth: DataFrame, items: DataFrame, seed: str = "traces") ->
 def all_traces(truth: DataFrame, seed: str = "traces") -> DataFrame:
     """``trace_id, family, key, messages`` of every family (K1, K3-K5; I1)."""
     spark = truth.sparkSession
-    used = spark.createDataFrame([(k,) for k in USED_ITEMS], "key string")
+    recorded = truth.where("tbl = 'item_use'").select("key")
+    unused = truth.where("tbl = 'recipe'").select("key").join(recorded, "key", "left_anti")
+    used = first_by_hash(unused, seed, "key", UNUSED)
     families = (
         single_hop_traces(truth, seed), decline_traces(truth, seed), worded_traces(truth), worded_traces(truth, GOALS, "goal"),
         multihop_traces(truth, seed=seed), cross_traces(truth, seed=seed), source_depth_traces(truth, seed=seed), alias_traces(truth),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.scratch import written
+
 
 def place_features(placed: DataFrame, features: DataFrame) -> DataFrame:
     """Placed features with their configured feature's blocks, a row for each; the last modifier of a kind wins."""
@@ -65,11 +67,16 @@ def within_radius(points: DataFrame, centre: list[float], radius: float, column:
     return points.withColumn("distance", F.sqrt(squares)).where(F.col("distance") <= radius)
 
 
+#: Points of a cell that are joined together.
+CELL_POINTS = 10_000
+
+
 def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """``a_id, b_id, distance`` of points (``id, x, y, z``) of two frames that are no farther apart than ``radius``.
 
     Points meet through the cells of a grid as wide as the radius: each of ``b`` is
-    put into its own and the 26 cells around it.
+    put into its own and the 26 cells around it. Cells of more than ``CELL_POINTS``
+    points of ``a`` are cut into slices; a point of ``b`` goes to all slices of its cells.
     """
     cell = lambda c, d: (F.floor(F.col(c) / radius) + d).cast("long")
     here = a.select(F.col("id").alias("a_id"), *(F.col(c).cast("double").alias(f"a{c}") for c in "xyz"), *(cell(c, F.lit(0)).alias(f"c{c}") for c in "xyz"))
@@ -77,7 +84,13 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     there = b.select(F.col("id").alias("b_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), F.explode(steps).alias("d"))
     there = there.select("b_id", "x", "y", "z", *(cell(c, F.col(f"d.{n}")).alias(f"c{c}") for c, n in zip("xyz", "ijk", strict=True)))
     squares = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "xyz"), F.lit(0.0))
-    pairs = here.join(there, ["cx", "cy", "cz"]).withColumn("distance", F.sqrt(squares))
+    cells = ["cx", "cy", "cz"]
+    dense = here.groupBy(*cells).agg(F.ceil(F.count("*") / CELL_POINTS).alias("slices")).where("slices > 1")
+    dense = written(dense, "dense")
+    slices = F.coalesce("slices", F.lit(1))
+    here = here.join(dense, cells, "left").withColumn("slice", F.pmod(F.xxhash64("a_id"), slices)).drop("slices")
+    there = there.join(dense, cells, "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("slices")
+    pairs = here.join(there, [*cells, "slice"]).withColumn("distance", F.sqrt(squares))
     return pairs.where(F.col("distance") <= radius).select("a_id", "b_id", "distance")
 
 

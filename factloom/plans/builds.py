@@ -177,7 +177,7 @@ SELECT family, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS c, count(*) FILTE
   count(*) FILTER (WHERE s_suppkey % 5 = 0) AS ores, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS chained, count(DISTINCT s_suppkey // 5) AS regions FROM supplier),
 LATERAL (VALUES ('breeding_food', regions), ('recipe', least(c, 1200)), ('enchantment', even), ('ore_depth', ores), ('loot', c + 3 * regions), ('loot_source', 4), ('villager_trade', c),
   ('jukebox_song', c), ('painting', c), ('tag', least(2 * regions, 150)), ('large_tag', 1), ('item_use', used), ('decline', 15), ('wording', 2), ('goal', 1), ('multihop', least(chained, 250)),
-  ('cross', least(regions, 60)), ('source_depth', 1), ('alias', 1), ('usage_decline', 14)) AS t(family, n)
+  ('cross', least(regions, 60)), ('source_depth', 1), ('alias', 1), ('usage_decline', least(c - used, 14))) AS t(family, n)
 """
 
 

@@ -11,7 +11,7 @@ from factloom.functions import reshaping
 from factloom.operators import adapters, evaluation, evidence, generation, graph, relations, runs, tasks, traces
 from factloom.plans.base import ORACLES, query, table
 from factloom.sources import reports, sinks
-from factloom.sources.scratch import put_text, scratch_path
+from factloom.sources.scratch import put_text, scratch_path, written
 
 _BATCHES = "SELECT user_id % 7 AS run, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS admitted FROM events GROUP BY ALL"
 
@@ -337,7 +337,8 @@ def prerequisite_steps(spark, sf):
 def turn_alignment(spark, sf):
     """Teacher-forced turns beside the references."""
     said = lambda c: F.when(F.col(c) % 3 == 0, "action(craft, item='a', count=1)").when(F.col(c) % 3 == 1, "action(equip, item='b')").otherwise("Done.")
-    lines = table(spark, sf, "lineitem").withColumn("id", F.monotonically_increasing_id())
+    # ids that are written, so that both sides read the same
+    lines = written(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").withColumn("id", F.monotonically_increasing_id()), "turns")
     rows = lines.select("id", said("l_partkey").alias("told"), said("l_suppkey").alias("gold"))
     both = traces.turn_alignment(rows.select("id", F.col("told").alias("text")), rows.select("id", F.col("gold").alias("text")), ["id"])
     return both.agg(
@@ -503,3 +504,14 @@ def stripped_traces(spark, sf):
     rows = traces.conversation_messages(table(spark, sf, "conversations").withColumn("text", F.col("conv_id").cast("string")), "conv_id", "turn")
     bare = reshaping.messages_only(rows)
     return bare.select(F.get("messages", F.lit(0))["content"].cast("long").alias("conv_id"), F.size("messages").cast("long").alias("n"))
+
+
+@query("""
+SELECT page_id % 20 AS tree, count(*) AS files, sha256(string_agg(url || '#' || page_id || chr(0) || html || chr(0), '' ORDER BY url || '#' || page_id)) AS digest
+FROM pages WHERE html IS NOT NULL GROUP BY page_id % 20
+""")
+def tree_digests(spark, sf):
+    """One digest for each of twenty trees of pages, names and contents in the names' order."""
+    pages = table(spark, sf, "pages").where("html is not null")
+    name = F.concat_ws("#", "url", F.col("page_id").cast("string"))
+    return evidence.tree_digests(pages.select((F.col("page_id") % 20).alias("tree"), name.alias("path"), F.col("html").cast("binary").alias("content")), "tree")

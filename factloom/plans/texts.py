@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import calls, names
+from factloom.operators import lookup
 from factloom.operators.runs import question_seed
 from factloom.plans.base import ORACLES, QUERIES, query, table
 from factloom.sources import reports
@@ -52,8 +53,8 @@ def source_label(spark, sf):
 
 @query("""
 SELECT p_partkey, CASE WHEN p_size % 2 = 0
-  THEN 'from Y ' || -p_size || ' to Y ' || (p_partkey % 64) || ' (most common around Y ' || CAST(round_even((p_partkey % 64 - p_size) / 2.0, 0) AS INTEGER) || ')'
-  ELSE 'from Y ' || -p_size || ' to Y ' || (p_partkey % 64) || ' (evenly spread)' END AS phrase FROM part
+  THEN 'at heights of ' || -p_size || ' up to ' || (p_partkey % 64) || ', densest at ' || CAST(round_even((p_partkey % 64 - p_size) / 2.0, 0) AS INTEGER)
+  ELSE 'at heights of ' || -p_size || ' up to ' || (p_partkey % 64) || ', as often at each' END AS phrase FROM part
 """)
 def depth_phrase(spark, sf):
     low, high = -F.col("p_size"), (F.col("p_partkey") % 64).cast("int")
@@ -331,3 +332,54 @@ def fabricated_nouns(spark, sf):
     text = F.when(F.col("p_partkey") % 2 == 0, "Smelt mithril ore, or feed them with raw beef.").otherwise("Use an iron ingot.")
     known = spark.sql("SELECT explode(array('iron', 'beef')) AS noun")
     return reshaping.fabricated_nouns(table(spark, sf, "part").select("p_partkey", text.alias("text")), "p_partkey", "text", known)
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority AS tool, 'item=' || o_custkey || ',count=' || (o_orderkey % 50) || ',note=' || o_orderstatus AS args FROM
+(SELECT o_orderkey, o_custkey, o_orderstatus, 'tool_' || (o_orderkey % 7) AS o_orderpriority FROM orders WHERE o_orderkey % 3 <> 2)
+""")
+def action_arguments(spark, sf):
+    """The tool and the arguments of an action, texts and numbers in their order; turns without an action have none."""
+    k = F.col("o_orderkey")
+    call = F.concat(
+        F.lit("<think>x=1</think>\n<tool_call>action(tool_"), (k % 7).cast("string"), F.lit(", item='"), F.col("o_custkey").cast("string"), F.lit("', count="), (k % 50).cast("string"),
+        F.lit(",  note = '"), "o_orderstatus", F.lit("')</tool_call>"),
+    )
+    a = calls.parse_action(F.when(k % 3 != 2, call).otherwise(F.lit("No action, only words (count=3).")))
+    value = lambda x: F.coalesce(x["text"], x["number"].cast("long").cast("string"))
+    args = F.array_join(F.transform(F.col("a.args"), lambda x: F.concat_ws("=", x["name"], value(x))), ",")
+    return table(spark, sf, "orders").select("o_orderkey", a.alias("a")).where("a is not null").select("o_orderkey", "a.tool", args.alias("args"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN p_size % 2 = 0 ELSE true END AS right_ FROM part
+""")
+def fact_scores(spark, sf):
+    """All of the expected names, any of them, or the expected number."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    kind = F.when(k <= 1, "contains_all").when(k == 2, "int_equals").otherwise("contains_any")
+    expected = F.when(k == 2, F.array(F.concat(size, F.lit(".0")))).otherwise(F.array(F.lit("minecraft:iron_ingot"), F.concat(F.lit("#minecraft:x/gear_"), size)))
+    answer = (
+        F.when(k == 0, F.concat(F.lit("Take an Iron ingot and the gear "), size, F.lit(".")))
+        .when(k == 1, F.lit("Take an iron_ingot."))
+        .when(k == 2, F.concat(F.lit("It is "), (F.col("p_size") + F.col("p_size") % 2).cast("string"), F.lit("."))).otherwise(F.concat(F.lit("Some GEAR_"), size))
+    )
+    return table(spark, sf, "part").select("p_partkey", calls.fact_score(kind, expected, answer).alias("right_"))
+
+
+@query("""
+SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey % 3 <> 0 AS anywhere, l_partkey % 3 = 1 AS there FROM lineitem
+""")
+def registry_scope(spark, sf):
+    """Whether an id exists at all, and in the registry that is meant: items of every third part, blocks of the one after it."""
+    part = table(spark, sf, "part")
+    registry = part.where("p_partkey % 3 > 0").select(
+        F.when(F.col("p_partkey") % 3 == 1, "item").otherwise("block").alias("registry"), F.concat(F.lit("minecraft:p"), F.col("p_partkey").cast("string")).alias("id")
+    )
+    k = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")
+    rows = table(spark, sf, "lineitem").select(k, F.lit("item").alias("registry"), F.concat(F.lit("minecraft:p"), F.col("l_partkey").cast("string")).alias("id"))
+    asked = rows.select("registry", "id").distinct()
+    known = lookup.existing(asked, registry).select("id", F.lit(True).alias("a"))
+    there = lookup.existing(asked, registry, scoped=True).select("id", F.lit(True).alias("t"))
+    found = rows.join(known, "id", "left").join(there, "id", "left")
+    return found.select("k", F.coalesce("a", F.lit(False)).alias("anywhere"), F.coalesce("t", F.lit(False)).alias("there"))

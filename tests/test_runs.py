@@ -150,3 +150,23 @@ def test_scenarios_come_in_pairs(spark):
     rows = generation.scenarios(spark.range(200).select(F.col("id").alias("k")), "k").collect()
     assert len(rows) == 400 and {r.scenario for r in rows} == set(generation.SCENARIOS)
     assert all(("TOOL_CALL: " in r.response) == (r.step == 1) and ("Tool result: " in r.instruction) == (r.step == 2) for r in rows)
+
+
+def test_dense_cells_are_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(relations, "CELL_POINTS", 3)
+    points = [(i, float(i % 4) / 8, 0.0, float(i // 40)) for i in range(80)]
+    a, b = (spark.createDataFrame(rows, "id long, x double, y double, z double") for rows in (points, points[::7]))
+    got = sorted((r.a_id, r.b_id) for r in relations.near_pairs(a, b, 0.2).collect())
+    far = lambda p, q: sum((x - y) ** 2 for x, y in zip(p[1:], q[1:], strict=True)) ** 0.5
+    assert got == sorted((p[0], q[0]) for p in points for q in points[::7] if far(p, q) <= 0.2)
+
+
+def test_digests_of_trees(spark):
+    import hashlib
+
+    rows = [(t, f"f{k}", bytes([k]) * k) for t in ("a", "b") for k in range(5)] + [("b", "empty", None)]
+    files = spark.createDataFrame(rows, "tree string, path string, content binary")
+    plain = lambda t: hashlib.sha256(b"".join(p.encode() + b"\0" + (c or b"") + b"\0" for n, p, c in sorted(rows, key=lambda r: r[1]) if n == t)).hexdigest()
+    assert {r.tree: (r.files, r.digest) for r in evidence.tree_digests(files, "tree").collect()} == {"a": (5, plain("a")), "b": (6, plain("b"))}
+    assert evidence.tree_sha256(files.where("tree = 'a'").drop("tree")) == plain("a")
+    assert evidence.tree_sha256(files.limit(0).drop("tree")) == hashlib.sha256().hexdigest()
