@@ -8,9 +8,9 @@ ends where the pivot changes or the distance falls, as at the seams of files.
 
 A search takes the queries in blocks of at most ``QUERY_BLOCK`` that lie around
 the same pivots, one block after the other: the driver holds one, and what each
-finds is written. Cells of pivots in which no query of a block can have a result
-are left out by a condition on the sorted pivot column, so their row groups
-aren't read. For a query q and an
+finds is written. A block reads, of each cell of a pivot, the range of distances
+in which one of its queries can have a result; both columns are sorted, so the
+row groups of other cells and ranges aren't read. For a query q and an
 annulus with distances in [lo, hi] around p and norms at most m, the triangle
 inequality gives |q - x| >= max(d(q,p) - hi, lo - d(q,p), 0), hence
 <q, x> <= (|q|^2 + m^2 - |q - x|^2) / 2; and <q, x> <= <q, p> + |q| hi.
@@ -31,6 +31,7 @@ columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,8 +42,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import bound_batches, discard, materialize, release
 
-#: Vectors from which pivots and first floors are taken, pivots, queries of a block, vectors of an annulus.
-SAMPLE, PIVOTS, QUERY_BLOCK, ANNULUS = 4096, 64, 4096, 256
+#: Vectors from which pivots and first floors are taken, queries of a block, vectors of an annulus.
+SAMPLE, QUERY_BLOCK, ANNULUS = 4096, 4096, 256
+#: Pivots of small tables, and of large ones, which have one for so many of the square root's vectors.
+PIVOTS, MOST_PIVOTS, PER_PIVOT = 64, 512, 64
 #: Roundings of the bounds are below this share.
 SLACK = 1e-9
 
@@ -62,14 +65,19 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.select("vec_id", whole.alias("v"), F.size("e").alias("d"))
 
 
-def _dimensions(rows: DataFrame) -> list[tuple[int, np.dtype]]:
-    """The dimensions that occur, with the kind of number that holds their products exactly."""
+def _dimensions(rows: DataFrame) -> list[tuple[int, np.dtype, int]]:
+    """The dimensions that occur, with the kind of number that holds their products exactly and their rows."""
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    found = rows.groupBy("d").agg(F.max(square).alias("most")).orderBy("d").collect()
+    found = rows.groupBy("d").agg(F.max(square).alias("most"), F.count("*").alias("n")).orderBy("d").collect()
     if any(r["most"] >= 2.0**63 for r in found):
         raise ValueError("the vectors are so long that their products exceed 64 bits")
     # a distance has four times the square of a length
-    return [(r["d"], np.dtype(np.float64 if r["most"] < 2.0**51 else np.longdouble)) for r in found]
+    return [(r["d"], np.dtype(np.float64 if r["most"] < 2.0**51 else np.longdouble), r["n"]) for r in found]
+
+
+def pivots_for(rows: int) -> int:
+    """How many pivots a table of so many rows gets."""
+    return max(PIVOTS, min(MOST_PIVOTS, math.isqrt(rows) // PER_PIVOT))
 
 
 def _matrix(column: pa.ListArray, d: int, kind: np.dtype = np.dtype(np.float64)) -> np.ndarray:
@@ -215,6 +223,32 @@ def _cells(index: DataFrame) -> list[tuple]:
     return [(r["pivot"], r["lo"], r["hi"], r["most"]) for r in rows.collect()]
 
 
+def _reach(block: QueryBlock, pivots: np.ndarray, cells: list[tuple]) -> Column:
+    """The rows of the index that a query of the block may have as a result: a range of distances of each cell.
+
+    With a floor f a result x has |q - x|^2 <= |q|^2 + m^2 - 2 f, and so lies that
+    near to the query's own distance from the pivot. Neighbouring cells of which
+    everything is read are one condition.
+    """
+    to_pivots = _distances(block.q, pivots)
+    upper = _upper(block, to_pivots, block.q @ pivots.T, cells)
+    whole: list[int] = []
+    found = F.lit(False)
+    for (pivot, low, high, most), bound in zip(cells, upper, strict=True):
+        live = bound >= block.floor
+        if not live.any():
+            continue
+        room = block.norm2[live] + most - 2 * block.floor[live]
+        room = np.sqrt(np.maximum(room + SLACK * (block.norm2[live] + most + 1), 0))
+        d = to_pivots[live, int(pivot)]
+        least, last = float((d - room).min()), float((d + room).max())
+        if least <= low and last >= high:
+            whole.append(int(pivot))
+        else:
+            found = found | ((F.col("pivot") == int(pivot)) & F.col("distance").between(max(least, 0.0), last))
+    return (F.col("pivot").isin(whole) | found) if whole else found
+
+
 def search(
     vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -224,7 +258,7 @@ def search(
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
-    found = [_search_dimension(rows.where(F.col("d") == d).drop("d"), queries, k, max(d, 1), kind) for d, kind in _dimensions(rows)]
+    found = [_search_dimension(rows.where(F.col("d") == d).drop("d"), queries, k, max(d, 1), kind, n) for d, kind, n in _dimensions(rows)]
     found = [df for df in found if df is not None]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -236,14 +270,14 @@ def search(
     return every.where(F.col("rank") <= k)
 
 
-def _search_dimension(rows: DataFrame, queries: Column, k: int, d: int, kind: np.dtype) -> DataFrame | None:
+def _search_dimension(rows: DataFrame, queries: Column, k: int, d: int, kind: np.dtype, n: int) -> DataFrame | None:
     """The results among vectors of one dimension; None without queries."""
     spark = rows.sparkSession
     # a bounded sample: at most SAMPLE vectors reach the driver
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     sample_ids = sample.column(0).to_numpy()
     points = _matrix(sample.column(1).combine_chunks(), d, kind)
-    pivots = choose_pivots(points)
+    pivots = choose_pivots(points, pivots_for(n))
     index = materialize(build_index(rows, pivots), "annuli")
     asked = index.where(queries)
     counts = {r["pivot"]: r["count"] for r in asked.groupBy("pivot").count().collect()}  # a row for each pivot
@@ -273,9 +307,7 @@ def _search_dimension(rows: DataFrame, queries: Column, k: int, d: int, kind: np
 
         reached = index
         if len(blocks) > 1:
-            upper = _upper(block, _distances(block.q, pivots), block.q @ pivots.T, cells)
-            live = [int(c[0]) for c, u in zip(cells, upper, strict=True) if (u >= block.floor).any()]
-            reached = index.where(F.col("pivot").isin(live))
+            reached = index.where(_reach(block, pivots, cells))
         found = reached.mapInArrow(run, "query_id long, vec_id long, score long")
         found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         found = found.select("query_id", "rank", "vec_id", "score")

@@ -133,3 +133,28 @@ def test_repeated_ids_equal_the_sql(spark):
     want = duckdb.sql(ORACLES["op4_topk"]).fetchall()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, knn.search(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+
+
+def test_far_distances_are_not_read(spark, monkeypatch):
+    """Shells around one pivot: a block of queries reads the ranges of distances that they reach, and loses nothing."""
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(knn, "PIVOTS", 2)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        v = rng.normal(0, 1, 4)
+        rows.append((i, [float(x) for x in v / np.linalg.norm(v) * (0.2 if i % 3 else 8 + i % 7)]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked, made = [], knn._reach
+
+    def reach(block, pivots, cells):
+        asked.append(made(block, pivots, cells))
+        return asked[-1]
+
+    monkeypatch.setattr(knn, "_reach", reach)
+    assert sorted(map(tuple, knn.search(df, F.col("vec_id") % 50 == 0).collect())) == plain(rows)
+    assert len(asked) > 1 and any("between" in str(c).lower() or "distance" in str(c).lower() for c in asked)
+
+
+def test_pivots_grow_with_the_table():
+    assert [knn.pivots_for(n) for n in (10, 10**6, 10**8, 10**9, 10**12)] == [64, 64, 156, 494, 512]
