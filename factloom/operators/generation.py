@@ -233,15 +233,15 @@ def _hop(truth: DataFrame, tbl: str, i: int) -> DataFrame:
 def multihop_traces(truth: DataFrame, most: int = 6, limit: int = 250, seed: str = "traces") -> DataFrame:
     """An item's recipe, then that of one of its ingredients that is crafted itself.
 
-    An ingredient is used by at most ``most`` items (H3).
+    An ingredient is used by at most ``most`` items, the least used first (H3).
     """
-    from factloom.operators.runs import usage_cap
+    from factloom.operators.runs import balanced_use
 
     first = _hop(truth, "recipe", 1).where("not contains(k1, '_from_')")
     second = _hop(truth, "recipe", 2).where("not contains(k2, '_from_')")
     parts = first.select("k1", F.explode(F.array_distinct(F.flatten(F.transform("r1", lambda t: F.split(t, "/"))))).alias("k2"))
     pairs = parts.where("k1 <> k2 and k2 not like '#%'").join(second.select("k2"), "k2", "left_semi")
-    rows = first_by_hash(usage_cap(pairs, "k1", "k2", most), seed, "k1", limit).join(first, "k1").join(second, "k2")
+    rows = first_by_hash(balanced_use(pairs, "k1", "k2", most), seed, "k1", limit).join(first, "k1").join(second, "k2")
     n, y = bare_name(F.col("k1")), bare_name(F.col("k2"))
     answer = F.concat(
         F.lit("To craft "), n, F.lit(" you need "), recipe_phrase(F.col("r1")), F.lit(". For "), y, F.lit(" you need "), recipe_phrase(F.col("r2")), F.lit(".")
