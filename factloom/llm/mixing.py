@@ -14,7 +14,7 @@ found from token sums of ``BUCKETS`` equal parts of the order, the part in which
 it lies is parted again, and so on until it has at most ``PART_ROWS`` documents;
 these alone are ordered one by one. Texts are not shuffled.
 
-Defined results: null texts have no tokens; null domains, languages and sources
+Defined results: null texts have no tokens, very long ones are counted whole; null domains, languages and sources
 count as empty strings; null ids order as empty strings; equal order keys (rows
 that repeat an id in a leaf) are taken together or not at all; documents without
 tokens cost nothing and come with their epochs; leaves of weight 0 are left out;

@@ -98,3 +98,11 @@ def test_names_of_every_kind_pass_through(spark):
     assert got.columns == [*(c for c in df.columns if c != "Copies"), "mix_domain", "mix_tokens", "copies"]
     out = got.collect()
     assert len(out) == 6 and all(tuple(r)[4:-3] == tuple(range(len(names) - 1)) for r in out)
+
+
+def test_very_long_texts_count_whole(spark):
+    rows = [(1, "word " * 400_000, "en", "a"), (2, "x" * 2_000_000, "en", "a"), (3, "w " * 10, "de", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, share=0.9, max_epochs=2, weights={})
+    assert sorted(((r.doc_id, r.mix_domain, r.mix_tokens, r.copies) for r in got.collect()), key=str) == plain(rows, {}, 0.9, 2)
+    assert {r.doc_id: r.text for r in got.collect()}.get(3, rows[2][1]) == rows[2][1]

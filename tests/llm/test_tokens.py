@@ -74,3 +74,10 @@ def test_empty_table_and_a_very_long_text(spark, library):
     (row,) = tokens.count_tokens(docs).collect()
     assert (row.n_bytes, row.n_tokens, row.over_limit) == (len(text.encode()), counts(library, [text])[0], True)
     assert tokens.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_other_columns_may_have_the_names_of_the_result(spark, library):
+    names = ["n_bytes", "n_tokens", "over_limit", "a.b", "`q`"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    docs = spark.createDataFrame([(1, "some words", *names), (1, "some words", *names)], schema)
+    assert [(r.doc_id, r.n_tokens) for r in tokens.count_tokens(docs).collect()] == [(1, counts(library, ["some words"])[0])] * 2
