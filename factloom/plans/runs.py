@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 from pyspark.sql import functions as F
 
 from factloom.functions import reshaping
 from factloom.operators import adapters, evaluation, evidence, generation, graph, relations, runs, tasks, traces
 from factloom.plans.base import ORACLES, query, table
-from factloom.sources import reports, sinks
+from factloom.sources import reports, sinks, tree
 from factloom.sources.scratch import put_text, scratch_path, written
 
 _BATCHES = "SELECT user_id % 7 AS run, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS admitted FROM events GROUP BY ALL"
@@ -449,22 +448,26 @@ def dump_lines(spark, sf):
     return counts.where("tbl = 'customer'").select("tbl", "n", F.lit(summary).alias("summary")).where(F.lit(whole.count()) == 1)
 
 
-@query("SELECT 'blocks/' || n_name AS source, n_regionkey AS region FROM nation WHERE n_regionkey = 1".replace("'blocks/' || n_name", "n_name"))
+@query("SELECT c_name AS source, c_nationkey AS region FROM customer WHERE c_nationkey = 1")
 def dump_source_rows(spark, sf):
-    """The rows of one source of a dump."""
-    rows = table(spark, sf, "nation").select("n_name", "n_regionkey").collect()  # the nations of the world
-    path = scratch_path(spark, "dump") + "/dump.json"
-    put_text(spark, path, json.dumps({"loot": [{"source": str(r.n_regionkey), "name": r.n_name} for r in rows], "other": []}))
-    found = reports.rows_of_source(spark, path, "loot", "source string, name string", "1")
-    return found.select(F.col("name").alias("source"), F.col("source").cast("int").alias("region"))
+    """The rows of one source of dumps, a file for each fifty customers."""
+    row = F.struct(F.col("c_nationkey").cast("string").alias("source"), F.col("c_name").alias("name"))
+    fifty = table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("g")).agg(F.array_sort(F.collect_list(row)).alias("loot"))
+    body = F.to_json(F.struct("loot", F.array().cast("array<string>").alias("other")))
+    root = scratch_path(spark, "dumps")
+    tree.write_tree(fifty.select(F.format_string("d%d.json", "g").alias("path"), body.alias("body")), root)
+    found = reports.rows_of_source(spark, root, "loot", "source string, name string", "1")
+    return found.select(F.col("name").alias("source"), F.col("source").cast("long").alias("region"))
 
 
-@query("SELECT 'v' || r_regionkey AS id, 'u' || r_regionkey AS url, CAST(NULL AS VARCHAR) AS sha1 FROM region WHERE r_regionkey = 2")
+@query("SELECT 'v7' AS id, 'u' || p_partkey AS url, CAST(NULL AS VARCHAR) AS sha1 FROM part WHERE p_partkey % 40 = 7")
 def version_pin(spark, sf):
-    """A10: the entry of one version in a manifest; a version that isn't there gives no row."""
-    listed = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("v"), "r_regionkey").alias("id"), F.concat(F.lit("u"), "r_regionkey").alias("url")))).alias("versions")))
-    manifest = table(spark, sf, "region").agg(listed.alias("body"))  # a handful of rows
-    return reports.pinned_version(manifest, "v2").unionByName(reports.pinned_version(manifest, "v77"))
+    """A10: the entry of one version in each manifest of forty; a version that isn't there gives no row."""
+    k = F.col("p_partkey")
+    entry = F.struct(F.format_string("v%d", k % 40).alias("id"), F.format_string("u%d", k).alias("url"))
+    forty = table(spark, sf, "part").groupBy(F.floor(k / 40).alias("g")).agg(F.array_sort(F.collect_list(entry)).alias("versions"))
+    manifests = forty.select(F.to_json(F.struct("versions")).alias("body"))
+    return reports.pinned_version(manifests, "v7").unionByName(reports.pinned_version(manifests, "v77"))
 
 
 _TREE = {"a.js": b"run()\n", "b/c.js": b"makeDispatcher({mode: 'ungated'})\n", "b/d.js": b"ungated\n"}
