@@ -9,7 +9,9 @@ met by whole epochs and a prefix of one more, whose order is seeded by leaf
 epoch and document id: the prefix has the documents whose running token sum
 stays within what is left.
 
-Only leaf sums and one small part of a leaf are ever ordered: the prefix's end is
+A node's children are shared out in the order of capacity to weight; where they
+are many, ranges of that order are summed apart. Only leaf sums and one small part
+of a leaf are ever ordered: the prefix's end is
 found from token sums of ``BUCKETS`` equal parts of the order, the part in which
 it lies is parted again, and so on until it has at most ``PART_ROWS`` documents;
 these alone are ordered one by one. Texts are not shuffled.
@@ -42,6 +44,8 @@ KEY_DIGITS = 32
 ADDED = ("mix_domain", "mix_tokens", "copies")
 #: Leaves up to which their table is broadcast; more are joined by shuffle.
 BROADCAST_LEAVES = 50_000
+#: Children of a node that are put in order together; more are summed in ranges of the order.
+NODE_ROWS = 10_000
 #: Weights by level; values not named weigh 1.
 WEIGHTS = {"domain": {}, "lang": {"en": 2.0}, "source": {}}
 LEVELS = ("domain", "lang", "source")
@@ -73,16 +77,43 @@ def _share(nodes: DataFrame, parent: list[str], level: str, weights: dict) -> Da
     that ratio is at most the share of those not before it.
     """
     nodes = nodes.withColumn("w", _weight(level, weights)).where("w > 0").withColumn("ratio", F.col("capacity") / F.col("w"))
+    nodes = materialize(nodes, "nodes")
+    most = nodes.groupBy(*parent).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    sums = _sums_in_ranges if most > NODE_ROWS else _sums_in_a_window
+    nodes = sums(nodes, parent, level).withColumn("rate", (F.col("budget") - F.col("before")) / F.col("after"))
+    nodes = nodes.withColumn("full", F.col("ratio") <= F.col("rate"))
+    # a row for each parent
+    rates = materialize(nodes.where("not full").groupBy(*parent).agg(F.max("rate").alias("shared")), "rates")
+    nodes = nodes.join(rates, parent, "left") if parent else nodes.join(F.broadcast(rates), how="left")
+    budget = F.when(F.col("full"), F.col("capacity")).otherwise(F.col("w") * F.col("shared"))
+    return nodes.withColumn("budget", budget).drop("w", "ratio", "rate", "full", "before", "after", "shared")
+
+
+def _sums_in_a_window(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
+    """Capacities ``before`` each child and weights from it on (``after``), of few children."""
     order = Window.partitionBy(*parent).orderBy("ratio", level)
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    nodes = nodes.withColumn(
-        "rate",
-        (F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0))) / F.sum("w").over(after),
-    ).withColumn("full", F.col("ratio") <= F.col("rate"))
-    rate = F.max(F.when(~F.col("full"), F.col("rate"))).over(Window.partitionBy(*parent))
-    return nodes.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(F.col("w") * rate)).drop(
-        "w", "ratio", "rate", "full"
+    return nodes.withColumn("before", F.coalesce(F.sum("capacity").over(before), F.lit(0.0))).withColumn("after", F.sum("w").over(after))
+
+
+def _sums_in_ranges(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
+    """The same of any number of children: ranges of the order are summed by themselves, then the ranges of a parent."""
+    keys = [*parent, "ratio", level]
+    spread = nodes.repartitionByRange(*keys).withColumn("range", F.spark_partition_id())
+    spread = materialize(spread, "ranges")
+    inside = Window.partitionBy("range", *parent).orderBy("ratio", level).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+    here = spread.withColumn("cap_here", earlier("capacity", inside)).withColumn("w_here", earlier("w", inside))
+    # a row for each range of a parent
+    ranges = spread.groupBy("range", *parent).agg(F.sum("capacity").alias("c"), F.sum("w").alias("v"))
+    whole = Window.partitionBy(*parent)
+    upto = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        "range", *parent, earlier("c", upto).alias("cap_before"), (F.sum("v").over(whole) - earlier("v", upto)).alias("w_after")
     )
+    found = here.join(materialize(ranges, "range-sums"), ["range", *parent])
+    found = found.withColumn("before", F.col("cap_before") + F.col("cap_here")).withColumn("after", F.col("w_after") - F.col("w_here"))
+    return found.drop("range", "cap_here", "w_here", "cap_before", "w_after")
 
 
 def plan(leaves: DataFrame, share: float, max_epochs: int, weights: dict) -> DataFrame:

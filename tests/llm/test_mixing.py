@@ -106,3 +106,16 @@ def test_very_long_texts_count_whole(spark):
     got = mixing.mix(df, share=0.9, max_epochs=2, weights={})
     assert sorted(((r.doc_id, r.mix_domain, r.mix_tokens, r.copies) for r in got.collect()), key=str) == plain(rows, {}, 0.9, 2)
     assert {r.doc_id: r.text for r in got.collect()}.get(3, rows[2][1]) == rows[2][1]
+
+
+@pytest.mark.parametrize("part", [0.3, 0.9, 2.5])
+def test_many_children_are_shared_out_in_ranges(spark, monkeypatch, part):
+    monkeypatch.setattr(mixing, "NODE_ROWS", 1)
+    random.seed(16)
+    rows = [(i, "w " * random.randint(0, 40), random.choice(["en", "de"]), f"s{random.randint(0, 60)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = {"lang": {"en": 2.0}, "source": {"s3": 0.0, "s4": 4.0}}
+    got = mixing.mix(df, share=part, max_epochs=3, weights=weights)
+    assert sorted(((r.doc_id, r.mix_domain, r.mix_tokens, r.copies) for r in got.collect()), key=str) == plain(rows, weights, part, 3)
+    plan = mixing.mix(df, share=part, weights=weights)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
