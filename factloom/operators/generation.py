@@ -95,8 +95,10 @@ def _rows(truth: DataFrame, tbl: str) -> DataFrame:
     return truth.where((F.col("tbl") == tbl) & (F.col("result") != NO_ROWS)).select("key", "result", tokens_of(F.col("result")).alias("r"))
 
 
-def first_by_hash(rows: DataFrame, seed: str, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows in an order by hash; ``n`` is the family's limit."""
+def first_by_hash(rows: DataFrame, seed: str, key: str, n: int | None) -> DataFrame:
+    """The first ``n`` rows in an order by hash; ``n`` is the family's limit, all rows if it is None."""
+    if n is None:
+        return rows
     return rows.orderBy(seeded_hash(seed, F.col(key)), key).limit(n)
 
 
@@ -132,8 +134,11 @@ def answer_of(tbl: str) -> Column:
     }[tbl]()
 
 
-def single_hop_traces(truth: DataFrame, seed: str = "traces", limits: dict[str, int] | None = None) -> DataFrame:
-    """``family, key, messages`` of one lookup each, over all eleven tables, with large tags (K1)."""
+def single_hop_traces(truth: DataFrame, seed: str = "traces", limits: dict[str, int | None] | None = None) -> DataFrame:
+    """``family, key, messages`` of one lookup each, over all eleven tables, with large tags (K1).
+
+    ``limits`` stand in for those of ``LIMITS``; recipes, loot, sources and tags have none where it is None.
+    """
     most = LIMITS | (limits or {})
     size = F.size("r")
 
@@ -149,7 +154,8 @@ def single_hop_traces(truth: DataFrame, seed: str = "traces", limits: dict[str,
             # all sources but blocks, and blocks up to the budget (H7)
             block = F.col("key").startswith("minecraft:blocks/")
             others = rows.where(~block)
-            rest = first_by_hash(rows.where(block), seed, "key", max(0, most["loot"] - others.count()))
+            budget = None if most["loot"] is None else max(0, most["loot"] - others.count())
+            rest = first_by_hash(rows.where(block), seed, "key", budget)
             return others.unionByName(rest)
         if family == "loot_source":
             # what comes from a block with depths is asked for in two hops instead
@@ -302,14 +308,14 @@ def usage_declines(truth: DataFrame, items: DataFrame, seed: str = "traces") ->
     return none.select(F.lit("usage_decline").alias("family"), "key", made.alias("messages"))
 
 
-def all_traces(truth: DataFrame, seed: str = "traces") -> DataFrame:
-    """``trace_id, family, key, messages`` of every family (K1, K3-K5; I1)."""
+def all_traces(truth: DataFrame, seed: str = "traces", limits: dict[str, int | None] | None = None) -> DataFrame:
+    """``trace_id, family, key, messages`` of every family (K1, K3-K5; I1); ``limits`` are those of ``single_hop_traces``."""
     spark = truth.sparkSession
     recorded = truth.where("tbl = 'item_use'").select("key")
     unused = truth.where("tbl = 'recipe'").select("key").join(recorded, "key", "left_anti")
     used = first_by_hash(unused, seed, "key", UNUSED)
     families = (
-        single_hop_traces(truth, seed), decline_traces(truth, seed), worded_traces(truth), worded_traces(truth, GOALS, "goal"),
+        single_hop_traces(truth, seed, limits), decline_traces(truth, seed), worded_traces(truth), worded_traces(truth, GOALS, "goal"),
         multihop_traces(truth, seed=seed), cross_traces(truth, seed=seed), source_depth_traces(truth, seed=seed), alias_traces(truth),
         usage_declines(truth, used, seed),
     )
