@@ -62,11 +62,15 @@ LENIENT = (
 
 def build_oracle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The eleven fact tables of a report tree."""
-    docs = reports.documents(spark, root)
+    return oracle_tables(reports.documents(spark, root))
+
+
+def oracle_tables(docs: DataFrame) -> dict[str, DataFrame]:
+    """The eleven fact tables of a report's documents (``path, body, category, id``), of a tree or of a table that packs them."""
     lenient = F.lit(False)
     for place in LENIENT:
         lenient = lenient | F.col("path").like(place)
-    # the tree is read once: what isn't JSON is passed over in some places and an error in others
+    # documents are read once: what isn't JSON is passed over in some places and an error in others
     broken = F.try_parse_json("body").isNull()
     refused = F.raise_error(F.concat(F.lit("not JSON: "), "path")).cast("string")
     docs = written(docs.where(~(broken & lenient)).withColumn("body", F.when(broken, refused).otherwise(F.col("body"))), "report")

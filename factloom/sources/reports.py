@@ -20,7 +20,12 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     )
     bare = root.split("://", 1)[-1].removeprefix("file:")
     path = F.regexp_replace(F.substring_index(F.url_decode("file"), bare + "/", -1), "^/+", "")
-    return files.select(path.alias("path"), "body").withColumn("category", category_of(F.col("path"))).withColumn("id", subject_of(F.col("path")))
+    return placed(files.select(path.alias("path"), "body"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``path, body`` documents with their ``category`` and ``id``."""
+    return docs.withColumn("category", category_of(F.col("path"))).withColumn("id", subject_of(F.col("path")))
 
 
 def strict(docs: DataFrame) -> DataFrame:
