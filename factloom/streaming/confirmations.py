@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 from factloom.operators.relations import TIERS, TIME_TO_LIVE
 
@@ -25,8 +26,12 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 class Confirmations(StatefulProcessor):
     """Requests and confirmations of one nonce."""
 
-    def __init__(self, enabled: tuple[int, ...], seconds: int) -> None:
-        self.enabled, self.micros = enabled, seconds * 1_000_000
+    def __init__(self, enabled: tuple[int, ...], seconds: int, numbered: bool = False) -> None:
+        self.enabled, self.micros, self.numbered = enabled, seconds * 1_000_000, numbered
+
+    def _order(self, row: tuple) -> tuple:
+        """Time, confirmations first, then ids: as numbers if they are, as in a batch."""
+        return row[0], row[1], int(row[2]) if self.numbered else row[2]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -34,7 +39,7 @@ class Confirmations(StatefulProcessor):
         self.waits = handle.getValueState("waits", "id string, user string, at long, by string, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, held, timers = [], [], set()
+        out, held = [], []
         for frame in rows:
             for at, kind, id_, user, tool in frame[["at", "kind", "id", "user", "tool"]].itertuples(index=False):
                 tier = TIERS.get(tool) if kind else None
@@ -42,20 +47,21 @@ class Confirmations(StatefulProcessor):
                     out.append((id_, "request", "unknown" if tier is None else "disabled", None))
                     continue
                 held.append((int(at), int(kind), id_, user))
-                timers.add(int(at) // 1000 + 1)
         if held:
             self.early.appendList(held)
-            for t in timers:
-                self.handle.registerTimer(t)
+            # one timer is enough: it takes all rows that the watermark has passed, and sets the next
+            self.handle.registerTimer(min(r[0] for r in held) // 1000 + 1)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         early = [tuple(r) for r in self.early.get()]
-        due = sorted(r for r in early if r[0] <= passed)
+        due = sorted((r for r in early if r[0] <= passed), key=self._order)
         if len(due) < len(early):
+            later = [r for r in early if r[0] > passed]
             if due:
-                self.early.put([r for r in early if r[0] > passed])
+                self.early.put(later)
+            self.handle.registerTimer(min(r[0] for r in later) // 1000 + 1)
         elif due:
             self.early.clear()
         waits = tuple(self.waits.get()) if self.waits.exists() else None
@@ -64,7 +70,6 @@ class Confirmations(StatefulProcessor):
             if kind:
                 out += _forgotten(waits)
                 waits = (id_, user, at, None, False)
-                self.handle.registerTimer((at + self.micros) // 1000 + 1)
             elif waits is None:
                 out.append((id_, "confirm", "none", None))
             else:
@@ -85,6 +90,8 @@ class Confirmations(StatefulProcessor):
             waits = (*waits[:4], True)
         if waits is not None:
             self.waits.update(waits)
+            if not waits[4]:  # the action that is left waiting alone needs a time to be forgotten
+                self.handle.registerTimer((waits[2] + self.micros) // 1000 + 1)
         yield _frame(out)
 
     def close(self) -> None:
@@ -108,7 +115,8 @@ def dispatch_stream(events: DataFrame, enabled: tuple[int, ...], late: str, seco
     """
     text = lambda c: F.col(c).cast("string").alias(c)
     ts = F.col("ts").cast("timestamp")
+    numbered = isinstance(events.schema["id"].dataType, IntegralType)
     timed = events.select(
         text("id"), F.col("asks").cast("int").alias("kind"), text("user"), text("tool"), text("nonce"), F.unix_micros(ts).alias("at"), ts.alias("time")
     ).withWatermark("time", late)
-    return timed.groupBy("nonce").transformWithStateInPandas(Confirmations(enabled, seconds), RESULT, "append", "EventTime")
+    return timed.groupBy("nonce").transformWithStateInPandas(Confirmations(enabled, seconds, numbered), RESULT, "append", "EventTime")

@@ -50,3 +50,20 @@ def test_any_order_within_the_watermark_equals_the_batch(spark, tmp_path):
     want = sorted((tuple(r) for r in relations.dispatch(asked, said, (2,)).select("id", "kind", "outcome", "partner").collect()), key=str)
     assert {o for _, _, o, _ in want} == {"executed", "unconfirmed", "unknown", "disabled", "none", "expired", "other_user", "used"}
     assert got == want
+
+
+def test_ties_by_number(spark, tmp_path):
+    """Ids of the same moment are ordered as numbers: 9 comes before 10; one timer for a nonce takes all rows."""
+    rows = [(9, True, 1, "mine", 1, 0), (10, True, 2, "mine", 1, 0), (11, False, 2, "mine", 1, 60), (12, True, 3, "mine", 2, 30), (13, False, 3, "mine", 2, 90), (-1, True, -1, "mine", -1, 10**9)]
+    made = spark.createDataFrame(rows, "id long, asks boolean, user long, tool string, nonce long, s long").selectExpr("id", "asks", "user", "tool", "nonce", "timestamp_seconds(s + 1000) AS ts")
+    made.write.parquet(f"{tmp_path}/in")
+    spark.conf.set(*confirmations.STATE_STORE)
+    try:
+        stream = confirmations.dispatch_stream(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in"), (2,), "1 minute", 7200)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    finally:
+        spark.conf.unset(confirmations.STATE_STORE[0])
+    got = {(r.id, r.kind, r.outcome, r.partner) for r in spark.read.parquet(f"{tmp_path}/out").where("id <> '-1'").collect()}
+    assert got == {
+        ("9", "request", "unconfirmed", None), ("10", "request", "executed", "11"), ("11", "confirm", "executed", "10"), ("12", "request", "executed", "13"), ("13", "confirm", "executed", "12"),
+    }
