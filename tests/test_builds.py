@@ -52,3 +52,44 @@ def test_usage_cap_beyond_a_million(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT * FROM (VALUES (1::BIGINT, 50000::BIGINT), (2, 50000), (2, 1100000), (3, 1100000)) AS t(l_orderkey, l_partkey)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     got, want = compared(spark, str(tmp_path), "usage_cap")
     assert got == want == [(1, 50000), (2, 50000), (3, 1100000)]
+
+
+def test_paths_write_new_pairs_alone(spark, monkeypatch):
+    """Paths of a ladder and of a cycle; no round writes what an earlier one has found."""
+    from factloom.operators import graph
+
+    wrote = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        wrote[name] = wrote.get(name, 0) + out.count()
+        return out
+
+    written = graph.written
+    monkeypatch.setattr(graph, "written", counted)
+    edges = [(i, i + 1) for i in range(20)] + [(i, i + 2) for i in range(19)] + [(100, 101), (101, 102), (102, 100)]
+    got = {tuple(r) for r in graph.paths(spark.createDataFrame(edges, "tag long, ref long")).collect()}
+    assert got == {(i, j) for i in range(20) for j in range(i + 1, 21)} | {(i, j) for i in (100, 101, 102) for j in (100, 101, 102)}
+    assert wrote["found"] == len(got)
+
+
+def test_documents_are_made_in_many_tasks(spark, small, monkeypatch):
+    """The parts lie in one small file; the work on their documents isn't one task."""
+    from factloom.plans import base, documents, records
+
+    monkeypatch.setattr(base, "TASK_ROWS", 50)
+    monkeypatch.setattr(base.spread, "__defaults__", (50,))
+    for docs in (records.report_documents(spark, small), records.pack_documents(spark, small), documents._docs(spark, small, "'{}'")):
+        assert len(docs.inputFiles()) > 1
+
+
+def test_near_pairs_of_a_dense_cell(spark, monkeypatch):
+    """Many pairs of few points are cut by the number of pairs."""
+    from factloom.operators import relations
+
+    monkeypatch.setattr(relations, "TASK_PAIRS", 100)
+    points = lambda n, x: spark.range(n).selectExpr("id", f"{x} + id * 0.001 AS x", "0.0 AS y", "0.0 AS z")
+    found = relations.near_pairs(points(60, 0.1), points(40, 0.1), 1.0)
+    assert found.count() == 60 * 40
+    most = max(len(p) for p in found.rdd.glom().collect())
+    assert most < 60 * 40 / 2
