@@ -22,5 +22,15 @@ def query(sql: str | None = None):
     return put
 
 
+#: Rows of a task where each costs much more to work on than to read.
+TASK_ROWS = 10_000
+
+
+def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in partitions of about ``rows`` rows by ``key``: rows that pack small would be the work of few tasks."""
+    n = -(-df.count() // rows)
+    return df if n <= 1 else df.repartition(n, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import adapters, adapters_alt
-from factloom.plans.base import query, table
+from factloom.plans.base import query, spread, table
 from factloom.sources import reports
+from factloom.sources.scratch import written
 
 
 def _docs(spark, sf, expression: str):
     """Documents with ids and bodies from the parts."""
-    return table(spark, sf, "part").selectExpr("concat('minecraft:p', p_partkey) AS id", f"{expression} AS body", "p_partkey", "p_size")
+    part = spread(table(spark, sf, "part"), "p_partkey")
+    # written, because adapters name the body many times and each would make it anew
+    return written(part.selectExpr("concat('minecraft:p', p_partkey) AS id", f"{expression} AS body", "p_partkey", "p_size"), "documents")
 
 
 @query("""
