@@ -18,6 +18,7 @@ from factloom.functions import nested
 from factloom.operators import adapters, adapters_alt
 from factloom.operators.graph import closure
 from factloom.sources.reports import leniently, strict, without_comments
+from factloom.sources.scratch import written
 
 Adapter = Callable[[Column], Column]
 
@@ -202,7 +203,7 @@ def fact_records_alt(docs: DataFrame) -> DataFrame:
     placed = docs.select(
         slashed.alias("path"), without_comments(F.col("body")).alias("body"), adapters_alt.category_of(slashed).alias("category"), subject_of_alt(slashed).alias("subject_id")
     )
-    placed = leniently(placed.where("category is not null"))
+    placed = written(leniently(placed.where("category is not null")), "pack")  # cleaned once, read by each kind below
     walked = nested.biome_tags(F.when(F.col("category") == "spawn_rule", F.col("body")))
     recipe = F.when(F.col("category") == "recipe", adapters_alt.recipe_of(F.col("body")))
     single = placed.where("category not in ('loot_table', 'trading')").select("category", "subject_id", "body", walked.alias("tags"), recipe.alias("recipe"))

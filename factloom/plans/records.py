@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import facts, gates, tasks, topics
-from factloom.plans.base import query, table
+from factloom.plans.base import query, spread, table
 from factloom.sources import tree
 from factloom.sources.scratch import scratch_path, written
 from factloom.sources.sinks import admitted_lines
@@ -23,7 +23,9 @@ def _cases(rows: DataFrame, key: str, cases: list[tuple[str, str]]) -> DataFrame
             out = F.replace(out, F.lit(mark), column.cast("string"))
         return out
 
-    pick = F.element_at(F.array(*(F.struct(fill(p).alias("path"), fill(b).alias("body")) for p, b in cases)), (F.col(key) % len(cases) + 1).cast("int"))
+    pick = F.lit(None).cast("struct<path:string,body:string>")
+    for i, (p, b) in enumerate(cases):  # a row fills its own case alone
+        pick = F.when(F.col(key) % len(cases) == i, F.struct(fill(p).alias("path"), fill(b).alias("body"))).otherwise(pick)
     return rows.select(pick.alias("d")).select("d.*")
 
 
@@ -42,7 +44,8 @@ def report_documents(spark, sf) -> DataFrame:
         (f"{_DATA}/painting_variant/p{{n}}.json", '{"width": {s}, "height": 2}'),
         (f"{_DATA}/datapacks/d/{_DATA}/recipe/x{{n}}.json", '{"type": "minecraft:stonecutting", "ingredient": "x", "result": {"id": "y"}}'),
     ]
-    return _cases(table(spark, sf, "part"), "p_partkey", cases)
+    # written, because conditions on the path would be pushed below and make every document once for each of their terms
+    return written(_cases(spread(table(spark, sf, "part"), "p_partkey"), "p_partkey", cases), "documents")
 
 
 @query("""
@@ -101,15 +104,16 @@ def pack_documents(spark, sf) -> DataFrame:
         (f"{top}/biomes/b{{n}}.biome.json", '{"minecraft:biome": {"components": {"minecraft:climate": {"temperature": 0.5}, "minecraft:tags": {"tags": ["x", "y{s}"]}}}}'),
         (f"{top}/entities/broken{{n}}.json", '{"minecraft:entity": {"description": {"identifier": "i{s}"'),
     ]
-    single = _cases(table(spark, sf, "part"), "p_partkey", cases)
-    loot = table(spark, sf, "part").select(
+    part = spread(table(spark, sf, "part"), "p_partkey")
+    single = _cases(part, "p_partkey", cases)
+    loot = part.select(
         F.concat(F.lit(f"{top}/loot_tables/l"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"),
         F.concat(
             F.lit('{"pools": [{"entries": [{"type": "item", "name": "i:'), F.col("p_size").cast("string"), F.lit('"}, {"type": "loot_table", "name": "loot_tables/l'),
             F.when(F.col("p_partkey") == 0, 2).otherwise(F.floor(F.col("p_partkey") / 4)).cast("string"), F.lit('.json"}]}]}'),
         ).alias("body"),
     )
-    return single.unionByName(loot)
+    return written(single.unionByName(loot), "documents")
 
 
 @query("""
@@ -258,7 +262,7 @@ def _runs(spark, sf):
         (F.col("o_orderkey") % 3 == 0).alias("consistent"), F.when(F.col("o_orderkey") % 5 == 4, 2).otherwise(1).alias("rejects"),
     )
     rows = written(fact.unionByName(free).withColumn("pos", (F.row_number().over(Window.partitionBy("run", "lane").orderBy("n")) - 1).cast("long")), "candidates")
-    rows = rows.withColumns({"votes": F.lit(3), **dict.fromkeys(("mechanism", "capability", "comparative"), F.lit("unverified"))})
+    rows = spread(rows, "n", 50_000).withColumns({"votes": F.lit(3), **dict.fromkeys(("mechanism", "capability", "comparative"), F.lit("unverified"))})
     return tasks.verified_run(rows, "run", _TARGET, _RATIO, _AT_ONCE, _EMPTY)
 
 
