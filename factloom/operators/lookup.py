@@ -79,6 +79,17 @@ def existing(ids: DataFrame, registry: DataFrame, scoped: bool = False) -> DataF
     return ids.join(registry.select(*keys).distinct(), keys, "left_semi")
 
 
+def placed(ids: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of ``ids`` (``registry, id``) with ``anywhere``, whether any registry has the id, and ``there``, whether the row's own has.
+
+    The registry is the hashed side: rows of ``ids`` pass it unsorted, so no task holds them.
+    """
+    homes = registry.groupBy("id").agg(F.collect_set("registry").alias("__homes"))
+    found = ids.join(homes.hint("shuffle_hash"), "id", "left")
+    there = F.coalesce(F.array_contains("__homes", F.col("registry")), F.lit(False))
+    return found.select(*ids.columns, F.col("__homes").isNotNull().alias("anywhere"), there.alias("there"))
+
+
 # Tables whose keys are ids, and what may be left off or put behind an enchantment's name.
 NAMESPACED = ("recipe", "loot_source", "ore_depth", "tag", "enchantment", "villager_trade", "jukebox_song", "painting", "item_use")
 SUFFIXES = ("_enchant", "_enchantment")

@@ -378,8 +378,4 @@ def registry_scope(spark, sf):
     )
     k = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")
     rows = table(spark, sf, "lineitem").select(k, F.lit("item").alias("registry"), F.concat(F.lit("minecraft:p"), F.col("l_partkey").cast("string")).alias("id"))
-    asked = rows.select("registry", "id").distinct()
-    known = lookup.existing(asked, registry).select("id", F.lit(True).alias("a"))
-    there = lookup.existing(asked, registry, scoped=True).select("id", F.lit(True).alias("t"))
-    found = rows.join(known, "id", "left").join(there, "id", "left")
-    return found.select("k", F.coalesce("a", F.lit(False)).alias("anywhere"), F.coalesce("t", F.lit(False)).alias("there"))
+    return lookup.placed(rows, registry).select("k", "anywhere", "there")

@@ -55,6 +55,22 @@ def test_reachable_needs_every_ingredient(spark):
     assert {r["item"]: r.level for r in got.collect()} == {"r": 0, "s": 0, "a": 1, "b": 2}
 
 
+def test_rows_pass_the_registry_unsorted(spark, small):
+    rows = [(1, "item", "carrot"), (2, "block", "carrot"), (3, "block", "both"), (4, "item", "both"), (5, "item", "corn"), (6, None, "carrot"), (7, "item", None), (1, "item", "carrot")]
+    registry = spark.createDataFrame([("item", "carrot"), ("item", "carrot"), ("item", "both"), ("block", "both"), (None, "corn"), ("item", None)], "registry string, id string")
+    got = lookup.placed(spark.createDataFrame(rows, "k int, registry string, id string"), registry).select("k", "anywhere", "there")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, True, True), (1, True, True), (2, True, False), (3, True, True), (4, True, True), (5, True, False), (6, True, False), (7, False, False),
+    ]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["registry_scope"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan and "BuildRight" in plan
+
+
 @pytest.mark.parametrize(
     ("items", "text"), [(["a"], "a"), (["a", "b"], "a, or b"), (["a", "b", "c"], "a, b, or c"), ([], "")]
 )
