@@ -93,3 +93,32 @@ def test_near_pairs_of_a_dense_cell(spark, monkeypatch):
     assert found.count() == 60 * 40
     most = max(len(p) for p in found.rdd.glom().collect())
     assert most < 60 * 40 / 2
+
+
+def test_near_pairs_of_a_position_lie_side_by_side(spark):
+    """Pairs of the same two positions follow each other, so that what is written of many copies stays small."""
+    from itertools import groupby
+
+    from factloom.operators import relations
+
+    points = lambda n: spark.range(n).selectExpr("nullif(id, 0) AS id", "id % 4 * 0.01 AS x", "if(id = 1, null, 0.0) AS y", "0 AS z")
+    parts = relations.near_pairs(points(120), points(80), 1.0).rdd.glom().collect()
+    assert sum(len(list(groupby(p, key=lambda r: r.distance))) for p in parts) <= 16
+    found = relations.near_pairs(points(120), points(80), 1.0, 1)
+    assert found.count() == 119 * 79 and found.where("a_id IS NULL").count() == 79 and found.where("b_id IS NULL").count() == 119
+    assert found.where("distance <> 0").isEmpty()
+
+
+def test_near_pairs_shuffle_with_their_pairs(spark, monkeypatch):
+    """Both sides of a crowded position are cut, and each is shuffled once."""
+    from factloom.operators import relations
+
+    shuffled, frame = [], type(spark.range(1))
+    repartition = frame.repartition
+    monkeypatch.setattr(relations, "TASK_PAIRS", 100)
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (shuffled.append(self.count()), repartition(self, *a))[1])
+    points = lambda n: spark.range(n).selectExpr("id", "0.5 AS x", "0.5 AS y", "0.5 AS z")
+    found = relations.near_pairs(points(50), points(400), 1.0)
+    assert sum(shuffled) < 50 * 400
+    assert "ENSURE_REQUIREMENTS" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == found.distinct().count() == 50 * 400
\ No newline at end of file
